@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from .media import op10_media_columns
+from .mixing import OP5_SQL, op5_mixing
 from .token_files import op6_token_files
 
-QUERIES = {f.__name__: f for f in (op6_token_files, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op5_mixing, op6_token_files, op10_media_columns)}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
