@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .media import op10_media_columns
 from .mixing import OP5_SQL, op5_mixing
+from .packing import op9_packing
 from .token_files import op6_token_files
+from .topk import OP8_SQL, op8_topk
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_token_files, op10_media_columns)}
-ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL}
+QUERIES = {f.__name__: f for f in (op5_mixing, op6_token_files, op8_topk, op9_packing, op10_media_columns)}
+ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op8_topk": OP8_SQL}
