@@ -6,8 +6,9 @@ from .licenses import OP7_SQL, op7_license_scan
 from .media import op10_media_columns
 from .mixing import OP5_SQL, op5_mixing
 from .packing import op9_packing
+from .quality import op2_quality
 from .token_files import op6_token_files
 from .topk import OP8_SQL, op8_topk
 
-QUERIES = {f.__name__: f for f in (op5_mixing, op6_token_files, op7_license_scan, op8_topk, op9_packing, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op2_quality, op5_mixing, op6_token_files, op7_license_scan, op8_topk, op9_packing, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_license_scan": OP7_SQL, "op8_topk": OP8_SQL}
