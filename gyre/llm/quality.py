@@ -24,6 +24,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import documents, fold, written
 from .tokens import words
@@ -85,7 +86,7 @@ def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
             x = pa.array([statistics(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], x], names=[*keep, "x"])
 
-    return docs.select(F.col("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, schema.add("x", "array<double>"))
+    return docs.select(F.col("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, T.StructType([*schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
 
 @dataclass
@@ -205,7 +206,7 @@ def scored(rows: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(held.value.score(flat))], names=[*keep, "score"])
 
     schema = rows.select(*[F.col(f"`{c}`") for c in keep]).schema
-    return rows.select(*[F.col(f"`{c}`") for c in keep], "x").mapInArrow(run, schema.add("score", "double"))
+    return rows.select(*[F.col(f"`{c}`") for c in keep], "x").mapInArrow(run, T.StructType([*schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def held_out(doc_id: Column) -> Column:
