@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import tokens
+from . import hashing, tokens
 from .common import documents, written
 
 WINDOW, CLASSES, UNIT, DEPTH = 4096, 128, 4_000_000, 3
@@ -43,13 +43,12 @@ def tokenized(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2) ->
         ids_of = tokens.word_ids(path)
         kind = "<u2" if ids_of.tok.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            doc_ids, texts = batch.column(0), batch.column(1).to_pylist()
-            for part in tokens.batches(texts):
-                ids, lens = ids_of.encode(texts[part], end_id)
+            for first, data, offsets in hashing.texts_of(batch.column(1)):
+                ids, lens = ids_of.encode_bytes(data, offsets, end_id)
                 raw = ids.astype(kind)
                 ends = np.concatenate([[0], np.cumsum(lens)]).astype(np.int64) * raw.itemsize
                 column = pa.Array.from_buffers(pa.large_binary(), len(lens), [None, pa.py_buffer(ends), pa.py_buffer(raw)]).cast(pa.binary())
-                yield pa.record_batch([doc_ids.slice(part.start, part.stop - part.start), pa.array(lens, pa.int64()), column], names=["doc_id", "n", "ids"])
+                yield pa.record_batch([batch.column(0).slice(first, len(lens)), pa.array(lens, pa.int64()), column], names=["doc_id", "n", "ids"])
 
     at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return at.mapInArrow(run, "doc_id long, n long, ids binary")

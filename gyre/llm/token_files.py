@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import rans, tokens
+from . import hashing, rans, tokens
 from .common import documents, new_path
 
 GROUP = 8 * rans.BLOCK
@@ -41,7 +41,7 @@ def coded(path: str, end_id: int, group: int = GROUP):
 
     def run(batches):
         ids_of, shard, k, start = tokens.word_ids(path), TaskContext.get().partitionId(), 0, 0
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
+        held: list[tuple[list, np.ndarray, np.ndarray]] = []  # ids of documents, their token ids, their lengths
         size = 0
 
         def close():
@@ -52,10 +52,10 @@ def coded(path: str, end_id: int, group: int = GROUP):
             return pa.RecordBatch.from_pylist([row], ARROW_GROUP), len(ids)
 
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in tokens.batches(texts):
-                ids, lens = ids_of.encode(texts[part], end_id)
-                held.append((doc_ids[part], ids, lens))
+            doc_ids = batch.column(0).to_pylist()
+            for first, data, offsets in hashing.texts_of(batch.column(1)):
+                ids, lens = ids_of.encode_bytes(data, offsets, end_id)
+                held.append((doc_ids[first : first + len(lens)], ids, lens))
                 size += len(ids)
                 if size >= group:
                     out, n = close()

@@ -12,20 +12,26 @@ from __future__ import annotations
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+
+from . import hashing
 
 SPACES = " \t\n\x0b\x0c\r"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: str.split() without arguments also cuts at these, the tokenizer doesn't.
-ODD = re.compile(r"[\x1c-\x1f\x85\xa0  -     　]")
+ODD_LATIN = "\x1c\x1d\x1e\x1f\x85\xa0"
+ODD = re.compile("[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
 
 def words(text: str | None) -> list[str]:
     """The maximal runs of anything but the six ASCII white spaces; null: none."""
     if not text:
         return []
-    return text.split() if not ODD.search(text) else WORD.findall(text)
+    odd = any(c in text for c in ODD_LATIN) or not text.isascii() and ODD.search(text)
+    return WORD.findall(text) if odd else text.split()
 
 
 def default_path() -> str:
@@ -35,19 +41,17 @@ def default_path() -> str:
 
 
 class WordIds:
-    """Ids by word, through tables of at most ``limit`` words and as many pieces.
+    """Ids by word, through a table of at most ``limit`` words by 64-bit hash and as many pieces.
 
-    A word that is new is lower-cased and cut where the tokenizer's own pattern
-    cuts it, and its pieces go to the merge model alone.  Words with letters
-    beyond Latin, or that may hold a special token, go through the whole library.
+    A word that is new is cut where the tokenizer's own pattern cuts it, and its
+    pieces go to the merge model alone.  Words with letters beyond Latin, or that
+    may hold a special token, go through the whole library.
     """
 
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
     SIMPLE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0139-\u0148\u014a-\u017e]+")
 
-    PLAIN = re.compile(SIMPLE.pattern.replace("!-~", r"\t-\r -~"))
-
-    def __init__(self, path: str, limit: int = 500_000, plain: bool = True):
+    def __init__(self, path: str, limit: int = 400_000, plain: bool = True):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -56,14 +60,16 @@ class WordIds:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as they are
         hidden = [b for b in range(256) if b not in set(shown)]
         self.bytes = {b: 256 + i for i, b in enumerate(hidden)}
-        self.pieces: dict[str, list[int]] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.mask = (1 << (2 * self.limit).bit_length()) - 1
+        self.keys = np.zeros(self.mask + 1, np.uint64)
+        self.place = np.zeros(self.mask + 1, np.int32)
+        self.n = self.used = 0
         self.flat = np.zeros(1 << 20, np.uint32)
         self.at = np.zeros(1 << 18, np.int64)  # where a word's ids begin; one more entry than words
-        self.used = 0
+        self.pieces: dict[str, list[int]] = {}
 
     def piece(self, p: str) -> list[int]:
         got = self.pieces.get(p)
@@ -79,68 +85,87 @@ class WordIds:
             return [x for p in self.PIECE.findall(word.lower()) for x in self.piece(p)]
         return self.tok.encode(word, add_special_tokens=False).ids
 
-    def learn(self, new: list[str]) -> int:
-        """Puts the words' ids into the flat table and returns the first one's number.  A full table
-        keeps its words (frequent ones come early) and has new ones for this call only."""
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Numbers of the words of these hashes, -1 for new ones."""
+        at = (h & np.uint64(self.mask)).astype(np.int64)
+        key = self.keys[at]
+        out = np.where(key == h, self.place[at], -1)
+        far = np.flatnonzero((key != h) & (key != 0))
+        while len(far):
+            at[far] = (at[far] + 1) & self.mask
+            key = self.keys[at[far]]
+            hit = key == h[far]
+            out[far[hit]] = self.place[at[far[hit]]]
+            far = far[~hit & (key != 0)]
+        return out
+
+    def learn(self, h: np.ndarray, new: list[str]) -> int:
+        """Puts the ids of new words (distinct hashes h) into the flat table and returns the first one's number.
+        A full table keeps its words (frequent ones come early) and has new ones for this call only."""
         ids = list(map(self.ids_of, new))
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        n, more = len(self.index), int(lens.sum())
+        n, more = self.n, int(lens.sum())
         while n + len(new) + 1 > len(self.at):
             self.at = np.concatenate([self.at, np.zeros_like(self.at)])
         while self.used + more > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.at[n + 1 : n + 1 + len(new)] = self.used + np.cumsum(lens)
-        self.flat[self.used : self.used + more] = np.fromiter((x for one in ids for x in one), np.uint32, more)
-        if n < self.limit:
-            self.used += more
-            self.index.update(zip(new, range(n, n + len(new))))
+        self.flat[self.used : self.used + more] = np.fromiter(chain.from_iterable(ids), np.uint32, more)
+        if n + len(new) <= self.limit:
+            self.used, self.n = self.used + more, n + len(new)
+            at, number, left = (h & np.uint64(self.mask)).astype(np.int64), np.arange(n, self.n, dtype=np.int32), np.arange(len(h))
+            while len(left):
+                own = at[left]
+                free = np.flatnonzero(self.keys[own] == 0)
+                _, first = np.unique(own[free], return_index=True)
+                put = left[free[first]]
+                self.keys[at[put]], self.place[at[put]] = h[put], number[put]
+                left = np.setdiff1d(left, put, assume_unique=True)
+                at[left] = (at[left] + 1) & self.mask
         return n
 
-    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, number of ids of each), with ``end_id`` after each text."""
+    def encode_bytes(self, data: np.ndarray, offsets: np.ndarray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, number of ids of each) of texts between offsets of UTF-8 bytes, with ``end_id`` after each."""
+        raw = data.tobytes()
         if not self.plain:
-            got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([t or "" for t in texts], add_special_tokens=False)]
-            tail = [] if end_id is None else [np.array([end_id], np.uint32)]
-            parts = [x for one in got for x in (one, *tail)]
-            lens = np.array([len(x) + len(tail) for x in got], np.int64)
-            return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), lens
-        rows = [words(t.lower() if t and self.PLAIN.fullmatch(t) and "<|" not in t else t) for t in texts]
-        n_words = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat = [w for row in rows for w in row]
-        get = self.index.get
-        idx = np.array([get(w, -1) for w in flat], np.int64)
+            got = [np.array(e.ids, np.uint32) for e in self.tok.encode_batch_fast([raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])], add_special_tokens=False)]
+            end = [] if end_id is None else [np.array([end_id], np.uint32)]
+            parts = [x for one in got for x in (one, *end)]
+            return (np.concatenate(parts) if parts else np.zeros(0, np.uint32)), np.array([len(x) + len(end) for x in got], np.int64)
+        if b"<|" not in raw:  # else case may tell a special token
+            data = hashing.FOLD[data]
+            raw = data.tobytes()
+        begin, stop, edges = hashing.word_spans(data, offsets)
+        h = hashing.span_hashes(data, begin, stop) | np.uint64(1)  # 0 marks an empty place
+        idx = self.find(h)
         miss = np.flatnonzero(idx < 0)
         if len(miss):
-            unknown = [flat[i] for i in miss]
-            new = {w: i for i, w in enumerate(dict.fromkeys(unknown))}
-            full = len(self.index) >= self.limit
-            idx[miss] = np.array([new[w] for w in unknown], np.int64) + self.learn(list(new))
-            if full and len(miss) > 0.5 * len(flat):
-                self.index, self.used, self.pieces = {}, 0, {}  # another kind of text: begin anew
-                return self.encode(texts, end_id)
-        begin, lens = self.at[idx], self.at[idx + 1] - self.at[idx]
+            new, first, back = np.unique(h[miss], return_index=True, return_inverse=True)
+            full = self.n + len(new) > self.limit
+            if full and self.n and len(miss) > 0.5 * len(h):
+                self.clear()  # another kind of text: begin anew
+                return self.encode_bytes(data, offsets, end_id)
+            w = [raw[begin[i] : stop[i]].decode() for i in miss[first]]
+            idx[miss] = self.learn(new, w) + back.reshape(-1)
+        start, lens = self.at[idx], self.at[idx + 1] - self.at[idx]
         ends = np.zeros(len(lens) + 1, np.int64)
         np.cumsum(lens, out=ends[1:])
-        ids = self.flat[np.repeat(begin - ends[:-1], lens) + np.arange(ends[-1])]
-        edge = ends[np.concatenate([[0], np.cumsum(n_words)])]
+        per = np.diff(ends[edges])
         if end_id is None:
-            return ids, np.diff(edge)
-        return np.insert(ids, edge[1:], end_id).astype(np.uint32), np.diff(edge) + 1
+            return self.flat[np.repeat(start - ends[:-1], lens) + np.arange(ends[-1])], per
+        # Words move on by one place for each text before theirs.
+        shift = np.repeat(np.arange(len(per)), np.diff(edges))
+        ids = np.full(ends[-1] + len(per), end_id, np.uint32)
+        source = np.repeat(start - ends[:-1], lens) + np.arange(ends[-1])
+        ids[np.arange(ends[-1]) + np.repeat(shift, lens)] = self.flat[source]
+        return ids, per + 1
+
+    def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        parts = [self.encode_bytes(data, offsets, end_id) for _, data, offsets in hashing.texts_of(pa.array([t or "" for t in texts], pa.string()))]
+        return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 @lru_cache(maxsize=2)
 def word_ids(path: str, plain: bool = True) -> WordIds:
     """One table per Python worker."""
     return WordIds(path, plain=plain)
-
-
-def batches(texts: list[str | None], most_chars: int = 1_000_000):
-    """Slices of ``texts`` of about ``most_chars`` characters, one text at least."""
-    at, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= most_chars:
-            yield slice(at, i + 1)
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield slice(at, len(texts))
