@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .licenses import OP7_SQL, op7_license_scan
+from .lm import op3_lm_score
 from .media import op10_media_columns
 from .mixing import OP5_SQL, op5_mixing
 from .near_dedup import op4_near_dedup
@@ -12,5 +13,5 @@ from .suffix_dedup import op1_suffix_dedup
 from .token_files import op6_token_files
 from .topk import OP8_SQL, op8_topk
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op4_near_dedup, op5_mixing, op6_token_files, op7_license_scan, op8_topk, op9_packing, op10_media_columns)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_lm_score, op4_near_dedup, op5_mixing, op6_token_files, op7_license_scan, op8_topk, op9_packing, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_license_scan": OP7_SQL, "op8_topk": OP8_SQL}
