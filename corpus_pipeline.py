@@ -1 +1,58 @@
-STAGES = []
+"""A corpus pipeline of five of the operators; each stage's result is written as Parquet and read again as the next one's docs."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from gyre.llm import mixing, near_dedup, packing, quality, suffix_dedup
+from gyre.llm.common import documents, written
+from gyre.session import ship
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the classifier, trained on the labelled ones among them, accepts."""
+    return quality.accepted(docs, ship(spark).read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document of the least doc_id of each near-duplicate class."""
+    ship(spark)
+    return near_dedup.deduplicated(docs)
+
+
+def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts the bytes of 50-byte strings that a document of a smaller doc_id has; documents stay, cut."""
+    ship(spark)
+    return suffix_dedup.deduplicated(docs)
+
+
+def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes each document as often as its source's target weight asks for: not at all, or up to three times."""
+    ship(spark)
+    return mixing.mixed(docs)
+
+
+def sequence_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of 4096 tokens."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("MinHash near-dedup", minhash_near_dedup),
+    ("suffix-array dedup", suffix_array_dedup),
+    ("mixing sources to target weights", mixing_sources),
+    ("packing", sequence_packing),
+]
+
+#: SQL can't express the classifier; tests/llm holds the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written and read again."""
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    return docs

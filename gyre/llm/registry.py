@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from .licenses import OP7_SQL, op7_license_scan
 from .lm import op3_lm_score
 from .media import op10_media_columns
@@ -15,3 +17,6 @@ from .topk import OP8_SQL, op8_topk
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality, op3_lm_score, op4_near_dedup, op5_mixing, op6_token_files, op7_license_scan, op8_topk, op9_packing, op10_media_columns)}
 ORACLE_SQL: dict[str, str] = {"op5_mixing": OP5_SQL, "op7_license_scan": OP7_SQL, "op8_topk": OP8_SQL}
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
