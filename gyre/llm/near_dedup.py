@@ -11,11 +11,11 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 26 bands of 5 coordinates let a pair of similarity 0.8 pass with 0.99997.
 
 Equal texts are one text.  In a band's bucket every text is held against the
-bucket's first one, not against all; the links that hold make classes, and only
-pairs of a bucket that are in different classes after that are verified in a second
-round, less those that the triangle inequality of the Jaccard distance rules out.  So
-a bucket of n copies costs n verifications, and no link between different classes is
-lost.  Verification is exact on the sets of 64-bit shingle hashes.  Classes come from
+bucket's first one, its most central, not against all; the links that hold make
+classes, and only pairs of a bucket that are in different classes after that are
+verified in a second round, less those that counts of shingles rule out (see
+``possible``).  So a bucket of n copies costs about n verifications, and no link
+between different classes is lost.  Verification is exact on the sets of 64-bit shingle hashes.  Classes come from
 label propagation with pointer jumping over written tables.
 
 Defined cases: a null text is an empty one; texts without a word are alike only if
@@ -199,25 +199,26 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     texts = sig.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = written(texts.withColumn("node", F.xxhash64("h")), "near-nodes")
     keys = written(nodes.select("node", F.explode("bands").alias("key")), "near-bands")
-    firsts = keys.groupBy("key").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    buckets = written(keys.join(firsts, "key"), "near-buckets")
+    sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
+    shared = written(keys.join(sizes, "key"), "near-shared")
+    # A bucket's first text is the one that shares buckets with most others: copies of one text have that text for it.
+    central = shared.groupBy("node").agg(F.sum("n").alias("c"))
+    shared = shared.join(central, "node").select("key", "node", F.struct((-F.col("c")).alias("c"), "node").alias("o"))
+    firsts = shared.groupBy("key").agg(F.min("o")["node"].alias("first"))
+    buckets = written(shared.select("key", "node").join(firsts, "key"), "near-buckets")
     pairs = written(buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
     wanted = written(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "h", "doc_id"), "near-wanted")
     held = written(sets(docs, wanted, weighting), "near-sets")
     tested = written(jaccard(pairs, held, wanted), "near-tested")
     links = tested.where(F.col("sim") >= least)
     labels = components(links)
-    # Second round: pairs of one bucket, but of different classes, that the distances to the bucket's first allow.
+    # Second round: pairs of one bucket, but of different classes, that counts don't rule out.
     known = tested.select(F.col("a").alias("first"), F.col("b").alias("node"), "sim")
     at = buckets.join(known, ["first", "node"], "left").withColumn("sim", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("sim")))
     at = at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min("sim").alias("least")).where("low < high")
-    at = written(at.join(mixed.drop("high"), "key"), "near-mixed")
-    # One side: texts outside the first's class; the other: any later text of another class.
-    x = at.where(F.col("sim") < least).select("key", F.col("node").alias("xn"), F.col("label").alias("xl"), F.col("sim").alias("xs"))
-    y = at.where(F.col("node") != F.col("first")).select("key", F.col("node").alias("yn"), F.col("label").alias("yl"), F.col("sim").alias("ys"))
-    far = F.abs(F.col("xs") - F.col("ys")) <= 1 - least + 1e-9
-    more = x.join(y, "key").where((F.col("xl") != F.col("yl")) & (far | (F.least("xs", "ys") == 0)))
+    split = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
+    at = written(at.join(split.select("key"), "key"), "near-mixed")
+    more = possible(at, held.join(wanted.select("node", "h"), "h").join(at.select("node").distinct(), "node", "left_semi"), least)
     more = more.select(F.least("xn", "yn").alias("a"), F.greatest("xn", "yn").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(more, "near-more")
     if more.limit(1).count():
@@ -231,6 +232,44 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
     return sig.select("doc_id", "h").join(named, "h").select("doc_id", "class_id", "links")
 
 
+def possible(at: DataFrame, held: DataFrame, least: float) -> DataFrame:
+    """Pairs (xn, yn) of a bucket that may reach ``least``, one of them outside its first's class.
+
+    at: (key, node, first, sim to the first, label); held: (node, s) of these nodes.
+    With X the shingles that only one of a text and the bucket's first has, and u those
+    that no other text of these buckets has, two texts A and B can be similar only if
+    X_A and X_B differ in d = (|A| + |B|) (1 - t) / (1 + t) elements at most, so share
+    (|X_A| + |X_B| - d) / 2, which neither can do with its u.  A text that was changed
+    in places of its own has half of X in u and can't be similar to texts that are no
+    nearer to the first than it is; such texts leave before any pair is made.
+    """
+    ratio = (1 - least) / (1 + least)
+    once = held.select(F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("n")).where("n = 1")
+    alone = held.select("node", F.explode("s").alias("e")).join(once, "e").groupBy("node").agg(F.count("*").alias("u"))
+    facts = written(held.select("node", F.size("s").alias("size")).dropDuplicates(["node"]).join(alone, "node", "left").select("node", "size", F.coalesce("u", F.lit(0)).alias("u")), "near-facts")
+    own = at.join(facts, "node").join(facts.select(F.col("node").alias("first"), F.col("size").alias("fsize")), "first")
+    # A similarity of 0 stands for any under a half: the least that X can be then.
+    sim = F.when(F.col("sim") > 0, F.col("sim")).otherwise(0.5)
+    both = F.col("size") + F.col("fsize")
+    own = own.withColumn("x", both - 2 * both * sim / (1 + sim)).withColumn("spare", F.when(F.col("sim") > 0, F.col("x") - 2 * F.col("u")).otherwise(F.lit(1e18)))
+    own = own.withColumn("outer", F.col("sim") < least)
+    top = own.groupBy("key").agg(F.max("size").alias("most"), F.min("size").alias("small"))
+    own = own.join(top, "key").withColumn("need", F.col("x") - ratio * (F.col("size") + F.col("most")))
+    needs = own.groupBy("key").agg(F.min(F.when(F.col("outer"), F.col("need"))).alias("outer_need"), F.min("need").alias("any_need"))
+    fits = F.col("size") - F.col("u") >= least / (1 + least) * (F.col("size") + F.greatest(F.col("small"), least * F.col("size"))) - 1e-6
+    own = written(own.where(fits).join(needs, "key").where(F.col("spare") >= F.when(F.col("outer"), F.col("any_need")).otherwise(F.col("outer_need")) - 1e-6), "near-possible")
+
+    def side(p: str) -> DataFrame:
+        return own.select("key", *[F.col(c).alias(p + c) for c in ("node", "label", "size", "x", "u", "spare", "outer", "first")])
+
+    x, y = side("x").where("xouter"), side("y").where("ynode <> yfirst")
+    d = ratio * (F.col("xsize") + F.col("ysize")) + 1e-6
+    apart = (F.col("xlabel") != F.col("ylabel")) & (F.abs(F.col("xx") - F.col("yx")) <= F.when((F.col("xspare") > 1e17) | (F.col("yspare") > 1e17), 1e18).otherwise(d))
+    apart = apart & (F.col("xspare") >= F.col("yx") - d) & (F.col("yspare") >= F.col("xx") - d)
+    apart = apart & (F.least(F.col("xsize") - F.col("xu"), F.col("ysize") - F.col("yu")) >= least / (1 + least) * (F.col("xsize") + F.col("ysize")) - 1e-6)
+    return x.join(y, "key").where(apart & (~F.col("youter") | (F.col("xnode") < F.col("ynode")))).select(F.col("xnode").alias("xn"), F.col("ynode").alias("yn"))
+
+
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
     """One document of each class: the one of the least doc_id, with the columns of docs; of rows that repeat it, one."""
     keep = classes(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_near_id")).distinct()
