@@ -7,17 +7,19 @@ the input, so suffixes are sampled: of the 35 strings of 16 bytes within a windo
 anchors at equal places, and one anchor serves a run of windows, so about every
 18th position is an anchor and nothing is lost.
 
-Round 1 ranks anchors by their 16 bytes: Spark shuffles and sorts (rank, rank of the
-anchor's whole stretch of windows, doc_id).  An anchor whose 16 bytes are in one
+Round 1 ranks anchors by their 16 bytes: Spark deals (rank, rank of the anchor's
+whole stretch of windows, doc_id, position) out by rank, packed, and each task sorts
+its own.  An anchor whose 16 bytes are in one
 document only is unique and leaves.  If a smaller document has the same stretch, all
 its windows repeat and it leaves with a mark.  Round 2 doubles: an anchor stays only
 if its 16 bytes with the 16 after or before them (one pair lies in every window) are
 in another document.  Round 3 passes the threshold: the few anchors left, at the
-borders of repeats, give the rank of each 50-byte window of theirs, and Spark sorts
-those.  Tasks resolve repeats among their own rows first and send on the smallest
+borders of repeats, are sorted again by rank, each with the bytes of its windows, and
+every 50-byte window is ranked among those of its anchor; a rank too large for a task
+deals its windows out once more.  Tasks resolve repeats among their own rows first and send on the smallest
 document of each only, so a passage in a third of all documents costs a row a task.
 
-Ranks are 64-bit hashes (with 40 more bits for stretches), not positions in a total
+Ranks are hashes (48 bits for anchors, and 40 more for stretches; 128 bits for windows), not positions in a total
 order: a later round needs equal ranks for equal strings only.
 
 Defined cases: a null text is empty; a null doc_id is larger than all others; rows of
@@ -31,6 +33,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,17 +43,20 @@ from .common import documents, written
 
 LENGTH, GRAM = 50, 16
 LAST = (1 << 63) - 1
-CHUNK = 2_000_000
+#: Anchors of a chunk; a rank with more stretches than HOT in one chunk skips round 1; a rank with more than GROUP rows is dealt out by windows.
+CHUNK, HOT, GROUP = 2_000_000, 2_000, 200_000
 #: Keys of documents with marks are broadcast up to so many rows (some 50 MB); beyond, texts are shuffled by key.
 BROADCAST_ROWS = 1_000_000
 ROWS_T = "kind int, g long, c long, doc long, v long"
-#: v: 20 bits that tell rows of one doc_id apart, 32 of the first window's position, 6 of the anchor's place in it, 6 of the number of windows.
+PACKED_T = "kind int, target int, data binary"
+CONTEXT_T = "kind int, g long, doc long, v long, context binary"
+#: v: 16 bits that tell rows of one doc_id apart, 32 of the first window's position, 6 of the anchor's place in it, 6 of the number of windows.
 TAG, AT, OFF = 44, 12, 6
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    tag = F.xxhash64(text).bitwiseAND(F.lit((1 << 19) - 1))
+    tag = F.xxhash64(text).bitwiseAND(F.lit((1 << 16) - 1))
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), text.alias("text"))
 
 
@@ -96,11 +102,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     stretch = hashing.mix(spans(sums, down, lo, lo + count - 1 + length) + hashing.mix((q - lo) * 64 + count, 7))
     has_left, has_right = q - gram >= begin, q + 2 * gram <= end
     ql, qr = np.where(has_left, q - gram, 0), np.where(has_right, q + gram, 0)
-    twelve = np.uint64(52)
-    left = np.where(has_left, hashing.mix(spans(sums, down, ql, ql + gram)) >> twelve | np.uint64(1), np.uint64(0))
-    right = np.where(has_right, hashing.mix(spans(sums, down, qr, qr + gram)) >> twelve | np.uint64(1), np.uint64(0))
-    c = (stretch & np.uint64(0xFFFFFFFFFF000000)) | left << np.uint64(12) | right
-    return row, h[q], c, lo - begin, q - lo, count
+    top = np.uint64(56)
+    left = np.where(has_left, hashing.mix(spans(sums, down, ql, ql + gram)) >> top | np.uint64(1), np.uint64(0))
+    right = np.where(has_right, hashing.mix(spans(sums, down, qr, qr + gram)) >> top | np.uint64(1), np.uint64(0))
+    c = (stretch >> np.uint64(24)) << np.uint64(16) | left << np.uint64(8) | right
+    return row, h[q] >> np.uint64(16), c, lo - begin, q - lo, count
 
 
 def firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,17 +135,24 @@ def emitted(kind: int, *columns: np.ndarray, step: int = 50_000):
         yield record(kind, *(x[a : a + step] for x in columns))
 
 
-STRETCH = np.uint64(0xFFFFFFFFFF000000)
+STRETCH = np.uint64(0xFFFFFFFFFFFF0000)
 
 
-def gathered(source, open_kind: int):
-    """Accumulates (g, c, doc, v) of slices, settles what repeats within a chunk, and gives kind 1 (marks) and ``open_kind``."""
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of 64-bit integers as compressed byte planes; the first, which rises, as differences."""
+    planes = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
+    return len(columns[0]).to_bytes(8, "little") + zstandard.compress(b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in planes), 1)
 
-    def settle(parts):
-        g, c, doc, v = map(np.concatenate, zip(*parts))
-        stay, repeat = resolved([g, c & STRETCH], doc, v)
-        yield from emitted(1, doc[repeat], v[repeat])
-        yield from emitted(open_kind, doc[stay], v[stay], g[stay], c[stay])
+
+def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(zstandard.decompress(data[8:]), np.uint8).reshape(columns, 8, n)
+    out = [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
+    return [np.cumsum(out[0]), *out[1:]]
+
+
+def by_chunks(source, settle):
+    """Accumulates tuples of columns of about CHUNK rows and gives what ``settle`` makes of them."""
 
     def run(batches):
         parts, size = [], 0
@@ -148,15 +161,17 @@ def gathered(source, open_kind: int):
                 parts.append(part)
                 size += len(part[0])
                 if size >= CHUNK:
-                    yield from settle(parts)
+                    yield from settle(*map(np.concatenate, zip(*parts)))
                     parts, size = [], 0
         if size:
-            yield from settle(parts)
+            yield from settle(*map(np.concatenate, zip(*parts)))
 
     return run
 
 
-def anchor_rows(length: int, gram: int):
+def anchor_rows(length: int, gram: int, targets: int):
+    """Round 1, sender: kind 1 marks and kind 2 anchors of hot ranks (doc, v), kind 0 the others (g, c, doc, v), dealt to targets by rank."""
+
     def source(batch):
         doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for first, data, offsets in hashing.texts_of(batch.column(2)):
@@ -164,80 +179,158 @@ def anchor_rows(length: int, gram: int):
             row = row + first
             yield g, c, doc[row], tag[row] << TAG | lo << AT | off << OFF | count
 
-    return gathered(source, 2)
-
-
-def ranked(batches):
-    """Rounds 1 and 2 over rows sorted by (g, stretch, doc): kind 1 marks, kind 2 anchors that go on."""
-    held: list[np.ndarray] | None = None
-
     def settle(g, c, doc, v):
+        stay, repeat = resolved([g, c & STRETCH], doc, v)
+        out = [(1, 0, packed(doc[repeat], v[repeat]))] if len(repeat) else []
+        g, c, doc, v = g[stay].view(np.int64), c[stay].view(np.int64), doc[stay], v[stay]  # sorted by rank
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
-        start = np.flatnonzero(new)
-        alone = np.minimum.reduceat(doc, start) == np.maximum.reduceat(doc, start)
-        keep = ~alone[np.cumsum(new) - 1]
-        g, c, doc, v = g[keep], c[keep], doc[keep], v[keep]
-        stay, repeat = resolved([g, c & STRETCH], doc, v)
-        yield from emitted(1, doc[repeat], v[repeat])
-        g, c, doc, v = g[stay], c[stay], doc[stay], v[stay]
-        live = np.zeros(len(g), bool)
-        for side in ((c >> np.uint64(12)) & np.uint64(0xFFF), c & np.uint64(0xFFF)):
-            has = np.flatnonzero(side)
-            if len(has):
-                order = has[np.lexsort((doc[has], side[has], g[has]))]
-                new = np.ones(len(order), bool)
-                new[1:] = (g[order[1:]] != g[order[:-1]]) | (side[order[1:]] != side[order[:-1]])
-                start = np.flatnonzero(new)
-                shared = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
-                live[order] |= shared[np.cumsum(new) - 1]
-        yield from emitted(2, doc[live], v[live])
-
-    for batch in batches:
-        now = [batch.column(i).to_numpy() for i in range(4)]
-        now[0], now[1] = now[0].view(np.uint64), now[1].view(np.uint64)
-        if held is not None:
-            now = [np.concatenate(x) for x in zip(held, now)]
-        if not len(now[0]):
-            continue
-        cut = int(np.searchsorted(now[0].view(np.int64), now[0].view(np.int64)[-1], "left"))  # the last rank may go on
-        if cut:
-            yield from settle(*(x[:cut] for x in now))
-        held = [x[cut:] for x in now]
-    if held is not None and len(held[0]):
-        yield from settle(*held)
+        hot = np.diff(np.append(np.flatnonzero(new), len(g))) > HOT
+        if hot.any():  # sentinels (c 0) tell the receivers; the rows themselves go on to the next round
+            own = np.repeat(hot, np.diff(np.append(np.flatnonzero(new), len(g))))
+            out.append((2, 0, packed(doc[own], v[own])))
+            mark = g[np.flatnonzero(new)][hot]
+            none = np.zeros(len(mark), np.int64)
+            g, c, doc, v = (np.concatenate(x) for x in ((g[~own], mark), (c[~own], none), (doc[~own], none), (v[~own], none)))
+        target = (hashing.mix(g.view(np.uint64), 12) % np.uint64(targets)).astype(np.int32)
+        order = np.lexsort((g, target))
+        ends = np.searchsorted(target[order], np.arange(targets + 1))
+        for k in np.flatnonzero(np.diff(ends)):
+            at = order[ends[k] : ends[k + 1]]
+            out.append((0, int(k), packed(g[at], c[at], doc[at], v[at])))
+        for a in range(0, len(out), 64):
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 64]), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "target", "data"])
+
+    return by_chunks(source, settle)
 
 
-def window_rows(length: int):
-    """Round 3: texts with the anchors they have left, to the ranks of all their windows."""
+def ranked(batches):
+    """Rounds 1 and 2, receiver: sorts its target's ranks; gives (kind, doc, v): kind 1 marks, kind 2 anchors that go on."""
+    held = []
+    for batch in batches:
+        for kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
+            if kind:
+                yield from plain(kind, *unpacked(data, 2))
+            else:
+                held.append(unpacked(data, 4))
+    if not held:
+        return
+    g, c, doc, v = (np.concatenate(x) for x in zip(*held))
+    del held
+    order = np.argsort(g, kind="stable")
+    g, c, doc, v = g[order], c.view(np.uint64)[order], doc[order], v[order]
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    start, group = np.flatnonzero(new), np.cumsum(new) - 1
+    hot = (np.minimum.reduceat(c, start) == 0)[group]
+    alone = (np.minimum.reduceat(doc, start) == np.maximum.reduceat(doc, start))[group]
+    keep = (c != 0) & (hot | ~alone)
+    g, c, doc, v, hot = g[keep], c[keep], doc[keep], v[keep], hot[keep]
+    stay, repeat = resolved([g, c & STRETCH], doc, v)
+    yield from plain(1, doc[repeat], v[repeat])
+    g, c, doc, v, live = g[stay], c[stay], doc[stay], v[stay], hot[stay]
+    for side in ((c >> np.uint64(8)) & np.uint64(0xFF), c & np.uint64(0xFF)):
+        has = np.flatnonzero(side)
+        if len(has):
+            order = has[np.lexsort((doc[has], side[has], g[has]))]
+            new = np.ones(len(order), bool)
+            new[1:] = (g[order[1:]] != g[order[:-1]]) | (side[order[1:]] != side[order[:-1]])
+            start = np.flatnonzero(new)
+            shared = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
+            live[order] |= shared[np.cumsum(new) - 1]
+    yield from plain(2, doc[live], v[live])
+
+
+def plain(kind: int, doc: np.ndarray, v: np.ndarray, step: int = 50_000):
+    for a in range(0, len(doc), step):
+        d = doc[a : a + step]
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int32)), pa.array(d), pa.array(v[a : a + step])], names=["kind", "doc", "v"])
+
+
+def context_rows(length: int, gram: int):
+    """Round 3, sender: the anchors that are left, each with the bytes of its windows; equal ones of a chunk are settled here."""
 
     def source(batch):
         doc, tag, vs = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-        at = vs.offsets.to_numpy()
-        values = vs.values.to_numpy()
-        at = at - at[0] if len(at) and at[0] and len(values) == at[-1] - at[0] else at
-        for first, data, offsets in hashing.texts_of(batch.column(2)):
+        for i, raw in enumerate(batch.column(2).to_pylist()):
+            raw = zstandard.decompress(raw)
+            v = np.array(vs[i].as_py(), np.int64)
+            data = np.frombuffer(raw, np.uint8)
             sums, down = prefix_sums(data)
-            n = len(offsets) - 1
-            own = values[at[first] : at[first + n]]
-            row = np.repeat(np.arange(n), np.diff(at[first : first + n + 1]))
-            count = own & 63
-            lo = (own >> AT) & 0xFFFFFFFF
-            r = np.repeat(row, count)
-            p = np.repeat(lo, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-            begin = offsets[r] + p
-            w = spans(sums, down, begin, begin + length)
-            yield hashing.mix(w, 8), hashing.mix(w, 9), doc[r + first], tag[r + first] << TAG | p << AT | 1
+            lo = (v >> AT) & 0xFFFFFFFF
+            q, end = lo + ((v >> OFF) & 63), lo + (v & 63) - 1 + length
+            g = hashing.mix(spans(sums, down, q, q + gram))
+            stretch = hashing.mix(spans(sums, down, lo, end) + hashing.mix((q - lo) * 64 + (v & 63), 7))
+            yield g, stretch, np.full(len(v), doc[i]), v, np.array([raw[a:b] for a, b in zip(lo, end)] + [b""], object)[:-1]
+
+    def settle(g, c, doc, v, context):
+        stay, repeat = resolved([g, c], doc, v)
+        for kind, at in ((1, repeat), (2, stay)):
+            for a in range(0, len(at), 20_000):
+                own = at[a : a + 20_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(g[own].view(np.int64)), pa.array(doc[own]), pa.array(v[own]), pa.array(context[own].tolist() if kind == 2 else [None] * len(own), pa.binary())], names=["kind", "g", "doc", "v", "context"])
+
+    return by_chunks(source, settle)
+
+
+def windows(doc: np.ndarray, v: np.ndarray, contexts: list[bytes], length: int):
+    """(two ranks, doc, v) of each window of the contexts."""
+    data = np.frombuffer(b"".join(contexts), np.uint8)
+    begin = np.cumsum([0, *map(len, contexts)])[:-1]
+    sums, down = prefix_sums(data)
+    count = v & 63
+    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    at = np.repeat(begin, count) + step
+    w = spans(sums, down, at, at + length)
+    tag, lo = np.repeat(v >> TAG, count), np.repeat((v >> AT) & 0xFFFFFFFF, count) + step
+    return hashing.mix(w, 8), hashing.mix(w, 9), np.repeat(doc, count), tag << TAG | lo << AT | 1
 
-    return gathered(source, 3)
+
+def window_ranks(length: int):
+    """Round 3, receiver of rows sorted by rank: kind 1 marks; a rank of more than GROUP rows is passed on by its windows, kind 3."""
+
+    def settle(doc, v, contexts, big):
+        w, x, doc, v = windows(doc, v, contexts, length)
+        stay, repeat = resolved([w, x], doc, v)
+        yield from emitted(1, doc[repeat], v[repeat])
+        if big:
+            yield from emitted(3, doc[stay], v[stay], w[stay], x[stay])
+
+    def run(batches):
+        g, doc, v, contexts, big = (np.zeros(0, np.int64),) * 3 + ([], False)
+        for batch in batches:
+            kind = batch.column(0).to_numpy()
+            one = int(np.searchsorted(kind, 2))
+            yield from emitted(1, *(batch.column(i).to_numpy()[:one] for i in (2, 3)))
+            g, doc, v = (np.concatenate([x, batch.column(i).to_numpy()[one:]]) for x, i in ((g, 1), (doc, 2), (v, 3)))
+            contexts = contexts + batch.column(4).to_pylist()[one:]
+            while len(g):
+                cut = int(np.searchsorted(g, g[-1], "left"))  # the last rank may go on
+                if cut:  # the first rank ends here
+                    head = int(np.searchsorted(g, g[0], "right")) if big else cut
+                    yield from settle(doc[:head], v[:head], contexts[:head], big)
+                    g, doc, v, contexts, big = g[head:], doc[head:], v[head:], contexts[head:], False
+                elif len(g) > GROUP:
+                    big = True
+                    yield from settle(doc, v, contexts, True)
+                    g, doc, v, contexts = g[-1:], doc[-1:], v[-1:], contexts[-1:]
+                    break
+                else:
+                    break
+        if len(g):
+            yield from settle(doc, v, contexts, big)
+
+    return run
 
 
 def repeats(batches):
-    """Rows sorted by window rank and doc: kind 1 for those of a rank that a smaller document has."""
+    """Window ranks of hot anchors, sorted by kind, rank and doc: (kind, doc, v); kind 1 for those that a smaller document has."""
     last = None  # rank and least document of the rank that the last batch ended in
     for batch in batches:
-        g, c, doc, v = (batch.column(i).to_numpy() for i in range(4))
-        c = c.view(np.uint64) & STRETCH
+        one = int(np.searchsorted(batch.column(0).to_numpy(), 3))
+        g, c, doc, v = (batch.column(i).to_numpy() for i in range(1, 5))
+        yield from plain(1, doc[:one], v[:one])
+        g, c, doc, v = g[one:], c[one:], doc[one:], v[one:]
         if not len(g):
             continue
         new = np.ones(len(g), bool)
@@ -245,63 +338,57 @@ def repeats(batches):
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         if last is not None and (g[0], c[0]) == last[0]:
             least = np.where(np.cumsum(new) == 1, last[1], least)
-        yield from emitted(1, doc[doc > least], v[doc > least])
+        yield from plain(1, doc[doc > least], v[doc > least])
         last = ((g[-1], c[-1]), least[-1])
 
 
-def by_text(docs: DataFrame, rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(doc, tag, text, vs) of the texts that have rows, and the other texts; None if they are among the first, with vs null.
+def shrunk(rows: DataFrame) -> DataFrame:
+    """(doc, tag, text) with the text as compressed UTF-8, for a shuffle."""
+
+    def run(batches):
+        for batch in batches:
+            pack = zstandard.ZstdCompressor(1).compress
+            for a in range(0, batch.num_rows, 1000):
+                text = batch.column(2).slice(a, 1000).cast(pa.binary()).to_pylist()
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 1000), batch.column(1).slice(a, 1000), pa.array(list(map(pack, text)), pa.binary())], names=["doc", "tag", "text"])
+
+    return rows.mapInArrow(run, "doc long, tag long, text binary")
 
-    The keys of texts with rows are broadcast if they are few, so that no other text is shuffled.
+
+def by_text(base: DataFrame, rows: DataFrame, shuffled=shrunk) -> tuple[DataFrame, DataFrame | None]:
+    """(the rows of ``base`` that have rows of (doc, v), made small by ``shuffled``, with their vs; the other rows as they are).
+
+    base has doc and tag.  The keys of texts with rows are broadcast if they are few, so
+    that no other text is shuffled; beyond, all rows come in the first table (vs null for
+    those without) and the second is None.
     """
     lists = rows.groupBy("doc", F.shiftrightunsigned("v", TAG).alias("tag")).agg(F.collect_list("v").alias("vs"))
-    lists = written(lists, "suffix-lists")
-    # Both sides are named apart; a text's rows are few enough for one row, as its bytes are.
-    named = lists.select(F.col("doc").alias("ld"), F.col("tag").alias("lt"), "vs")
-    on = (F.col("doc") == F.col("ld")) & (F.col("tag") == F.col("lt"))
+    lists = written(lists, "suffix-lists", compression="zstd")
+    # A text's rows are few enough for one row, as its bytes are.
+    named = lists.select(F.col("doc").alias("_ld"), F.col("tag").alias("_lt"), "vs")
+    on = (F.col("doc") == F.col("_ld")) & (F.col("tag") == F.col("_lt"))
     if lists.count() > BROADCAST_ROWS:
-        return keyed(docs).join(named, on, "left").select("doc", "tag", "text", "vs"), None
-    keys = F.broadcast(lists.select(F.col("doc").alias("kd"), F.col("tag").alias("kt")))
-    has = (F.col("doc") == F.col("kd")) & (F.col("tag") == F.col("kt"))
-    return keyed(docs).join(keys, has, "left_semi").join(named, on).select("doc", "tag", "text", "vs"), keyed(docs).join(keys, has, "left_anti")
+        return shuffled(base).join(named, on, "left").drop("_ld", "_lt"), None
+    keys = F.broadcast(lists.select(F.col("doc").alias("_kd"), F.col("tag").alias("_kt")))
+    has = (F.col("doc") == F.col("_kd")) & (F.col("tag") == F.col("_kt"))
+    return shuffled(base.join(keys, has, "left_semi")).join(named, on).drop("_ld", "_lt"), base.join(keys, has, "left_anti")
 
 
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, v): runs of windows that also start in a smaller document."""
-    first = written(keyed(docs).mapInArrow(anchor_rows(length, gram), ROWS_T).repartition(F.when(F.col("kind") == 2, F.col("g")).otherwise(F.xxhash64("v"))).sortWithinPartitions("kind", "g", F.shiftright("c", 24), "doc").mapInArrow(split_kinds, "kind int, doc long, v long"), "suffix-round1")
-    left, _ = by_text(docs, first.where("kind = 2"))
-    second = left.where("vs is not null").mapInArrow(window_rows(length), ROWS_T)
-    second = second.repartition(F.when(F.col("kind") == 3, F.col("g")).otherwise(F.xxhash64("v"))).sortWithinPartitions("kind", "g", F.shiftright("c", 24), "doc").mapInArrow(split_windows, "kind int, doc long, v long")
+    spark = docs.sparkSession
+    targets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    sent = keyed(docs).mapInArrow(anchor_rows(length, gram, targets), PACKED_T)
+    first = written(sent.repartitionById(targets, F.when(F.col("kind") == 0, F.col("target")).otherwise(F.pmod(F.xxhash64("data"), F.lit(targets)).cast("int"))).mapInArrow(ranked, "kind int, doc long, v long"), "suffix-round1", compression="zstd")
+    left, _ = by_text(keyed(docs), first.where("kind = 2"))
+    rows = left.where("vs is not null").mapInArrow(context_rows(length, gram), CONTEXT_T)
+    rows = rows.repartition(F.when(F.col("kind") == 2, F.col("g")).otherwise(F.xxhash64("v"))).sortWithinPartitions("kind", "g")
+    rows = rows.mapInArrow(window_ranks(length), ROWS_T)
+    rows = rows.repartition(F.when(F.col("kind") == 3, F.col("g")).otherwise(F.xxhash64("v"))).sortWithinPartitions("kind", "g", "c", "doc")
+    second = rows.mapInArrow(repeats, "kind int, doc long, v long")
     return first.where("kind = 1").select("doc", "v").union(second.select("doc", "v"))
 
 
-def parted(rank):
-    """Rows of kind 1 go through; the others, which are sorted behind them, are ranked."""
-
-    def run(batches):
-        def others():
-            for batch in batches:
-                kind = batch.column(0).to_numpy()
-                at = int(np.searchsorted(kind, 2))
-                if at:
-                    through.append(batch.slice(0, at))
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at) for i in range(1, 5)], names=["g", "c", "doc", "v"])
-
-        through: list[pa.RecordBatch] = []
-        for out in rank(others()):
-            while through:
-                b = through.pop()
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4)], names=["kind", "doc", "v"])
-            yield pa.RecordBatch.from_arrays([out.column(0), out.column(3), out.column(4)], names=["kind", "doc", "v"])
-        for b in through:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(3), b.column(4)], names=["kind", "doc", "v"])
-
-    return run
-
-
-split_kinds, split_windows = parted(ranked), parted(repeats)
-
-
 def cut(raw: bytes, vs: np.ndarray | None, length: int) -> tuple[bytes, int, int]:
     """(bytes that stay, bytes removed, removed runs)."""
     if vs is None or not len(vs):
@@ -320,13 +407,13 @@ CUT_T = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept
 
 def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc_id, tag, n_bytes, n_removed, n_spans, kept) of every row; kept: the bytes that stay."""
-    has, others = by_text(docs, marks(docs, length, gram))
+    has, others = by_text(keyed(docs), marks(docs, length, gram))
 
     def run(batches):
         for batch in batches:
-            texts, lists = batch.column(2).to_pylist(), batch.column(3)
+            texts, lists = batch.column(2).to_pylist(), batch.column(3)  # texts are compressed
             for a in range(0, batch.num_rows, 1000):
-                raws = [t.encode() for t in texts[a : a + 1000]]
+                raws = [zstandard.decompress(t) for t in texts[a : a + 1000]]
                 rows = [cut(raw, None if vs is None else np.array(vs, np.int64), length) for raw, vs in zip(raws, lists.slice(a, 1000).to_pylist())]
                 ids = [None if d == LAST else d for d in batch.column(0).slice(a, 1000).to_pylist()]
                 yield pa.record_batch([pa.array(ids, pa.int64()), batch.column(1).slice(a, 1000), pa.array(list(map(len, raws)), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary())], names=["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept"])
@@ -341,10 +428,11 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with text cut (bytes of characters that were cut in two go as well) and n_chars counted anew; other columns stay."""
     fields = docs.schema.fields
-    has, others = by_text(docs, marks(docs, length))
-    lists = has.where("vs is not null").select(F.col("doc").alias("_sd"), F.col("tag").alias("_st"), "vs") if others is None else has.select(F.col("doc").alias("_sd"), F.col("tag").alias("_st"), "vs")
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 19) - 1))
-    both = docs.join(lists.dropDuplicates(["_sd", "_st"]), (F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)) == F.col("_sd")) & (tag == F.col("_st")), "left").drop("_sd", "_st")
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 16) - 1))
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column's name clashes with doc, tag or vs
+    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    has, others = by_text(base, marks(docs, length), lambda df: df)
+    both = has.select(*names.values(), "vs").toDF(*docs.columns, "vs" if "vs" not in docs.columns else "_vs")
 
     def run(batches):
         for batch in batches:
@@ -358,7 +446,8 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns[n] = pa.array([len(t) if t is not None and v else old for t, v, old in zip(texts, vs, columns[n].to_pylist())], columns[n].type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
 
-    return both.mapInArrow(run, T.StructType(fields))
+    out = both.mapInArrow(run, T.StructType(fields))
+    return out if others is None else out.union(others.select(*names.values()))
 
 
 def brute(rows: list[tuple[int | None, str | None]], length: int = LENGTH) -> list[tuple]:
