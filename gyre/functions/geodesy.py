@@ -188,8 +188,240 @@ def mollweide(lat, lon, m: MapSpec, steps: int = 10):
     return m.radius * 2 * math.sqrt(2) / math.pi * rad(lon - m.lon0) * F.cos(half), m.radius * math.sqrt(2) * F.sin(half)
 
 
-FORWARD = {f.__name__: f for f in (polar_stereographic, polar_stereographic_sphere, azimuthal_equal_area, cylindrical_equal_area, cylindrical_equidistant, mercator, mollweide, orthographic, sinusoidal, lambert_conformal, albers, transverse_mercator)}
-INVERSE = {"polar_stereographic": polar_stereographic_inverse, "azimuthal_equal_area": azimuthal_equal_area_inverse, "mercator": mercator_inverse}
+def _q(phi: Column, e: float) -> Column:
+    """Snyder's q of the authalic latitude."""
+    s = F.sin(phi)
+    return (1 - e * e) * (s / (1 - e * e * s * s) - F.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+
+def _q_of(phi: float, e: float) -> float:
+    s = math.sin(phi)
+    return (1 - e * e) * (s / (1 - e * e * s * s) - math.log((1 - e * s) / (1 + e * s)) / (2 * e))
+
+
+def authalic_to_geographic(beta: Column, e: float) -> Column:
+    """Latitude from the authalic latitude, by the series to the sixth power of e."""
+    e2 = e * e
+    c = (e2 / 3 + 31 * e2**2 / 180 + 517 * e2**3 / 5040, 23 * e2**2 / 360 + 251 * e2**3 / 3780, 761 * e2**3 / 45360)
+    out = beta
+    for k, v in enumerate(c, 1):
+        out = out + v * F.sin(2 * k * beta)
+    return out
+
+
+def _m(phi: float, e: float) -> float:
+    return math.cos(phi) / math.sqrt(1 - (e * math.sin(phi)) ** 2)
+
+
+def azimuthal_equal_area_ellipsoid(lat, lon, m: MapSpec):
+    """Polar aspect."""
+    s = 1.0 if m.lat0 >= 0 else -1.0
+    rho = m.radius * F.sqrt(F.greatest(_q_of(math.pi / 2, m.ecc) - _q(rad(lat * s), m.ecc), F.lit(0.0)))
+    return rho * F.sin(rad(lon - m.lon0)), -s * rho * F.cos(rad(lon - m.lon0))
+
+
+def azimuthal_equal_area_ellipsoid_inverse(x, y, m: MapSpec):
+    s, qp = (1.0 if m.lat0 >= 0 else -1.0), _q_of(math.pi / 2, m.ecc)
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - (x * x + y * y) / (m.radius**2 * qp))))
+    return s * F.degrees(authalic_to_geographic(beta, m.ecc)), wrap(F.degrees(F.atan2(x, -s * y)) + m.lon0, -180.0)
+
+
+def cylindrical_equal_area_ellipsoid(lat, lon, m: MapSpec):
+    k = _m(math.radians(m.lat1), m.ecc)
+    return m.radius * k * rad(lon - m.lon0), m.radius * _q(rad(lat), m.ecc) / (2 * k)
+
+
+def cylindrical_equal_area_ellipsoid_inverse(x, y, m: MapSpec):
+    k, qp = _m(math.radians(m.lat1), m.ecc), _q_of(math.pi / 2, m.ecc)
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 2 * y * k / (m.radius * qp))))
+    return F.degrees(authalic_to_geographic(beta, m.ecc)), wrap(F.degrees(x / (m.radius * k)) + m.lon0, -180.0)
+
+
+def cylindrical_equal_area_inverse(x, y, m: MapSpec):
+    c = math.cos(math.radians(m.lat1))
+    return F.degrees(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y * c / m.radius)))), wrap(F.degrees(x / (m.radius * c)) + m.lon0, -180.0)
+
+
+def cylindrical_equidistant_inverse(x, y, m: MapSpec):
+    return F.degrees(y / m.radius), wrap(F.degrees(x / (m.radius * math.cos(math.radians(m.lat1)))) + m.lon0, -180.0)
+
+
+def sinusoidal_inverse(x, y, m: MapSpec):
+    lat = y / m.radius
+    return F.degrees(lat), wrap(F.degrees(F.when(F.abs(F.cos(lat)) > 1e-12, x / (m.radius * F.cos(lat))).otherwise(0.0)) + m.lon0, -180.0)
+
+
+def mollweide_inverse(x, y, m: MapSpec):
+    t = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), y / (m.radius * math.sqrt(2)))))
+    lat = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (2 * t + F.sin(2 * t)) / math.pi)))
+    lon = F.when(F.abs(F.cos(t)) > 1e-12, math.pi * x / (2 * m.radius * math.sqrt(2) * F.cos(t))).otherwise(0.0)
+    return F.degrees(lat), wrap(F.degrees(lon) + m.lon0, -180.0)
+
+
+def polar_stereographic_sphere_inverse(x, y, m: MapSpec):
+    s = 1.0 if m.lat0 >= 0 else -1.0
+    k = m.radius * (1 + math.sin(math.radians(abs(m.lat1))))
+    return s * F.degrees(math.pi / 2 - 2 * F.atan(F.sqrt(x * x + y * y) / k)), wrap(F.degrees(F.atan2(x, -s * y)) + m.lon0, -180.0)
+
+
+def _albers_constants(m: MapSpec) -> tuple[float, float, float]:
+    r1, r2, r0 = (math.radians(v) for v in (m.lat1, m.lat2, m.lat0))
+    n = (math.sin(r1) + math.sin(r2)) / 2
+    c = math.cos(r1) ** 2 + 2 * n * math.sin(r1)
+    return n, c, m.radius * math.sqrt(c - 2 * n * math.sin(r0)) / n
+
+
+def albers_inverse(x, y, m: MapSpec):
+    n, c, rho0 = _albers_constants(m)
+    rho2 = x * x + (rho0 - y) * (rho0 - y)
+    lat = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), (c - rho2 * (n / m.radius) ** 2) / (2 * n))))
+    s = math.copysign(1.0, n)
+    return F.degrees(lat), wrap(F.degrees(F.atan2(s * x, s * (rho0 - y)) / n) + m.lon0, -180.0)
+
+
+def _albers_ellipsoid_constants(m: MapSpec) -> tuple[float, float, float]:
+    r1, r2, r0 = (math.radians(v) for v in (m.lat1, m.lat2, m.lat0))
+    m1, m2, q0, q1, q2 = _m(r1, m.ecc), _m(r2, m.ecc), _q_of(r0, m.ecc), _q_of(r1, m.ecc), _q_of(r2, m.ecc)
+    n = math.sin(r1) if abs(r1 - r2) < 1e-12 else (m1 * m1 - m2 * m2) / (q2 - q1)
+    c = m1 * m1 + n * q1
+    return n, c, m.radius * math.sqrt(c - n * q0) / n
+
+
+def albers_ellipsoid(lat, lon, m: MapSpec):
+    n, c, rho0 = _albers_ellipsoid_constants(m)
+    rho, theta = m.radius * F.sqrt(c - n * _q(rad(lat), m.ecc)) / n, n * rad(lon - m.lon0)
+    return rho * F.sin(theta), rho0 - rho * F.cos(theta)
+
+
+def albers_ellipsoid_inverse(x, y, m: MapSpec):
+    n, c, rho0 = _albers_ellipsoid_constants(m)
+    q = (c - (x * x + (rho0 - y) * (rho0 - y)) * (n / m.radius) ** 2) / n
+    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), q / _q_of(math.pi / 2, m.ecc))))
+    s = math.copysign(1.0, n)
+    return F.degrees(authalic_to_geographic(beta, m.ecc)), wrap(F.degrees(F.atan2(s * x, s * (rho0 - y)) / n) + m.lon0, -180.0)
+
+
+def lambert_conformal_inverse(x, y, m: MapSpec):
+    n, f, rho0 = _lambert_constants(m)
+    s = math.copysign(1.0, n)
+    rho = s * F.sqrt(x * x + (rho0 - y) * (rho0 - y))
+    chi = math.pi / 2 - 2 * F.atan(F.pow(rho / (m.radius * f), F.lit(1 / n)))
+    return F.degrees(conformal_to_geographic(chi, m.ecc)), wrap(F.degrees(F.atan2(s * x, s * (rho0 - y)) / n) + m.lon0, -180.0)
+
+
+def _lambert_constants(m: MapSpec) -> tuple[float, float, float]:
+    e, r1, r2 = m.ecc, math.radians(m.lat1), math.radians(m.lat2)
+
+    def t(p):
+        s = e * math.sin(p)
+        return math.tan(math.pi / 4 - p / 2) / ((1 - s) / (1 + s)) ** (e / 2)
+
+    n = math.sin(r1) if abs(r1 - r2) < 1e-12 else (math.log(_m(r1, e)) - math.log(_m(r2, e))) / (math.log(t(r1)) - math.log(t(r2)))
+    f = _m(r1, e) / (n * t(r1) ** n)
+    return n, f, 0.0 if abs(m.lat0) >= 90 else m.radius * f * t(math.radians(m.lat0)) ** n
+
+
+def transverse_mercator_inverse(x, y, m: MapSpec):
+    d = y / m.radius + math.radians(m.lat0)
+    h = x / m.radius
+    return F.degrees(F.asin(F.sin(d) / F.cosh(h))), wrap(F.degrees(F.atan2(F.sinh(h), F.cos(d))) + m.lon0, -180.0)
+
+
+def _arc(e2: float) -> list[float]:
+    """Coefficients of the meridian arc by multiples of the latitude."""
+    return [1 - e2 / 4 - 3 * e2**2 / 64 - 5 * e2**3 / 256, -(3 * e2 / 8 + 3 * e2**2 / 32 + 45 * e2**3 / 1024), 15 * e2**2 / 256 + 45 * e2**3 / 1024, -35 * e2**3 / 3072]
+
+
+def transverse_mercator_ellipsoid(lat, lon, m: MapSpec, k0: float = 0.9996):
+    """Series to the sixth power of the longitude difference."""
+    e2 = m.ecc**2
+    ep = e2 / (1 - e2)
+    p, p0, c = rad(lat), math.radians(m.lat0), _arc(e2)
+    n, t = m.radius / F.sqrt(1 - e2 * F.sin(p) * F.sin(p)), F.tan(p) * F.tan(p)
+    cc, a = ep * F.cos(p) * F.cos(p), rad(wrap(lon - m.lon0, -180.0)) * F.cos(p)
+    arc = m.radius * (c[0] * p + c[1] * F.sin(2 * p) + c[2] * F.sin(4 * p) + c[3] * F.sin(6 * p))
+    arc0 = m.radius * (c[0] * p0 + sum(v * math.sin(2 * k * p0) for k, v in enumerate(c[1:], 1)))
+    x = k0 * n * (a + (1 - t + cc) * F.pow(a, F.lit(3)) / 6 + (5 - 18 * t + t * t + 72 * cc - 58 * ep) * F.pow(a, F.lit(5)) / 120)
+    y = k0 * (arc - arc0 + n * F.tan(p) * (a * a / 2 + (5 - t + 9 * cc + 4 * cc * cc) * F.pow(a, F.lit(4)) / 24 + (61 - 58 * t + t * t + 600 * cc - 330 * ep) * F.pow(a, F.lit(6)) / 720))
+    return x, y
+
+
+def transverse_mercator_ellipsoid_inverse(x, y, m: MapSpec, k0: float = 0.9996):
+    e2 = m.ecc**2
+    ep, e1 = e2 / (1 - e2), (1 - math.sqrt(1 - e2)) / (1 + math.sqrt(1 - e2))
+    p0, c = math.radians(m.lat0), _arc(e2)
+    arc0 = m.radius * (c[0] * p0 + sum(v * math.sin(2 * k * p0) for k, v in enumerate(c[1:], 1)))
+    mu = (arc0 + y / k0) / (m.radius * c[0])
+    p = mu
+    for k, v in enumerate((3 * e1 / 2 - 27 * e1**3 / 32, 21 * e1**2 / 16 - 55 * e1**4 / 32, 151 * e1**3 / 96, 1097 * e1**4 / 512), 1):
+        p = p + v * F.sin(2 * k * mu)
+    s2 = 1 - e2 * F.sin(p) * F.sin(p)
+    n, r, t, cc = m.radius / F.sqrt(s2), m.radius * (1 - e2) / F.pow(s2, F.lit(1.5)), F.tan(p) * F.tan(p), ep * F.cos(p) * F.cos(p)
+    d = x / (n * k0)
+    lat = p - n * F.tan(p) / r * (d * d / 2 - (5 + 3 * t + 10 * cc - 4 * cc * cc - 9 * ep) * F.pow(d, F.lit(4)) / 24 + (61 + 90 * t + 298 * cc + 45 * t * t - 252 * ep - 3 * cc * cc) * F.pow(d, F.lit(6)) / 720)
+    lon = (d - (1 + 2 * t + cc) * F.pow(d, F.lit(3)) / 6 + (5 - 2 * cc + 28 * t - 3 * cc * cc + 8 * ep + 24 * t * t) * F.pow(d, F.lit(5)) / 120) / F.cos(p)
+    return F.degrees(lat), wrap(F.degrees(lon) + m.lon0, -180.0)
+
+
+def utm(lat, lon, radius: float = 6378.137, ecc: float = 0.0818191908426215) -> tuple[Column, Column, Column]:
+    """(zone, easting, northing) in units of the radius' kilometres; southern northings are moved by 10000."""
+    zone = utm_zone(lon)
+    x, y = transverse_mercator_ellipsoid(lat, lon - (zone * 6 - 183), MapSpec(lat0=0.0, lon0=0.0, radius=radius, ecc=ecc))
+    return zone, x + 500.0, F.when(lat < 0, y + 10000.0).otherwise(y)
+
+
+#: Lobes of the interrupted map: (west, east, centre) in degrees, north and south (fixed values).
+LOBES_NORTH = ((-180.0, -40.0, -100.0), (-40.0, 180.0, 30.0))
+LOBES_SOUTH = ((-180.0, -100.0, -160.0), (-100.0, -20.0, -60.0), (-20.0, 80.0, 20.0), (80.0, 180.0, 140.0))
+SEAM = 40.736666666666665  # where both projections have one scale
+
+
+def homolosine(lat, lon, m: MapSpec):
+    """Interrupted: sinusoidal up to the seam, Mollweide beyond, each lobe about its own meridian."""
+    l = wrap(lon - m.lon0, -180.0)
+
+    def centre(lobes) -> Column:
+        out = F.lit(lobes[-1][2])
+        for west, east, mid in lobes[-2::-1]:
+            out = F.when(l < east, mid).otherwise(out)
+        return out
+
+    mid = F.when(lat >= 0, centre(LOBES_NORTH)).otherwise(centre(LOBES_SOUTH))
+    own = MapSpec(lon0=0.0, radius=m.radius)
+    sx, sy = sinusoidal(lat, l - mid, own)
+    mx, my = mollweide(lat, l - mid, own)
+    t = math.radians(SEAM)
+    z = t
+    for _ in range(20):
+        z -= (z + math.sin(z) - math.pi * math.sin(t)) / (1 + math.cos(z))
+    shift = m.radius * (math.sqrt(2) * math.sin(z / 2) - t)
+    x = F.when(F.abs(lat) <= SEAM, sx).otherwise(mx)
+    y = F.when(F.abs(lat) <= SEAM, sy).otherwise(my - F.signum(lat) * shift)
+    return x + m.radius * rad(mid), y
+
+
+def integerized_sinusoidal(lat, lon, m: MapSpec, rows: int = 1080):
+    """Sinusoidal with a whole, even number of cells in each row of latitude."""
+    row = F.least(F.floor((90 - lat) / 180 * rows), F.lit(rows - 1))
+    mid = F.radians(90 - (row + 0.5) * 180 / rows)
+    cells = 2 * F.floor(rows * F.cos(mid) + 0.5)
+    return m.radius * rad(wrap(lon - m.lon0, -180.0)) * cells / (2 * rows), m.radius * rad(lat)
+
+
+FORWARD = {
+    f.__name__: f
+    for f in (
+        polar_stereographic, polar_stereographic_sphere, azimuthal_equal_area, azimuthal_equal_area_ellipsoid, cylindrical_equal_area, cylindrical_equal_area_ellipsoid, cylindrical_equidistant, mercator,
+        mollweide, orthographic, sinusoidal, lambert_conformal, albers, albers_ellipsoid, transverse_mercator, transverse_mercator_ellipsoid, homolosine, integerized_sinusoidal,
+    )
+}
+INVERSE = {
+    f.__name__.removesuffix("_inverse"): f
+    for f in (
+        polar_stereographic_inverse, polar_stereographic_sphere_inverse, azimuthal_equal_area_inverse, azimuthal_equal_area_ellipsoid_inverse, cylindrical_equal_area_inverse, cylindrical_equal_area_ellipsoid_inverse,
+        cylindrical_equidistant_inverse, mercator_inverse, mollweide_inverse, sinusoidal_inverse, lambert_conformal_inverse, albers_inverse, albers_ellipsoid_inverse, transverse_mercator_inverse, transverse_mercator_ellipsoid_inverse,
+    )
+}
 
 
 def rotate(x: Column, y: Column, degrees: float) -> tuple[Column, Column]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,3 +89,25 @@ def node_graph(elems: DataFrame) -> DataFrame:
 
 def barycentres(at: DataFrame) -> DataFrame:
     return at.select("elem_id", ((F.col("x1") + F.col("x2") + F.col("x3")) / 3).alias("bx"), ((F.col("y1") + F.col("y2") + F.col("y3")) / 3).alias("by"))
+
+
+def sub_domains(elems: DataFrame) -> DataFrame:
+    """(elem_id, label): label is the least element of the connected part.
+
+    Labels move over shared edges and jump to the label of their label, so the rounds
+    grow with the logarithm of a part's width; each round's table is checkpointed into
+    the shared folder.
+    """
+    spark = elems.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gyre-"))
+    near = neighbours(elems).checkpoint()
+    labels = elems.select("elem_id", F.col("elem_id").alias("label"))
+    while True:
+        best = near.join(labels.select(F.col("elem_id").alias("neighbour"), F.col("label").alias("l")), "neighbour").groupBy("elem_id").agg(F.min("l").alias("l"))
+        jump = labels.select(F.col("elem_id").alias("label"), F.col("label").alias("j"))
+        step = labels.join(best, "elem_id", "left").join(jump, "label").select("elem_id", "label", F.least("label", "l", "j").alias("new")).checkpoint()
+        changed = step.where("new < label").limit(1).count()
+        labels = step.select("elem_id", F.col("new").alias("label"))
+        if not changed:
+            return labels

@@ -137,6 +137,49 @@ _c = math.cos(math.radians(30)) ** 2 + 2 * _n * math.sin(math.radians(30))
 _family("albers", f"R * sqrt({_c!r} - 2 * {_n!r} * sin(PHI)) / {_n!r} * sin({_n!r} * LAM)", f"R * sqrt({_c!r} - 2 * {_n!r} * sin(P0)) / {_n!r} - R * sqrt({_c!r} - 2 * {_n!r} * sin(PHI)) / {_n!r} * cos({_n!r} * LAM)", lat2=60)
 
 
+def _roundtrip(name: str, width: float, **more):
+    """Forward and back again gives the places within ``width`` degrees of the centre."""
+    spec = geodesy.MapSpec(**({"lon0": 10.0, "lat1": 40.0} | more))
+    near = "lat < 89.9 AND abs(lon - 10) < {}".format(width)
+
+    def run(spark, sf_dir):
+        p = places(spark, sf_dir).where(near)
+        lat, lon = geodesy.inverse(name, *geodesy.forward(name, p.lat, p.lon, spec), spec)
+        return p.select("c_custkey", r(lat, 5).alias("lat"), r(lon, 5).alias("lon"))
+
+    run.__name__ = f"inverse_{name}"
+    query(f"SELECT c_custkey, round(lat, 5) AS lat, round(lon, 5) AS lon FROM ({PLACES}) WHERE {near}")(run)
+
+
+for _name in ("polar_stereographic_sphere", "azimuthal_equal_area_ellipsoid", "cylindrical_equal_area", "cylindrical_equal_area_ellipsoid", "cylindrical_equidistant", "mercator", "mollweide", "sinusoidal"):
+    _roundtrip(_name, 169)
+for _name in ("albers", "albers_ellipsoid", "lambert_conformal", "azimuthal_equal_area"):
+    _roundtrip(_name, 120, lat0=50.0, lat2=60.0)
+_roundtrip("transverse_mercator", 80, lat0=50.0)
+
+
+@query()
+def proj_utm(spark, sf_dir):
+    p = places(spark, sf_dir).where("lat < 84")
+    z, x, y = geodesy.utm(p.lat, p.lon)
+    return p.select("c_custkey", z.alias("zone"), r(x, 3).alias("x"), r(y, 3).alias("y"))
+
+
+@query()
+def proj_homolosine(spark, sf_dir):
+    p = places(spark, sf_dir)
+    x, y = geodesy.forward("homolosine", p.lat, p.lon, geodesy.MapSpec(lon0=0.0, radius=6371.0))
+    return p.select("c_custkey", r(x, 3).alias("x"), r(y, 3).alias("y"))
+
+
+@query(f"""WITH p AS (SELECT c_custkey, lat, lon, floor((90 - lat) / 180 * 1080) AS n FROM ({PLACES}))
+SELECT c_custkey, round(6371.0 * radians(lon) * 2 * floor(1080 * cos(radians(90 - (n + 0.5) * 180 / 1080.0::DOUBLE)) + 0.5) / 2160, 3) + 0.0 AS x, round(6371.0 * radians(lat), 3) AS y FROM p""")
+def proj_integerized_sinusoidal(spark, sf_dir):
+    p = places(spark, sf_dir)
+    x, y = geodesy.forward("integerized_sinusoidal", p.lat, p.lon, geodesy.MapSpec(lon0=0.0, radius=6371.0))
+    return p.select("c_custkey", r(x, 3).alias("x"), r(y, 3).alias("y"))
+
+
 @query()
 def proj_mollweide(spark, sf_dir):
     p = places(spark, sf_dir)
@@ -495,6 +538,24 @@ def node_graph(spark, sf_dir):
     return mesh.node_graph(the_mesh(spark)[1]).select("node_id", "degree")
 
 
+@query(f"""WITH {NODES_SQL}, {ELEMS_SQL}, k AS (SELECT * FROM elems WHERE ((elem_id - 1) // 2 % 20) % 7 <> 3)
+SELECT elem_id, min(elem_id) OVER (PARTITION BY ((elem_id - 1) // 2 % 20 + 3) // 7) AS label FROM k""")
+def sub_domains(spark, sf_dir):
+    """Connected parts of a mesh that is cut into strips: every seventh column of cells is left out."""
+    elems = the_mesh(spark)[1].where("floor((elem_id - 1) / 2) % 20 % 7 <> 3")
+    return mesh.sub_domains(elems)
+
+
+@query(f"""WITH p AS (SELECT *, px / 25 AS t FROM ({POINTS})), b AS (SELECT *, (t - 1) * (t - 2) / 2 AS l0, t * (2 - t) AS l1, t * (t - 1) / 2 AS l2 FROM (SELECT * EXCLUDE (t), least(t, 2) AS t FROM p))
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l0 * 3 + l1 * 5 + l2 * 4, 6) + 0.0 AS v, round(1 + 0.5 * px - 0.25 * px * py + 0.125 * py * py, 5) + 0.0 AS w FROM b""")
+def lagrange_and_polynomial(spark, sf_dir):
+    p = points(spark, sf_dir)
+    t = F.least(p.px / 25, F.lit(2.0))
+    v = sum((geometry.lagrange([0.0, 1.0, 2.0], i, t) * c for i, c in enumerate((3.0, 5.0, 4.0))), F.lit(0.0))
+    w = geometry.polynomial2d(p.px, p.py, {(0, 0): 1.0, (1, 0): 0.5, (1, 1): -0.25, (0, 2): 0.125})
+    return p.select(*KEY, r(v).alias("v"), r(w, 5).alias("w"))
+
+
 # -- waves, ice, noise -----------------------------------------------------------------------
 OMEGA = "(2 * pi() / (2.5 + f * 1.5))"
 SPECTRUM = f"""s AS (SELECT s_suppkey, 1 + s_suppkey % 7 * 0.5::DOUBLE AS hs, 5 + s_suppkey % 11 * 1.0::DOUBLE AS tp, (s_suppkey % 12) * 30.0::DOUBLE AS d FROM supplier)"""

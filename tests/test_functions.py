@@ -1,4 +1,5 @@
 import math
+import re
 import struct
 from datetime import date, datetime
 
@@ -33,14 +34,36 @@ def test_iso_week_and_period_keys(spark):
         timeconv.period_key(F.col("t"), "hourly")
 
 
+def spec_of(name, **more):
+    """A centre that suits the projection: cones and cylinders need a middle latitude, polar maps the pole."""
+    base = {"lat0": 50.0, "lat1": 40.0, "lat2": 60.0} if re.search("albers|lambert|mercator|^azimuthal_equal_area$", name) else {"lat1": 40.0}
+    return geodesy.MapSpec(**({"lon0": -45.0} | base | more))
+
+
 @pytest.mark.parametrize("name", sorted(geodesy.INVERSE))
-@pytest.mark.parametrize("spec", [geodesy.MapSpec(lon0=-45), geodesy.MapSpec(lat0=60, lon0=20, rotation=33, scale=2.5, x0=10, y0=-4)])
-def test_projection_round_trip(spark, name, spec):
-    df = spark.range(200).select((F.col("id") * 0.24 + 41).alias("lat"), (F.col("id") * 1.7 - 170).alias("lon"))
-    x, y = geodesy.forward(name, F.col("lat"), F.col("lon"), spec)
-    lat, lon = geodesy.inverse(name, x, y, spec)
-    off = df.select(F.max(F.abs(lat - F.col("lat"))).alias("a"), F.max(F.abs(lon - F.col("lon"))).alias("b")).first()
-    assert off.a < 1e-6 and off.b < 1e-6
+@pytest.mark.parametrize("more", [{}, {"rotation": 33.0, "scale": 2.5, "x0": 10.0, "y0": -4.0}])
+def test_projection_round_trip(spark, name, more):
+    m = spec_of(name, **more)
+    wide = 2.5 if name == "transverse_mercator_ellipsoid" else 80.0
+    df = spark.range(200).select((F.col("id") * 0.24 + 41).alias("lat"), (F.col("id") * (wide / 100) - wide - 45).alias("lon"))
+    x, y = geodesy.forward(name, F.col("lat"), F.col("lon"), m)
+    there = spark.createDataFrame(df.select("lat", "lon", x.alias("x"), y.alias("y")).collect())
+    lat, lon = geodesy.inverse(name, F.col("x"), F.col("y"), m)
+    for r in there.select("lat", "lon", lat.alias("a"), lon.alias("b")).collect():
+        assert abs(r.a - r.lat) < 1e-6 and abs(r.b - r.lon) < 1e-6
+
+
+def test_utm_of_a_known_place(spark):
+    """Snyder's example: 40.5 N, 73.5 W on Clarke's 1866 ellipsoid."""
+    zone, x, y = geodesy.utm(F.lit(40.5), F.lit(-73.5), 6378.2064, math.sqrt(0.00676866))
+    r = spark.range(1).select(zone.alias("z"), x.alias("x"), y.alias("y")).first()
+    assert r.z == 18 and abs(r.x - 627.1065) < 1e-3 and abs(r.y - 4484.1244) < 1e-3
+
+
+def test_homolosine_is_continuous_at_its_seam(spark):
+    df = spark.createDataFrame([(geodesy.SEAM - 1e-7,), (geodesy.SEAM + 1e-7,)], "lat double")
+    (x0, y0), (x1, y1) = df.select(*geodesy.forward("homolosine", F.col("lat"), F.lit(10.0), geodesy.MapSpec(lon0=0.0))).collect()
+    assert abs(x0 - x1) < 1 and abs(y0 - y1) < 1
 
 
 def test_mollweide_solves_its_equation(spark):
