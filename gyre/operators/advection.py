@@ -26,7 +26,7 @@ def weno3_flux(rows: DataFrame, by: list[str], order: str, h: str, u: str) -> Da
     eps = 1e-12
 
     def at(k: int) -> Column:
-        return F.coalesce(F.lag(h, -k).over(w) if k < 0 else F.lag(h, k).over(w), F.lit(0.0)) if k else F.col(h)
+        return F.coalesce(F.lead(h, -k).over(w) if k < 0 else F.lag(h, k).over(w), F.lit(0.0)) if k else F.col(h)
 
     def side(a: Column, b: Column, c: Column) -> Column:
         """From cells a, b | c, the edge lies between b and c."""

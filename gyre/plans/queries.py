@@ -622,15 +622,28 @@ def gaussian_field(spark, sf_dir):
     return noise.gaussian_fields(spark, 4, 32, 3.0, 7).select("member", "i", "j", r(F.col("value"), 4).alias("value"))
 
 
-@query()
+_SIDE = "(((1 / 3.0::DOUBLE) / pow(({b} - {a}) * ({b} - {a}) + 1e-12, 2) * (-0.5 * {a} + 1.5 * {b}) + (2 / 3.0::DOUBLE) / pow(({c} - {b}) * ({c} - {b}) + 1e-12, 2) * (0.5 * {b} + 0.5 * {c})) / ((1 / 3.0::DOUBLE) / pow(({b} - {a}) * ({b} - {a}) + 1e-12, 2) + (2 / 3.0::DOUBLE) / pow(({c} - {b}) * ({c} - {b}) + 1e-12, 2)))"
+
+
+@query(f"""WITH g AS (SELECT i, j, CASE WHEN i BETWEEN 10 AND 20 THEN 1.0 ELSE 0.0 END::DOUBLE AS h, CASE WHEN j % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS u FROM range(40) AS a(i), range(80) AS b(j)),
+s AS (SELECT *, coalesce(lag(h, 2) OVER w, 0) AS m2, coalesce(lag(h) OVER w, 0) AS m1, coalesce(lead(h) OVER w, 0) AS p1 FROM g WINDOW w AS (PARTITION BY j ORDER BY i)),
+f AS (SELECT *, u * CASE WHEN u > 0 THEN {_SIDE.format(a="m2", b="m1", c="h")} ELSE {_SIDE.format(a="p1", b="h", c="m1")} END AS flux FROM s)
+SELECT i, j, round(h - 0.25 * (coalesce(lead(flux) OVER (PARTITION BY j ORDER BY i), flux) - flux), 6) + 0.0 AS h FROM f""")
 def weno_step(spark, sf_dir):
     g = spark.range(3200).select((F.col("id") % 40).alias("i"), F.floor(F.col("id") / 40).alias("j")).withColumn("h", F.when(F.col("i").between(10, 20), 1.0).otherwise(0.0)).withColumn("u", F.when(F.col("j") % 2 == 0, 1.0).otherwise(-1.0))
     return advection.flux_difference(advection.weno3_flux(g, ["j"], "i", "h", "u"), ["j"], "i", "h", 0.25, 1.0).select("i", "j", r(F.col("h")).alias("h"))
 
 
-@query()
+STEP_SQL = """{new} AS (SELECT elem_id, greatest(h - 0.5 * coalesce(net, 0) / 12.5, 0) AS h FROM {old} LEFT JOIN
+(SELECT n.elem_id, sum(CASE WHEN n.neighbour > n.elem_id THEN o.h ELSE -t.h END) AS net FROM near AS n JOIN {old} AS o ON o.elem_id = n.elem_id JOIN {old} AS t ON t.elem_id = n.neighbour GROUP BY n.elem_id) AS s USING (elem_id))"""
+
+
+@query(f"""WITH {NODES_SQL}, {ELEMS_SQL}, e AS (SELECT elem_id, unnest([[least(n1, n2), greatest(n1, n2)], [least(n2, n3), greatest(n2, n3)], [least(n1, n3), greatest(n1, n3)]]) AS e FROM elems),
+near AS (SELECT p.elem_id, q.elem_id AS neighbour FROM e AS p JOIN e AS q ON p.e = q.e AND p.elem_id <> q.elem_id),
+h0 AS (SELECT elem_id, CASE WHEN elem_id BETWEEN 300 AND 400 THEN 1.0 ELSE 0.0 END::DOUBLE AS h FROM elems), {STEP_SQL.format(new="h1", old="h0")}, {STEP_SQL.format(new="h2", old="h1")}
+SELECT elem_id, round(h, 6) + 0.0 AS h FROM h2""")
 def upwind_advection(spark, sf_dir):
-    """Ten steps of a uniform flow through the lattice, each step's field written in between."""
+    """Two steps of a flow from lower to higher elements."""
     _, elems = the_mesh(spark)
     near = mesh.neighbours(elems)
     faces = near.select("elem_id", "neighbour", F.when(F.col("neighbour") > F.col("elem_id"), 1.0).otherwise(-1.0).alias("flux"))
@@ -661,6 +674,20 @@ def drifter_step(spark, sf_dir):
     return m.select("drifter_id", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "conc")
 
 
+P1_SQL = """CASE WHEN dy >= dx THEN a0.f * (1 - dy / 50.0::DOUBLE) + a3.f * ((dy - dx) / 50.0::DOUBLE) + a2.f * (dx / 50.0::DOUBLE)
+ELSE a0.f * (1 - dx / 50.0::DOUBLE) + a1.f * ((dx - dy) / 50.0::DOUBLE) + a2.f * (dy / 50.0::DOUBLE) END"""
+
+
+@query(f"""WITH {NODES_SQL}, f AS (SELECT node_id, {NODE_VALUE} AS f FROM nodes), e AS (SELECT ts, value, user_id * 37 % 1000 AS xi, event_id * 53 % 1000 AS yi FROM events),
+q AS (SELECT *, xi // 50 AS ci, yi // 50 AS cj, xi % 50 AS dx, yi % 50 AS dy, yi // 50 * 21 + xi // 50 + 1 AS a FROM e),
+v AS (SELECT ts, value, 2 * (cj * 20 + ci) + CASE WHEN dy >= dx THEN 2 ELSE 1 END AS elem_id, {P1_SQL} AS f
+FROM q JOIN f AS a0 ON a0.node_id = a JOIN f AS a1 ON a1.node_id = a + 1 JOIN f AS a2 ON a2.node_id = a + 22 JOIN f AS a3 ON a3.node_id = a + 21)
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS w, elem_id, round(avg(f * value), 8) AS mean, count(*) AS n FROM v GROUP BY ALL""")
+def flagship_grid_mean(spark, sf_dir):
+    m = flagship(spark, sf_dir)
+    return m.select(F.date_format("window_start", "yyyy-MM-dd HH").alias("w"), "elem_id", r(F.col("mean"), 8).alias("mean"), "n")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly grid means of a field sampled at the places of events: locate, interpolate, window, mask."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "value", (F.col("user_id") * 37 % 1000 / 10.0).alias("px"), (F.col("event_id") * 53 % 1000 / 10.0).alias("py"))
@@ -669,5 +696,3 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = gridmean.window_mean(held, F.col("ts"), "1 hour", ["elem_id"], F.col("f") * F.col("value"))
     return m.withColumn("mean", fields.land_mask(F.col("mean"), F.col("elem_id").isNotNull()))
 
-
-QUERIES["flagship_grid_mean"] = flagship
