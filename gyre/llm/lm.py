@@ -280,13 +280,25 @@ def scoring_task(model: Model, top: np.ndarray, keys: np.ndarray, counts: np.nda
 NAMES = ["rid", "doc_id", "held_out", "n_tokens", "known", "logs", "model", "h", "m"]
 
 
+def frequent(vocab: DataFrame) -> DataFrame:
+    """The most frequent words, at most FREQUENT of them: those over the count that a histogram of counts (a few thousand classes) gives."""
+    cls = F.when(F.col("n") <= 4096, F.col("n").cast("double")).otherwise(4096 + F.floor(F.log2(F.col("n").cast("double")) * 64).cast("double"))
+    left, least = FREQUENT, float("inf")
+    for c, n in sorted((tuple(r) for r in vocab.groupBy(cls).count().collect()), reverse=True):
+        left -= n
+        if left < 0:
+            break
+        least = c
+    return vocab.where(cls >= least)
+
+
 def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows whose ``held_out`` is false."""
     at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     train_docs = at.where(~F.col("held_out"))
     vocab = written(train_docs.select("text").mapInArrow(counted, "h long, leaf int, n long").groupBy("h").agg(F.first("leaf").alias("leaf"), F.sum("n").alias("n")), "lm-vocabulary")
     total, distinct = vocab.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    best = vocab.orderBy(F.col("n").desc(), "h").limit(FREQUENT).toPandas()  # at most FREQUENT rows
+    best = frequent(vocab).toPandas()  # at most FREQUENT rows
     keys, counts = best.h.to_numpy(np.int64).view(np.uint64), best.n.to_numpy(np.int64)
     order = np.lexsort((keys, -counts))
     top = keys[order[:TOP]]
