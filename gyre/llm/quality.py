@@ -83,8 +83,10 @@ def featured(docs: DataFrame, keep: list[str]) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            x = pa.array([statistics(t) for t in batch.column(0).to_pylist()], pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], x], names=[*keep, "x"])
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                x = pa.array([statistics(t) for t in part.column(0).to_pylist()], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], x], names=[*keep, "x"])
 
     return docs.select(F.col("text"), *[F.col(f"`{c}`") for c in keep]).mapInArrow(run, T.StructType([*schema.fields, T.StructField("x", T.ArrayType(T.DoubleType()))]))
 
@@ -224,4 +226,14 @@ def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
     """The rows of docs that the classifier accepts, with their columns; it learns from the labels whose documents are there."""
     rows = written(featured(docs, ["doc_id"]), "quality-features")
     model = trained(rows.dropDuplicates(["doc_id"]), labels, ~held_out(F.col("doc_id")))
-    return scored(featured(docs, docs.columns), model).where(F.col("score") >= threshold).select(*[F.col(f"`{c}`") for c in docs.columns])
+    held = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                part = batch.slice(a, 1000)
+                x = np.array([statistics(t) for t in part.column(at).to_pylist()]).reshape(-1, len(NAMES))
+                yield part.filter(pa.array(held.value.score(x) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
