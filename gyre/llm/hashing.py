@@ -32,7 +32,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(21, int(n).bit_length()))
+    return _powers(max(19, int(n).bit_length()))
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -43,7 +43,7 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def texts_of(column: pa.Array, most: int = 1_000_000):
+def texts_of(column: pa.Array, most: int = 300_000):
     """(first row, bytes, row offsets) of slices of a string column of about ``most`` bytes; a row is never cut."""
     column = column.cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]

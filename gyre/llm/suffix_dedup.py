@@ -44,7 +44,7 @@ from .common import documents, written
 LENGTH, GRAM = 50, 16
 LAST = (1 << 63) - 1
 #: Anchors of a chunk; a rank with more stretches than HOT in one chunk skips round 1; a rank with more than GROUP rows is dealt out by windows.
-CHUNK, HOT, GROUP = 2_000_000, 2_000, 200_000
+CHUNK, HOT, GROUP = 600_000, 2_000, 100_000
 #: Keys of documents with marks are broadcast up to so many rows (some 50 MB); beyond, texts are shuffled by key.
 BROADCAST_ROWS = 1_000_000
 ROWS_T = "kind int, g long, c long, doc long, v long"
@@ -151,8 +151,8 @@ def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
     return [np.cumsum(out[0]), *out[1:]]
 
 
-def by_chunks(source, settle):
-    """Accumulates tuples of columns of about CHUNK rows and gives what ``settle`` makes of them."""
+def by_chunks(source, settle, share: int = 1):
+    """Accumulates tuples of columns of about CHUNK / share rows and gives what ``settle`` makes of them."""
 
     def run(batches):
         parts, size = [], 0
@@ -160,7 +160,7 @@ def by_chunks(source, settle):
             for part in source(batch):
                 parts.append(part)
                 size += len(part[0])
-                if size >= CHUNK:
+                if size >= CHUNK // share:
                     yield from settle(*map(np.concatenate, zip(*parts)))
                     parts, size = [], 0
         if size:
@@ -266,11 +266,11 @@ def context_rows(length: int, gram: int):
     def settle(g, c, doc, v, context):
         stay, repeat = resolved([g, c], doc, v)
         for kind, at in ((1, repeat), (2, stay)):
-            for a in range(0, len(at), 20_000):
-                own = at[a : a + 20_000]
+            for a in range(0, len(at), 10_000):
+                own = at[a : a + 10_000]
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(g[own].view(np.int64)), pa.array(doc[own]), pa.array(v[own]), pa.array(context[own].tolist() if kind == 2 else [None] * len(own), pa.binary())], names=["kind", "g", "doc", "v", "context"])
 
-    return by_chunks(source, settle)
+    return by_chunks(source, settle, 4)
 
 
 def windows(doc: np.ndarray, v: np.ndarray, contexts: list[bytes], length: int):
@@ -435,16 +435,18 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     both = has.select(*names.values(), "vs").toDF(*docs.columns, "vs" if "vs" not in docs.columns else "_vs")
 
     def run(batches):
-        for batch in batches:
-            vs = batch.column(batch.num_columns - 1).to_pylist()
-            at = batch.schema.get_field_index("text")
-            texts = [t if t is None or not v else cut(t.encode(), np.array(v, np.int64), length)[0].decode(errors="ignore") for t, v in zip(batch.column(at).to_pylist(), vs)]
-            columns = list(batch.columns[:-1])
-            columns[at] = pa.array(texts, pa.string())
-            if "n_chars" in batch.schema.names:
-                n = batch.schema.get_field_index("n_chars")
-                columns[n] = pa.array([len(t) if t is not None and v else old for t, v, old in zip(texts, vs, columns[n].to_pylist())], columns[n].type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
+        for whole in batches:
+            for a in range(0, whole.num_rows, 500):
+                batch = whole.slice(a, 500)
+                columns, names = list(batch.columns[:-1]), batch.schema.names[:-1]
+                at = names.index("text")
+                old = columns[at].to_pylist()
+                texts = [t if t is None or not v else cut(t.encode(), np.array(v, np.int64), length)[0].decode(errors="ignore") for t, v in zip(old, batch.columns[-1].to_pylist())]
+                if "n_chars" in names:
+                    n = names.index("n_chars")
+                    columns[n] = pa.array([k if t == o else len(t) for t, o, k in zip(texts, old, columns[n].to_pylist())], columns[n].type)
+                columns[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     out = both.mapInArrow(run, T.StructType(fields))
     return out if others is None else out.union(others.select(*names.values()))
