@@ -193,8 +193,8 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit") -> DataFrame:
-    """(doc_id, class_id, links): class_id is the least doc_id of the class; links, the verified links of the row's text."""
+def labelled(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit") -> tuple[DataFrame, DataFrame]:
+    """((doc_id, h) of every row, (h, doc_id, label, links) of every text): texts of one class have one label; doc_id is the least of the text."""
     sig = written(signatures(docs, bands, rows, weighting), "near-signatures")
     texts = sig.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = written(texts.withColumn("node", F.xxhash64("h")), "near-nodes")
@@ -226,10 +226,16 @@ def classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int
         links = links.union(again)
         labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    named = nodes.select("h", "node", "doc_id").join(labels, "node", "left").join(degree, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = nodes.select("h", "node", "doc_id").join(labels, "node", "left").join(degree, "node", "left")
+    return sig.select("doc_id", "h"), named.select("h", "doc_id", F.coalesce("label", "node").alias("label"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def classes(docs: DataFrame, **how) -> DataFrame:
+    """(doc_id, class_id, links): class_id is the least doc_id of the class; links, the verified links of the row's text."""
+    sig, named = labelled(docs, **how)
     least_id = named.groupBy("label").agg(F.min("doc_id").alias("class_id"))
-    named = written(named.join(least_id, "label").select("h", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "near-classes")
-    return sig.select("doc_id", "h").join(named, "h").select("doc_id", "class_id", "links")
+    named = written(named.join(least_id, "label").select("h", "class_id", "links"), "near-classes")
+    return sig.join(named, "h").select("doc_id", "class_id", "links")
 
 
 def possible(at: DataFrame, held: DataFrame, least: float) -> DataFrame:
@@ -271,10 +277,14 @@ def possible(at: DataFrame, held: DataFrame, least: float) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class: the one of the least doc_id, with the columns of docs; of rows that repeat it, one."""
-    keep = classes(docs, **how).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_near_id")).distinct()
-    out = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("_near_id")), "left_semi")
-    return out.dropDuplicates(["doc_id"])
+    """One document of each class, with the columns of docs: the one of the least doc_id (nulls last), of several texts under it the one of the least hash; of rows that repeat it, one."""
+    _, named = labelled(docs, **how)
+    first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    keep = written(first.select(F.col("k.doc_id").alias("_near_id"), F.col("k.h").alias("_near_h")), "near-kept")
+    # Rows are chosen by id and text: an id may stand on texts of several classes, or be null.
+    out = docs.withColumn("_near_text", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
+    out = out.join(keep, (F.col("_near_text") == F.col("_near_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
+    return out.dropDuplicates(["_near_text"]).drop("_near_text")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

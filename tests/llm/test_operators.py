@@ -170,6 +170,17 @@ def test_near_dedup_equals_brute_force(odd):
     assert out.columns == odd.columns and out.count() == len({x.rsplit(",", 1)[1] for x in exact_classes(rows)})
 
 
+def test_near_dedup_keeps_a_row_of_each_class_where_ids_are_null_or_repeat(spark):
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 60)) for _ in range(9)]
+    near = texts[4].replace(texts[4].split()[0], "changed")
+    ids = [6, 6, None, None, None, None, 1, 2, 2]
+    rows = [*zip(ids, texts), (7, texts[1]), (None, texts[2]), (None, near), (None, texts[6]), (6, texts[0]), (2, texts[8])]
+    out = docs_of(near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))
+    got = sorted((t.replace(near, texts[4]), repr(d)) for d, t in out)
+    assert got == sorted((t, repr(d)) for d, t in zip(ids, texts))
+
+
 def test_near_dedup_second_round_loses_no_link(spark):
     """Chains of copies of copies: ends are unlike the first, but linked through others."""
     rng = np.random.default_rng(3)
