@@ -8,7 +8,7 @@ anchors at equal places, and one anchor serves a run of windows, so about every
 18th position is an anchor and nothing is lost.
 
 Round 1 ranks anchors by their 16 bytes: Spark deals (rank, rank of the anchor's
-whole stretch of windows, doc_id, position) out by rank, packed, and each task sorts
+whole stretch of windows, doc_id, hash of the text, position) out by rank, packed, and each task sorts
 its own.  An anchor whose 16 bytes are in one
 document only is unique and leaves.  If a smaller document has the same stretch, all
 its windows repeat and it leaves with a mark.  Round 2 doubles: an anchor stays only
@@ -47,17 +47,18 @@ LAST = (1 << 63) - 1
 CHUNK, HOT, GROUP = 600_000, 2_000, 100_000
 #: Keys of documents with marks are broadcast up to so many rows (some 50 MB); beyond, texts are shuffled by key.
 BROADCAST_ROWS = 1_000_000
-ROWS_T = "kind int, g long, c long, doc long, v long"
+ROWS_T = "kind int, g long, c long, doc long, tag long, v long"
 PACKED_T = "kind int, target int, data binary"
-CONTEXT_T = "kind int, g long, doc long, v long, context binary"
-#: v: 16 bits that tell rows of one doc_id apart, 32 of the first window's position, 6 of the anchor's place in it, 6 of the number of windows.
-TAG, AT, OFF = 44, 12, 6
+CONTEXT_T = "kind int, g long, doc long, tag long, v long, context binary"
+MARKS_T = "kind int, doc long, tag long, v long"
+#: tag: the 64-bit hash of the text, which tells rows of one doc_id (or of none) apart.
+#: v: 32 bits of the first window's position, 6 of the anchor's place in it, 6 of the number of windows.
+AT, OFF = 12, 6
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    tag = F.xxhash64(text).bitwiseAND(F.lit((1 << 16) - 1))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def spans(sums: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -118,16 +119,16 @@ def firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndar
     return order, doc[order] == doc[order[np.flatnonzero(new)]][group]
 
 
-def resolved(keys: list[np.ndarray], doc: np.ndarray, v: np.ndarray):
+def resolved(keys: list[np.ndarray], doc: np.ndarray):
     """(places of the rows of the least document of their keys, places of the others): the others repeat from a smaller document."""
     order, least = firsts(keys, doc)
     return order[least], order[~least]
 
 
-def record(kind: int, doc: np.ndarray, v: np.ndarray, g: np.ndarray | None = None, c: np.ndarray | None = None) -> pa.RecordBatch:
+def record(kind: int, doc: np.ndarray, tag: np.ndarray, v: np.ndarray, g: np.ndarray | None = None, c: np.ndarray | None = None) -> pa.RecordBatch:
     none = np.zeros(len(doc), np.int64)
     g, c = (none if x is None else x.view(np.int64) for x in (g, c))
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (g, c, doc, v))], names=["kind", "g", "c", "doc", "v"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), *map(pa.array, (g, c, doc, tag, v))], names=["kind", "g", "c", "doc", "tag", "v"])
 
 
 def emitted(kind: int, *columns: np.ndarray, step: int = 50_000):
@@ -170,34 +171,34 @@ def by_chunks(source, settle, share: int = 1):
 
 
 def anchor_rows(length: int, gram: int, targets: int):
-    """Round 1, sender: kind 1 marks and kind 2 anchors of hot ranks (doc, v), kind 0 the others (g, c, doc, v), dealt to targets by rank."""
+    """Round 1, sender: kind 1 marks and kind 2 anchors of hot ranks (doc, tag, v), kind 0 the others (g, c, doc, tag, v), dealt to targets by rank."""
 
     def source(batch):
         doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for first, data, offsets in hashing.texts_of(batch.column(2)):
             row, g, c, lo, off, count = anchors(data, offsets, length, gram)
             row = row + first
-            yield g, c, doc[row], tag[row] << TAG | lo << AT | off << OFF | count
+            yield g, c, doc[row], tag[row], lo << AT | off << OFF | count
 
-    def settle(g, c, doc, v):
-        stay, repeat = resolved([g, c & STRETCH], doc, v)
-        out = [(1, 0, packed(doc[repeat], v[repeat]))] if len(repeat) else []
-        g, c, doc, v = g[stay].view(np.int64), c[stay].view(np.int64), doc[stay], v[stay]  # sorted by rank
+    def settle(g, c, doc, tag, v):
+        stay, repeat = resolved([g, c & STRETCH], doc)
+        out = [(1, 0, packed(doc[repeat], tag[repeat], v[repeat]))] if len(repeat) else []
+        g, c, doc, tag, v = g[stay].view(np.int64), c[stay].view(np.int64), doc[stay], tag[stay], v[stay]  # sorted by rank
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
         hot = np.diff(np.append(np.flatnonzero(new), len(g))) > HOT
         if hot.any():  # sentinels (c 0) tell the receivers; the rows themselves go on to the next round
             own = np.repeat(hot, np.diff(np.append(np.flatnonzero(new), len(g))))
-            out.append((2, 0, packed(doc[own], v[own])))
+            out.append((2, 0, packed(doc[own], tag[own], v[own])))
             mark = g[np.flatnonzero(new)][hot]
             none = np.zeros(len(mark), np.int64)
-            g, c, doc, v = (np.concatenate(x) for x in ((g[~own], mark), (c[~own], none), (doc[~own], none), (v[~own], none)))
+            g, c, doc, tag, v = (np.concatenate(x) for x in ((g[~own], mark), (c[~own], none), (doc[~own], none), (tag[~own], none), (v[~own], none)))
         target = (hashing.mix(g.view(np.uint64), 12) % np.uint64(targets)).astype(np.int32)
         order = np.lexsort((g, target))
         ends = np.searchsorted(target[order], np.arange(targets + 1))
         for k in np.flatnonzero(np.diff(ends)):
             at = order[ends[k] : ends[k + 1]]
-            out.append((0, int(k), packed(g[at], c[at], doc[at], v[at])))
+            out.append((0, int(k), packed(g[at], c[at], doc[at], tag[at], v[at])))
         for a in range(0, len(out), 64):
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 64]), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "target", "data"])
 
@@ -205,30 +206,30 @@ def anchor_rows(length: int, gram: int, targets: int):
 
 
 def ranked(batches):
-    """Rounds 1 and 2, receiver: sorts its target's ranks; gives (kind, doc, v): kind 1 marks, kind 2 anchors that go on."""
+    """Rounds 1 and 2, receiver: sorts its target's ranks; gives (kind, doc, tag, v): kind 1 marks, kind 2 anchors that go on."""
     held = []
     for batch in batches:
         for kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
             if kind:
-                yield from plain(kind, *unpacked(data, 2))
+                yield from plain(kind, *unpacked(data, 3))
             else:
-                held.append(unpacked(data, 4))
+                held.append(unpacked(data, 5))
     if not held:
         return
-    g, c, doc, v = (np.concatenate(x) for x in zip(*held))
+    g, c, doc, tag, v = (np.concatenate(x) for x in zip(*held))
     del held
     order = np.argsort(g, kind="stable")
-    g, c, doc, v = g[order], c.view(np.uint64)[order], doc[order], v[order]
+    g, c, doc, tag, v = g[order], c.view(np.uint64)[order], doc[order], tag[order], v[order]
     new = np.ones(len(g), bool)
     new[1:] = g[1:] != g[:-1]
     start, group = np.flatnonzero(new), np.cumsum(new) - 1
     hot = (np.minimum.reduceat(c, start) == 0)[group]
     alone = (np.minimum.reduceat(doc, start) == np.maximum.reduceat(doc, start))[group]
     keep = (c != 0) & (hot | ~alone)
-    g, c, doc, v, hot = g[keep], c[keep], doc[keep], v[keep], hot[keep]
-    stay, repeat = resolved([g, c & STRETCH], doc, v)
-    yield from plain(1, doc[repeat], v[repeat])
-    g, c, doc, v, live = g[stay], c[stay], doc[stay], v[stay], hot[stay]
+    g, c, doc, tag, v, hot = g[keep], c[keep], doc[keep], tag[keep], v[keep], hot[keep]
+    stay, repeat = resolved([g, c & STRETCH], doc)
+    yield from plain(1, doc[repeat], tag[repeat], v[repeat])
+    g, c, doc, tag, v, live = g[stay], c[stay], doc[stay], tag[stay], v[stay], hot[stay]
     for side in ((c >> np.uint64(8)) & np.uint64(0xFF), c & np.uint64(0xFF)):
         has = np.flatnonzero(side)
         if len(has):
@@ -238,13 +239,13 @@ def ranked(batches):
             start = np.flatnonzero(new)
             shared = np.minimum.reduceat(doc[order], start) != np.maximum.reduceat(doc[order], start)
             live[order] |= shared[np.cumsum(new) - 1]
-    yield from plain(2, doc[live], v[live])
+    yield from plain(2, doc[live], tag[live], v[live])
 
 
-def plain(kind: int, doc: np.ndarray, v: np.ndarray, step: int = 50_000):
+def plain(kind: int, doc: np.ndarray, tag: np.ndarray, v: np.ndarray, step: int = 50_000):
     for a in range(0, len(doc), step):
         d = doc[a : a + step]
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int32)), pa.array(d), pa.array(v[a : a + step])], names=["kind", "doc", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(d), kind, np.int32)), pa.array(d), pa.array(tag[a : a + step]), pa.array(v[a : a + step])], names=["kind", "doc", "tag", "v"])
 
 
 def context_rows(length: int, gram: int):
@@ -261,20 +262,20 @@ def context_rows(length: int, gram: int):
             q, end = lo + ((v >> OFF) & 63), lo + (v & 63) - 1 + length
             g = hashing.mix(spans(sums, down, q, q + gram))
             stretch = hashing.mix(spans(sums, down, lo, end) + hashing.mix((q - lo) * 64 + (v & 63), 7))
-            yield g, stretch, np.full(len(v), doc[i]), v, np.array([raw[a:b] for a, b in zip(lo, end)] + [b""], object)[:-1]
+            yield g, stretch, np.full(len(v), doc[i]), np.full(len(v), tag[i]), v, np.array([raw[a:b] for a, b in zip(lo, end)] + [b""], object)[:-1]
 
-    def settle(g, c, doc, v, context):
-        stay, repeat = resolved([g, c], doc, v)
+    def settle(g, c, doc, tag, v, context):
+        stay, repeat = resolved([g, c], doc)
         for kind, at in ((1, repeat), (2, stay)):
             for a in range(0, len(at), 10_000):
                 own = at[a : a + 10_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(g[own].view(np.int64)), pa.array(doc[own]), pa.array(v[own]), pa.array(context[own].tolist() if kind == 2 else [None] * len(own), pa.binary())], names=["kind", "g", "doc", "v", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), kind, np.int32)), pa.array(g[own].view(np.int64)), pa.array(doc[own]), pa.array(tag[own]), pa.array(v[own]), pa.array(context[own].tolist() if kind == 2 else [None] * len(own), pa.binary())], names=["kind", "g", "doc", "tag", "v", "context"])
 
     return by_chunks(source, settle, 4)
 
 
-def windows(doc: np.ndarray, v: np.ndarray, contexts: list[bytes], length: int):
-    """(two ranks, doc, v) of each window of the contexts."""
+def windows(doc: np.ndarray, tag: np.ndarray, v: np.ndarray, contexts: list[bytes], length: int):
+    """(two ranks, doc, tag, v) of each window of the contexts."""
     data = np.frombuffer(b"".join(contexts), np.uint8)
     begin = np.cumsum([0, *map(len, contexts)])[:-1]
     sums, down = prefix_sums(data)
@@ -282,55 +283,55 @@ def windows(doc: np.ndarray, v: np.ndarray, contexts: list[bytes], length: int):
     step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
     at = np.repeat(begin, count) + step
     w = spans(sums, down, at, at + length)
-    tag, lo = np.repeat(v >> TAG, count), np.repeat((v >> AT) & 0xFFFFFFFF, count) + step
-    return hashing.mix(w, 8), hashing.mix(w, 9), np.repeat(doc, count), tag << TAG | lo << AT | 1
+    lo = np.repeat((v >> AT) & 0xFFFFFFFF, count) + step
+    return hashing.mix(w, 8), hashing.mix(w, 9), np.repeat(doc, count), np.repeat(tag, count), lo << AT | 1
 
 
 def window_ranks(length: int):
     """Round 3, receiver of rows sorted by rank: kind 1 marks; a rank of more than GROUP rows is passed on by its windows, kind 3."""
 
-    def settle(doc, v, contexts, big):
-        w, x, doc, v = windows(doc, v, contexts, length)
-        stay, repeat = resolved([w, x], doc, v)
-        yield from emitted(1, doc[repeat], v[repeat])
+    def settle(doc, tag, v, contexts, big):
+        w, x, doc, tag, v = windows(doc, tag, v, contexts, length)
+        stay, repeat = resolved([w, x], doc)
+        yield from emitted(1, doc[repeat], tag[repeat], v[repeat])
         if big:
-            yield from emitted(3, doc[stay], v[stay], w[stay], x[stay])
+            yield from emitted(3, doc[stay], tag[stay], v[stay], w[stay], x[stay])
 
     def run(batches):
-        g, doc, v, contexts, big = (np.zeros(0, np.int64),) * 3 + ([], False)
+        g, doc, tag, v, contexts, big = (np.zeros(0, np.int64),) * 4 + ([], False)
         for batch in batches:
             kind = batch.column(0).to_numpy()
             one = int(np.searchsorted(kind, 2))
-            yield from emitted(1, *(batch.column(i).to_numpy()[:one] for i in (2, 3)))
-            g, doc, v = (np.concatenate([x, batch.column(i).to_numpy()[one:]]) for x, i in ((g, 1), (doc, 2), (v, 3)))
-            contexts = contexts + batch.column(4).to_pylist()[one:]
+            yield from emitted(1, *(batch.column(i).to_numpy()[:one] for i in (2, 3, 4)))
+            g, doc, tag, v = (np.concatenate([x, batch.column(i).to_numpy()[one:]]) for x, i in ((g, 1), (doc, 2), (tag, 3), (v, 4)))
+            contexts = contexts + batch.column(5).to_pylist()[one:]
             while len(g):
                 cut = int(np.searchsorted(g, g[-1], "left"))  # the last rank may go on
                 if cut:  # the first rank ends here
                     head = int(np.searchsorted(g, g[0], "right")) if big else cut
-                    yield from settle(doc[:head], v[:head], contexts[:head], big)
-                    g, doc, v, contexts, big = g[head:], doc[head:], v[head:], contexts[head:], False
+                    yield from settle(doc[:head], tag[:head], v[:head], contexts[:head], big)
+                    g, doc, tag, v, contexts, big = g[head:], doc[head:], tag[head:], v[head:], contexts[head:], False
                 elif len(g) > GROUP:
                     big = True
-                    yield from settle(doc, v, contexts, True)
-                    g, doc, v, contexts = g[-1:], doc[-1:], v[-1:], contexts[-1:]
+                    yield from settle(doc, tag, v, contexts, True)
+                    g, doc, tag, v, contexts = g[-1:], doc[-1:], tag[-1:], v[-1:], contexts[-1:]
                     break
                 else:
                     break
         if len(g):
-            yield from settle(doc, v, contexts, big)
+            yield from settle(doc, tag, v, contexts, big)
 
     return run
 
 
 def repeats(batches):
-    """Window ranks of hot anchors, sorted by kind, rank and doc: (kind, doc, v); kind 1 for those that a smaller document has."""
+    """Window ranks of hot anchors, sorted by kind, rank and doc: (kind, doc, tag, v); kind 1 for those that a smaller document has."""
     last = None  # rank and least document of the rank that the last batch ended in
     for batch in batches:
         one = int(np.searchsorted(batch.column(0).to_numpy(), 3))
-        g, c, doc, v = (batch.column(i).to_numpy() for i in range(1, 5))
-        yield from plain(1, doc[:one], v[:one])
-        g, c, doc, v = g[one:], c[one:], doc[one:], v[one:]
+        g, c, doc, tag, v = (batch.column(i).to_numpy() for i in range(1, 6))
+        yield from plain(1, doc[:one], tag[:one], v[:one])
+        g, c, doc, tag, v = g[one:], c[one:], doc[one:], tag[one:], v[one:]
         if not len(g):
             continue
         new = np.ones(len(g), bool)
@@ -338,7 +339,7 @@ def repeats(batches):
         least = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
         if last is not None and (g[0], c[0]) == last[0]:
             least = np.where(np.cumsum(new) == 1, last[1], least)
-        yield from plain(1, doc[doc > least], v[doc > least])
+        yield from plain(1, doc[doc > least], tag[doc > least], v[doc > least])
         last = ((g[-1], c[-1]), least[-1])
 
 
@@ -356,13 +357,13 @@ def shrunk(rows: DataFrame) -> DataFrame:
 
 
 def by_text(base: DataFrame, rows: DataFrame, shuffled=shrunk) -> tuple[DataFrame, DataFrame | None]:
-    """(the rows of ``base`` that have rows of (doc, v), made small by ``shuffled``, with their vs; the other rows as they are).
+    """(the rows of ``base`` that have rows of (doc, tag, v), made small by ``shuffled``, with their vs; the other rows as they are).
 
     base has doc and tag.  The keys of texts with rows are broadcast if they are few, so
     that no other text is shuffled; beyond, all rows come in the first table (vs null for
     those without) and the second is None.
     """
-    lists = rows.groupBy("doc", F.shiftrightunsigned("v", TAG).alias("tag")).agg(F.collect_list("v").alias("vs"))
+    lists = rows.groupBy("doc", "tag").agg(F.collect_list("v").alias("vs"))
     lists = written(lists, "suffix-lists", compression="zstd")
     # A text's rows are few enough for one row, as its bytes are.
     named = lists.select(F.col("doc").alias("_ld"), F.col("tag").alias("_lt"), "vs")
@@ -375,18 +376,18 @@ def by_text(base: DataFrame, rows: DataFrame, shuffled=shrunk) -> tuple[DataFram
 
 
 def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, v): runs of windows that also start in a smaller document."""
+    """(doc, tag, v): runs of windows that also start in a smaller document."""
     spark = docs.sparkSession
     targets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     sent = keyed(docs).mapInArrow(anchor_rows(length, gram, targets), PACKED_T)
-    first = written(sent.repartitionById(targets, F.when(F.col("kind") == 0, F.col("target")).otherwise(F.pmod(F.xxhash64("data"), F.lit(targets)).cast("int"))).mapInArrow(ranked, "kind int, doc long, v long"), "suffix-round1", compression="zstd")
+    first = written(sent.repartitionById(targets, F.when(F.col("kind") == 0, F.col("target")).otherwise(F.pmod(F.xxhash64("data"), F.lit(targets)).cast("int"))).mapInArrow(ranked, MARKS_T), "suffix-round1", compression="zstd")
     left, _ = by_text(keyed(docs), first.where("kind = 2"))
     rows = left.where("vs is not null").mapInArrow(context_rows(length, gram), CONTEXT_T)
-    rows = rows.repartition(F.when(F.col("kind") == 2, F.col("g")).otherwise(F.xxhash64("v"))).sortWithinPartitions("kind", "g")
+    rows = rows.repartition(F.when(F.col("kind") == 2, F.col("g")).otherwise(F.xxhash64("tag", "v"))).sortWithinPartitions("kind", "g")
     rows = rows.mapInArrow(window_ranks(length), ROWS_T)
-    rows = rows.repartition(F.when(F.col("kind") == 3, F.col("g")).otherwise(F.xxhash64("v"))).sortWithinPartitions("kind", "g", "c", "doc")
-    second = rows.mapInArrow(repeats, "kind int, doc long, v long")
-    return first.where("kind = 1").select("doc", "v").union(second.select("doc", "v"))
+    rows = rows.repartition(F.when(F.col("kind") == 3, F.col("g")).otherwise(F.xxhash64("tag", "v"))).sortWithinPartitions("kind", "g", "c", "doc")
+    second = rows.mapInArrow(repeats, MARKS_T)
+    return first.where("kind = 1").select("doc", "tag", "v").union(second.select("doc", "tag", "v"))
 
 
 def cut(raw: bytes, vs: np.ndarray | None, length: int) -> tuple[bytes, int, int]:
@@ -428,7 +429,7 @@ def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFram
 def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """docs with text cut (bytes of characters that were cut in two go as well) and n_chars counted anew; other columns stay."""
     fields = docs.schema.fields
-    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << 16) - 1))
+    tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column's name clashes with doc, tag or vs
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
     has, others = by_text(base, marks(docs, length), lambda df: df)

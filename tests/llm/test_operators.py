@@ -90,6 +90,19 @@ def _with(module, values, df):
             setattr(module, n, old[n])
 
 
+def test_suffix_dedup_judges_each_text_of_a_shared_id_for_itself(spark):
+    """So many texts without an id, or under one, that any 16 bits of a hash agree for some of them."""
+    rng = np.random.default_rng(2)
+    passage = "a passage of more than fifty bytes that stands in the first document and again in many others"
+    own = ["".join(map(chr, rng.integers(97, 123, 60 + i % 90))) for i in range(2400)]
+    rows = [(0, passage)] + [((None, 5)[i % 4 < 2], t + passage if i % 2 else t) for i, t in enumerate(own)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.removed(df).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted(suffix_dedup.brute(rows), key=repr)
+    kept = [hashlib.sha256(r.text.encode()).hexdigest() for r in suffix_dedup.deduplicated(df).collect()]
+    assert sorted(kept) == sorted(b[-1] for b in suffix_dedup.brute(rows))
+
+
 def test_suffix_dedup_keeps_columns(odd):
     out = suffix_dedup.deduplicated(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
