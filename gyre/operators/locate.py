@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import tempfile
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +59,37 @@ def cell_values(points: DataFrame, grid: DataFrame, start: tuple[float, float],
     return p.join(cells, (p.i == cells.ci) & (p.j == cells.cj), "left").drop("ci", "cj")
 
 
-def nearest_vertex(points: DataFrame, nodes: DataFrame, key: list[str], size: float, rings: int = 1) -> DataFrame:
-    """points with node_id and d2 of the nearest node (ties: the lower id), among nodes within ``rings`` buckets.
-
-    Exact where a node lies within ``rings * size``; farther points stay null, for a
-    second call with a larger size.
-    """
+def nearest_within(points: DataFrame, nodes: DataFrame, key: list[str], size: float, rings: int = 1) -> DataFrame:
+    """(key, m: d2 and node_id of the nearest node) of the points with a node within ``rings * size`` (ties: the lower id)."""
     near = F.array(*[F.lit(k) for k in range(-rings, rings + 1)])
     b = lambda c: F.floor(F.col(c) / size).cast("long")
     wide = nodes.select("node_id", F.col("x").alias("nx"), F.col("y").alias("ny")).withColumns({"cx": F.floor(F.col("nx") / size).cast("long"), "cy": F.floor(F.col("ny") / size).cast("long")})
     wide = wide.withColumn("sx", F.explode(near)).withColumn("sy", F.explode(near)).withColumns({"bx": F.col("cx") + F.col("sx"), "by": F.col("cy") + F.col("sy")})
     pt = points.withColumns({"bx": b("px"), "by": b("py")})
     d2 = F.pow(F.col("px") - F.col("nx"), F.lit(2)) + F.pow(F.col("py") - F.col("ny"), F.lit(2))
-    best = pt.join(wide.select("bx", "by", "node_id", "nx", "ny"), ["bx", "by"]).where(d2 <= (rings * size) ** 2).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "node_id")).alias("m"))
+    return pt.join(wide.select("bx", "by", "node_id", "nx", "ny"), ["bx", "by"]).where(d2 <= (rings * size) ** 2).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "node_id")).alias("m"))
+
+
+def nearest_vertex(points: DataFrame, nodes: DataFrame, key: list[str], size: float, rings: int = 1) -> DataFrame:
+    """points with node_id and d2 of the nearest node (ties: the lower id), however far.
+
+    Points without a node within ``rings * size`` are looked up again among buckets of
+    twice the size, until none is left; each round's table is checkpointed into
+    ``spark.checkpoint.dir``.  Null only without nodes, or for points without a finite place or a key.
+    """
+    spark = points.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gyre-"))
+    finite = lambda *names: reduce(and_, [F.abs(F.col(c).cast("double")) < math.inf for c in names])  # noqa: E731  # NaN is above all
+    nodes = nodes.where(finite("x", "y"))
+    left = points.where(finite("px", "py") & reduce(and_, [F.col(k).isNotNull() for k in key])).select(*key, "px", "py")
+    found = []
+    some = nodes.limit(1).count()
+    while some:
+        # One table of each round: the points with their node, and those that have none yet.
+        step = left.join(nearest_within(left, nodes, key, size, rings), key, "left").checkpoint()
+        found.append(step.where("m is not null").select(*key, "m"))
+        left = step.where("m is null").drop("m")
+        some, size = left.limit(1).count(), 2 * size
+    best = reduce(DataFrame.union, found) if found else nearest_within(left, nodes, key, size, rings)
     return points.join(best, key, "left").select(*points.columns, "m.node_id", "m.d2")

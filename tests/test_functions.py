@@ -163,6 +163,19 @@ def test_blocks_and_halo(spark):
     assert gridmean.block_mean(g, 2, "v", fill=-9.0).first().v == 2
 
 
+def test_nearest_vertex_has_no_radius(spark):
+    """Points near, far and very far from a cluster; a tie; points without a place."""
+    rng = np.random.default_rng(4)
+    nodes = [(i, float(x), float(y)) for i, (x, y) in enumerate(rng.integers(0, 50, (60, 2)))] + [(90, math.nan, 0.0), (91, None, 0.0), (92, math.inf, 0.0)]
+    places = [(float(x), float(y)) for s in (1, 40, 3000, 10**6) for x, y in rng.integers(-50, 100, (25, 2)) * s] + [(math.nan, 0.0), (None, 1.0), (math.inf, 0.0)]
+    n = spark.createDataFrame(nodes, "node_id long, x double, y double")
+    p = spark.createDataFrame([(i, *q) for i, q in enumerate(places)], "k long, px double, py double")
+    got = {r.k: (r.d2, r.node_id) for r in locate.nearest_vertex(p, n, ["k"], 3.0).collect()}
+    want = {i: min(((px - x) ** 2 + (py - y) ** 2, k) for k, x, y in nodes[:60]) for i, (px, py) in enumerate(places[:100])}
+    assert got == want | {i: (None, None) for i in (100, 101, 102)}
+    assert {(r.node_id, r.d2) for r in locate.nearest_vertex(p, n.where("node_id > 89"), ["k"], 3.0).collect()} == {(None, None)}
+
+
 def test_catalogue():
     assert len(catalog.CATALOGUE) == 51 and sum(len(d.variables) for d in catalog.CATALOGUE.values()) == 171
     d = catalog.dataset("ERA5_nodes")
