@@ -115,6 +115,13 @@ def test_quality_on_odd_tables(spark, odd, odd_dir):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in out if r.doc_id is not None)
 
 
+@pytest.mark.parametrize("quality_of", [None, 0, 1])
+def test_quality_without_both_classes_refuses_nothing(spark, odd, quality_of):
+    labels = spark.createDataFrame([] if quality_of is None else [(i, quality_of) for i in range(40)], "doc_id long, quality int")
+    out = quality.accepted(odd, labels)
+    assert out.columns == odd.columns and rows_of(out) == rows_of(odd)
+
+
 def test_quality_on_held_out_labels(spark, sf):
     out = registry.QUERIES["op2_quality"](spark, sf.replace("sf0.001", "sf0.01"))
     labels = spark.read.parquet(sf.replace("sf0.001", "sf0.01") + "/labels.parquet")
