@@ -171,10 +171,17 @@ def read_synoptic(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).where(F.trim("value") != "").select(w[0].cast("int").alias("i"), w[1].cast("int").alias("j"), *[w[k + 2].cast("double").alias(c) for k, c in enumerate(names)])
 
 
+#: A definition file with more keys than this is refused.
+MOST_KEYS = 100_000
+
+
 def definition(spark: SparkSession, path: str) -> dict[str, str]:
-    """Keys and values of a map or grid definition file (a few lines ``key: value``)."""
-    lines = [r.value.split(";")[0] for r in spark.read.text(path).limit(200).collect()]
-    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines if ":" in x)}
+    """Keys and values of a map or grid definition file (lines ``key: value``, all of them)."""
+    own = spark.read.text(path).select(F.substring_index("value", ";", 1).alias("value")).where(F.col("value").contains(":"))
+    lines = [r.value for r in own.limit(MOST_KEYS + 1).collect()]
+    if len(lines) > MOST_KEYS:
+        raise ValueError(f"more than {MOST_KEYS} keys in {path}")
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
 # -- gridded output ------------------------------------------------------------------------------

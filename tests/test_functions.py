@@ -197,6 +197,11 @@ def test_mesh_files(spark, tmp_path):
     assert [r.nodes for r in rows if r.kind == "elem"] == [[1, 2, 3]] and [r.y for r in rows if r.kind == "node"] == [2.0, 4.0]
 
 
+def test_definition_reads_every_line(spark, tmp_path):
+    (tmp_path / "a.mpp").write_text("; a note: none\n" * 300 + "".join(f"Key {i}: {i}  ; note\n" for i in range(300)))
+    assert files.definition(spark, str(tmp_path / "a.mpp")) == {f"key {i}": str(i) for i in range(300)}
+
+
 def test_checkpoint_columns_and_buoys(spark, tmp_path):
     (tmp_path / "f.bin").write_bytes(struct.pack("<i2d", 2, 1.5, 2.5) + struct.pack("<i3i", 3, 1, 2, 3))
     got = [(r.name, r.value) for r in files.read_columns(spark, str(tmp_path / "f.bin"), [("x", "double"), ("id", "int")]).collect()]
