@@ -7,32 +7,49 @@ without a Python object for each word.  Hashes are mixed before use.
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 import pyarrow as pa
 
 P = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(P, -1, 1 << 64)
+#: Another base, for a second hash that is independent of the first.
+Q = 0xD1342543DE82EF95
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[65:91] += 32
 
 
-@lru_cache(maxsize=4)
-def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (P, INVERSE):
-        p = np.ones(1, np.uint64)
-        while len(p) < 1 << bits:
-            p = np.concatenate([p, p * np.uint64(pow(base, len(p), 1 << 64))])
-        out.append(p)
-    return out[0], out[1]
+#: Tables of powers are kept up to so many entries (8 MB each); longer ones are made for the one call.
+KEPT = 1 << 20
+_tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int, base: int = P) -> tuple[np.ndarray, np.ndarray]:
+    """Powers 0 to n - 1, at least, of ``base`` and of its inverse modulo 2**64."""
+    held = _tables.get(base)
+    if held is None or len(held[0]) < n:
+        out = []
+        for b in (base, pow(base, -1, 1 << 64)):
+            p = np.ones(1, np.uint64)
+            while len(p) < max(n, 1 << 19):
+                p = np.concatenate([p, p * np.uint64(pow(b, len(p), 1 << 64))])
+            out.append(p)
+        held = out[0], out[1]
+        if len(held[0]) <= KEPT:
+            _tables[base] = held
+    return held
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(max(19, int(n).bit_length()))
+def prefix_sums(data: np.ndarray, base: int = P) -> tuple[np.ndarray, np.ndarray]:
+    """(sums of byte * base**place, inverse powers): ``spans`` of them are polynomial hashes."""
+    up, down = powers(len(data) + 1, base)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return sums, down
+
+
+def spans(sums: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return (sums[end] - sums[begin]) * down[begin]
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -70,10 +87,7 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return mix((sums[end] - sums[begin]) * down[begin])
+    return mix(spans(*prefix_sums(data), begin, end))
 
 
 def shingle_hashes(words: np.ndarray, edges: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

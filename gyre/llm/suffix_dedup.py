@@ -1,15 +1,17 @@
-"""Removal of bytes that repeat from earlier documents, by prefix doubling over sampled suffixes.
+"""Removal of bytes that repeat from earlier documents, by prefix doubling over position-rank pairs.
 
 A byte goes if a string of 50 bytes that covers it also starts in a document of a
-smaller doc_id.  A suffix array over every position would move some twenty times
-the input, so suffixes are sampled: of the 35 strings of 16 bytes within a window of
-50, the one of the least hash is the window's anchor.  Equal windows have equal
-anchors at equal places, and one anchor serves a run of windows, so about every
-18th position is an anchor and nothing is lost.
-
-Round 1 ranks anchors by their 16 bytes: Spark deals (rank, rank of the anchor's
-whole stretch of windows, doc_id, hash of the text, position) out by rank, packed, and each task sorts
-its own.  An anchor whose 16 bytes are in one
+smaller doc_id.  ``doubled`` is the method in full: every position has the rank of
+its first 8 bytes; Spark sorts the pairs of a position's rank and the rank 8, 16 and
+then 18 bytes on, ranks them anew, and ranks that are in one document only leave, until
+50 bytes are passed.  It moves some fifty bytes a round for each byte of text, so the
+queries take ``sampled``, the same rounds over sampled suffixes: of the 35 strings of
+16 bytes within a window of 50, the one of the least hash is the window's anchor.
+Equal windows have equal anchors at equal places, and one anchor serves a run of
+windows, so about every 18th position is an anchor and nothing is lost.
+
+Round 1: Spark sorts (rank of the anchor's 16 bytes, rank of its whole stretch of
+windows, doc_id, hash of the text, position).  An anchor whose 16 bytes are in one
 document only is unique and leaves.  If a smaller document has the same stretch, all
 its windows repeat and it leaves with a mark.  Round 2 doubles: an anchor stays only
 if its 16 bytes with the 16 after or before them (one pair lies in every window) are
@@ -18,9 +20,12 @@ borders of repeats, are sorted again by rank, each with the bytes of its windows
 every 50-byte window is ranked among those of its anchor; a rank too large for a task
 deals its windows out once more.  Tasks resolve repeats among their own rows first and send on the smallest
 document of each only, so a passage in a third of all documents costs a row a task.
+Tasks hold a slice of sorted ranks at a time; Spark's sort spills what memory can't hold.
 
-Ranks are hashes (48 bits for anchors, and 40 more for stretches; 128 bits for windows), not positions in a total
-order: a later round needs equal ranks for equal strings only.
+Ranks of ``sampled`` are hashes (64 bits for anchors and, by another base, 64 more for
+stretches; two independent hashes of 64 bits for windows), not places in a total
+order: a later round needs equal ranks for equal strings only.  Ranks of ``doubled``
+are places in Spark's sorted order, from exact bytes.
 
 Defined cases: a null text is empty; a null doc_id is larger than all others; rows of
 one doc_id are judged each for itself and never against each other; texts under 50
@@ -34,6 +39,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,16 +50,17 @@ from .common import documents, written
 LENGTH, GRAM = 50, 16
 LAST = (1 << 63) - 1
 #: Anchors of a chunk; a rank with more stretches than HOT in one chunk skips round 1; a rank with more than GROUP rows is dealt out by windows.
-CHUNK, HOT, GROUP = 600_000, 2_000, 100_000
+CHUNK, HOT, GROUP = 400_000, 2_000, 100_000
 #: Keys of documents with marks are broadcast up to so many rows (some 50 MB); beyond, texts are shuffled by key.
 BROADCAST_ROWS = 1_000_000
 ROWS_T = "kind int, g long, c long, doc long, tag long, v long"
-PACKED_T = "kind int, target int, data binary"
 CONTEXT_T = "kind int, g long, doc long, tag long, v long, context binary"
 MARKS_T = "kind int, doc long, tag long, v long"
 #: tag: the 64-bit hash of the text, which tells rows of one doc_id (or of none) apart.
-#: v: 32 bits of the first window's position, 6 of the anchor's place in it, 6 of the number of windows.
-AT, OFF = 12, 6
+#: v: 8 bits each of the 16 bytes before and after the anchor (0: none), 32 of the first window's position, 6 of the anchor's place in it, 6 of the number of windows.
+LEFT, RIGHT, AT, OFF = 52, 44, 12, 6
+#: The stretch's rank that tells receivers of a hot rank, and sorts before all others.
+HOT_MARK = -(1 << 63)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -61,24 +68,13 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def spans(sums: np.ndarray, down: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return (sums[end] - sums[begin]) * down[begin]
-
-
-def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = hashing.powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
-    return sums, down
-
-
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(row, rank of the anchor's bytes, stretch and neighbours, first window in the row, anchor's place, windows)."""
+    """(row, rank of the anchor's bytes, rank of its stretch, first window in the row, v) of each anchor."""
     n, w = len(data), length - gram + 1
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64), *[np.zeros(0, np.int64)] * 3)
+    empty = (np.zeros(0, np.int64),) * 4
     if n < length:
         return empty
-    sums, down = prefix_sums(data)
+    sums, down = hashing.prefix_sums(data)
     h = hashing.mix((sums[gram:] - sums[: n + 1 - gram]) * down[: n + 1 - gram])
     low = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
     size = 1
@@ -100,14 +96,14 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tu
     count = np.diff(np.append(first, len(p)))
     row = np.searchsorted(offsets, lo, "right") - 1
     begin, end = offsets[row], offsets[row + 1]
-    stretch = hashing.mix(spans(sums, down, lo, lo + count - 1 + length) + hashing.mix((q - lo) * 64 + count, 7))
+    stretch = hashing.mix(hashing.spans(*hashing.prefix_sums(data, hashing.Q), lo, lo + count - 1 + length) + hashing.mix((q - lo) * 64 + count, 7))
     has_left, has_right = q - gram >= begin, q + 2 * gram <= end
     ql, qr = np.where(has_left, q - gram, 0), np.where(has_right, q + gram, 0)
-    top = np.uint64(56)
-    left = np.where(has_left, hashing.mix(spans(sums, down, ql, ql + gram)) >> top | np.uint64(1), np.uint64(0))
-    right = np.where(has_right, hashing.mix(spans(sums, down, qr, qr + gram)) >> top | np.uint64(1), np.uint64(0))
-    c = (stretch >> np.uint64(24)) << np.uint64(16) | left << np.uint64(8) | right
-    return row, h[q] >> np.uint64(16), c, lo - begin, q - lo, count
+    top, one = np.uint64(56), np.uint64(1)
+    left = np.where(has_left, hashing.mix(hashing.spans(sums, down, ql, ql + gram)) >> top | one, np.uint64(0)).astype(np.int64)
+    right = np.where(has_right, hashing.mix(hashing.spans(sums, down, qr, qr + gram)) >> top | one, np.uint64(0)).astype(np.int64)
+    v = left << LEFT | right << RIGHT | (lo - begin) << AT | (q - lo) << OFF | count
+    return row, h[q].view(np.int64), np.maximum(stretch.view(np.int64), HOT_MARK + 1), v
 
 
 def firsts(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -136,22 +132,6 @@ def emitted(kind: int, *columns: np.ndarray, step: int = 50_000):
         yield record(kind, *(x[a : a + step] for x in columns))
 
 
-STRETCH = np.uint64(0xFFFFFFFFFFFF0000)
-
-
-def packed(*columns: np.ndarray) -> bytes:
-    """Columns of 64-bit integers as compressed byte planes; the first, which rises, as differences."""
-    planes = [np.diff(columns[0], prepend=columns[0].dtype.type(0)), *columns[1:]]
-    return len(columns[0]).to_bytes(8, "little") + zstandard.compress(b"".join(c.view(np.uint8).reshape(-1, 8).T.tobytes() for c in planes), 1)
-
-
-def unpacked(data: bytes, columns: int) -> list[np.ndarray]:
-    n = int.from_bytes(data[:8], "little")
-    planes = np.frombuffer(zstandard.decompress(data[8:]), np.uint8).reshape(columns, 8, n)
-    out = [np.ascontiguousarray(p.T).view(np.int64).ravel() for p in planes]
-    return [np.cumsum(out[0]), *out[1:]]
-
-
 def by_chunks(source, settle, share: int = 1):
     """Accumulates tuples of columns of about CHUNK / share rows and gives what ``settle`` makes of them."""
 
@@ -170,67 +150,74 @@ def by_chunks(source, settle, share: int = 1):
     return run
 
 
-def anchor_rows(length: int, gram: int, targets: int):
-    """Round 1, sender: kind 1 marks and kind 2 anchors of hot ranks (doc, tag, v), kind 0 the others (g, c, doc, tag, v), dealt to targets by rank."""
+def anchor_rows(length: int, gram: int, share: int = 1):
+    """Round 1, sender: kind 1 marks and kind 2 anchors of hot ranks (their g is spread), kind 0 the others."""
 
     def source(batch):
         doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         for first, data, offsets in hashing.texts_of(batch.column(2)):
-            row, g, c, lo, off, count = anchors(data, offsets, length, gram)
+            row, g, c, v = anchors(data, offsets, length, gram)
             row = row + first
-            yield g, c, doc[row], tag[row], lo << AT | off << OFF | count
+            yield g, c, doc[row], tag[row], v
+
+    def spread(tag, v):
+        return hashing.mix(tag.view(np.uint64) ^ v.view(np.uint64)).view(np.int64)
 
     def settle(g, c, doc, tag, v):
-        stay, repeat = resolved([g, c & STRETCH], doc)
-        out = [(1, 0, packed(doc[repeat], tag[repeat], v[repeat]))] if len(repeat) else []
-        g, c, doc, tag, v = g[stay].view(np.int64), c[stay].view(np.int64), doc[stay], tag[stay], v[stay]  # sorted by rank
+        stay, repeat = resolved([g, c], doc)
+        yield from emitted(1, doc[repeat], tag[repeat], v[repeat], spread(tag[repeat], v[repeat]))
+        g, c, doc, tag, v = g[stay], c[stay], doc[stay], tag[stay], v[stay]  # sorted by rank
         new = np.ones(len(g), bool)
         new[1:] = g[1:] != g[:-1]
         hot = np.diff(np.append(np.flatnonzero(new), len(g))) > HOT
-        if hot.any():  # sentinels (c 0) tell the receivers; the rows themselves go on to the next round
-            own = np.repeat(hot, np.diff(np.append(np.flatnonzero(new), len(g))))
-            out.append((2, 0, packed(doc[own], tag[own], v[own])))
+        own = np.repeat(hot, np.diff(np.append(np.flatnonzero(new), len(g))))
+        if hot.any():  # HOT_MARK tells the receivers; the rows themselves go on to the next round
+            yield from emitted(2, doc[own], tag[own], v[own], spread(tag[own], v[own]))
             mark = g[np.flatnonzero(new)][hot]
             none = np.zeros(len(mark), np.int64)
-            g, c, doc, tag, v = (np.concatenate(x) for x in ((g[~own], mark), (c[~own], none), (doc[~own], none), (tag[~own], none), (v[~own], none)))
-        target = (hashing.mix(g.view(np.uint64), 12) % np.uint64(targets)).astype(np.int32)
-        order = np.lexsort((g, target))
-        ends = np.searchsorted(target[order], np.arange(targets + 1))
-        for k in np.flatnonzero(np.diff(ends)):
-            at = order[ends[k] : ends[k + 1]]
-            out.append((0, int(k), packed(g[at], c[at], doc[at], tag[at], v[at])))
-        for a in range(0, len(out), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out[a : a + 64]), (pa.int32(), pa.int32(), pa.binary()))], names=["kind", "target", "data"])
+            yield from emitted(0, none, none, none, mark, np.full(len(mark), HOT_MARK))
+        yield from emitted(0, doc[~own], tag[~own], v[~own], g[~own], c[~own])
 
-    return by_chunks(source, settle)
+    return by_chunks(source, settle, share)
 
 
 def ranked(batches):
-    """Rounds 1 and 2, receiver: sorts its target's ranks; gives (kind, doc, tag, v): kind 1 marks, kind 2 anchors that go on."""
-    held = []
+    """Rounds 1 and 2, receiver of rows sorted by rank and stretch: (kind, doc, tag, v); kind 1 marks, kind 2 anchors that go on.
+
+    Holds a slice of whole ranks; a rank of more than GROUP rows goes on without a look at its neighbours.
+    """
+    held, over = [np.zeros(0, np.int64)] * 5, None  # over: the rank that is known to go on
     for batch in batches:
-        for kind, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-            if kind:
-                yield from plain(kind, *unpacked(data, 3))
-            else:
-                held.append(unpacked(data, 5))
-    if not held:
-        return
-    g, c, doc, tag, v = (np.concatenate(x) for x in zip(*held))
-    del held
-    order = np.argsort(g, kind="stable")
-    g, c, doc, tag, v = g[order], c.view(np.uint64)[order], doc[order], tag[order], v[order]
+        kind, g, c, doc, tag, v = (batch.column(i).to_numpy() for i in range(6))
+        for k in (1, 2):
+            own = np.flatnonzero(kind == k)
+            yield from plain(k, doc[own], tag[own], v[own])
+        own = kind == 0
+        held = [np.concatenate([x, y[own]]) for x, y in zip(held, (g, c, doc, tag, v))]
+        if len(held[0]) >= GROUP:
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last rank may go on
+            if not cut:
+                over, cut = held[0][-1], len(held[0])
+            yield from rank_slice(*(x[:cut] for x in held), over)
+            held = [x[cut:] for x in held]
+    if len(held[0]):
+        yield from rank_slice(*held, over)
+
+
+def rank_slice(g, c, doc, tag, v, over):
     new = np.ones(len(g), bool)
     new[1:] = g[1:] != g[:-1]
     start, group = np.flatnonzero(new), np.cumsum(new) - 1
-    hot = (np.minimum.reduceat(c, start) == 0)[group]
+    hot = (c[start] == HOT_MARK)[group]
+    if over is not None:
+        hot |= g == over
     alone = (np.minimum.reduceat(doc, start) == np.maximum.reduceat(doc, start))[group]
-    keep = (c != 0) & (hot | ~alone)
+    keep = (c != HOT_MARK) & (hot | ~alone)
     g, c, doc, tag, v, hot = g[keep], c[keep], doc[keep], tag[keep], v[keep], hot[keep]
-    stay, repeat = resolved([g, c & STRETCH], doc)
+    stay, repeat = resolved([g, c], doc)
     yield from plain(1, doc[repeat], tag[repeat], v[repeat])
-    g, c, doc, tag, v, live = g[stay], c[stay], doc[stay], tag[stay], v[stay], hot[stay]
-    for side in ((c >> np.uint64(8)) & np.uint64(0xFF), c & np.uint64(0xFF)):
+    g, doc, tag, v, live = g[stay], doc[stay], tag[stay], v[stay], hot[stay]
+    for side in ((v >> LEFT) & 0xFF, (v >> RIGHT) & 0xFF):
         has = np.flatnonzero(side)
         if len(has):
             order = has[np.lexsort((doc[has], side[has], g[has]))]
@@ -257,11 +244,11 @@ def context_rows(length: int, gram: int):
             raw = zstandard.decompress(raw)
             v = np.array(vs[i].as_py(), np.int64)
             data = np.frombuffer(raw, np.uint8)
-            sums, down = prefix_sums(data)
+            sums, down = hashing.prefix_sums(data)
             lo = (v >> AT) & 0xFFFFFFFF
             q, end = lo + ((v >> OFF) & 63), lo + (v & 63) - 1 + length
-            g = hashing.mix(spans(sums, down, q, q + gram))
-            stretch = hashing.mix(spans(sums, down, lo, end) + hashing.mix((q - lo) * 64 + (v & 63), 7))
+            g = hashing.mix(hashing.spans(sums, down, q, q + gram))
+            stretch = hashing.mix(hashing.spans(*hashing.prefix_sums(data, hashing.Q), lo, end) + hashing.mix((q - lo) * 64 + (v & 63), 7))
             yield g, stretch, np.full(len(v), doc[i]), np.full(len(v), tag[i]), v, np.array([raw[a:b] for a, b in zip(lo, end)] + [b""], object)[:-1]
 
     def settle(g, c, doc, tag, v, context):
@@ -274,17 +261,19 @@ def context_rows(length: int, gram: int):
     return by_chunks(source, settle, 4)
 
 
-def windows(doc: np.ndarray, tag: np.ndarray, v: np.ndarray, contexts: list[bytes], length: int):
-    """(two ranks, doc, tag, v) of each window of the contexts."""
-    data = np.frombuffer(b"".join(contexts), np.uint8)
-    begin = np.cumsum([0, *map(len, contexts)])[:-1]
-    sums, down = prefix_sums(data)
-    count = v & 63
-    step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    at = np.repeat(begin, count) + step
-    w = spans(sums, down, at, at + length)
-    lo = np.repeat((v >> AT) & 0xFFFFFFFF, count) + step
-    return hashing.mix(w, 8), hashing.mix(w, 9), np.repeat(doc, count), np.repeat(tag, count), lo << AT | 1
+def windows(doc: np.ndarray, tag: np.ndarray, v: np.ndarray, contexts: list[bytes], length: int, part: int = 4000):
+    """(two ranks by independent hashes, doc, tag, v) of each window of the contexts."""
+    out = []
+    for a in range(0, len(contexts), part):
+        own, count = contexts[a : a + part], v[a : a + part] & 63
+        data = np.frombuffer(b"".join(own), np.uint8)
+        begin = np.cumsum([0, *map(len, own)])[:-1]
+        step = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        at = np.repeat(begin, count) + step
+        ranks = [hashing.mix(hashing.spans(*hashing.prefix_sums(data, base), at, at + length), 8) for base in (hashing.P, hashing.Q)]
+        lo = np.repeat((v[a : a + part] >> AT) & 0xFFFFFFFF, count) + step
+        out.append((*ranks, np.repeat(doc[a : a + part], count), np.repeat(tag[a : a + part], count), lo << AT | 1))
+    return [np.concatenate(x) for x in zip(*out)]
 
 
 def window_ranks(length: int):
@@ -375,12 +364,10 @@ def by_text(base: DataFrame, rows: DataFrame, shuffled=shrunk) -> tuple[DataFram
     return shuffled(base.join(keys, has, "left_semi")).join(named, on).drop("_ld", "_lt"), base.join(keys, has, "left_anti")
 
 
-def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc, tag, v): runs of windows that also start in a smaller document."""
-    spark = docs.sparkSession
-    targets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    sent = keyed(docs).mapInArrow(anchor_rows(length, gram, targets), PACKED_T)
-    first = written(sent.repartitionById(targets, F.when(F.col("kind") == 0, F.col("target")).otherwise(F.pmod(F.xxhash64("data"), F.lit(targets)).cast("int"))).mapInArrow(ranked, MARKS_T), "suffix-round1", compression="zstd")
+def sampled(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """(doc, tag, v): runs of windows that also start in a smaller document; by the rounds over anchors."""
+    rows = keyed(docs).mapInArrow(anchor_rows(length, gram), ROWS_T).repartition("g").sortWithinPartitions("g", "c")
+    first = written(rows.mapInArrow(ranked, MARKS_T), "suffix-round1", compression="zstd")
     left, _ = by_text(keyed(docs), first.where("kind = 2"))
     rows = left.where("vs is not null").mapInArrow(context_rows(length, gram), CONTEXT_T)
     rows = rows.repartition(F.when(F.col("kind") == 2, F.col("g")).otherwise(F.xxhash64("tag", "v"))).sortWithinPartitions("kind", "g")
@@ -390,6 +377,76 @@ def marks(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     return first.where("kind = 1").select("doc", "tag", "v").union(second.select("doc", "tag", "v"))
 
 
+def starts(size: int):
+    """Every position with ``size`` (at most 8) bytes after it: (doc, tag, p, r), r being those bytes as a number."""
+
+    def run(batches):
+        for batch in batches:
+            doc, tag = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for first, data, offsets in hashing.texts_of(batch.column(2)):
+                r = np.zeros(max(0, len(data) - size + 1), np.uint64)
+                for k in range(size):
+                    r = r << np.uint64(8) | data[k : k + len(r)].astype(np.uint64)
+                p = np.arange(len(r))
+                row = np.searchsorted(offsets, p, "right") - 1
+                at = np.flatnonzero(p + size <= offsets[row + 1])
+                for a in range(0, len(at), 50_000):
+                    own = at[a : a + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[first + row[own]]), pa.array(tag[first + row[own]]), pa.array(own - offsets[row[own]]), pa.array(r[own].view(np.int64))], names=["doc", "tag", "p", "r"])
+
+    return run
+
+
+def reranked(batches):
+    """Pairs sorted by (r, s, doc): (doc, tag, p, r, least), r being the pair's place among its partition's; pairs in one document only leave."""
+    place, last, least, known, waiting = TaskContext.get().partitionId() << 40, None, 0, False, []
+
+    def rows(doc, tag, p, r, lo):
+        return pa.RecordBatch.from_arrays(list(map(pa.array, (doc, tag, p, r, lo))), names=["doc", "tag", "p", "r", "least"])
+
+    for batch in batches:
+        r, s, doc, tag, p = (batch.column(i).to_numpy() for i in range(5))
+        if not len(r):
+            continue
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (s[1:] != s[:-1])
+        start, group = np.flatnonzero(new), np.cumsum(new) - 1
+        more = last == (r[0], s[0])  # the last batch's pair goes on
+        lo, hi = doc[start], doc[np.append(start[1:], len(r)) - 1]
+        if more:
+            lo[0] = least
+        shared = hi > lo
+        number = np.arange(len(start)) + place + (0 if more else 1)
+        if more:
+            shared[0] |= known
+            if shared[0]:
+                yield from waiting
+        own = shared[group]
+        yield rows(doc[own], tag[own], p[own], number[group][own], lo[group][own])
+        if shared[-1] or not (more and len(start) == 1):
+            waiting = []
+        if not shared[-1]:  # rows of the pair's first document wait for another one
+            own = group == group[-1]
+            waiting.append(rows(doc[own], tag[own], p[own], number[group][own], lo[group][own]))
+        last, least, known, place = (r[-1], s[-1]), lo[-1], shared[-1], number[-1]
+
+
+def doubled(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """The marks of ``sampled``, by prefix doubling over all positions: ranks are places in Spark's sorted order."""
+    size = min(8, length)
+    rows = written(keyed(docs).mapInArrow(starts(size), "doc long, tag long, p long, r long"), "suffix-starts")
+    step = 0  # the first round ranks the bytes themselves
+    while True:
+        later = rows.select("doc", "tag", (F.col("p") - step).alias("p"), F.col("r").alias("s"))
+        pairs = rows.join(later, ["doc", "tag", "p"]) if step else rows.withColumn("s", F.lit(0).cast("long"))
+        pairs = pairs.select("r", "s", "doc", "tag", "p").repartitionByRange("r", "s").sortWithinPartitions("r", "s", "doc")
+        rows = written(pairs.mapInArrow(reranked, "doc long, tag long, p long, r long, least long"), "suffix-ranks")
+        if size == length:
+            return rows.where("doc > least").select("doc", "tag", F.shiftleft("p", AT).bitwiseOR(F.lit(1)).alias("v"))
+        step = min(size, length - size)
+        size += step
+
+
 def cut(raw: bytes, vs: np.ndarray | None, length: int) -> tuple[bytes, int, int]:
     """(bytes that stay, bytes removed, removed runs)."""
     if vs is None or not len(vs):
@@ -406,9 +463,9 @@ def cut(raw: bytes, vs: np.ndarray | None, length: int) -> tuple[bytes, int, int
 CUT_T = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def removed(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(doc_id, tag, n_bytes, n_removed, n_spans, kept) of every row; kept: the bytes that stay."""
-    has, others = by_text(keyed(docs), marks(docs, length, gram))
+def removed(docs: DataFrame, length: int = LENGTH, marks=sampled) -> DataFrame:
+    """(doc_id, tag, n_bytes, n_removed, n_spans, kept) of every row; kept: the bytes that stay.  marks: ``sampled`` or ``doubled``."""
+    has, others = by_text(keyed(docs), marks(docs, length))
 
     def run(batches):
         for batch in batches:
@@ -432,7 +489,7 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column's name clashes with doc, tag or vs
     base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    has, others = by_text(base, marks(docs, length), lambda df: df)
+    has, others = by_text(base, sampled(docs, length), lambda df: df)
     both = has.select(*names.values(), "vs").toDF(*docs.columns, "vs" if "vs" not in docs.columns else "_vs")
 
     def run(batches):

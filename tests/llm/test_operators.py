@@ -103,6 +103,16 @@ def test_suffix_dedup_judges_each_text_of_a_shared_id_for_itself(spark):
     assert sorted(kept) == sorted(b[-1] for b in suffix_dedup.brute(rows))
 
 
+def test_prefix_doubling_over_all_positions_gives_the_same(spark, odd):
+    rng = np.random.default_rng(5)
+    passage = "".join(map(chr, rng.integers(97, 123, 75)))
+    rows = [(i % 40, "".join(map(chr, rng.integers(97, 123, i % 60))) + passage[i % 5 :] + "ab" * (i % 50)) for i in range(90)]
+    for df, held, length in ((odd, docs_of(odd), 50), (spark.createDataFrame(rows, "doc_id long, text string").repartition(3), rows, 50), (spark.createDataFrame(rows[:20], "doc_id long, text string"), rows[:20], 5)):
+        got = suffix_dedup.removed(df, length, suffix_dedup.doubled).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        want = [(None if b[0] == suffix_dedup.LAST else b[0], *b[1:]) for b in suffix_dedup.brute(held, length)]
+        assert sorted(map(tuple, got), key=repr) == sorted(want, key=repr)
+
+
 def test_suffix_dedup_keeps_columns(odd):
     out = suffix_dedup.deduplicated(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
