@@ -1,13 +1,15 @@
 """Media columns: payloads as Netpbm or BMP images, area-resized tiles in NPY form, difference hashes.
 
-``images`` stores bytes as 24-bit pixels, 64 to a row (192 bytes), so any payload
-of a multiple of 192 bytes is a whole image.  ``features`` decodes stored images
-(P1 to P6, or uncompressed 8- and 24-bit BMP), resizes them by area through an
-integral image, and gives an NPY tile and a 64-bit difference hash.
+``images`` makes bytes into 24-bit pixels, 64 to a row (192 bytes), so any payload
+of a multiple of 192 bytes is a whole image.  ``features`` decodes images (P1 to P6,
+or uncompressed 8- and 24-bit BMP), resizes them by area through an integral image,
+and gives an NPY tile and a 64-bit difference hash.  ``stored`` writes both as tables,
+images and then tiles, and gives what is read back from each.
 
 Defined cases: a null text is an empty one, its payload 192 blanks; equal texts
 have equal values in every column but doc_id; an empty table gives no rows; other
-columns are not read; an image that can't be decoded raises ValueError.
+columns are not read; an image that is null, cut short, of no pixel or of no known
+form gives null features and the reason in ``error`` (``decode`` itself raises ValueError).
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, written
 
 WIDTH, ROW = 64, 192
 #: Luma weights of ITU-R BT.601, in thousandths (fixed values).
@@ -63,6 +65,8 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
     if kind <= 3:
         body = re.sub(rb"#[^\n]*", b"", raw[at:])
         flat = np.frombuffer(re.sub(rb"\s+", b"", body), np.uint8) - 48 if kind == 1 else np.array(body.split(), np.int64)
+    elif len(raw) <= at + (h * -(-w // 8) if kind == 4 else n * (2 if most > 255 else 1)):
+        raise ValueError("the image ends early")
     elif kind == 4:
         bits = np.frombuffer(raw, np.uint8, h * (-(-w // 8)), at + 1).reshape(h, -1)
         flat = np.unpackbits(bits, axis=1)[:, :w].reshape(-1)
@@ -77,23 +81,32 @@ def decode_netpbm(raw: bytes) -> np.ndarray:
 
 
 def decode_bmp(raw: bytes) -> np.ndarray:
-    if raw[:2] != b"BM":
+    if raw[:2] != b"BM" or len(raw) < 54:
         raise ValueError("not a BMP image")
     at, head, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", raw, 10)
     if packed or bits not in (8, 24):
         raise ValueError("only uncompressed 8- or 24-bit BMP")
     stride = -(-w * bits // 32) * 4
+    if w < 1 or len(raw) < at + abs(h) * stride:
+        raise ValueError("the image ends early")
     rows = np.frombuffer(raw, np.uint8, abs(h) * stride, at).reshape(abs(h), stride)
     if h > 0:
         rows = rows[::-1]
     if bits == 24:
         return np.ascontiguousarray(rows[:, : w * 3].reshape(abs(h), w, 3)[:, :, ::-1])
+    if head < 40 or at < 14 + head or (at - 14 - head) % 4:
+        raise ValueError("bad colour table")
     colours = np.frombuffer(raw, np.uint8, at - 14 - head, 14 + head).reshape(-1, 4)[:, 2::-1]
+    if rows[:, :w].max(initial=0) >= len(colours):
+        raise ValueError("a colour is not in the table")
     return colours[rows[:, :w]]
 
 
 def decode(raw: bytes) -> np.ndarray:
-    return decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+    px = decode_bmp(raw) if raw[:2] == b"BM" else decode_netpbm(raw)
+    if not px.size:
+        raise ValueError("the image has no pixel")
+    return px
 
 
 def along(sums: np.ndarray, n: int) -> np.ndarray:
@@ -128,7 +141,7 @@ def grey_of(pixels: np.ndarray) -> np.ndarray:
 
 
 IMAGE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
-FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("tile", pa.binary()), ("dhash", pa.string())])
+FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary()), ("payload", pa.binary()), ("tile", pa.binary()), ("dhash", pa.string()), ("error", pa.string())])
 
 
 def images(docs: DataFrame, form: str = "ppm") -> DataFrame:
@@ -152,33 +165,44 @@ def images(docs: DataFrame, form: str = "ppm") -> DataFrame:
 
 
 def features(media: DataFrame, tile: tuple[int, int] = (16, 16)) -> DataFrame:
-    """Decodes ``media`` and adds payload (the samples as bytes), tile (NPY, uint8) and dhash (16 hexadecimal digits)."""
+    """Decodes ``media`` and adds payload (the samples as bytes), tile (NPY, uint8), dhash (16 hexadecimal digits) and error (why they are null)."""
+
+    def one(raw: bytes | None):
+        try:
+            if raw is None:
+                raise ValueError("no image")
+            px = decode(raw)
+        except ValueError as e:
+            return None, None, None, str(e)
+        grey = grey_of(px)
+        return px.tobytes(), npy(np.clip(np.floor(resized(grey, *tile) + 0.5), 0, 255).astype(np.uint8)), difference_hash(grey), None
 
     def run(batches):
         for batch in batches:
             raws = batch.column(2).to_pylist()
             for a in range(0, len(raws), 500):
-                payload, tiles, hashes = [], [], []
-                for raw in raws[a : a + 500]:
-                    px = decode(raw)
-                    grey = grey_of(px)
-                    payload.append(px.tobytes())
-                    tiles.append(npy(np.clip(np.floor(resized(grey, *tile) + 0.5), 0, 255).astype(np.uint8)))
-                    hashes.append(difference_hash(grey))
-                yield pa.record_batch([*(batch.column(i).slice(a, 500) for i in range(3)), pa.array(payload, pa.binary()), pa.array(tiles, pa.binary()), pa.array(hashes)], schema=FEATURES)
+                made = zip(*map(one, raws[a : a + 500]))
+                yield pa.record_batch([*(batch.column(i).slice(a, 500) for i in range(3)), *(pa.array(x, t.type) for x, t in zip(made, list(FEATURES)[3:]))], schema=FEATURES)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, tile binary, dhash string")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, media binary, payload binary, tile binary, dhash string, error string")
+
+
+def stored(docs: DataFrame, form: str = "ppm") -> DataFrame:
+    """doc_id, n_bytes, the digests of the payload and of the image as read back, tile, dhash and error, as read back.
+
+    Two tables in the shared folder: the images, then what was made of them as read.
+    """
+    held = written(images(docs, form), "media-images", compression="zstd")
+    digests = features(held).select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring(F.col("payload"), -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "tile", "dhash", "error",
+    )
+    return written(digests, "media-tiles", compression="zstd")
 
 
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text as a stored image and what is read back from it; feature is the hash and the tile's sha-256."""
-    made = features(images(documents(spark, sf_dir)))
-    size = F.octet_length("payload")
-    return made.select(
-        "doc_id", "n_bytes", size.cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring(F.col("payload"), -16, 16)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", "dhash", F.sha2("tile", 256)).alias("feature"),
-    )
+    return stored(documents(spark, sf_dir)).withColumn("feature", F.concat_ws(":", "dhash", F.sha2("tile", 256))).drop("tile", "dhash", "error")
 
 
 def brute(text: str | None) -> dict:
