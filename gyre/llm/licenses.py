@@ -1,19 +1,23 @@
 """License scans: MinHash bands over overlapping windows find templates, exact shingle containment verifies them.
 
-DataFrame functions only: each row is scanned where it is read, and only verified
-windows, one small row each, are shuffled.
-Words are runs of ASCII letters and digits, lower-cased; shingles are five words.
-A template of L shingles is looked for in windows of 2 L shingles that begin at
-every L-th shingle, so L shingles in a row lie within one window.  A window that
+DataFrame functions only.  Words are runs of ASCII letters and digits, lower-cased;
+shingles are five words.  A template of L shingles is looked for in windows of 2 L
+shingles that begin at every (L / 4)-th shingle (rounded down, at least one), so any
+7 L / 4 shingles in a row lie within one window: a template is found at every place,
+with a passage of up to three quarters of its length in its middle too.  A window that
 holds 0.8 of a template has a Jaccard similarity to it of 0.8 / 2.2 at least, and
 with 32 bands of one MinHash value each at least one agrees with a probability of
 1 - (1 - 0.36) ** 32 > 0.999999.  A band can agree only if the window holds the
-template's own minimal shingle of that band, so signatures are computed for
-windows with such a shingle only; the others agree in no band.
+template's own minimal shingle of that band.  So texts are read once for the places
+of such shingles, by a join with the templates' table (broadcast where it is counted
+to be small), and once more for those windows, whose bands and containment are then
+compared.  Only places and windows, small rows, are shuffled.
 
 Defined cases: a null text has no words; fewer than five words have no shingle, so
-no match; rows of equal doc_id (null, repeated) are reported once, with the best of
-their windows; equal windows: the first; an empty table gives no rows; other columns are not read.
+no match; rows of equal doc_id and text are reported once, rows of equal (or null)
+doc_id and other text each for itself; of a text's windows the one with most of the
+template, of equal ones the first; templates without a shingle match nothing, of
+templates of one name the greatest text counts; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,9 +25,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, few, written
 
-SHINGLE, BANDS, LEAST = 5, 32, 0.8
+SHINGLE, BANDS, LEAST, STEPS = 5, 32, 0.8, 4
+#: Templates are broadcast up to so many shingles in all (some 100 MB); beyond, Spark joins them by a shuffle.
+BROADCAST_SHINGLES = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Short license lines and notices, as their stewards publish them.
 TEMPLATES: dict[str, str] = {
@@ -53,54 +59,49 @@ def band(shingle: Column, b: int | Column) -> Column:
     return F.xxhash64(F.lit(b) if isinstance(b, int) else b, shingle)
 
 
-def prepared(spark: SparkSession, templates: dict[str, str], bands: int) -> list[dict]:
-    """Of each template: its shingles, its band values, and the hashes of the shingles that have them."""
-    rows = spark.createDataFrame(sorted(templates.items()), "license string, text string").withColumn("s", F.array_distinct(shingles(words(F.col("text")))))
-
-    def lowest(b: int) -> Column:
-        return F.array_min(F.transform("s", lambda x: F.struct(band(x, b).alias("v"), x.alias("s"))))
-
-    least = [lowest(b) for b in range(bands)]
-    out = []
-    for r in rows.where(F.size("s") > 0).select("license", "s", F.array(*least).alias("m")).withColumn("h", F.transform("m", lambda x: F.xxhash64(F.split(x["s"], " ")))).collect():
-        out.append({"license": r.license, "s": list(r.s), "values": [m.v for m in r.m], "hashes": sorted(set(r.h))})
-    return out
-
-
-def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = BANDS, least: float = LEAST) -> DataFrame:
-    """(doc_id, license, containment, first_word): the best window of each template that a text holds to ``least`` or more."""
-    known = prepared(docs.sparkSession, TEMPLATES if templates is None else templates, bands)
-    if not known:
-        return docs.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("first_word"))
-    owners: dict[int, list[int]] = {}
-    for k, t in enumerate(known):
-        for h in t["hashes"]:
-            owners.setdefault(h, []).append(k)
-    sizes = [len(t["s"]) for t in known]
-    of_hash = F.create_map(*[x for h, ks in sorted(owners.items()) for x in (F.lit(h), F.array(*[F.struct(F.lit(k).alias("t"), F.lit(sizes[k]).alias("n")) for k in ks]))])
-    w = F.col("_w")
-
-    def key(i: Column) -> Column:
-        return F.xxhash64(F.slice(w, i, SHINGLE))
-
-    def windows_at(i: Column) -> Column:
-        """Position i (from 1) lies in the windows that begin at shingles n * j and n * (j - 1), from 0."""
-        both = F.transform(F.element_at(of_hash, key(i)), lambda o: F.array(*[F.struct(o["t"].alias("t"), o["n"].alias("n"), (F.floor((i - 1) / o["n"]) - back).cast("int").alias("j")) for back in (0, 1)]))
-        return F.flatten(both)
-
-    positions = F.filter(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1), lambda i: key(i).isin(sorted(owners)))
-    near = F.filter(F.array_distinct(F.flatten(F.transform(positions, windows_at))), lambda c: c["j"] >= 0)
-    cut = F.transform(near, lambda c: F.struct(c["t"].alias("t"), c["n"].alias("n"), c["j"].alias("j"), F.slice(w, c["j"] * c["n"] + 1, c["n"] * 2 + SHINGLE - 1).alias("words")))
-    split = docs.select("doc_id", words(F.col("text")).alias("_w"))
-    held = split.select("doc_id", F.explode(F.when(F.size(w) >= SHINGLE, cut)).alias("c"))  # only windows that may agree leave a row
-    held = held.select("doc_id", "c.t", "c.n", "c.j", shingles(F.col("c.words")).alias("s"))
-    values = F.element_at(F.array(*[F.array(*map(F.lit, t["values"])) for t in known]), F.col("t") + 1)
-    ours = F.element_at(F.array(*[F.array(*map(F.lit, t["s"])) for t in known]), F.col("t") + 1)
-    agrees = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform("s", lambda x: F.xxhash64(b, x))) == F.element_at(values, b + 1))
-    held = held.where(agrees).select("doc_id", "t", "n", "j", (F.size(F.array_intersect("s", ours)) / F.col("n")).alias("share")).where(F.col("share") >= least)
-    best = held.groupBy("doc_id", "t").agg(F.max(F.struct("share", (-F.col("j") * F.col("n")).alias("back"))).alias("m"))
-    names = F.element_at(F.array(*[F.lit(t["license"]) for t in known]), F.col("t") + 1)
-    return best.select("doc_id", names.alias("license"), F.col("m.share").alias("containment"), (-F.col("m.back")).cast("long").alias("first_word"))
+def prepared(templates: DataFrame, bands: int) -> DataFrame:
+    """(license, n, step, s, least, hashes): a template's shingles, its values by band, and the hashes of the shingles that have them."""
+    rows = templates.groupBy("license").agg(F.max("text").alias("text")).where("license is not null")
+    rows = rows.withColumn("s", F.array_distinct(shingles(words(F.col("text"))))).where(F.size("s") > 0)
+    lowest = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform("s", lambda x: F.struct(band(x, b).alias("v"), x.alias("s")))))
+    rows = rows.withColumn("m", lowest)
+    return rows.select(
+        "license", F.size("s").alias("n"), F.greatest(F.lit(1), F.floor(F.size("s") / STEPS)).cast("int").alias("step"), "s",
+        F.transform("m", lambda x: x["v"]).alias("least"), F.array_distinct(F.transform("m", lambda x: F.xxhash64(F.split(x["s"], " ")))).alias("hashes"),
+    )
+
+
+def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, bands: int = BANDS, least: float = LEAST) -> DataFrame:
+    """(doc_id, license, containment, first_word): the best window of each template that a text holds to ``least`` or more.
+
+    templates: (license, text) rows, or texts by name; ``TEMPLATES`` if None.
+    """
+    if templates is None or isinstance(templates, dict):
+        templates = docs.sparkSession.createDataFrame(sorted((TEMPLATES if templates is None else templates).items()), "license string, text string")
+    known = written(prepared(templates, bands), "license-templates")
+    total = known.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    small = F.broadcast(known) if total <= BROADCAST_SHINGLES else known
+    owners = written(known.select("license", "n", "step", F.explode("hashes").alias("hash")), "license-hashes")
+    w, key = F.col("w"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("tx")
+
+    # First reading: places of the templates' minimal shingles, then the windows that hold them.
+    split = docs.select("doc_id", key, words(F.col("text")).alias("w")).where(F.size(w) >= SHINGLE)
+    places = split.select("doc_id", "tx", "w", F.explode(F.sequence(F.lit(1), F.size(w) - SHINGLE + 1)).alias("i")).select("doc_id", "tx", "i", F.xxhash64(F.slice(w, F.col("i"), SHINGLE)).alias("hash"))
+    first, last = F.floor((F.col("i") - 2 * F.col("n") + F.col("step") - 1) / F.col("step")), F.floor((F.col("i") - 1) / F.col("step"))
+    near = places.join(few(owners), "hash").select("doc_id", "tx", "license", "n", "step", F.explode(F.sequence(F.greatest(first, F.lit(0)).cast("int"), last.cast("int"))).alias("j")).distinct()
+    near = written(near.groupBy("doc_id", "tx").agg(F.collect_list(F.struct("license", "n", "step", "j")).alias("c")), "license-windows")  # a text's own windows
+
+    # Second reading: those windows' shingles.
+    near = near.select(F.col("doc_id").alias("nd"), F.col("tx").alias("nt"), "c")
+    held = docs.select("doc_id", key, "text").join(few(near), F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("tx") == F.col("nt")))
+    held = held.select("doc_id", "tx", words(F.col("text")).alias("w"), "c").select("doc_id", "tx", "w", F.explode("c").alias("c"))
+    start = (F.col("c.j") * F.col("c.step")).alias("start")
+    held = held.select("doc_id", "tx", "c.license", start, shingles(F.slice(w, F.col("c.j") * F.col("c.step") + 1, F.col("c.n") * 2 + SHINGLE - 1)).alias("ours"))
+    held = held.join(small, "license")
+    agrees = F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.array_min(F.transform("ours", lambda x: band(x, b))) == F.element_at("least", b + 1))
+    shares = held.where(agrees).select("doc_id", "tx", "license", "start", (F.size(F.array_intersect("ours", "s")) / F.col("n")).alias("share")).where(F.col("share") >= least)
+    best = shares.groupBy("doc_id", "tx", "license").agg(F.max(F.struct("share", (-F.col("start")).alias("back"))).alias("m"))
+    return best.select("doc_id", "license", F.col("m.share").alias("containment"), (-F.col("m.back")).cast("long").alias("first_word"))
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,12 +119,13 @@ def sql(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
     return f"""
 WITH t AS (SELECT * FROM (VALUES {values}) AS v(license, text)),
 ts AS (SELECT DISTINCT license, s FROM ({of("t", "license")})),
-tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
-hits AS (SELECT doc_id, license, n, p, d.s FROM ({of("documents", "doc_id")}) AS d JOIN ts ON d.s = ts.s JOIN tn USING (license)),
-held AS (SELECT doc_id, license, n, s, p // n - back AS j FROM hits, (VALUES (0), (1)) AS b(back)),
-shares AS (SELECT doc_id, license, n, j, count(DISTINCT s) / max(n) AS share FROM held WHERE j >= 0 GROUP BY doc_id, license, n, j)
-SELECT doc_id, license, max(share) AS containment, arg_max(j * n, {{'a': share, 'b': -j}})::BIGINT AS first_word
-FROM shares WHERE share >= {least} GROUP BY doc_id, license
+tn AS (SELECT license, count(*) AS n, greatest(1, count(*) // {STEPS}) AS step FROM ts GROUP BY license),
+d AS (SELECT doc_id, text, md5(coalesce(text, '')) AS tx FROM documents),
+hits AS (SELECT doc_id, tx, license, n, step, p, d.s FROM ({of("d", "doc_id, tx")}) AS d JOIN ts ON d.s = ts.s JOIN tn USING (license)),
+held AS (SELECT doc_id, tx, license, n, step, s, unnest(range(greatest(0, (p - 2 * n + step) // step), p // step + 1)) AS j FROM hits),
+shares AS (SELECT doc_id, tx, license, step, j, count(DISTINCT s) / max(n) AS share FROM held GROUP BY doc_id, tx, license, step, j)
+SELECT doc_id, license, max(share) AS containment, arg_max(j * step, {{'a': share, 'b': -j}})::BIGINT AS first_word
+FROM shares WHERE share >= {least} GROUP BY doc_id, tx, license
 """
 
 
