@@ -3,12 +3,13 @@
 The tokenizer of ``word_bpe_49k.json`` drops white space and never looks across
 it, so a text's ids are the ids of its space-separated words, one after another.
 ``WordIds`` keeps the ids of words it has met (a bounded table) and asks the
-tokenizers library only for new ones.  ``plain=False`` encodes whole texts, for
-tokenizers that do look across white space.
+tokenizers library only for new ones.  Any other file (``is_plain`` reads its
+normalizer, pattern and model) has whole texts encoded by the library.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from functools import lru_cache
@@ -40,6 +41,24 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+#: What a file must say for its texts to be encoded by words (fixed values).
+PLAIN_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def is_plain(path: str) -> bool:
+    """Whether the tokenizer folds case, drops white space, never looks across it, and shows bytes in the usual way."""
+    with open(path, encoding="utf-8") as f:
+        held = json.load(f)
+    steps = (held.get("normalizer") or {}).get("normalizers", [])
+    cuts = (held.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in cuts] != ["Split", "ByteLevel"]:
+        return False
+    split, shown = cuts
+    drops = split["pattern"] == {"Regex": PLAIN_PATTERN} and split["behavior"] == "Removed" and split["invert"]
+    marks = all(x["content"].startswith("<|") and not x["lstrip"] and not x["rstrip"] for x in held.get("added_tokens", []))
+    return bool(held["model"]["type"] == "BPE" and drops and marks and not shown["add_prefix_space"] and not shown["use_regex"])
+
+
 class WordIds:
     """Ids by word, through a table of at most ``limit`` words by 64-bit hash and as many pieces.
 
@@ -51,11 +70,11 @@ class WordIds:
     PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
     SIMPLE = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0139-\u0148\u014a-\u017e]+")
 
-    def __init__(self, path: str, limit: int = 400_000, plain: bool = True):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.tok, self.limit, self.plain = Tokenizer.from_file(path), limit, plain
+        self.tok, self.limit, self.plain = Tokenizer.from_file(path), limit, is_plain(path)
         self.model = self.tok.model
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level vocabularies show as they are
         hidden = [b for b in range(256) if b not in set(shown)]
@@ -165,7 +184,7 @@ class WordIds:
         return (np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])) if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
-@lru_cache(maxsize=2)
-def word_ids(path: str, plain: bool = True) -> WordIds:
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
     """One table per Python worker."""
-    return WordIds(path, plain=plain)
+    return WordIds(path)
