@@ -225,10 +225,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def accepted(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the classifier accepts, with their columns; it learns from the labels whose documents are there.
 
+    Of rows that repeat a doc_id the one of the least statistics is learnt from.
     Without both classes (under two rows of either) nothing was learnt, so nothing is refused: docs stay as they are.
     """
     rows = written(featured(docs, ["doc_id"]), "quality-features")
-    model = trained(rows.dropDuplicates(["doc_id"]), labels, ~held_out(F.col("doc_id")))
+    model = trained(rows.groupBy("doc_id").agg(F.min("x").alias("x")), labels, ~held_out(F.col("doc_id")))
     if not model.known:
         return docs
     held = docs.sparkSession.sparkContext.broadcast(model)
