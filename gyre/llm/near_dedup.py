@@ -1,7 +1,7 @@
 """Near-duplicate classes by DartMinHash signatures, banded joining and exact verification.
 
-A text's shingles (five words, ASCII letters lower-cased) are elements of weight 1,
-or of their number of times (``weighting="count"``).  Every element owns a plane of
+A text's shingles (five words, ASCII letters lower-cased) are elements; an element's
+weight is its number of times in the text (``weighting="unit"``: 1).  Every element owns a plane of
 weight and rank on which hashed darts fall as a Poisson process of density one; an
 element of weight w keeps the darts under w.  A set of total weight W looks at ranks
 up to (k log k + 2 k) / W, where about k log k + 2 k darts lie, whatever its size;
@@ -12,10 +12,12 @@ agree in a coordinate with the probability of their weighted Jaccard similarity.
 
 Equal texts are one text.  In a band's bucket every text is held against the
 bucket's first one, its most central, not against all; the links that hold make
-classes, and only pairs of a bucket that are in different classes after that are
+classes (a centre's shingles are sent once to each task that has members of its
+bucket), and only pairs of a bucket that are in different classes after that are
 verified in a second round, less those that counts of shingles rule out (see
 ``possible``).  So a bucket of n copies costs about n verifications, and no link
-between different classes is lost.  Verification is exact on the sets of 64-bit shingle hashes.  Classes come from
+between different classes is lost.  Verification is the exact weighted Jaccard similarity
+(least over greatest counts) on 64-bit shingle hashes.  Classes come from
 label propagation with pointer jumping over written tables.
 
 Defined cases: a null text is an empty one; texts without a word are alike only if
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import hashing
-from .common import documents, written
+from .common import documents, dropped, few, written
 
 BANDS, ROWS, SHINGLE, LEAST = 26, 5, 5, 0.8
 #: Texts that take part in a pair are broadcast as (hash, id) up to so many rows (some 100 MB); beyond, their join shuffles.
@@ -150,8 +152,8 @@ def sets(docs: DataFrame, wanted: DataFrame, weighting: str) -> DataFrame:
     return own.select("h", "text").mapInArrow(run, "h string, s array<long>")
 
 
-def jaccard(pairs: DataFrame, held: DataFrame, ids: DataFrame) -> DataFrame:
-    """(a, b, sim) of pairs of node numbers; held: (h, s); ids: (node, h)."""
+def jaccard(pairs: DataFrame, held: DataFrame, cut: float) -> DataFrame:
+    """(a, b, sim) of pairs of node numbers; held: (node, s), written.  Where sizes alone show that sim is under ``cut``, it is 0."""
 
     def run(batches):
         for batch in batches:
@@ -161,21 +163,24 @@ def jaccard(pairs: DataFrame, held: DataFrame, ids: DataFrame) -> DataFrame:
             sims = np.zeros(batch.num_rows)
             for i in range(batch.num_rows):
                 x, y = av[ao[i] : ao[i + 1]], bv[bo[i] : bo[i + 1]]
-                if min(len(x), len(y)) < LEAST_RATIO * max(len(x), len(y)):
-                    continue  # sizes alone rule it out
+                if min(len(x), len(y)) < cut * max(len(x), len(y)):
+                    continue
                 at = np.searchsorted(x, y)
                 both = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y))
                 sims[i] = both / (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["a", "b", "sim"])
 
-    by = ids.join(held.dropDuplicates(["h"]), "h").select("node", "s")
-    left = pairs.join(by.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
-    both = left.join(by.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return both.mapInArrow(run, "a long, b long, sim double")
+    # A centre of many pairs is dealt over all tasks by the other side's hash, and its shingles go once to each of them.
+    tasks = F.lit(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), tasks))
+    centres = dealt.select("a", "deal").distinct().join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
+    members = dealt.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    return members.join(centres, ["a", "deal"]).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, sim double")
 
 
-#: Under this ratio of sizes a pair's similarity is reported as 0.
-LEAST_RATIO = 0.5
+def cut_of(least: float) -> float:
+    """Under this similarity pairs need no exact value."""
+    return least * 0.625
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -187,42 +192,44 @@ def components(links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("j"))
         step = labels.join(near, "node").join(jump, "label", "left").select("node", F.least("label", "l", "j").alias("new"), "label")
         step = written(step, "near-labels")
+        dropped(labels)
         changed = step.where("new < label").limit(1).count()
         labels = step.select("node", F.col("new").alias("label"))
         if not changed:
             return labels
 
 
-def labelled(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, weighting: str = "unit") -> tuple[DataFrame, DataFrame]:
+def labelled(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS, weighting: str = "count") -> tuple[DataFrame, DataFrame]:
     """((doc_id, h) of every row, (h, doc_id, label, links) of every text): texts of one class have one label; doc_id is the least of the text."""
     sig = written(signatures(docs, bands, rows, weighting), "near-signatures")
     texts = sig.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
     nodes = written(texts.withColumn("node", F.xxhash64("h")), "near-nodes")
     keys = written(nodes.select("node", F.explode("bands").alias("key")), "near-bands")
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
-    shared = written(keys.join(sizes, "key"), "near-shared")
+    shared = written(keys.join(few(sizes), "key"), "near-shared")
     # A bucket's first text is the one that shares buckets with most others: copies of one text have that text for it.
-    central = shared.groupBy("node").agg(F.sum("n").alias("c"))
-    shared = shared.join(central, "node").select("key", "node", F.struct((-F.col("c")).alias("c"), "node").alias("o"))
-    firsts = shared.groupBy("key").agg(F.min("o")["node"].alias("first"))
-    buckets = written(shared.select("key", "node").join(firsts, "key"), "near-buckets")
+    central = written(shared.groupBy("node").agg(F.sum("n").alias("c")), "near-central")
+    firsts = shared.join(few(central), "node").groupBy("key").agg(F.min(F.struct((-F.col("c")).alias("c"), "node"))["node"].alias("first"))
+    firsts = written(firsts, "near-firsts")
+    buckets = written(shared.select("key", "node").join(few(firsts), "key"), "near-buckets")
     pairs = written(buckets.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "near-pairs")
-    wanted = written(nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "h", "doc_id"), "near-wanted")
-    held = written(sets(docs, wanted, weighting), "near-sets")
-    tested = written(jaccard(pairs, held, wanted), "near-tested")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("node", "h", "doc_id")
+    wanted = written(wanted, "near-wanted")
+    held = written(wanted.select("node", "h").join(sets(docs, wanted, weighting).dropDuplicates(["h"]), "h").select("node", "s"), "near-sets")
+    tested = written(jaccard(pairs, held, cut_of(least)), "near-tested")
     links = tested.where(F.col("sim") >= least)
     labels = components(links)
     # Second round: pairs of one bucket, but of different classes, that counts don't rule out.
     known = tested.select(F.col("a").alias("first"), F.col("b").alias("node"), "sim")
     at = buckets.join(known, ["first", "node"], "left").withColumn("sim", F.when(F.col("node") == F.col("first"), 1.0).otherwise(F.col("sim")))
-    at = at.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    split = at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high")
-    at = written(at.join(split.select("key"), "key"), "near-mixed")
-    more = possible(at, held.join(wanted.select("node", "h"), "h").join(at.select("node").distinct(), "node", "left_semi"), least)
+    at = written(at.join(few(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labelled")
+    split = written(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "near-split")
+    at = written(at.join(few(split), "key"), "near-mixed")
+    more = possible(at, held.join(few(written(at.select("node").distinct(), "near-nodes")), "node", "left_semi"), least)
     more = more.select(F.least("xn", "yn").alias("a"), F.greatest("xn", "yn").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(more, "near-more")
     if more.limit(1).count():
-        again = written(jaccard(more, held, wanted), "near-tested").where(F.col("sim") >= least)
+        again = written(jaccard(more, held, cut_of(least)), "near-tested").where(F.col("sim") >= least)
         links = links.union(again)
         labels = components(links)
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
@@ -254,16 +261,17 @@ def possible(at: DataFrame, held: DataFrame, least: float) -> DataFrame:
     alone = held.select("node", F.explode("s").alias("e")).join(once, "e").groupBy("node").agg(F.count("*").alias("u"))
     facts = written(held.select("node", F.size("s").alias("size")).dropDuplicates(["node"]).join(alone, "node", "left").select("node", "size", F.coalesce("u", F.lit(0)).alias("u")), "near-facts")
     own = at.join(facts, "node").join(facts.select(F.col("node").alias("first"), F.col("size").alias("fsize")), "first")
-    # A similarity of 0 stands for any under a half: the least that X can be then.
-    sim = F.when(F.col("sim") > 0, F.col("sim")).otherwise(0.5)
+    # A similarity of 0 stands for any under the cut: the least that X can be then.
+    sim = F.when(F.col("sim") > 0, F.col("sim")).otherwise(cut_of(least))
     both = F.col("size") + F.col("fsize")
     own = own.withColumn("x", both - 2 * both * sim / (1 + sim)).withColumn("spare", F.when(F.col("sim") > 0, F.col("x") - 2 * F.col("u")).otherwise(F.lit(1e18)))
     own = own.withColumn("outer", F.col("sim") < least)
-    top = own.groupBy("key").agg(F.max("size").alias("most"), F.min("size").alias("small"))
-    own = own.join(top, "key").withColumn("need", F.col("x") - ratio * (F.col("size") + F.col("most")))
-    needs = own.groupBy("key").agg(F.min(F.when(F.col("outer"), F.col("need"))).alias("outer_need"), F.min("need").alias("any_need"))
+    own = written(own, "near-facts")
+    top = written(own.groupBy("key").agg(F.max("size").alias("most"), F.min("size").alias("small")), "near-facts")
+    own = written(own.join(few(top), "key").withColumn("need", F.col("x") - ratio * (F.col("size") + F.col("most"))), "near-facts")
+    needs = written(own.groupBy("key").agg(F.min(F.when(F.col("outer"), F.col("need"))).alias("outer_need"), F.min("need").alias("any_need")), "near-facts")
     fits = F.col("size") - F.col("u") >= least / (1 + least) * (F.col("size") + F.greatest(F.col("small"), least * F.col("size"))) - 1e-6
-    own = written(own.where(fits).join(needs, "key").where(F.col("spare") >= F.when(F.col("outer"), F.col("any_need")).otherwise(F.col("outer_need")) - 1e-6), "near-possible")
+    own = written(own.where(fits).join(few(needs), "key").where(F.col("spare") >= F.when(F.col("outer"), F.col("any_need")).otherwise(F.col("outer_need")) - 1e-6), "near-possible")
 
     def side(p: str) -> DataFrame:
         return own.select("key", *[F.col(c).alias(p + c) for c in ("node", "label", "size", "x", "u", "spare", "outer", "first")])

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import io
 import math
 import re
 import zlib
@@ -170,11 +171,12 @@ def test_lm_softmax_sums_to_one():
 
 
 # 4
-def exact_classes(rows, least=0.8):
+def exact_groups(rows, least=0.8):
+    """Classes of row numbers, by all pairs' weighted similarity."""
     sets = {}
     for k, (_, t) in enumerate(rows):
         w = [x.lower() for x in WORDS.findall(t or "")]
-        sets[k] = frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+        sets[k] = collections.Counter([tuple(w[i : i + 5]) for i in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)] if w else [])
     parent = {k: k for k in sets}
 
     def find(x):
@@ -185,19 +187,23 @@ def exact_classes(rows, least=0.8):
     for a in sets:
         for b in range(a):
             same = (rows[a][1] or "") == (rows[b][1] or "")
-            if same or sets[a] and sets[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+            if same or sets[a] and sets[b] and (sets[a] & sets[b]).total() >= least * (sets[a] | sets[b]).total():
                 parent[find(a)] = find(b)
     groups = collections.defaultdict(list)
     for k in sets:
         groups[find(k)].append(rows[k][0])
-    return sorted(repr((d, min((x for x in g if x is not None), default=None))) for g in groups.values() for d in g)
+    return list(groups.values())
+
+
+def exact_classes(rows, least=0.8):
+    return sorted(repr((d, min((x for x in g if x is not None), default=None))) for g in exact_groups(rows, least) for d in g)
 
 
 def test_near_dedup_equals_brute_force(odd):
     rows = docs_of(odd)
     assert sorted(repr((r.doc_id, r.class_id)) for r in near_dedup.classes(odd).collect()) == exact_classes(rows)
     out = near_dedup.deduplicated(odd)
-    assert out.columns == odd.columns and out.count() == len({x.rsplit(",", 1)[1] for x in exact_classes(rows)})
+    assert out.columns == odd.columns and out.count() == len(exact_groups(rows))  # class ids may be null or equal
 
 
 def test_near_dedup_keeps_a_row_of_each_class_where_ids_are_null_or_repeat(spark):
@@ -211,6 +217,22 @@ def test_near_dedup_keeps_a_row_of_each_class_where_ids_are_null_or_repeat(spark
     assert got == sorted((t, repr(d)) for d, t in zip(ids, texts))
 
 
+def test_near_dedup_weighs_repeats_and_takes_other_thresholds(spark):
+    """Repeated lines count as often as they stand; under a low threshold pairs of unlike sizes are links too."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for g in range(12):
+        body = [f"w{x}" for x in rng.integers(0, 10**6, 60)]
+        line = [f"r{x}" for x in rng.integers(0, 10**6, 9)]
+        rows += [(len(rows) + i, " ".join(body + line * times)) for i, times in enumerate((1, 2, 9, 10))]
+        rows += [(len(rows), " ".join(body[: 20 + g]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for least, bands, per in ((0.8, 26, 5), (0.3, 60, 1)):
+        got = near_dedup.classes(df, least=least, bands=bands, rows=per).collect()
+        assert sorted(repr((r.doc_id, r.class_id)) for r in got) == exact_classes(rows, least)
+    assert len(exact_groups(rows, 0.8)) > len(exact_groups(rows, 0.3))
+
+
 def test_near_dedup_second_round_loses_no_link(spark):
     """Chains of copies of copies: ends are unlike the first, but linked through others."""
     rng = np.random.default_rng(3)
@@ -281,6 +303,20 @@ def test_word_ids_equal_the_library(texts):
     assert lens.tolist() == list(map(len, want)) and ids.tolist() == [x for w in want for x in w]
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_other_tokenizer_files_give_the_library_s_ids(spark, odd, tmp_path, name):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    tok = Tokenizer.from_file(path)
+    want = collections.Counter(np.array(tok.encode(t or "", add_special_tokens=False).ids + [2], "<u4").tobytes() for _, t in docs_of(odd))
+    got = token_files.read(spark, token_files.write(odd, str(tmp_path / "t"), path))
+    assert collections.Counter(bytes(r.ids) for r in got.collect()) == want
+    assert packing.pack(odd, path).agg(F.sum("length")).first()[0] == sum(len(raw) // 4 * n for raw, n in want.items())
+    assert tokens.is_plain(path) == (name == "word_bpe_49k.json")
+
+
 def test_full_word_table_still_encodes():
     small = tokens.WordIds(tokens.default_path(), limit=8)
     texts = ["one two three four five six", "seven eight nine ten one two", "alpha beta gamma delta epsilon zeta eta theta"]
@@ -317,10 +353,22 @@ def test_licenses_equal_sql(spark, sf, odd_dir):
     assert rows_of(registry.QUERIES["op7_license_scan"](spark, path)) == by_duckdb(licenses.OP7_SQL, documents=path + "/documents.parquet/*.parquet")
     assert {r.doc_id for r in licenses.scan(df).collect()} == {1, 3, 5, 6}
     assert licenses.scan(df, templates={}).count() == 0
+    none = spark.createDataFrame([(None, "x " + licenses.TEMPLATES["MIT line"]), (None, licenses.TEMPLATES["MIT line"]), (None, licenses.TEMPLATES["MIT line"]), (None, licenses.TEMPLATES["GPL-3.0 line"])], "doc_id long, text string")
+    assert licenses.scan(none).count() == 3  # texts of no id are kept apart, repeated rows are one
+    table = spark.createDataFrame([("a", licenses.TEMPLATES["MIT notice"]), ("a", None), ("b", ""), (None, "x")], "license string, text string")
+    assert {r.doc_id for r in licenses.scan(df, table).collect()} == {1, 6}
     plan = licenses.scan(df)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+@pytest.mark.parametrize("name", ["Apache-2.0 notice", "MIT notice"])
+def test_licenses_with_a_passage_inside_are_found_at_every_offset(spark, name):
+    text = licenses.TEMPLATES[name].split()
+    rows = [(k, " ".join(f"w{x}" for x in range(k)) + " " + " ".join(text[: len(text) // 2] + [f"v{x}" for x in range(30)] + text[len(text) // 2 :])) for k in range(70)]
+    found = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r.doc_id for r in found.where(F.col("license") == name).collect()} == set(range(70))
+
+
 # 8
 def exact_top(rows, every, k):
     held = []
@@ -418,6 +466,17 @@ def test_image_codecs():
         media.decode(b"GIF89a")
 
 
+def test_bad_images_give_null_and_the_reason(spark):
+    rgb = np.arange(60, dtype=np.uint8).reshape(4, 5, 3)
+    bad = [None, b"", b"BM", media.to_bmp(rgb)[:60], media.to_ppm(rgb)[:-1], b"P6\n0 0\n255\n", b"P6\n3 3\n0\n", b"P5\n2 2\n255", b"P4\n9 2\n\x00", b"P1\n2 2\n1 0", b"BM" + bytes(60), b"GIF89a"]
+    rows = [(i, 0, raw) for i, raw in enumerate([*bad, media.to_bmp(rgb), media.to_ppm(rgb)])]
+    out = {r.doc_id: r for r in media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    for i in range(len(bad)):
+        assert out[i].error and out[i].payload is None and out[i].tile is None and out[i].dhash is None
+    good = [out[len(bad)], out[len(bad) + 1]]
+    assert all(r.error is None and bytes(r.payload) == rgb.tobytes() and np.load(io.BytesIO(r.tile)).shape == (16, 16) for r in good) and good[0].dhash == good[1].dhash
+
+
 def test_area_resize_is_the_mean_of_areas():
     grey = np.arange(24, dtype=float).reshape(4, 6)
     assert np.allclose(media.resized(grey, 2, 3), grey.reshape(2, 2, 3, 2).mean(axis=(1, 3)))
