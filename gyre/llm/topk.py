@@ -1,36 +1,39 @@
 """Exact top-k inner products by norm buckets.
 
-Vectors become integers floor(scale * x).  Candidates are sorted into buckets by
-length (the boundaries are quantiles of all lengths) and a bucket into blocks of
-bounded rows, by a hash, however many vectors have one length.  Queries form
-blocks of bounded rows.  First every query meets one block of the longest
-vectors, which gives it a score that its k-th best can't fall below.  Divided by
-the query's and the bucket's length that is a local cosine threshold; pairs of
-blocks whose threshold is over 1 for all queries never meet.  In the others each
-query prunes by length, where its threshold is high enough that lengths alone
-decide, or by coordinates: partial products over its largest coordinates plus the
-Cauchy-Schwarz bound of the rest.  What is left is verified by exact integer
-products, and each pair of blocks returns at most k rows a query.
+Vectors become integers floor(scale * x) and are written once, range-partitioned by
+length (ties by a hash, so that vectors of one length are split too), the longest
+first: each task reads buckets of falling length.  Queries form slices of bounded
+size; a slice is broadcast, and all candidates are scanned where they lie, so no
+candidate is shuffled.  First the slice meets a few rows only (the longest and a hash
+sample), which gives each query a score that its k-th best can't fall below.  Divided
+by the query's length and the longest of a bucket that floor is a local cosine
+threshold: over 1, the query skips the bucket; over ``HIGH`` it prunes by length, as
+only the bucket's first rows are long enough; over ``LOW`` by coordinates, by partial
+products over its largest ones plus the Cauchy-Schwarz bound of the rest; under it no
+pruning pays.  What is left is verified by exact integer products.  Floors rise as a
+task goes on, and each task returns at most k rows a query.
 
 Defined cases: vectors that are null or hold null or non-finite components take no
 part; shorter vectors count as filled up with zeros, an empty one as all zeros;
 ties go to the smaller id; rows with a null id take no part; repeated ids are rows
-of their own, a query never meets rows of its own id; an empty table gives no
-rows; other columns are not read.  Products are exact while they fit 64 bits.
+of their own, a query never meets rows of its own id, and its repeated rows have one
+result, that of the greatest vector; an empty table gives no rows; other columns are
+not read.  Products are exact while they fit 64 bits.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import written
 
-BUCKETS, BLOCK, QUERY_BLOCK, COORDS = 16, 8192, 4096, 16
+COORDS, LOW, HIGH = 16, 0.3, 0.8
+#: A slice of queries is at most so many numbers (32 MB); the floors come from about SAMPLE candidates.
+SLICE, SAMPLE = 1 << 22, 8192
+LEAST = -(1 << 62)
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -42,111 +45,142 @@ def integers(rows: DataFrame, vec: str = "embedding", scale: int = 256) -> DataF
     return out.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))))
 
 
-def matrix(vs: pd.Series, dim: int) -> np.ndarray:
-    lens = np.array([len(v) for v in vs])
-    if len(vs) and (lens == dim).all():
-        return np.stack(vs.to_numpy()).astype(np.int64)
-    out = np.zeros((len(vs), dim), np.int64)
-    for row, v in zip(out, vs):
-        row[: len(v)] = v
-    return out
-
-
-def products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer products; by floating point where that is exact."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * max(1, q.shape[1])
-    return np.rint(q.astype(float) @ c.T.astype(float)).astype(np.int64) if most < 2**52 else q @ c.T
-
-
-def best_of(q_ids, scores, c_ids, k: int, floor=None):
-    """At most k (query, candidate, score) a query, by score and then the smaller id."""
-    out = []
-    for i, row in enumerate(scores):
-        ok = c_ids != q_ids[i]
-        if floor is not None:
-            ok &= row >= floor[i]
-        at = np.flatnonzero(ok)
-        if len(at) > k:
-            kth = np.partition(row[at], len(at) - k)[len(at) - k]
-            at = at[row[at] >= kth]
-        at = at[np.lexsort((c_ids[at], -row[at]))][:k]
-        out += [(q_ids[i], c_ids[j], row[j]) for j in at]
+def matrix(values: pa.ListArray, dim: int) -> np.ndarray:
+    """Rows of an array column, filled up with zeros or cut to ``dim``."""
+    flat, ends = values.flatten().to_numpy(zero_copy_only=False), values.offsets.to_numpy() - values.offsets[0].as_py()
+    lens = np.diff(ends)
+    if (lens == dim).all():
+        return flat.reshape(len(lens), dim)
+    out = np.zeros((len(lens), dim), np.int64)
+    row = np.repeat(np.arange(len(lens)), lens)
+    at = np.arange(len(flat)) - np.repeat(ends[:-1], lens)
+    own = at < dim  # what a query lacks is zero
+    out[row[own], at[own]] = flat[own]
     return out
 
 
-def search_pair(q: pd.DataFrame, c: pd.DataFrame, k: int) -> pd.DataFrame:
-    """One query block against one candidate block; q has floor: a score that may be none (the least long)."""
-    if not len(q) or not len(c):
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-    dim = max(max(map(len, q.v)), max(map(len, c.v)), 1)
-    c = c.sort_values("norm", ascending=False, kind="stable")
-    qm, cm = matrix(q.v, dim), matrix(c.v, dim)
-    q_ids, c_ids = q.query_id.to_numpy(), c.vec_id.to_numpy()
-    qn, cn, floor = q.norm.to_numpy(), c.norm.to_numpy(), q.floor.to_numpy()
-    cosine = floor / np.maximum(qn * cn[0], 1e-300)
-    rows: list[tuple[int, int, int]] = []
-    live = np.flatnonzero((cosine <= 1 + 1e-9) | (floor <= 0))
-    by_length = live[(cosine[live] > 0.8)]  # few candidates are long enough; lengths come sorted
-    by_coords = live[(cosine[live] > 0.3) & (cosine[live] <= 0.8)]
-    plain = live[cosine[live] <= 0.3]
-    for i in by_length:
-        n = int(np.searchsorted(-cn, -(floor[i] / max(qn[i], 1e-300)) * (1 - 1e-9), "right"))
-        rows += best_of(q_ids[i : i + 1], products(qm[i : i + 1], cm[:n]), c_ids[:n], k, floor[i : i + 1])
-    for i in by_coords:
-        top = np.argsort(-np.abs(qm[i]), kind="stable")[: min(COORDS, dim)]
-        part = cm[:, top].astype(float)
-        rest_q = math.sqrt(max(0.0, qn[i] ** 2 - float((qm[i, top].astype(float) ** 2).sum())))
-        rest_c = np.sqrt(np.maximum(0, cn**2 - (part**2).sum(axis=1)))
-        n = np.flatnonzero(part @ qm[i, top].astype(float) + rest_q * rest_c >= floor[i] - 1e-6 * abs(float(floor[i])) - 1e-3)
-        rows += best_of(q_ids[i : i + 1], products(qm[i : i + 1], cm[n]), c_ids[n], k, floor[i : i + 1])
-    for a in range(0, len(plain), 256):
-        own = plain[a : a + 256]
-        rows += best_of(q_ids[own], products(qm[own], cm), c_ids, k, floor[own])
-    return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+class Search:
+    """The k best candidates so far of each of a slice's queries; ``meet`` takes a bucket's rows, the longest first."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int):
+        order = np.argsort(ids, kind="stable")
+        self.ids, self.q, self.k, self.floor = ids[order], q[order], k, floor[order].copy()
+        self.norm = np.sqrt((self.q.astype(np.float64) ** 2).sum(axis=1))
+        self.top = np.argsort(-np.abs(self.q), axis=1, kind="stable")[:, : min(COORDS, q.shape[1])]
+        part = np.take_along_axis(self.q, self.top, 1).astype(np.float64)
+        self.rest = np.sqrt(np.maximum(0.0, self.norm**2 - (part**2).sum(axis=1)))
+        self.most = float(np.abs(q).max(initial=0))
+        self.best = [np.zeros(0, np.int64)] * 3  # query's place, candidate, score
+
+    def exact(self, rows: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Integer products; by floating point where that is exact."""
+        if self.most * float(np.abs(c).max(initial=0)) * max(1, c.shape[1]) < 2**52:
+            return np.rint(self.q[rows].astype(np.float64) @ c.T.astype(np.float64)).astype(np.int64)
+        return self.q[rows] @ c.T
+
+    def meet(self, c_ids: np.ndarray, c: np.ndarray, norm: np.ndarray) -> None:
+        if not len(c_ids) or not len(self.ids):
+            return
+        reach = self.norm * norm[0]
+        cosine = np.where(self.floor > 0, self.floor / np.maximum(reach, 1e-300), np.where(self.floor > LEAST, 0.0, -1.0))
+        live = cosine <= 1 + 1e-9
+        found = []
+
+        def keep(rows, n, scores):  # n: the candidates' places
+            at, j = np.nonzero(scores >= self.floor[rows][:, None])
+            own = rows[at]
+            other = c_ids[n[j]] != self.ids[own]
+            found.append((own[other], c_ids[n[j]][other], scores[at, j][other]))
+
+        every = np.arange(len(c_ids))
+        plain = np.flatnonzero(live & (cosine <= LOW))
+        for a in range(0, len(plain), 128):
+            rows = plain[a : a + 128]
+            keep(rows, every, self.exact(rows, c))
+            if (self.floor[rows] == LEAST).any():
+                self.settle(found)
+                found.clear()
+        by_length = np.flatnonzero(live & (cosine > HIGH))
+        need = self.floor[by_length] / np.maximum(self.norm[by_length], 1e-300) * (1 - 1e-9)
+        by_length = by_length[np.argsort(-need, kind="stable")]
+        for a in range(0, len(by_length), 64):  # queries of like need share their candidates
+            rows = by_length[a : a + 64]
+            n = int(np.searchsorted(-norm, -float(np.sort(need)[::-1][a : a + 64].min()), "right"))
+            keep(rows, every[:n], self.exact(rows, c[:n]))
+        by_coords = np.flatnonzero(live & (cosine > LOW) & (cosine <= HIGH))
+        if len(by_coords):
+            turned = np.ascontiguousarray(c.T).astype(np.float64)
+            squares = turned**2
+            whole = squares.sum(axis=0)
+            for i in by_coords:
+                top = self.top[i]
+                bound = self.q[i, top].astype(np.float64) @ turned[top] + self.rest[i] * np.sqrt(np.maximum(0, whole - squares[top].sum(axis=0)))
+                n = np.flatnonzero(bound >= self.floor[i] - 1e-6 * abs(float(self.floor[i])) - 1e-3)
+                if len(n):
+                    keep(np.array([i]), n, self.exact(np.array([i]), c[n]))
+        self.settle(found)
+
+    def settle(self, found: list) -> None:
+        """Keeps the k best of each query, and raises its floor once it has k."""
+        q, c, s = (np.concatenate(x) for x in zip(self.best, *found))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        own = place < self.k
+        self.best = [q[own], c[own], s[own]]
+        full = own & (place == self.k - 1)
+        self.floor[q[full]] = np.maximum(self.floor[q[full]], s[full])
+
+
+def scan(candidates: DataFrame, held, k: int) -> DataFrame:
+    """At most k rows a query and task; held: the broadcast (ids, matrix, floors) of a slice."""
+
+    def run(batches):
+        ids, q, floor = held.value
+        search = Search(ids, q, floor, k)
+        for batch in batches:
+            norm = batch.column(2).to_numpy()
+            order = np.argsort(-norm, kind="stable")
+            search.meet(batch.column(0).to_numpy()[order], matrix(batch.column(1), q.shape[1])[order], norm[order])
+        own, vec_id, score = search.best
+        for a in range(0, len(own), 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (search.ids[own], vec_id, score)], names=["query_id", "vec_id", "score"])
+
+    return candidates.select("vec_id", "v", "norm").mapInArrow(run, FOUND)
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec: str = "embedding") -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best candidates of each row under ``is_query`` (a condition on vec_id)."""
-    ints = written(integers(vectors, vec, scale), "topk-integers")
-    n_q = ints.where(is_query).count()
-    edges = [float("-inf"), *sorted(set(ints.agg(F.percentile_approx("norm", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0] or [])), float("inf")]
-    bucket = F.lit(0)
-    for e in edges[1:-1]:
-        bucket = bucket + F.when(F.col("norm") >= e, 1).otherwise(0)  # 0: the shortest
-    put = ints.withColumn("bucket", bucket.cast("int"))
-    sizes = {r[0]: r[1] for r in put.groupBy("bucket").count().collect()}
-    splits = F.create_map(*[F.lit(x) for b, s in sorted(sizes.items()) for x in (b, max(1, -(-s // BLOCK)))]) if sizes else F.create_map(F.lit(0), F.lit(1))
-    put = put.withColumn("block", F.concat_ws("-", "bucket", F.pmod(F.xxhash64("vec_id"), splits[F.col("bucket")])))
-    cands = put.select("block", "vec_id", "v", "norm")
-    queries = ints.where(is_query)
-    queries = queries.select(F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(max(1, -(-n_q // QUERY_BLOCK)))).alias("qb"), F.col("vec_id").alias("query_id"), "v", "norm")
-    blocks = cands.groupBy("block").agg(F.max("norm").alias("most"))
-    first = [r.block for r in blocks.orderBy(F.col("most").desc(), "block").limit(1).collect()]
-
-    def meet(q: DataFrame, c: DataFrame, pairs: DataFrame) -> DataFrame:
-        """pairs (qb, block): each side goes to the pairs it is in."""
-        to = pairs.select(F.col("qb").alias("to_qb"), F.col("block").alias("to_block"))
-        left = q.toDF(*q.columns).join(to, F.col("qb") == F.col("to_qb")).select("to_qb", "to_block", "query_id", "v", "norm", "floor")
-        right = c.select("block", "vec_id", F.col("v").alias("cv"), F.col("norm").alias("cn")).join(to, F.col("block") == F.col("to_block"))
-        right = right.select(F.col("to_qb").alias("c_qb"), F.col("to_block").alias("c_block"), "vec_id", F.col("cv").alias("v"), F.col("cn").alias("norm"))
-        return left.groupBy("to_qb", "to_block").cogroup(right.groupBy("c_qb", "c_block")).applyInPandas(lambda a, b: search_pair(a, b, k), FOUND)
-
-    least = -(2**62)
-    qbs = queries.select("qb").distinct()
-    near = meet(queries.withColumn("floor", F.lit(least).cast("double")), cands.where(F.col("block").isin(first)), qbs.withColumn("block", F.lit(first[0] if first else "")))
-    near = written(near, "topk-first")
-    floors = near.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s")).select("query_id", F.when(F.col("n") >= k, F.col("s")).alias("s"))
-    queries = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce(F.col("s").cast("double"), F.lit(least).cast("double"))).drop("s")
-    queries = written(queries, "topk-queries")
-    # A query block meets a block if one of its queries may reach its floor there.  Pairs of block names, not of rows.
-    reach = queries.groupBy("qb").agg(F.min(F.when(F.col("norm") > 0, F.col("floor") / F.col("norm")).otherwise(F.lit(0.0))).alias("need"))
-    pairs = reach.join(blocks.where(~F.col("block").isin(first)), F.col("most") >= F.col("need") * (1 - 1e-9)).select("qb", "block")
-    found = near.union(meet(queries, cands, pairs))
+    return found.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec: str = "embedding", most: int = SLICE) -> DataFrame:
+    """(query_id, rank, vec_id, score) of the k best candidates of each row under ``is_query`` (a condition on vec_id).
+
+    most: numbers of a slice of queries, the only rows that pass through the driver, a slice at a time.
+    """
+    spark = vectors.sparkSession
+    by = [F.col("norm").desc(), F.xxhash64("vec_id")]
+    ints = written(integers(vectors, vec, scale).repartitionByRange(*by).sortWithinPartitions(*by), "topk-integers")
+    total, dim = ints.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    queries = ints.where(is_query).groupBy("vec_id").agg(F.max("v").alias("v"))
+    slices = max(1, -(-queries.count() * max(1, dim) // most))
+    edge = ints.agg(F.percentile_approx("norm", 1 - min(1.0, SAMPLE / 2 / max(1, total)), 10_000)).first()[0] or 0.0
+    often = F.lit(max(1, 2 * total // SAMPLE))
+    sample = ints.where((F.pmod(F.xxhash64("vec_id", F.lit(1)), often) == 0) | (F.col("norm") > edge))  # any rows give true floors
+    found = None
+    for i in range(slices):
+        own = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(slices)) == i).toArrow()
+        ids = own.column("vec_id").to_numpy()
+        rows = own.column("v").combine_chunks()
+        rows = matrix(rows if isinstance(rows, pa.Array) else pa.array([], pa.list_(pa.int64())), dim)
+        none = np.full(len(ids), LEAST, np.int64)
+        near = ranked(scan(sample, spark.sparkContext.broadcast((ids, rows, none)), k), k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
+        floors = near.where(F.col("n") == k).select("query_id", "s").toArrow()
+        at = np.argsort(ids, kind="stable")
+        none[at[np.searchsorted(ids[at], floors.column(0).to_numpy())]] = floors.column(1).to_numpy()
+        part = scan(ints, spark.sparkContext.broadcast((ids, rows, none)), k)
+        found = part if found is None else found.union(part)
     return ranked(found, k).select("query_id", "rank", "vec_id", "score")
 
 

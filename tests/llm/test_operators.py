@@ -392,22 +392,23 @@ def test_topk_equals_brute_force(spark, spread):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect())
     assert got == exact_top(rows, 50, 5)
+    assert sorted(tuple(r) for r in topk.top_k(df, F.col("vec_id") % 50 == 0, most=60).collect()) == exact_top(rows, 50, 5)  # in slices
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert sorted(tuple(r) for r in topk.top_k(few, F.col("vec_id") % 50 == 0).collect()) == exact_top(rows[:3], 50, 5)
 
 
 @pytest.mark.parametrize("floors", [-1e9, 0.35, 0.9])
 def test_topk_prunes_without_loss(floors):
-    import pandas as pd
-
     rng = np.random.default_rng(6)
     c = rng.integers(-200, 200, (300, 20))
     q = c[:10] + rng.integers(-20, 20, (10, 20))
     norm = lambda m: np.sqrt((m.astype(float) ** 2).sum(axis=1))
-    floor = floors * norm(q) * norm(c).max() if floors > 0 else np.full(10, floors)
-    qf = pd.DataFrame({"query_id": np.arange(10) + 1000, "v": list(q), "norm": norm(q), "floor": floor})
-    cf = pd.DataFrame({"vec_id": np.arange(300), "v": list(c), "norm": norm(c)})
-    got = {(r.query_id, r.vec_id, r.score) for r in topk.search_pair(qf, cf, 5).itertuples()}
+    floor = np.floor(floors * norm(q) * norm(c).max()).astype(np.int64) if floors > 0 else np.full(10, topk.LEAST)
+    search = topk.Search(np.arange(10) + 1000, q, floor, 5)
+    order = np.argsort(-norm(c))
+    for own in (order[:90], order[90:200], order[200:]):  # floors rise from bucket to bucket
+        search.meet(own, c[own], norm(c)[own])
+    got = {(1000 + int(i), int(j), int(s)) for i, j, s in zip(*search.best)}
     want = set()
     for i in range(10):
         s = q[i] @ c.T
