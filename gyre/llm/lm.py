@@ -1,14 +1,17 @@
 """LM scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-Words fall into 256 leaves: the 128 most frequent are leaves of their own, the
-others go by their last bytes.  A leaf's probability given the leaves before it
-is that of its class (16) times its own within the class (16), both softmaxes over
-sums of hashed features: the last leaf, the last two, and the second and third last
-(skips).  A word within a shared leaf has its smoothed share of the leaf's training
-counts.  Text beginnings have a leaf of their own as context.
-
-Training goes over every training document once, in ``ROUNDS`` rounds of disjoint
-documents.  In a round each task takes gradient steps on a copy of the weights, and
+What is predicted is a word's leaf: the 128 most frequent words are leaves of their
+own, the others share 128 more by their last bytes.  A leaf's probability given the
+words before it is that of its class (16) times its own within the class (16), both
+softmaxes over sums of hashed features: the last word by its own hash, whatever its
+leaf, and the leaves of the last word, of the last two and of the second last (a
+skip).  A word within a shared leaf has its smoothed share of the leaf's training counts.  Text beginnings have a
+word of their own as context.  The tables of hashed features grow with the distinct
+training words, up to 2**15 and 2**17 rows (a bound: 10 MB a task and copy).
+
+Training goes over every training document once, in rounds of disjoint documents, one
+more for each doubling of the training words over ``ROUND_TOKENS``.  In a round each
+task takes gradient steps on a copy of the weights, and
 the copies' changes are averaged by words; only the averaged tables, of fixed size,
 reach the driver.  The counts of all training words stay a distributed table: the
 most frequent 2**18 are broadcast (a bound), and the counts of other words are
@@ -25,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,10 +36,12 @@ from pyspark.sql import functions as F
 from . import hashing
 from .common import documents, fold, written
 
-K, TOP, LEAVES, START = 16, 128, 256, 256
+K1, K2, TOP = 16, 16, 128
+LEAVES = K1 * K2
+START = np.uint64(0x2545F4914F6CDD1D)
 FREQUENT = 1 << 18
-BITS1, BITS2, FEATURES = 14, 16, 4
-ROUNDS, BATCH, RATE = 2, 8192, 0.5
+BITS1, BITS2, FEATURES = 15, 17, 4
+ROUNDS, ROUND_TOKENS, BATCH, RATE, DAMPING = 2, 40_000_000, 8192, 0.5, 1.0
 END = np.uint64(0x5851F42D4C957F2D)
 CHUNK = 2_000_000
 
@@ -109,17 +115,16 @@ def counted(batches):
         yield from flush()
 
 
-def contexts(leaf: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Feature hashes (n x FEATURES, uint64)."""
-    padded = np.concatenate([np.full(3, START), leaf])
-    ago = []
-    for k in (1, 2, 3):
-        x = padded[3 - k : len(padded) - k]
-        same = np.zeros(len(row), bool)
-        same[k:] = row[k:] == row[:-k]
-        ago.append(np.where(same, x, START).astype(np.uint64))
-    one, two, three = ago
-    return np.stack([hashing.mix(one, 21), hashing.mix(one * np.uint64(512) + two, 22), hashing.mix(two, 23), hashing.mix(three, 24)], axis=1)
+def contexts(h: np.ndarray, row: np.ndarray, leaf: np.ndarray | None = None) -> np.ndarray:
+    """Feature hashes (n x FEATURES, uint64) of the words before each word, and of the last two's leaves."""
+    h = h.astype(np.uint64)
+    padded, coarse = (np.concatenate([np.full(2, START), x]) for x in (h, h if leaf is None else leaf.astype(np.uint64)))
+    n = len(row)
+    same = [np.concatenate([np.zeros(min(k, n), bool), row[k:] == row[: max(0, n - k)]]) for k in (1, 2)]
+    one = np.where(same[0], padded[1 : 1 + n], START)
+    first, second = (np.where(s, coarse[2 - k : 2 - k + n], START) for k, s in zip((1, 2), same))
+    p = np.uint64(hashing.P)
+    return np.stack([hashing.mix(x, seed) for seed, x in enumerate((first, first * p + second, second, one), 21)], axis=1)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -127,21 +132,29 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
+def bits_for(distinct: int) -> tuple[int, int]:
+    """Table sizes, as powers of two, for so many distinct training words."""
+    n = max(1, int(distinct)).bit_length()
+    return min(BITS1, max(10, n + 2)), min(BITS2, max(12, n + 4))
+
+
 class Model:
-    """Weights of the class level (hashed features x K) and of the leaf level (hashed features and class x K)."""
+    """Weights of the class level (hashed features x K1) and of the leaf level (hashed features and class x K2)."""
 
     def __init__(self, w1: np.ndarray, w2: np.ndarray, b1: np.ndarray, b2: np.ndarray):
         self.w1, self.w2, self.b1, self.b2 = w1, w2, b1, b2
+        self.down1, self.down2 = (np.uint64(65 - len(w).bit_length()) for w in (w1, w2))
 
     @classmethod
-    def start(cls, counts: np.ndarray) -> "Model":
+    def start(cls, counts: np.ndarray, bits: tuple[int, int] = (BITS1, BITS2)) -> "Model":
         """Biases from the leaves' counts, no other weight."""
-        by = (counts.astype(np.float64) + 0.5).reshape(K, K)
-        return cls(np.zeros((1 << BITS1, K), np.float32), np.zeros((1 << BITS2, K), np.float32), np.log(by.sum(axis=1) / by.sum()).astype(np.float32), np.log(by / by.sum(axis=1, keepdims=True)).astype(np.float32))
+        by = (counts.astype(np.float64) + 0.5).reshape(K1, K2)
+        w1, w2 = (np.zeros((1 << b, k), np.float32) for b, k in zip(bits, (K1, K2)))
+        return cls(w1, w2, np.log(by.sum(axis=1) / by.sum()).astype(np.float32), np.log(by / by.sum(axis=1, keepdims=True)).astype(np.float32))
 
     def rows(self, f: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        r1 = (f >> np.uint64(64 - BITS1)).astype(np.int64)
-        r2 = (((f ^ (cls[:, None].astype(np.uint64) * np.uint64(hashing.P))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - BITS2)).astype(np.int64)
+        r1 = (f >> self.down1).astype(np.int64)
+        r2 = (((f ^ (cls[:, None].astype(np.uint64) * np.uint64(hashing.P))) * np.uint64(0xBF58476D1CE4E5B9)) >> self.down2).astype(np.int64)
         return r1, r2
 
     def sums(self, r1: np.ndarray, r2: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,7 +165,7 @@ class Model:
         return z1, z2
 
     def log10(self, leaf: np.ndarray, f: np.ndarray) -> np.ndarray:
-        cls, own = leaf // K, leaf % K
+        cls, own = leaf // K2, leaf % K2
         z1, z2 = self.sums(*self.rows(f, cls), cls)
         at = np.arange(len(leaf))
         out = np.zeros(len(leaf))
@@ -162,22 +175,25 @@ class Model:
         return out / np.log(10)
 
     def step(self, leaf: np.ndarray, f: np.ndarray, past: tuple[np.ndarray, np.ndarray], rate: float) -> None:
-        """One gradient step on a batch; ``past`` sums squared gradients, which scale the steps."""
-        cls, own = leaf // K, leaf % K
+        """One gradient step on a batch; ``past`` sums the squared gradients of each table row, which scale its steps."""
+        cls, own = leaf // K2, leaf % K2
         r1, r2 = self.rows(f, cls)
         z1, z2 = self.sums(r1, r2, cls)
-        at, column = np.arange(len(leaf)), np.arange(K)
+        at = np.arange(len(leaf))
         for w, r, z, y, g2 in ((self.w1, r1, z1, cls, past[0]), (self.w2, r2, z2, own, past[1])):
             p = softmax(z)
             p[at, y] -= 1
-            flat, back = np.unique(r, return_inverse=True)
-            g = np.zeros((len(flat), K), np.float32)
-            back = back.reshape(r.shape)
-            for k in range(FEATURES):
-                cell = (back[:, k, None] * K + column).ravel()
-                g += np.bincount(cell, weights=p.ravel(), minlength=g.size).reshape(g.shape)
-            g2[flat] += g * g
-            w[flat] -= rate * g / np.sqrt(g2[flat] + 1.0)
+            flat = np.flatnonzero(np.bincount(r.ravel(), minlength=len(w)))  # the table's rows that are met
+            place = np.zeros(len(w), np.int64)
+            place[flat] = np.arange(len(flat)) * w.shape[1]
+            begin, column, p = place[r], np.arange(w.shape[1]), p.astype(np.float64).ravel()
+            g = np.zeros(len(flat) * w.shape[1])
+            for i in range(FEATURES):
+                g += np.bincount((begin[:, i, None] + column).ravel(), weights=p, minlength=len(g))
+            g = g.astype(np.float32).reshape(-1, w.shape[1])
+            g2[flat] += np.einsum("ij,ij->i", g, g)
+            g *= (rate / np.sqrt(g2[flat] / w.shape[1] + DAMPING)).astype(np.float32)[:, None]
+            w[flat] -= g
 
 
 def gradient_task(model: Model, top: np.ndarray, rate: float):
@@ -186,21 +202,21 @@ def gradient_task(model: Model, top: np.ndarray, rate: float):
     def run(batches):
         find = Lookup(top)
         own = Model(model.w1.copy(), model.w2.copy(), model.b1, model.b2)
-        past = (np.zeros_like(own.w1), np.zeros_like(own.w2))
+        past = (np.zeros(len(own.w1)), np.zeros(len(own.w2)))
         n = 0
         for batch in batches:
             for _, data, offsets in hashing.texts_of(batch.column(0)):
                 h, leaf, row = tokens_of(data, offsets)
                 rank = find(h)
                 leaf = np.where(rank >= 0, rank, leaf)
-                f = contexts(leaf, row)
+                f = contexts(h, row, leaf)
                 for a in range(0, len(leaf), BATCH):
                     own.step(leaf[a : a + BATCH], f[a : a + BATCH], past, rate)
                 n += len(leaf)
         if n:
             delta = np.concatenate([(own.w1 - model.w1).ravel(), (own.w2 - model.w2).ravel()])
             for i, part in enumerate(np.split(delta, PARTS)):
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([part.astype(np.float16).tobytes()], pa.binary())], names=["part", "n", "delta"])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([n], pa.int64()), pa.array([zstandard.compress(part.astype(np.float16).tobytes(), 1)], pa.binary())], names=["part", "n", "delta"])
 
     return run
 
@@ -209,8 +225,8 @@ PARTS = 16
 
 
 def averaged(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(d, np.float16).astype(np.float64) * n for d, n in zip(pdf.delta, pdf.n))
-    return pd.DataFrame({"part": [pdf.part.iloc[0]], "n": [int(pdf.n.sum())], "delta": [(total / pdf.n.sum()).astype(np.float16).tobytes()]})
+    total = sum(np.frombuffer(zstandard.decompress(d), np.float16).astype(np.float64) * n for d, n in zip(pdf.delta, pdf.n))
+    return pd.DataFrame({"part": [pdf.part.iloc[0]], "n": [int(pdf.n.sum())], "delta": [zstandard.compress((total / pdf.n.sum()).astype(np.float16).tobytes(), 1)]})
 
 
 def summed(changes: DataFrame) -> DataFrame:
@@ -220,14 +236,14 @@ def summed(changes: DataFrame) -> DataFrame:
     return first.groupBy("part").applyInPandas(averaged, "part int, n long, delta binary")
 
 
-def train(texts: DataFrame, leaf_counts: np.ndarray, top: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Model:
+def train(texts: DataFrame, leaf_counts: np.ndarray, top: np.ndarray, rounds: int, bits: tuple[int, int], rate: float = RATE) -> Model:
     """texts: (text, round) of the training documents."""
-    model = Model.start(leaf_counts)
+    model = Model.start(leaf_counts, bits)
     for i in range(rounds):
         changes = texts.where(F.col("round") == i).select("text").mapInArrow(gradient_task(model, top, rate / (i + 1)), "part int, n long, delta binary")
         parts = sorted((r.part, r.delta) for r in summed(changes).collect())
         if parts:
-            delta = np.concatenate([np.frombuffer(d, np.float16) for _, d in parts]).astype(np.float32)
+            delta = np.concatenate([np.frombuffer(zstandard.decompress(d), np.float16) for _, d in parts]).astype(np.float32)
             model = Model(model.w1 + delta[: model.w1.size].reshape(model.w1.shape), model.w2 + delta[model.w1.size :].reshape(model.w2.shape), model.b1, model.b2)
     return model
 
@@ -252,7 +268,7 @@ def scoring_task(model: Model, top: np.ndarray, keys: np.ndarray, counts: np.nda
                 h, leaf, row = tokens_of(data, offsets)
                 rank, place = find_top(h), find(h)
                 leaf = np.where(rank >= 0, rank, leaf)
-                f = contexts(leaf, row)
+                f = contexts(h, row, leaf)
                 p = np.concatenate([model.log10(leaf[a : a + BATCH], f[a : a + BATCH]) for a in range(0, len(leaf), BATCH)])
                 had = place >= 0
                 own = np.where(had, logs_of[np.maximum(place, 0)], 0.0) if len(logs_of) else np.zeros(len(h))
@@ -292,7 +308,7 @@ def frequent(vocab: DataFrame) -> DataFrame:
     return vocab.where(cls >= least)
 
 
-def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
+def score(docs: DataFrame, held_out: Column, rounds: int | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row; learns from rows whose ``held_out`` is false."""
     at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
     train_docs = at.where(~F.col("held_out"))
@@ -307,7 +323,8 @@ def score(docs: DataFrame, held_out: Column, rounds: int = ROUNDS) -> DataFrame:
     shared = vocab.where(~F.col("h").isin(top.view(np.int64).tolist())) if len(top) else vocab
     for leaf, n, words in shared.groupBy("leaf").agg(F.sum("n"), F.count("*")).collect():
         leaf_counts[leaf], leaf_words[leaf] = n, words
-    model = train(train_docs.select("text", F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)).alias("round")), leaf_counts, top, rounds)
+    rounds = rounds or ROUNDS + max(0, int(total) // ROUND_TOKENS).bit_length()
+    model = train(train_docs.select("text", F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(rounds)).alias("round")), leaf_counts, top, rounds, bits_for(distinct))
     norms = np.log10(leaf_counts + 0.5 * (leaf_words + 1))
     scored = written(at.mapInArrow(scoring_task(model, top, keys, counts, norms), DOC_T), "lm-scored")
     rare = scored.where("h is not null").select("rid", "h", "m").join(vocab.select("h", "n"), "h", "left")

@@ -162,6 +162,51 @@ def test_lm_on_odd_rows(odd):
     assert len(out) == odd.count() and all(np.isfinite(r.score) and r.n_tokens >= 1 for r in out)
 
 
+def test_lm_scores_equal_a_plain_sum_over_words(spark, monkeypatch):
+    """score against loops over words with the trained model's tables: feature hashes, class and leaf softmax, shares of leaves."""
+    rng = np.random.default_rng(9)
+    names, often = [f"w{x}" for x in range(300)], 1.0 / np.arange(1, 301)
+    rows = [(i, " ".join(rng.choice(names, int(rng.integers(0, 40)), p=often / often.sum()))) for i in range(80)] + [(80, None), (81, "unseen words here")]
+    held, train = [], lm.train
+
+    def kept(*args):
+        held.append((args, train(*args)))
+        return held[-1][1]
+
+    monkeypatch.setattr(lm, "train", kept)
+    out = {r.doc_id: r for r in lm.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(2), F.col("doc_id") % 5 == 1).collect()}
+    (_, leaf_counts, top, *_), model = held[0]
+    assert np.abs(model.w1).max() > 0 and len(model.w1) < 1 << lm.BITS1
+    counts = collections.Counter(w for d, t in rows if d % 5 != 1 for w in [*(t or "").split(), None])
+
+    def facts(word):
+        if word is None:
+            h, leaf = int(lm.END), lm.TOP
+        else:
+            h, leaf, _ = (int(x[0]) for x in lm.tokens_of(np.frombuffer(word.encode(), np.uint8), np.array([0, len(word)])))
+        rank = np.flatnonzero(top == np.uint64(h))
+        return h, int(rank[0]) if len(rank) else leaf, len(rank) > 0
+
+    sharing = collections.Counter(facts(w)[1] for w in counts)
+    for d, t in rows:
+        total, past = 0.0, [(int(lm.START), int(lm.START))] * 2
+        for w in [*(t or "").split(), None]:
+            h, leaf, alone = facts(w)
+            cls, own = divmod(leaf, lm.K2)
+            (one, first), (_, second) = past[-1], past[-2]
+            keys = (first, (first * hashing.P + second) % 2**64, second, one)
+            f = [int(hashing.mix(np.array([k], np.uint64), seed)[0]) for seed, k in enumerate(keys, 21)]
+            n1, n2 = len(model.w1).bit_length() - 1, len(model.w2).bit_length() - 1
+            z1 = sum(model.w1[x >> (64 - n1)].astype(float) for x in f) + model.b1
+            z2 = sum(model.w2[((x ^ (cls * hashing.P % 2**64)) * 0xBF58476D1CE4E5B9 % 2**64) >> (64 - n2)].astype(float) for x in f) + model.b2[cls]
+            for z, y in ((z1, cls), (z2, own)):
+                total += math.log10(math.exp(z[y]) / np.exp(z).sum())
+            if not alone:
+                total += math.log10((counts[w] + 0.5) / (leaf_counts[leaf] + 0.5 * (sharing[leaf] + 1)))
+            past.append((h, leaf))
+        assert out[d].score == pytest.approx(total, rel=1e-4, abs=1e-4)
+
+
 def test_lm_softmax_sums_to_one():
     model = lm.Model.start(np.arange(lm.LEAVES))
     rng = np.random.default_rng(0)
