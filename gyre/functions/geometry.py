@@ -50,9 +50,23 @@ def triangle_split(dx, dy, v00, v10, v01, v11) -> Column:
     return F.when(dx + dy <= 1, v00 + (v10 - v00) * dx + (v01 - v00) * dy).otherwise(v11 + (v01 - v11) * (1 - dx) + (v10 - v11) * (1 - dy))
 
 
+def triangle_split_up(dx, dy, v00, v10, v01, v11) -> Column:
+    """Linear on the two triangles of a cell cut from (0, 0) to (1, 1)."""
+    return F.when(dx < dy, v00 + (v11 - v01) * dx + (v01 - v00) * dy).otherwise(v00 + (v10 - v00) * dx + (v11 - v10) * dy)
+
+
 def nearest(dx, dy, v00, v10, v01, v11) -> Column:
-    """The nearest corner; at a middle, the upper one."""
-    return F.when(dx < 0.5, F.when(dy < 0.5, v00).otherwise(v01)).otherwise(F.when(dy < 0.5, v10).otherwise(v11))
+    """The nearest corner; at a middle, the lower one."""
+    return F.when(dx <= 0.5, F.when(dy <= 0.5, v00).otherwise(v01)).otherwise(F.when(dy <= 0.5, v10).otherwise(v11))
+
+
+def bracket_any(x: Column, axis: list[float]) -> Column:
+    """Index i with x between axis[i] and axis[i + 1] of an irregular axis that rises or falls; the first node of an interval is in it, the axis' last node too; outside: null."""
+    up = axis[-1] > axis[0]
+    nodes = F.array(*[F.lit(float(a)) for a in axis])
+    passed = F.size(F.filter(nodes, (lambda a: a <= x) if up else (lambda a: a >= x))) - 1
+    inside = (x >= min(axis)) & (x <= max(axis))
+    return F.when(inside, F.least(passed, F.lit(len(axis) - 2)))
 
 
 def bracket(x: Column, start: float, step: float, n: int) -> Column:
@@ -80,8 +94,8 @@ def clockwise(points: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
 
 
-def in_convex(x: Column, y: Column, points: Column, eps: float = 1e-8, inclusive: bool = True) -> Column:
-    """Whether a point lies in a convex polygon (either order), by the signs of cross products."""
+def in_convex(x: Column, y: Column, points: Column, eps: float = 1e-8, inclusive: bool = True, vertex: float = 1e-3) -> Column:
+    """Whether a point lies in a convex polygon (either order), by the signs of cross products; one within ``vertex`` of a corner does if ``inclusive``, else not."""
     n = F.size(points)
 
     def cross(i: Column) -> Column:
@@ -90,7 +104,24 @@ def in_convex(x: Column, y: Column, points: Column, eps: float = 1e-8, inclusive
 
     edge = -eps if inclusive else eps
     at = F.sequence(F.lit(0), n - 1)
-    return F.forall(at, lambda i: cross(i) >= edge) | F.forall(at, lambda i: -cross(i) >= edge)
+    inner = F.forall(at, lambda i: cross(i) >= edge) | F.forall(at, lambda i: -cross(i) >= edge)
+    corner = F.exists(points, lambda p: F.hypot(x - p["x"], y - p["y"]) < vertex)
+    return (corner | inner) if inclusive else (~corner & inner)
+
+
+def crossings(x0: Column, y0: Column, x1: Column, y1: Column, points: Column) -> Column:
+    """Points (x, y) where the open segment crosses the open edges of a polygon, in the order of edges; parallel ones don't cross."""
+    n = F.size(points)
+
+    def met(i: Column) -> Column:
+        a, b = F.get(points, i), F.get(points, (i + 1) % n)
+        ex, ey, sx, sy = b["x"] - a["x"], b["y"] - a["y"], x1 - x0, y1 - y0
+        d = sx * ey - sy * ex
+        t, u = ((a["x"] - x0) * ey - (a["y"] - y0) * ex) / d, ((a["x"] - x0) * sy - (a["y"] - y0) * sx) / d
+        ok = (d != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
+        return F.when(ok, F.struct((x0 + t * sx).alias("x"), (y0 + t * sy).alias("y")))
+
+    return F.filter(F.transform(F.sequence(F.lit(0), n - 1), met), lambda p: p.isNotNull())
 
 
 def rotate_vector(u: Column, v: Column, theta: Column, missing: float = -1e14) -> tuple[Column, Column]:
@@ -108,6 +139,27 @@ def lagrange(nodes: list[float], i: int, x: Column) -> Column:
     return out
 
 
+def lagrange2d(xs: list[float], ys: list[float], values: list[list[float]], x: Column, y: Column) -> Column:
+    """The polynomial through values[i][j] at (xs[i], ys[j])."""
+    return sum((lagrange(xs, i, x) * lagrange(ys, j, y) * values[i][j] for i in range(len(xs)) for j in range(len(ys))), F.lit(0.0))
+
+
+def cubic_spline(xs: list[float], values: list[float], second: list[float], x: Column) -> Column:
+    """A cubic spline with the given second derivatives at its knots; beyond the ends the end pieces go on."""
+    k = F.greatest(F.lit(0), F.coalesce(bracket_any(F.greatest(F.least(x, F.lit(max(xs))), F.lit(min(xs))), xs), F.lit(0)))
+    at = lambda v, i: F.get(F.array(*[F.lit(float(c)) for c in v]), i)
+    h = at(xs, k + 1) - at(xs, k)
+    a, b = (at(xs, k + 1) - x) / h, (x - at(xs, k)) / h
+    return a * at(values, k) + b * at(values, k + 1) + ((a * a * a - a) * at(second, k) + (b * b * b - b) * at(second, k + 1)) * h * h / 6
+
+
+def eigen2(a: Column, b: Column, c: Column) -> tuple[Column, Column, Column, Column]:
+    """(lambda1, lambda2, vx, vy) of the symmetric matrix (a, b; b, c): lambda1 >= lambda2, (vx, vy) the unit vector of lambda1, (1, 0) where all are alike."""
+    mid, off = (a + c) / 2, F.hypot((a - c) / 2, b)
+    theta = F.when(off == 0, 0.0).otherwise(F.atan2(b, (a - c) / 2) / 2)
+    return mid + off, mid - off, F.cos(theta), F.sin(theta)
+
+
 def polynomial2d(x: Column, y: Column, coefficients: dict[tuple[int, int], float]) -> Column:
     """Sum of c x**i y**j."""
     out = F.lit(0.0)

@@ -20,14 +20,15 @@ def last_value(rows: DataFrame, ts: Column, length: str, by: list[str], value: C
 
 
 def block_mean(grid: DataFrame, factor: int, value: str, fill: float | None = None) -> DataFrame:
-    """Mean of each factor x factor block, to the nearest whole number; fill values don't count."""
-    rows = grid if fill is None else grid.where(F.col(value) != fill)
-    return rows.groupBy(F.floor(F.col("i") / factor).alias("bi"), F.floor(F.col("j") / factor).alias("bj")).agg(F.floor(F.avg(value) + 0.5).alias(value))
+    """Mean of each factor x factor block, to the nearest whole number; fill values don't count, and a block of them alone is fill."""
+    held = F.col(value) if fill is None else F.when(F.col(value) != fill, F.col(value))
+    mean = F.floor(F.avg(held) + 0.5).cast("double")
+    return grid.groupBy(F.floor(F.col("i") / factor).alias("bi"), F.floor(F.col("j") / factor).alias("bj")).agg((mean if fill is None else F.coalesce(mean, F.lit(float(fill)))).alias(value))
 
 
 def block_sample(grid: DataFrame, factor: int) -> DataFrame:
-    """The cell in the middle of each block."""
-    mid = factor // 2
+    """The cell in the middle of each block: half the factor, rounded up."""
+    mid = (factor + 1) // 2
     return grid.where((F.col("i") % factor == mid) & (F.col("j") % factor == mid))
 
 
@@ -49,4 +50,4 @@ def scattered(points: DataFrame, grid: DataFrame, radius: float, value: str, kin
     q = grid.withColumns({"bx": F.floor(F.col("gx") / radius).cast("long"), "by": F.floor(F.col("gy") / radius).cast("long")})
     d2 = F.pow(F.col("px") - F.col("gx"), F.lit(2)) + F.pow(F.col("py") - F.col("gy"), F.lit(2))
     w = {"cressman": (r2 - d2) / (r2 + d2), "idw": 1 / F.greatest(d2, F.lit(1e-12)), "bucket": F.lit(1.0)}[kind]
-    return q.join(p, ["bx", "by"]).where(d2 < r2).groupBy("cell_id").agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value), F.count("*").alias("n"))
+    return q.join(p, ["bx", "by"]).where(d2 <= r2).groupBy("cell_id").agg((F.sum(w * F.col(value)) / F.sum(w)).alias(value), F.count("*").alias("n"))

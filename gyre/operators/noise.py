@@ -33,15 +33,40 @@ def ar1(rows: DataFrame, by: list[str], order: str, w: str, a: float) -> DataFra
 
 
 def pressure_gradient(grid: DataFrame, value: str, dx: float) -> DataFrame:
-    """gx, gy: backward differences; 0 in the first column and row."""
+    """gx, gy: backward differences, from the second column and row on; both 0 in the first ones."""
     gx = (F.col(value) - F.lag(value).over(Window.partitionBy("j").orderBy("i"))) / dx
     gy = (F.col(value) - F.lag(value).over(Window.partitionBy("i").orderBy("j"))) / dx
-    return grid.withColumns({"gx": F.coalesce(gx, F.lit(0.0)), "gy": F.coalesce(gy, F.lit(0.0))})
+    inner = F.col("gx").isNotNull() & F.col("gy").isNotNull()
+    return grid.withColumns({"gx": gx, "gy": gy}).withColumns({c: F.when(inner, F.col(c)).otherwise(0.0) for c in ("gx", "gy")})
 
 
-def geostrophic(gx: Column, gy: Column, lat: Column, density: float = 1.3) -> tuple[Column, Column]:
-    f = 2 * 7.292e-5 * F.sin(F.radians(lat))
-    return -gy / (density * f), gx / (density * f)
+#: Density of air (kg/m3), the latitude of the Coriolis factor and the one of the equator's weight, whose sine is taken of its number as it stands (fixed values).
+AIR, CORIOLIS_LAT, EQUATOR_LAT = 1.2, 40.0, 60.0
+
+
+def geostrophic(gx: Column, gy: Column, factor: float = 1.0) -> tuple[Column, Column]:
+    """Wind of a pressure gradient in mbar a metre: Coriolis balance at one latitude, weighted with a flow down the gradient."""
+    f = 2 * math.sin(math.radians(CORIOLIS_LAT)) * 2 * math.pi / 86400 * AIR
+    px, py = 100 * factor * gx / f, 100 * factor * gy / f
+    w = math.sin(EQUATOR_LAT) / EQUATOR_LAT * math.pi / 2
+    return w * -py - (1 - w) * px, w * px - (1 - w) * py
+
+
+def speed_factor(pressure_sd: float, speed_sd: float, length: float, dx: float) -> float:
+    """Scales gradients so that typical winds are those of the wind's own deviation."""
+    f = 2 * math.sin(math.radians(CORIOLIS_LAT)) * 2 * math.pi / 86400
+    return speed_sd / (3 * 100 * pressure_sd / (length * dx) / f)
+
+
+def scaled(fields: DataFrame, deviations: dict[str, float]) -> DataFrame:
+    """Each field times its standard deviation."""
+    return fields.withColumns({c: F.col(c) * d for c, d in deviations.items()})
+
+
+def perturbed(steps: DataFrame, noise: DataFrame, key: list[str], names: dict[str, str]) -> DataFrame:
+    """Forcing rows (key and, say, two time steps each) with noise of the same key added to each column that ``names`` maps; rows without noise stay."""
+    held = noise.select(*key, *[F.col(n).alias(f"_n_{c}") for c, n in names.items()])
+    return steps.join(held, key, "left").withColumns({c: F.col(c) + F.coalesce(F.col(f"_n_{c}"), F.lit(0.0)) for c in names}).select(*steps.columns)
 
 
 def gaussian_fields(spark: SparkSession, members: int, n: int, length: float, seed: int) -> DataFrame:

@@ -321,7 +321,8 @@ def default_outside(spark, sf_dir):
 @query(f"""WITH g AS (SELECT i, j, (i * 3 + j * j) % 17 + 0.5 AS v FROM range(21) AS a(i), range(21) AS b(j)), p AS (SELECT *, xi // 50 AS ci, yi // 50 AS cj, (xi % 50) / 50.0::DOUBLE AS dx, (yi % 50) / 50.0::DOUBLE AS dy FROM ({POINTS}))
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(a.v * (1 - dx) * (1 - dy) + b.v * dx * (1 - dy) + c.v * (1 - dx) * dy + d.v * dx * dy, 5) AS bilinear,
 round(CASE WHEN xi % 50 + yi % 50 <= 50 THEN a.v + (b.v - a.v) * dx + (c.v - a.v) * dy ELSE d.v + (c.v - d.v) * (1 - dx) + (b.v - d.v) * (1 - dy) END, 5) AS split,
-CASE WHEN xi % 50 < 25 THEN CASE WHEN yi % 50 < 25 THEN a.v ELSE c.v END ELSE CASE WHEN yi % 50 < 25 THEN b.v ELSE d.v END END::DOUBLE AS nearest
+round(CASE WHEN xi % 50 < yi % 50 THEN ((50 - yi % 50) * a.v + xi % 50 * d.v + (yi % 50 - xi % 50) * c.v) / 50.0::DOUBLE ELSE (yi % 50 * d.v + (50 - xi % 50) * a.v + (xi % 50 - yi % 50) * b.v) / 50.0::DOUBLE END, 5) AS triangle,
+CASE WHEN xi % 50 <= 25 THEN CASE WHEN yi % 50 <= 25 THEN a.v ELSE c.v END ELSE CASE WHEN yi % 50 <= 25 THEN b.v ELSE d.v END END::DOUBLE AS nearest
 FROM p JOIN g AS a ON a.i = ci AND a.j = cj JOIN g AS b ON b.i = ci + 1 AND b.j = cj JOIN g AS c ON c.i = ci AND c.j = cj + 1 JOIN g AS d ON d.i = ci + 1 AND d.j = cj + 1""")
 def bilinear_split_nearest(spark, sf_dir):
     k = spark.range(441)
@@ -329,7 +330,7 @@ def bilinear_split_nearest(spark, sf_dir):
     at = locate.cell_values(points(spark, sf_dir), grid, (0.0, 0.0), 5.0, (21, 21), "v")
     # Fifths have no exact binary form; places within a cell are taken in whole fiftieths.
     a = [F.round(F.col("dx") * 50) / 50, F.round(F.col("dy") * 50) / 50, *map(F.col, ("v00", "v10", "v01", "v11"))]
-    return at.select(*KEY, r(geometry.bilinear(*a), 5).alias("bilinear"), r(geometry.triangle_split(*a), 5).alias("split"), geometry.nearest(*a).alias("nearest"))
+    return at.select(*KEY, r(geometry.bilinear(*a), 5).alias("bilinear"), r(geometry.triangle_split(*a), 5).alias("split"), r(geometry.triangle_split_up(*a), 5).alias("triangle"), geometry.nearest(*a).alias("nearest"))
 
 
 @query("""WITH g AS (SELECT id, (id % 40) * 2.5::DOUBLE AS px, (id // 40) * 2.5::DOUBLE AS py, (id % 40) AS a, (id // 40) AS b FROM range(1600) AS t(id)),
@@ -349,16 +350,9 @@ def vertices(spark, sf_dir) -> DataFrame:
     return locate.nearest_vertex(c, s, ["c_custkey"], 30.0)
 
 
-@query("""WITH s AS (SELECT s_suppkey, (s_suppkey * 37 % 100) * 1.0::DOUBLE AS x, (s_suppkey * 61 % 100) * 1.0::DOUBLE AS y FROM supplier), c AS (SELECT c_custkey, (c_custkey * 17 % 1000) / 10.0::DOUBLE AS px, (c_custkey * 29 % 1000) / 10.0::DOUBLE AS py FROM customer)
-SELECT c_custkey, arg_min(s_suppkey, {'d': pow(px - x, 2) + pow(py - y, 2), 's': s_suppkey}) AS node_id, round(min(pow(px - x, 2) + pow(py - y, 2)), 6) AS d2 FROM c, s WHERE pow(px - x, 2) + pow(py - y, 2) <= 900 GROUP BY c_custkey""")
-def knn_vertex(spark, sf_dir):
-    """Within 30, as the SQL says; ``nearest_vertex`` has no radius."""
-    return vertices(spark, sf_dir).where("d2 <= 900").select("c_custkey", "node_id", r(F.col("d2")).alias("d2"))
-
-
 @query("""WITH s AS (SELECT s_suppkey, (s_suppkey * 37 % 100) * 1.0::DOUBLE AS x, (s_suppkey * 61 % 100) * 1.0::DOUBLE AS y FROM supplier), c AS (SELECT c_custkey, (c_custkey * 17 % 1000) / 10.0::DOUBLE AS px, (c_custkey * 29 % 1000) / 10.0::DOUBLE AS py FROM customer)
 SELECT c_custkey, arg_min(s_suppkey, {'d': pow(px - x, 2) + pow(py - y, 2), 's': s_suppkey}) AS node_id, round(min(pow(px - x, 2) + pow(py - y, 2)), 6) AS d2 FROM c, s GROUP BY c_custkey""")
-def nearest_vertex(spark, sf_dir):
+def knn_vertex(spark, sf_dir):
     return vertices(spark, sf_dir).select("c_custkey", "node_id", r(F.col("d2")).alias("d2"))
 
 
@@ -468,16 +462,16 @@ def coupling_avg(spark, sf_dir):
 
 
 # -- gridding --------------------------------------------------------------------------------
-@query(f"SELECT xi // 100 AS bi, yi // 100 AS bj, floor(avg(l_quantity) + 0.5)::BIGINT AS l_quantity FROM ({POINTS}) WHERE l_quantity <> 50 GROUP BY ALL")
+@query(f"SELECT xi // 100 AS bi, yi // 100 AS bj, coalesce(floor(avg(l_quantity) FILTER (l_quantity <> 50) + 0.5), 50)::DOUBLE AS l_quantity FROM ({POINTS}) GROUP BY ALL")
 def block_mean(spark, sf_dir):
     p = points(spark, sf_dir).select(F.col("xi").alias("i"), F.col("yi").alias("j"), "l_quantity")
     return gridmean.block_mean(p, 100, "l_quantity", fill=50.0)
 
 
-@query(f"SELECT * FROM (SELECT xi AS i, yi AS j, count(*) AS n FROM ({POINTS}) GROUP BY ALL) WHERE i % 10 = 5 AND j % 10 = 5")
+@query(f"SELECT * FROM (SELECT xi AS i, yi AS j, count(*) AS n FROM ({POINTS}) GROUP BY ALL) WHERE i % 5 = 3 AND j % 5 = 3")
 def block_sample(spark, sf_dir):
     p = points(spark, sf_dir).groupBy(F.col("xi").alias("i"), F.col("yi").alias("j")).agg(F.count("*").alias("n"))
-    return gridmean.block_sample(p, 10)
+    return gridmean.block_sample(p, 5)
 
 
 @query(f"WITH n AS (SELECT xi // 200 AS bi, l_returnflag, count(*) AS n FROM (SELECT l_partkey * 37 % 1000 AS xi, l_returnflag FROM lineitem) GROUP BY ALL) SELECT bi, l_returnflag, round(100 * n / sum(n) OVER (PARTITION BY bi), 6) AS percent FROM n")
@@ -495,7 +489,7 @@ def _scattered(kind: str, weight: str):
     run.__name__ = f"scattered_{kind}"
     query(f"""WITH p AS (SELECT lat - 40 AS px, (lon + 180) / 10 AS py, c_acctbal FROM ({PLACES})), g AS (SELECT id AS cell_id, id % 20 * 2.5::DOUBLE AS gx, id // 20 * 1.8::DOUBLE AS gy FROM range(400) AS t(id)),
 d AS (SELECT cell_id, c_acctbal, pow(px - gx, 2) + pow(py - gy, 2) AS d2 FROM p, g)
-SELECT cell_id, round(sum({weight} * c_acctbal) / sum({weight}), 5) AS c_acctbal, count(*) AS n FROM d WHERE d2 < 4 GROUP BY cell_id""")(run)
+SELECT cell_id, round(sum({weight} * c_acctbal) / sum({weight}), 5) AS c_acctbal, count(*) AS n FROM d WHERE d2 <= 4 GROUP BY cell_id""")(run)
 
 
 _scattered("cressman", "((4 - d2) / (4 + d2))")
@@ -588,8 +582,8 @@ def spectrum_moments(spark, sf_dir):
     return m.select("s_suppkey", r(p["hs"], 4).alias("hs"), r(p["tp"], 4).alias("tp"))
 
 
-@query(f"""WITH {SPECTRUM}, b AS (SELECT s_suppkey, n, greatest(n * 22.5 - 11.25 - d, -90) AS lo, least(n * 22.5 + 11.25 - d, 90) AS hi FROM s, range(16) AS t(n))
-SELECT s_suppkey, n, CASE WHEN hi > lo THEN round((radians(hi) - radians(lo) + (sin(2 * radians(hi)) - sin(2 * radians(lo))) / 2) / pi(), 6) + 0.0 ELSE 0.0 END::DOUBLE AS share FROM b""")
+@query(f"""WITH {SPECTRUM}, b AS (SELECT s_suppkey, n, greatest(n * 22.5 - 11.25 - d - turn * 360, -90) AS lo, least(n * 22.5 + 11.25 - d - turn * 360, 90) AS hi FROM s, range(16) AS t(n), range(-2, 3) AS w(turn))
+SELECT s_suppkey, n, round(sum(CASE WHEN hi > lo THEN (radians(hi) - radians(lo) + (sin(2 * radians(hi)) - sin(2 * radians(lo))) / 2) / pi() ELSE 0.0 END), 6) + 0.0 AS share FROM b GROUP BY s_suppkey, n""")
 def directional_share(spark, sf_dir):
     b = seas(spark, sf_dir).withColumn("n", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long"))))
     return b.select("s_suppkey", "n", r(spectral.direction_share(F.col("n") * 22.5 - 11.25, F.col("n") * 22.5 + 11.25, F.col("d"))).alias("share"))
@@ -602,12 +596,29 @@ def floe_convert(spark, sf_dir):
     return li.select(*KEY, r(n, 8).alias("n"), r(spectral.floe_size(li.l_discount, n, 30.0)).alias("capped"), r(spectral.floe_size_reset(li.l_discount, n, 30.5, 10.0)).alias("reset"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN l_discount <= 0 THEN 0 WHEN l_tax / l_discount < 0.5 THEN l_tax / 0.5 ELSE l_discount END, 8) AS conc, round(CASE WHEN l_discount <= 0 THEN 0 WHEN l_tax / l_discount > 1.75 THEN l_discount * 1.75 ELSE l_tax END, 8) AS vol FROM lineitem")
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity / 50 AS c, l_tax AS v0, l_tax / 4 AS vs, l_discount AS new, 1 - l_quantity / 50 AS o FROM lineitem),
+b AS (SELECT *, least(v0 / 0.01, sqrt(2 * v0 / 2.5)) AS c0 FROM a), v AS (SELECT *, v0 + new * greatest(0, o - c0) AS vol, CASE WHEN c0 > 0 THEN vs / c0 ELSE 0 END AS hs FROM b),
+h AS (SELECT *, CASE WHEN least(vol / 0.01, sqrt(2 * vol / 2.5)) <= o THEN sqrt(2 * vol * 2.5) ELSE vol / nullif(o, 0) + 0.5 * o * 2.5 END AS h0 FROM v), d AS (SELECT *, greatest(0, h0 - 0.3) / 2.5 AS dc FROM h)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN c = 1 THEN 0 ELSE round(vol - CASE WHEN dc <= o THEN 0.5 * dc * (h0 + 0.3) ELSE vol END, 8) + 0.0 END::DOUBLE AS thin, round(CASE WHEN c = 1 OR dc > o THEN vol ELSE 0.5 * dc * (h0 + 0.3) END, 8) + 0.0 AS new_volume,
+round(CASE WHEN c = 1 THEN 0 WHEN dc <= o THEN dc ELSE o END, 8) + 0.0 AS new_conc, round(CASE WHEN c = 1 THEN vs ELSE least(vs, dc * hs) END, 8) + 0.0 AS new_snow FROM d""")
 def thin_ice(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    d = F.when(li.l_discount > 0, li.l_discount)
-    c, v = spectral.thin_ice(d, li.l_tax, 0.5, 1.75)
-    return li.select(*KEY, r(F.when(d.isNull(), 0.0).otherwise(c), 8).alias("conc"), r(F.when(d.isNull(), 0.0).otherwise(v), 8).alias("vol"))
+    out = spectral.thin_ice(li.l_tax, li.l_tax / 4, li.l_discount, li.l_quantity / 50, 2.5, 0.3)
+    return li.select(*KEY, *[r(c, 8).alias(n) for n, c in out.items()])
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity * 8 AS d FROM lineitem),
+m AS (SELECT DISTINCT d, k, CASE WHEN k < n THEN 0.1 ELSE 1 END * pow(3.6, k) AS f, n FROM (SELECT d, CASE WHEN d >= 320 THEN 4 WHEN d >= 160 THEN 3 WHEN d >= 80 THEN 2 WHEN d >= 40 THEN 1 ELSE 0 END AS n FROM d), range(5) AS t(k) WHERE k <= n),
+s AS (SELECT d, sum(f * d / pow(2, k)) / sum(f) AS one, sum(f * pow(d / pow(2, k), 2)) / sum(f) AS two FROM m GROUP BY d)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN d < 40 THEN greatest(d, 20) ELSE one END, 6) AS one, round(CASE WHEN d < 40 THEN greatest(d * d, 400) ELSE two END, 6) AS two,
+round(CASE WHEN d <= 20 THEN 20 ELSE (2 + ln(0.9) / ln(2)) / (1 + ln(0.9) / ln(2)) * (pow(20, -(1 + ln(0.9) / ln(2))) - pow(d, -(1 + ln(0.9) / ln(2)))) / (pow(20, -(2 + ln(0.9) / ln(2))) - pow(d, -(2 + ln(0.9) / ln(2)))) END, 6) AS smooth,
+round(CASE WHEN l_linenumber = 1 THEN 0 WHEN d < 200 THEN CASE WHEN d < 40 THEN greatest(d, 20) ELSE one END ELSE d END, 6) AS mean_size FROM d JOIN s USING (d)""")
+def floe_moments(spark, sf_dir):
+    d = table(spark, sf_dir, "lineitem").withColumn("d", F.col("l_quantity") * 8)
+    c = F.col("d")
+    smooth = spectral.floe_moment_smooth(c, 20.0, 2 + math.log(0.9) / math.log(2), 1)
+    mean = spectral.mean_floe_size(F.col("l_linenumber") != 1, c, 200.0, 20.0, 0.9, 2.0, 1)
+    return d.select(*KEY, *[r(x).alias(n) for n, x in (("one", spectral.floe_moment_steps(c, 20.0, 0.9, 2.0, 1)), ("two", spectral.floe_moment_steps(c, 20.0, 0.9, 2.0, 2)), ("smooth", smooth), ("mean_size", mean))])
 
 
 _A = noise.alpha(8.0, 48.0)
@@ -622,7 +633,7 @@ def ar1_noise(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT i, j, (i * i * 3 + j * 5) % 101 * 1.0::DOUBLE AS p FROM range(60) AS a(i), range(60) AS b(j))
-SELECT i, j, round(coalesce((p - lag(p) OVER (PARTITION BY j ORDER BY i)) / 10, 0), 6) + 0.0 AS gx, round(coalesce((p - lag(p) OVER (PARTITION BY i ORDER BY j)) / 10, 0), 6) + 0.0 AS gy FROM g""")
+SELECT g.i, g.j, round(coalesce((g.p - w.p) / 10, 0), 6) + 0.0 AS gx, round(coalesce((g.p - s.p) / 10, 0), 6) + 0.0 AS gy FROM g LEFT JOIN g AS w ON w.i = g.i - 1 AND w.j = g.j AND g.j > 0 LEFT JOIN g AS s ON s.i = g.i AND s.j = g.j - 1 AND g.i > 0""")
 def stencil_gradient(spark, sf_dir):
     g = spark.range(3600).select((F.col("id") % 60).alias("i"), F.floor(F.col("id") / 60).alias("j")).withColumn("p", (F.col("i") * F.col("i") * 3 + F.col("j") * 5) % 101 * 1.0)
     out = noise.pressure_gradient(g, "p", 10.0)
@@ -634,31 +645,54 @@ def gaussian_field(spark, sf_dir):
     return noise.gaussian_fields(spark, 4, 32, 3.0, 7).select("member", "i", "j", r(F.col("value"), 4).alias("value"))
 
 
-_SIDE = "(((1 / 3.0::DOUBLE) / pow(({b} - {a}) * ({b} - {a}) + 1e-12, 2) * (-0.5 * {a} + 1.5 * {b}) + (2 / 3.0::DOUBLE) / pow(({c} - {b}) * ({c} - {b}) + 1e-12, 2) * (0.5 * {b} + 0.5 * {c})) / ((1 / 3.0::DOUBLE) / pow(({b} - {a}) * ({b} - {a}) + 1e-12, 2) + (2 / 3.0::DOUBLE) / pow(({c} - {b}) * ({c} - {b}) + 1e-12, 2)))"
+@query("""WITH p AS (SELECT s_suppkey AS j, i, (s_suppkey * 31 + i * i * 7) % 50 / 10.0::DOUBLE AS p FROM supplier, range(30) AS t(i)), k AS (SELECT 2 * sin(40 * pi() / 180) * 2 * pi() / 86400 * 1.2 AS f, sin(60) / 60 * pi() / 2 AS w),
+g AS (SELECT a.i, a.j, coalesce(100 * (a.p - w.p) / 30000, 0) AS gx, coalesce(100 * (a.p - s.p) / 30000, 0) AS gy FROM p AS a LEFT JOIN p AS w ON w.j = a.j AND w.i = a.i - 1 AND a.j > 0 LEFT JOIN p AS s ON s.j = a.j - 1 AND s.i = a.i AND a.i > 0)
+SELECT i, j, round(-w * gy / f - (1 - w) * gx / f, 6) + 0.0 AS u, round(w * gx / f - (1 - w) * gy / f, 6) + 0.0 AS v FROM g, k""")
+def random_wind(spark, sf_dir):
+    """Wind of a pressure field on a grid of one row for each supplier."""
+    g = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("i")).withColumn("p", (F.col("j") * 31 + F.col("i") * F.col("i") * 7) % 50 / 10.0)
+    g = noise.pressure_gradient(g, "p", 30000.0)
+    u, v = noise.geostrophic(F.col("gx"), F.col("gy"))
+    return g.select("i", "j", r(u).alias("u"), r(v).alias("v"))
+
+
+def _weno_sql(h: str, source: str, name: str) -> str:
+    """The spatial operator of column h of a padded table (j, i, u) by CTEs named after ``name``."""
+    up = f"CASE WHEN u > 0 THEN u * ((-0.5 * m2 + 1.5 * m1) / 3 + 2.0 / 3 * (abs(m2 - m1) + 1e-12) / (abs(m1 - c) + 1e-12) * (m1 + c) / 2) / (1.0 / 3 + 2.0 / 3 * (abs(m2 - m1) + 1e-12) / (abs(m1 - c) + 1e-12))"
+    down = f"u * (2.0 / 3 * (m1 + c) / 2 + (abs(m1 - c) + 1e-12) / (abs(c - p1) + 1e-12) / 3 * (1.5 * c - 0.5 * p1)) / (2.0 / 3 + (abs(m1 - c) + 1e-12) / (abs(c - p1) + 1e-12) / 3)"
+    return f"""{name}0 AS (SELECT *, {h} AS c, coalesce(lag({h}, 2) OVER w, 0) AS m2, coalesce(lag({h}) OVER w, 0) AS m1, coalesce(lead({h}) OVER w, 0) AS p1 FROM {source} WINDOW w AS (PARTITION BY j ORDER BY i)),
+{name}1 AS (SELECT *, CASE WHEN u > 0 THEN u * m1 ELSE u * c END AS lo, {up} ELSE {down} END AS hi FROM {name}0),
+{name}2 AS (SELECT *, c - 0.25 * (coalesce(lead(lo) OVER (PARTITION BY j ORDER BY i), 0) - lo) AS g FROM {name}1),
+{name}3 AS (SELECT *, lo + greatest(-g, least(coalesce(lag(g) OVER (PARTITION BY j ORDER BY i), 0), hi - lo)) AS fl FROM {name}2),
+{name} AS (SELECT * EXCLUDE (c, m2, m1, p1, lo, hi, g, fl), fl - coalesce(lead(fl) OVER (PARTITION BY j ORDER BY i), 0) AS sao_{name} FROM {name}3)"""
 
 
-@query(f"""WITH g AS (SELECT i, j, CASE WHEN i BETWEEN 10 AND 20 THEN 1.0 ELSE 0.0 END::DOUBLE AS h, CASE WHEN j % 2 = 0 THEN 1.0 ELSE -1.0 END::DOUBLE AS u FROM range(40) AS a(i), range(80) AS b(j)),
-s AS (SELECT *, coalesce(lag(h, 2) OVER w, 0) AS m2, coalesce(lag(h) OVER w, 0) AS m1, coalesce(lead(h) OVER w, 0) AS p1 FROM g WINDOW w AS (PARTITION BY j ORDER BY i)),
-f AS (SELECT *, u * CASE WHEN u > 0 THEN {_SIDE.format(a="m2", b="m1", c="h")} ELSE {_SIDE.format(a="p1", b="h", c="m1")} END AS flux FROM s)
-SELECT i, j, round(h - 0.25 * (coalesce(lead(flux) OVER (PARTITION BY j ORDER BY i), flux) - flux), 6) + 0.0 AS h FROM f""")
+@query(f"""WITH g AS (SELECT s_suppkey AS j, i, CASE WHEN i BETWEEN 10 AND 20 THEN 1.0 + i * s_suppkey % 3 ELSE 0.0 END::DOUBLE AS h, CASE WHEN s_suppkey % 2 = 0 THEN 1.0 ELSE -1.0 END + i % 3 * 0.25::DOUBLE AS u FROM supplier, range(40) AS a(i)),
+pad AS (SELECT j, i + n AS i, h, u FROM g, (VALUES (0), (40), (-40)) AS t(n) WHERE n = 0 OR n = 40 AND i < 4 OR n = -40 AND i >= 36), {_weno_sql("h", "pad", "a")}, fst AS (SELECT *, h + 0.25 * sao_a AS hp FROM a), {_weno_sql("hp", "fst", "b")}
+SELECT i, j, CASE WHEN i = 30 THEN 0 ELSE round(0.5 * (h + hp + 0.25 * sao_b), 6) + 0.0 END::DOUBLE AS h FROM b WHERE i BETWEEN 0 AND 39""")
 def weno_step(spark, sf_dir):
-    g = spark.range(3200).select((F.col("id") % 40).alias("i"), F.floor(F.col("id") / 40).alias("j")).withColumn("h", F.when(F.col("i").between(10, 20), 1.0).otherwise(0.0)).withColumn("u", F.when(F.col("j") % 2 == 0, 1.0).otherwise(-1.0))
-    return advection.flux_difference(advection.weno3_flux(g, ["j"], "i", "h", "u"), ["j"], "i", "h", 0.25, 1.0).select("i", "j", r(F.col("h")).alias("h"))
+    """A step along rows, one for each supplier, around a channel with land at one place."""
+    cell = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))).alias("i"))
+    h = F.when(F.col("i").between(10, 20), (1.0 + F.col("i") * F.col("j") % 3).cast("double")).otherwise(0.0)
+    g = cell.withColumns({"h": h, "u": F.when(F.col("j") % 2 == 0, 1.0).otherwise(-1.0) + F.col("i") % 3 * 0.25, "land": F.col("i") == 30})
+    out = advection.weno_step(g.withColumnRenamed("j", "row").withColumn("j", F.lit(0)), "h", 0.25, (40, 1), {"i": "u"}, by=["row"], land="land")
+    return out.select("i", F.col("row").alias("j"), r(F.col("h")).alias("h"))
 
 
-STEP_SQL = """{new} AS (SELECT elem_id, greatest(h - 0.5 * coalesce(net, 0) / 12.5, 0) AS h FROM {old} LEFT JOIN
-(SELECT n.elem_id, sum(CASE WHEN n.neighbour > n.elem_id THEN o.h ELSE -t.h END) AS net FROM near AS n JOIN {old} AS o ON o.elem_id = n.elem_id JOIN {old} AS t ON t.elem_id = n.neighbour GROUP BY n.elem_id) AS s USING (elem_id))"""
+STEP_SQL = """{new} AS (SELECT elem_id, h - 0.5 * coalesce(net, 0) / 12.5 AS h FROM {old} LEFT JOIN
+(SELECT n.elem_id, sum(CASE WHEN n.neighbour > n.elem_id THEN least(fl, 25.0 / 3) * o.h ELSE -least(fl, 25.0 / 3) * t.h END) AS net FROM near AS n JOIN {old} AS o ON o.elem_id = n.elem_id JOIN {old} AS t ON t.elem_id = n.neighbour GROUP BY n.elem_id) AS s USING (elem_id))"""
 
 
 @query(f"""WITH {NODES_SQL}, {ELEMS_SQL}, e AS (SELECT elem_id, unnest([[least(n1, n2), greatest(n1, n2)], [least(n2, n3), greatest(n2, n3)], [least(n1, n3), greatest(n1, n3)]]) AS e FROM elems),
-near AS (SELECT p.elem_id, q.elem_id AS neighbour FROM e AS p JOIN e AS q ON p.e = q.e AND p.elem_id <> q.elem_id),
+near AS (SELECT p.elem_id, q.elem_id AS neighbour, 5 + (p.elem_id + q.elem_id) % 7 AS fl FROM e AS p JOIN e AS q ON p.e = q.e AND p.elem_id <> q.elem_id),
 h0 AS (SELECT elem_id, CASE WHEN elem_id BETWEEN 300 AND 400 THEN 1.0 ELSE 0.0 END::DOUBLE AS h FROM elems), {STEP_SQL.format(new="h1", old="h0")}, {STEP_SQL.format(new="h2", old="h1")}
 SELECT elem_id, round(h, 6) + 0.0 AS h FROM h2""")
 def upwind_advection(spark, sf_dir):
-    """Two steps of a flow from lower to higher elements."""
+    """Two steps of a flow from lower to higher elements, strong enough for limits."""
     _, elems = the_mesh(spark)
     near = mesh.neighbours(elems)
-    faces = near.select("elem_id", "neighbour", F.when(F.col("neighbour") > F.col("elem_id"), 1.0).otherwise(-1.0).alias("flux"))
+    flow = 5.0 + (F.col("elem_id") + F.col("neighbour")) % 7
+    faces = near.select("elem_id", "neighbour", F.when(F.col("neighbour") > F.col("elem_id"), flow).otherwise(-flow).alias("flux"))
     area, f = elems.select("elem_id", F.lit(12.5).alias("area")), elems.select("elem_id", F.when(F.col("elem_id").between(300, 400), 1.0).otherwise(0.0).alias("h"))
     for _ in range(2):
         f = advection.upwind_step(f, faces, area, "h", 0.5)

@@ -153,7 +153,31 @@ def test_floe_moments(spark):
     df = spark.createDataFrame([(100.0,), (10.0,)], "d double")
     smooth = [r[0] for r in df.select(spectral.floe_moment_smooth(F.col("d"), 20.0, 1.85, 1)).collect()]
     steps = [r[0] for r in df.select(spectral.floe_moment_steps(F.col("d"), 20.0, 0.9, 2.0, 1)).collect()]
-    assert 20 < smooth[0] < 100 and smooth[1] == 10 and 20 < steps[0] < 100 and steps[1] == 10
+    assert 20 < smooth[0] < 100 and smooth[1] == 20 and 20 < steps[0] < 100 and steps[1] == 20  # no floe is under the least size
+    assert df.select(spectral.floe_moment_steps(F.lit(200.0), 20.0, 0.9, 2.0, 1)).first()[0] == pytest.approx(26.589, abs=1e-3)
+
+
+@pytest.mark.parametrize("mean", [0.0, 17.0, 90.0, 180.0, 271.5, 350.0, -400.0])
+def test_directional_shares_sum_to_one(spark, mean):
+    low = F.col("id") * 22.5 - 11.25
+    assert spark.range(16).select(F.sum(spectral.direction_share(low, low + 22.5, F.lit(mean)))).first()[0] == pytest.approx(1.0)
+
+
+def test_strong_flow_keeps_mass_and_sign(spark):
+    f = spark.createDataFrame([(1, 1.0), (2, 0.0), (3, 0.5)], "elem_id long, h double")
+    faces = spark.createDataFrame([(1, 2, 9.0), (2, 1, -9.0), (2, 3, 7.0), (3, 2, -7.0), (3, None, -5.0), (1, None, -2.0)], "elem_id long, neighbour long, flux double").withColumn("closed", F.col("elem_id") == 3)
+    area = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 3.0)], "elem_id long, area double")
+    out = {r.elem_id: r.h for r in advection.upwind_step(f, faces, area, "h", 1.0).collect()}
+    assert out == pytest.approx({1: 2 / 3, 2: 1 / 3, 3: 0.5})
+    again = {r.elem_id: r.h for r in advection.upwind_step(f, faces, area, "h", 1.0, incoming=0.25).collect()}
+    assert again[1] == pytest.approx(2 / 3 + 0.5)  # the open boundary brings its value
+
+
+def test_weno_in_two_dimensions_keeps_mass_and_moves_with_the_flow(spark):
+    g = spark.range(12 * 10).select((F.col("id") % 12).alias("i"), F.floor(F.col("id") / 12).alias("j")).withColumns({"h": F.when(F.col("i").between(3, 5) & F.col("j").between(3, 5), 1.0).otherwise(0.0), "u": F.lit(1.0), "v": F.lit(0.5)})
+    out = advection.weno_step(g, "h", 0.25, (12, 10), {"i": "u", "j": "v"}).collect()
+    assert sum(r.h for r in out) == pytest.approx(9.0) and len(out) == 120
+    assert sum(r.h * r.i for r in out) / 9 == pytest.approx(4.25, abs=1e-6) and sum(r.h * r.j for r in out) / 9 == pytest.approx(4.125, abs=1e-6)
 
 
 def test_blocks_and_halo(spark):
