@@ -390,11 +390,7 @@ def homolosine(lat, lon, m: MapSpec):
     own = MapSpec(lon0=0.0, radius=m.radius)
     sx, sy = sinusoidal(lat, l - mid, own)
     mx, my = mollweide(lat, l - mid, own)
-    t = math.radians(SEAM)
-    z = t
-    for _ in range(20):
-        z -= (z + math.sin(z) - math.pi * math.sin(t)) / (1 + math.cos(z))
-    shift = m.radius * (math.sqrt(2) * math.sin(z / 2) - t)
+    shift = homolosine_shift(m.radius)
     x = F.when(F.abs(lat) <= SEAM, sx).otherwise(mx)
     y = F.when(F.abs(lat) <= SEAM, sy).otherwise(my - F.signum(lat) * shift)
     return x + m.radius * rad(mid), y
@@ -408,6 +404,59 @@ def integerized_sinusoidal(lat, lon, m: MapSpec, rows: int = 1080):
     return m.radius * rad(wrap(lon - m.lon0, -180.0)) * cells / (2 * rows), m.radius * rad(lat)
 
 
+def orthographic_inverse(x, y, m: MapSpec):
+    """Null beyond the disc's edge."""
+    rho, p0 = F.hypot(x, y), math.radians(m.lat0)
+    c = F.asin(F.least(F.lit(1.0), rho / m.radius))
+    lat = F.when(rho == 0, F.lit(p0)).otherwise(F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.cos(c) * math.sin(p0) + y * F.sin(c) * math.cos(p0) / rho))))
+    lon = F.atan2(x * F.sin(c), rho * math.cos(p0) * F.cos(c) - y * math.sin(p0) * F.sin(c))
+    on = rho <= m.radius
+    return F.when(on, F.degrees(lat)), F.when(on, wrap(F.degrees(lon) + m.lon0, -180.0))
+
+
+def homolosine_shift(radius: float) -> float:
+    """How far the outer parts are moved so that both meet at the seam."""
+    t = math.radians(SEAM)
+    z = t
+    for _ in range(20):
+        z -= (z + math.sin(z) - math.pi * math.sin(t)) / (1 + math.cos(z))
+    return radius * (math.sqrt(2) * math.sin(z / 2) - t)
+
+
+def homolosine_inverse(x, y, m: MapSpec):
+    """Null in the gaps between lobes."""
+    l = F.degrees(x / m.radius)
+
+    def lobe(lobes, k: int) -> Column:
+        out = F.lit(lobes[-1][k])
+        for one in lobes[-2::-1]:
+            out = F.when(l < one[1], one[k]).otherwise(out)
+        return out
+
+    west, east, mid = (F.when(y >= 0, lobe(LOBES_NORTH, k)).otherwise(lobe(LOBES_SOUTH, k)) for k in range(3))
+    own = MapSpec(lon0=0.0, radius=m.radius)
+    dx = x - m.radius * rad(mid)
+    inner = F.abs(y) <= m.radius * math.radians(SEAM)
+    lat1, lon1 = sinusoidal_inverse(dx, y, own)
+    lat2, lon2 = mollweide_inverse(dx, y + F.signum(y) * homolosine_shift(m.radius), own)
+    lat, lon = F.when(inner, lat1).otherwise(lat2), F.when(inner, lon1).otherwise(lon2) + mid
+    on = (lon >= west - 1e-9) & (lon <= east + 1e-9)
+    return F.when(on, lat), F.when(on, wrap(lon + m.lon0, -180.0))
+
+
+def integerized_sinusoidal_inverse(x, y, m: MapSpec, rows: int = 1080):
+    lat = F.degrees(y / m.radius)
+    row = F.least(F.floor((90 - lat) / 180 * rows), F.lit(rows - 1))
+    cells = 2 * F.floor(rows * F.cos(F.radians(90 - (row + 0.5) * 180 / rows)) + 0.5)
+    return lat, F.when(cells > 0, wrap(F.degrees(x / m.radius) * (2 * rows) / cells + m.lon0, -180.0)).otherwise(F.lit(m.lon0))
+
+
+def utm_inverse(zone, east, north, south, radius: float = 6378.137, ecc: float = 0.0818191908426215) -> tuple[Column, Column]:
+    """(lat, lon) of a zone's easting and northing; ``south``: whether 10000 was added."""
+    lat, lon = transverse_mercator_ellipsoid_inverse(east - 500.0, F.when(south, north - 10000.0).otherwise(north), MapSpec(lat0=0.0, lon0=0.0, radius=radius, ecc=ecc))
+    return lat, wrap(lon + zone * 6 - 183, -180.0)
+
+
 FORWARD = {
     f.__name__: f
     for f in (
@@ -419,7 +468,7 @@ INVERSE = {
     f.__name__.removesuffix("_inverse"): f
     for f in (
         polar_stereographic_inverse, polar_stereographic_sphere_inverse, azimuthal_equal_area_inverse, azimuthal_equal_area_ellipsoid_inverse, cylindrical_equal_area_inverse, cylindrical_equal_area_ellipsoid_inverse,
-        cylindrical_equidistant_inverse, mercator_inverse, mollweide_inverse, sinusoidal_inverse, lambert_conformal_inverse, albers_inverse, albers_ellipsoid_inverse, transverse_mercator_inverse, transverse_mercator_ellipsoid_inverse,
+        cylindrical_equidistant_inverse, mercator_inverse, mollweide_inverse, sinusoidal_inverse, lambert_conformal_inverse, albers_inverse, albers_ellipsoid_inverse, transverse_mercator_inverse, transverse_mercator_ellipsoid_inverse, orthographic_inverse, homolosine_inverse, integerized_sinusoidal_inverse,
     )
 }
 

@@ -27,6 +27,21 @@ def bracketed(at: DataFrame, series: DataFrame, by: list[str], t: str, v: str, s
     return at.join(best, [*by, "at"], "left").select(*at.columns, "m.*")
 
 
+def current(at: DataFrame, series: DataFrame, by: list[str], t: str, v: str, span: int, kind: str = "closed", day: int = 1) -> DataFrame:
+    """``bracketed`` by the kind of forcing: "closed" [t0, t1], "coupled" [t0, t1), "daily" (a step of the same day of ``day`` time units), "constant" (the first step, whatever the time)."""
+    if kind == "closed":
+        return bracketed(at, series, by, t, v, span)
+    if kind == "coupled":
+        held = bracketed(at, series, by, t, v, span)
+        inside = F.col("at") < F.col("t1")
+        return held.withColumns({c: F.when(inside, F.col(c)) for c in ("t0", "v0", "t1", "v1")})
+    first = F.min(F.struct(F.col(t), F.col(v))).alias("m")
+    if kind == "constant":
+        return at.join(series.groupBy(*by).agg(first), by, "left").select(*at.columns, F.col(f"m.{t}").alias("t0"), F.col(f"m.{v}").alias("v0"), F.lit(None).cast("long").alias("t1"), F.lit(None).cast("double").alias("v1"))
+    held = series.groupBy(*by, F.floor(F.col(t) / day).alias("_d")).agg(first)
+    return at.withColumn("_d", F.floor(F.col("at") / day)).join(held, [*by, "_d"], "left").select(*at.columns, F.col(f"m.{t}").alias("t0"), F.col(f"m.{v}").alias("v0"), F.lit(None).cast("long").alias("t1"), F.lit(None).cast("double").alias("v1"))
+
+
 def linear(factor: Column | float = 1.0, bias: Column | float = 0.0) -> Column:
     """factor * (c0 v0 + c1 v1) + bias; the bias comes after the factor."""
     c0 = F.abs(F.col("at") - F.col("t1")) / F.abs(F.col("t1") - F.col("t0"))

