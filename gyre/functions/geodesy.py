@@ -445,7 +445,7 @@ def homolosine_inverse(x, y, m: MapSpec):
 
 
 def integerized_sinusoidal_inverse(x, y, m: MapSpec, rows: int = 1080):
-    lat = F.degrees(y / m.radius)
+    lat = F.round(F.degrees(y / m.radius), 10)  # so that latitudes between two rows go to the row that the forward map takes
     row = F.least(F.floor((90 - lat) / 180 * rows), F.lit(rows - 1))
     cells = 2 * F.floor(rows * F.cos(F.radians(90 - (row + 0.5) * 180 / rows)) + 0.5)
     return lat, F.when(cells > 0, wrap(F.degrees(x / m.radius) * (2 * rows) / cells + m.lon0, -180.0)).otherwise(F.lit(m.lon0))

@@ -36,6 +36,12 @@ def in_triangles(points: DataFrame, at: DataFrame, key: list[str], size: float,
     return points.join(best, key, "left").select(*points.columns, "e.*")
 
 
+def stored_weights(held: DataFrame, key: list[str], elems: DataFrame) -> DataFrame:
+    """(key, node_id, w): the barycentric weights of ``in_triangles`` as a table to keep and apply again."""
+    parts = F.array(*[F.struct(F.col("nodes")[k].alias("node_id"), F.col(f"l{k + 1}").alias("w")) for k in range(3)])
+    return held.where("elem_id is not null").join(elems.select("elem_id", "nodes"), "elem_id").select(*key, F.explode(parts).alias("p")).select(*key, "p.*")
+
+
 def interpolated(held: DataFrame, value: str, default: float) -> DataFrame:
     """Nodal value by barycentric weights of corner values value1..value3; points outside: the default."""
     v = F.col("l1") * F.col(f"{value}1") + F.col("l2") * F.col(f"{value}2") + F.col("l3") * F.col(f"{value}3")
@@ -70,6 +76,46 @@ def nearest_within(points: DataFrame, nodes: DataFrame, key: list[str], size: fl
     return pt.join(wide.select("bx", "by", "node_id", "nx", "ny"), ["bx", "by"]).where(d2 <= (rings * size) ** 2).groupBy(*key).agg(F.min(F.struct(d2.alias("d2"), "node_id")).alias("m"))
 
 
+def too_close(points: DataFrame, nodes: DataFrame, key: list[str], radius: float) -> DataFrame:
+    """points with ``close``: whether a node lies within the radius."""
+    near = nearest_within(points, nodes, key, radius).select(*key, F.lit(True).alias("close"))
+    return points.join(near, key, "left").withColumn("close", F.coalesce("close", F.lit(False)))
+
+
+def nearest_edge(points: DataFrame, edges: DataFrame, key: list[str], size: float) -> DataFrame:
+    """points with the nearest edge (a, b) of edges (a, b, x1, y1, x2, y2), its squared distance d2 and the place t along it (0 at a, 1 at b); ties: the lower (a, b).
+
+    As in ``nearest_vertex`` points without an edge within ``size`` are looked up again with twice the size.  Null without edges.
+    """
+    spark = points.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gyre-"))
+    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    length = dx * dx + dy * dy
+    t = F.when(length > 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("px") - F.col("x1")) * dx + (F.col("py") - F.col("y1")) * dy) / length))).otherwise(0.0)
+    ex, ey = F.col("px") - F.col("x1") - F.col("t") * dx, F.col("py") - F.col("y1") - F.col("t") * dy
+    left, found, some = points.select(*key, "px", "py").where((F.abs("px") < math.inf) & (F.abs("py") < math.inf)), [], edges.limit(1).count()
+    while some:
+        wide = bucketed(edges, F.least("x1", "x2") - size, F.greatest("x1", "x2") + size, F.least("y1", "y2") - size, F.greatest("y1", "y2") + size, size)
+        pt = left.withColumns({"bx": F.floor(F.col("px") / size).cast("long"), "by": F.floor(F.col("py") / size).cast("long")})
+        hit = pt.join(wide, ["bx", "by"]).withColumn("t", t).withColumn("d2", ex * ex + ey * ey).where(F.col("d2") <= size * size)
+        best = hit.groupBy(*key).agg(F.min(F.struct("d2", "a", "b", "t")).alias("m"))
+        step = left.join(best, key, "left").checkpoint()
+        found.append(step.where("m is not null").select(*key, "m"))
+        left = step.where("m is null").drop("m")
+        some, size = left.limit(1).count(), 2 * size
+    if not found:
+        return points.select("*", *[F.lit(None).cast(k).alias(c) for c, k in (("a", "long"), ("b", "long"), ("d2", "double"), ("t", "double"))])
+    return points.join(reduce(DataFrame.union, found), key, "left").select(*points.columns, "m.a", "m.b", "m.d2", "m.t")
+
+
+def extrapolated(outside: DataFrame, edges: DataFrame, nodes: DataFrame, key: list[str], size: float, value: str) -> DataFrame:
+    """(key, value) of points beyond a mesh: linear between the ends of the nearest boundary edge."""
+    near = nearest_edge(outside, edges, key, size)
+    ends = [nodes.select(F.col("node_id").alias(c), F.col(value).alias(f"_{c}")) for c in "ab"]
+    return near.join(ends[0], "a").join(ends[1], "b").select(*key, ((1 - F.col("t")) * F.col("_a") + F.col("t") * F.col("_b")).alias(value))
+
+
 def nearest_vertex(points: DataFrame, nodes: DataFrame, key: list[str], size: float, rings: int = 1) -> DataFrame:
     """points with node_id and d2 of the nearest node (ties: the lower id), however far.
 

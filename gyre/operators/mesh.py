@@ -81,6 +81,46 @@ def boundary(elems: DataFrame) -> DataFrame:
     return edges(elems).groupBy("a", "b").agg(F.count("*").alias("n"), F.max("elem_id").alias("elem_id")).where("n = 1").drop("n")
 
 
+def boundary_edges(elems: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, elem_id, x1, y1, x2, y2) of the edges that one element has."""
+    end = lambda c, k: nodes.select(F.col("node_id").alias(c), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
+    return boundary(elems).join(end("a", 1), "a").join(end("b", 2), "b")
+
+
+def reordered(elems: DataFrame, nodes: DataFrame, node_map: DataFrame, elem_map: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(elems, nodes) under new numbers: node_map(node_id, new_id), elem_map(elem_id, new_id)."""
+    n = nodes.join(node_map, "node_id").drop("node_id").withColumnRenamed("new_id", "node_id").select(*nodes.columns)
+    flat = elems.select("elem_id", F.posexplode("nodes").alias("k", "node_id")).join(node_map, "node_id")
+    own = flat.groupBy("elem_id").agg(F.array_sort(F.collect_list(F.struct("k", "new_id"))).alias("n"))  # three of each
+    moved = own.join(elem_map.withColumnRenamed("new_id", "_e"), "elem_id").select(F.col("_e").alias("elem_id"), F.col("n.new_id").alias("nodes"))
+    return moved, n
+
+
+def smoothed(nodes: DataFrame, elems: DataFrame, share: float, rounds: int = 1) -> DataFrame:
+    """Nodes moved by ``share`` of the way to the mean of their neighbours; nodes of the boundary stay."""
+    e = edges(elems).select("a", "b").distinct()
+    both = e.union(e.select("b", "a")).toDF("node_id", "other")
+    rim = boundary(elems).select(F.explode(F.array("a", "b")).alias("node_id")).distinct().withColumn("_rim", F.lit(True))
+    out = nodes.join(rim, "node_id", "left")
+    for _ in range(rounds):
+        mean = both.join(out.select(F.col("node_id").alias("other"), "x", "y"), "other").groupBy("node_id").agg(F.avg("x").alias("_x"), F.avg("y").alias("_y"))
+        at = out.join(mean, "node_id", "left")
+        new = {c: F.when(F.col("_rim").isNull() & F.col(f"_{c}").isNotNull(), F.col(c) + share * (F.col(f"_{c}") - F.col(c))).otherwise(F.col(c)) for c in "xy"}
+        out = at.withColumns(new).select(*out.columns)
+    return out.select(*nodes.columns)
+
+
+def partitioned(at: DataFrame, parts: int, x: str, y: str, cells: int = 1024) -> DataFrame:
+    """at with ``part``: elements in the order of a space-filling (Z) curve, cut into parts of about equal size by approximate quantiles of the key."""
+    box = at.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(y).alias("_y0"), F.max(y).alias("_y1")).first()
+    place = lambda c, lo, hi: F.least(F.floor((F.col(c) - lo) / max((hi or 0) - (lo or 0), 1e-300) * cells), F.lit(cells - 1)).cast("long")
+    i, j, bits = place(x, box[0] or 0.0, box[1]), place(y, box[2] or 0.0, box[3]), cells.bit_length() - 1
+    key = sum((F.shiftleft(F.shiftright(i, k).bitwiseAND(1), 2 * k) + F.shiftleft(F.shiftright(j, k).bitwiseAND(1), 2 * k + 1) for k in range(bits)), F.lit(0).cast("long"))
+    keyed = at.withColumn("_key", key)
+    cuts = sorted(set(keyed.agg(F.percentile_approx("_key", [k / parts for k in range(1, parts)], 10_000)).first()[0] or [])) if parts > 1 else []
+    return keyed.withColumn("part", sum((F.when(F.col("_key") > c, 1).otherwise(0) for c in cuts), F.lit(0))).drop("_key")
+
+
 def node_graph(elems: DataFrame) -> DataFrame:
     """(node_id, degree, adjacent): sparse adjacency of nodes."""
     e = edges(elems).select("a", "b").distinct()

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gyre.functions import spectral
@@ -54,25 +52,16 @@ def attenuated(spec: DataFrame, s: str, weight: str, direction: str, ice: Column
     return spec.withColumn(s, F.when(ice, spectral.attenuated(F.col(s), rate, group_speed, dt)).otherwise(F.col(s))), stress
 
 
-def scattered(spec: DataFrame, directions: int, dt: float, by: list[str]) -> DataFrame:
-    """spec (by, n, s, ice, q_scat, q_abs, cg) after a step of isotropic scattering.
+def scattered(spec: DataFrame, s: str, dt: float, by: list[str]) -> DataFrame:
+    """spec (by, one row for each of evenly spaced directions; s, ice, q_scat, q_abs, cg) after a step of isotropic scattering.
 
-    n counts ``directions`` evenly spaced ones.  In Fourier space the mean decays by what is absorbed and every
-    other harmonic by what is absorbed and scattered, so each direction's new energy is a sum over the group's
-    own directions: one group is one element and frequency.
+    Scattering spreads energy evenly, so in Fourier space the mean decays by what is absorbed and every other
+    harmonic by what is absorbed and scattered: a direction's energy is the decayed mean and its own decayed rest.
     """
-    schema = spec.schema
-    waves = np.arange(directions)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("n")
-        first = own.iloc[0]
-        if not first.ice or len(own) != directions:
-            return own
-        decay = np.where(waves == 0, -first.q_abs, -(first.q_abs + first.q_scat)) * first.cg * dt
-        return own.assign(s=np.fft.ifft(np.fft.fft(own.s.to_numpy()) * np.exp(decay)).real)
-
-    return spec.groupBy(*by).applyInPandas(run, schema)
+    mean = F.avg(s).over(Window.partitionBy(*by))
+    kept = lambda q: F.exp(-q * F.col("cg") * dt)
+    new = kept(F.col("q_abs")) * mean + kept(F.col("q_abs") + F.col("q_scat")) * (F.col(s) - mean)
+    return spec.withColumn(s, F.when(F.col("ice"), new).otherwise(F.col(s)))
 
 
 def prescribed(waves: DataFrame, forcing: DataFrame, mask: Column, names: tuple[str, ...] = ("hs", "tp", "mwd")) -> DataFrame:

@@ -156,9 +156,19 @@ for _name in ("polar_stereographic_sphere", "azimuthal_equal_area_ellipsoid", "c
 for _name in ("albers", "albers_ellipsoid", "lambert_conformal", "azimuthal_equal_area"):
     _roundtrip(_name, 120, lat0=50.0, lat2=60.0)
 _roundtrip("transverse_mercator", 80, lat0=50.0)
+_roundtrip("orthographic", 60, lat0=60.0)
+_roundtrip("integerized_sinusoidal", 169)
 
 
-@query()
+_ue = 0.0818191908426215**2
+_uc = (1 - _ue / 4 - 3 * _ue**2 / 64 - 5 * _ue**3 / 256, 3 * _ue / 8 + 3 * _ue**2 / 32 + 45 * _ue**3 / 1024, 15 * _ue**2 / 256 + 45 * _ue**3 / 1024, 35 * _ue**3 / 3072)
+
+
+@query(f"""WITH p AS (SELECT c_custkey, radians(lat) AS p, lat, lon, floor((lon + 180) / 6)::INT % 60 + 1 AS zone FROM ({PLACES}) WHERE lat < 84),
+s AS (SELECT *, 6378.137 / sqrt(1 - {_ue!r} * pow(sin(p), 2)) AS n, pow(tan(p), 2) AS t, {_ue / (1 - _ue)!r} * pow(cos(p), 2) AS c, cos(p) * radians(lon - (zone * 6 - 183)) AS a,
+6378.137 * ({_uc[0]!r} * p - {_uc[1]!r} * sin(2 * p) + {_uc[2]!r} * sin(4 * p) - {_uc[3]!r} * sin(6 * p)) AS m FROM p)
+SELECT c_custkey, zone, round(500 + 0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {_ue / (1 - _ue)!r}) * pow(a, 5) / 120), 3) + 0.0 AS x,
+round(0.9996 * (m + n * tan(p) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {_ue / (1 - _ue)!r}) * pow(a, 6) / 720)), 3) + 0.0 AS y FROM s""")
 def proj_utm(spark, sf_dir):
     p = places(spark, sf_dir).where("lat < 84")
     z, x, y = geodesy.utm(p.lat, p.lon)
@@ -187,7 +197,14 @@ def proj_mollweide(spark, sf_dir):
     return p.select("c_custkey", r(a, 3).alias("x"), r(b, 3).alias("y"))
 
 
-@query()
+_lt = lambda d: math.tan(math.pi / 4 - math.radians(d) / 2) / ((1 - _e * math.sin(math.radians(d))) / (1 + _e * math.sin(math.radians(d)))) ** (_e / 2)
+_lm = lambda d: math.cos(math.radians(d)) / math.sqrt(1 - (_e * math.sin(math.radians(d))) ** 2)
+_ln = math.log(_lm(50) / _lm(70)) / math.log(_lt(50) / _lt(70))
+_lf = _r * _lm(50) / (_ln * _lt(50) ** _ln)
+
+
+@query(f"""WITH p AS (SELECT c_custkey, radians(lat) AS p, {_ln!r} * radians(lon - 10) AS a FROM ({PLACES})), s AS (SELECT *, {_lf!r} * pow(tan(pi() / 4 - p / 2) / pow((1 - {_e!r} * sin(p)) / (1 + {_e!r} * sin(p)), {_e / 2!r}), {_ln!r}) AS rho FROM p)
+SELECT c_custkey, round(rho * sin(a), 3) + 0.0 AS x, round({_lf * _lt(40) ** _ln!r} - rho * cos(a), 3) + 0.0 AS y FROM s""")
 def proj_lambert_conformal(spark, sf_dir):
     p = places(spark, sf_dir)
     a, b = geodesy.forward("lambert_conformal", p.lat, p.lon, geodesy.MapSpec(lon0=10, lat0=40, lat1=50, lat2=70))

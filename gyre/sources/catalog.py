@@ -6,11 +6,14 @@ import ast
 import operator
 import re
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gyre.functions import geometry
+from gyre.operators import grids, locate
 from gyre.operators.fields import nan_to_zero, unit_transform
 
 #: Densities of water and snow in kg m-3, and hours between forecast steps.
@@ -112,6 +115,50 @@ class Dataset:
             raise ValueError(f"{self.name} has no time")
         return (raw * self.time_a + self.time_b) / 24 + (self.reference - date(1900, 1, 1)).days
 
+    def days_around(self, day: date, jumps: tuple[int, ...] = (-1, 0, 1)) -> list[date]:
+        """The day moved by whole files: days, months or years by the files' frequency; a constant has one file."""
+
+        def moved(k: int) -> date:
+            if self.frequency == "yearly":
+                return date(day.year + k, 1, 1)
+            if self.frequency == "monthly":
+                m = day.year * 12 + day.month - 1 + k
+                return date(m // 12, m % 12 + 1, 1)
+            return day + timedelta(days=k)
+
+        return [day] if self.frequency == "constant" else [moved(k) for k in jumps]
+
+    def opened(self, spark: SparkSession, day: date, keep: list[str], root: str = "", jumps: tuple[int, ...] = (-1, 0, 1), **parts: str) -> DataFrame:
+        """Rows of the files (staged as Parquet) of a day and of its neighbours by ``jumps``, so that a time near a file's end has its steps on both sides.
+
+        keep and the model's variables, and, where the data have a time, ``days`` (decimal, since 1900-01-01).  The
+        day's own file must be there; neighbours may be missing.
+        """
+        out = None
+        for k, d in enumerate(dict.fromkeys(self.path(x, root, **parts) for x in self.days_around(day, jumps))):
+            try:
+                rows = spark.read.parquet(d)
+            except AnalysisException:
+                if d == self.path(day, root, **parts):
+                    raise
+                continue
+            timed = [] if self.time is None or self.reference is None else [self.days(F.col(self.time)).alias("days")]
+            own = rows.select(*keep, *timed, *[v.column() for v in self.variables if v.source in rows.columns])
+            out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+        return out
+
+    def is_cyclic(self) -> bool:
+        return "cyclic" in self.method
+
+    def sampled(self, points: DataFrame, grid: DataFrame, start: tuple[float, float], step: float, shape: tuple[int, int], variable: str) -> DataFrame:
+        """points (px, py) with the variable of a regular grid (i, j, variable) by the dataset's own method, bilinear, with the first column once more where the grid closes around the globe."""
+        if not self.method.startswith("FromGridToMesh"):
+            raise ValueError(f"{self.name} is on a mesh: use operators.locate or operators.remap")
+        if self.is_cyclic():
+            grid, shape = grids.cyclic(grid, shape[0]), (shape[0] + 1, shape[1])
+        at = locate.cell_values(points, grid, start, step, shape, variable)
+        return at.withColumn(variable, geometry.bilinear(*map(F.col, ("dx", "dy", "v00", "v10", "v01", "v11")))).select(*points.columns, variable)
+
     def select(self, rows: DataFrame, keep: list[str]) -> DataFrame:
         """keep and the model's variables; those that the files lack are left out."""
         return rows.select(*keep, *[v.column() for v in self.variables if v.source in rows.columns])

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gyre.functions import timeconv
+from gyre.functions import geodesy, timeconv
 
+#: Columns of buoy texts (fixed values).
 BUOY_T = "Year int, Month int, Day int, Hour int, BuoyID long, Lat double, Lon double"
 
 
@@ -49,6 +52,14 @@ def msh_lines(nodes: DataFrame, elems: DataFrame) -> DataFrame:
     return n.union(e)
 
 
+def msh_text(nodes: DataFrame, elems: DataFrame) -> DataFrame:
+    """(part, id, line) of a whole text mesh, with its format, counts and section marks; in this order ``read_msh`` reads it back."""
+    body = msh_lines(nodes, elems).withColumn("part", 2 * F.col("part") + 1)
+    n, e = nodes.count(), elems.count()
+    heads = [(0, -3, "$MeshFormat"), (0, -2, "2.2 0 8"), (0, -1, "$EndMeshFormat"), (0, 0, "$Nodes"), (0, 1, str(n)), (2, 0, "$EndNodes"), (2, 1, "$Elements"), (2, 2, str(e)), (4, 0, "$EndElements")]
+    return body.union(nodes.sparkSession.createDataFrame(heads, "part int, id long, line string"))
+
+
 NODES_PER_TYPE = {1: 2, 2: 3, 15: 1}  # line, triangle, point (fixed values)
 
 
@@ -142,10 +153,14 @@ def read_buoys(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("ts", F.make_timestamp("Year", "Month", "Day", "Hour", F.lit(0), F.lit(0.0)))
 
 
+def drifter_line_columns() -> list[Column]:
+    t = F.col("ts")
+    return [F.format_string("%4d %02d %02d %02d %d %.5f %.5f %.5f", F.year(t), F.month(t), F.day(t), F.hour(t), "drifter_id", "lat", "lon", "conc").alias("value")]
+
+
 def drifter_lines(rows: DataFrame) -> DataFrame:
     """Text lines of drifters (ts, drifter_id, lat, lon, conc), five decimals."""
-    t = F.col("ts")
-    return rows.select(F.format_string("%4d %02d %02d %02d %d %.5f %.5f %.5f", F.year(t), F.month(t), F.day(t), F.hour(t), "drifter_id", "lat", "lon", "conc").alias("value"))
+    return rows.select(*drifter_line_columns())
 
 
 def records_before(rows: DataFrame, restart: Column) -> DataFrame:
@@ -153,22 +168,121 @@ def records_before(rows: DataFrame, restart: Column) -> DataFrame:
     return rows.where(F.col("ts") < restart)
 
 
+#: Columns of random-field texts (fixed values).
 RANDOM_FIELD = ("slp", "taux", "tauy", "wndspd", "airtmp", "relhum", "clouds", "precip", "sss", "sst")
 
 
+def exponent_form(c: Column, width: int = 14, digits: int = 3) -> Column:
+    """A number as 0.ddd times a power of ten, right-aligned: the E edit of Fortran, which leaves no blank between full columns."""
+    x = F.abs(c.cast("double"))
+    e = F.when(x > 0, F.floor(F.log10(x)) + 1).otherwise(0)
+    m = F.round(x / F.pow(F.lit(10.0), e), digits)
+    e, m = F.when(m >= 1, e + 1).when((m < 0.1) & (x > 0), e - 1).otherwise(e), F.when(m >= 1, m / 10).when((m < 0.1) & (x > 0), m * 10).otherwise(m)
+    text = F.concat(F.when(c < 0, "-").otherwise(""), F.format_string(f"%.{digits}f", m), F.lit("E"), F.when(e < 0, "-").otherwise("+"), F.lpad(F.abs(e).cast("int").cast("string"), 2, "0"))
+    return F.lpad(text, width, " ")
+
+
+def fixed_width(spark: SparkSession, path: str, fields: list[tuple[str, int, str]]) -> DataFrame:
+    """Lines of fields (name, width, type), read by position."""
+    at, out = 1, []
+    for name, width, kind in fields:
+        out.append(F.trim(F.substring("value", at, width)).cast(kind).alias(name))
+        at += width
+    return spark.read.text(path).where(F.trim("value") != "").select(*out)
+
+
 def read_random_field(spark: SparkSession, path: str) -> DataFrame:
-    w = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.trim("value") != "").select(*[w[i].cast("double").alias(c) for i, c in enumerate(RANDOM_FIELD)])
+    return fixed_width(spark, path, [(c, 14, "double") for c in RANDOM_FIELD])
 
 
 def random_field_lines(rows: DataFrame) -> DataFrame:
-    return rows.select(F.format_string(" ".join(["%14.6e"] * 10), *RANDOM_FIELD).alias("value"))
+    """Ten numbers of 14 places a line."""
+    return rows.select(F.concat(*[exponent_form(F.col(c)) for c in RANDOM_FIELD]).alias("value"))
+
+
+#: Columns of synoptic texts (fixed values).
+SYNOPTIC = ("uwind", "vwind", "airtmp", "slp", "precip", "relhum")
 
 
 def read_synoptic(spark: SparkSession, path: str) -> DataFrame:
-    names = ("uwind", "vwind", "airtmp", "slp", "precip", "relhum")
-    w = F.split(F.trim("value"), r"\s+")
-    return spark.read.text(path).where(F.trim("value") != "").select(w[0].cast("int").alias("i"), w[1].cast("int").alias("j"), *[w[k + 2].cast("double").alias(c) for k, c in enumerate(names)])
+    return fixed_width(spark, path, [("i", 5, "int"), ("j", 5, "int"), *[(c, 14, "double") for c in SYNOPTIC]])
+
+
+def synoptic_lines(rows: DataFrame) -> DataFrame:
+    """Two numbers of five places and six of 14 a line."""
+    return rows.select(F.concat(*[F.lpad(F.col(c).cast("string"), 5, " ") for c in "ij"], *[exponent_form(F.col(c)) for c in SYNOPTIC]).alias("value"))
+
+
+#: The header of drifter texts (fixed value).
+DRIFTER_HEADER = "Year Month Day Hour BuoyID Lat Lon Concentration"
+
+
+def drifter_text(rows: DataFrame, header: bool = True) -> DataFrame:
+    """(at, value): the header and the lines of drifters; written sorted by ``at`` they are a drifter file."""
+    lines = rows.select((F.unix_micros("ts") + 1).alias("at"), "drifter_id", *drifter_line_columns()).select("at", "value")
+    return rows.sparkSession.createDataFrame([(-(1 << 62), DRIFTER_HEADER)], "at long, value string").union(lines) if header else lines
+
+
+def append_drifters(rows: DataFrame, path: str) -> None:
+    """Appends (time, drifter_id, lat, lon, sic) records of rows (ts, drifter_id, lat, lon, conc) as Parquet."""
+    rows.select(timeconv.datenum(F.col("ts")).alias("time"), "drifter_id", "lat", "lon", F.col("conc").alias("sic")).write.mode("append").parquet(path)
+
+
+def write_mesh(nodes: DataFrame, elems: DataFrame, path: str) -> None:
+    """A mesh as two tables, ``nodes`` and ``elements``."""
+    nodes.select("node_id", "x", "y").write.mode("overwrite").parquet(f"{path}/nodes")
+    elems.select("elem_id", "nodes").write.mode("overwrite").parquet(f"{path}/elements")
+
+
+def read_mesh(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/elements")
+
+
+def matrix_bytes(grid: DataFrame, cols: int, value: str, kind: str = "<f4") -> DataFrame:
+    """(i, bytes): each row of a grid (i, j, value) as flat binary; one after another they are the matrix.  A missing cell is zero; a row is one task's at a time."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = np.zeros(cols, kind)
+        row[pdf.j.to_numpy()] = pdf[value].to_numpy()
+        return pd.DataFrame({"i": [int(pdf.i.iloc[0])], "bytes": [row.tobytes()]})
+
+    return grid.select("i", "j", value).groupBy("i").applyInPandas(run, "i long, bytes binary")
+
+
+def window_of(matrix: DataFrame, kind: str, first: int, count: int) -> DataFrame:
+    """(i, j, value) of a range of rows of ``matrix_bytes``: other rows are not read."""
+
+    def run(batches):
+        for p in batches:
+            for i, raw in zip(p.i, p.bytes):
+                v = np.frombuffer(raw, kind).astype(float)
+                yield pd.DataFrame({"i": i, "j": np.arange(len(v)), "value": v})
+
+    return matrix.where(F.col("i").between(first, first + count - 1)).mapInPandas(run, "i long, j long, value double")
+
+
+def map_spec(held: dict[str, str]) -> tuple[str, geodesy.MapSpec]:
+    """(projection, MapSpec) of a map definition; keys it lacks have the usual values."""
+    number = lambda *keys, default: next((float(held[k].split()[0]) for k in keys if k in held), default)
+    name = held.get("map projection", "polar_stereographic").strip().lower().replace(" ", "_").removesuffix("_ellipsoid") if "map projection" in held else "polar_stereographic"
+    base = geodesy.MapSpec()
+    spec = geodesy.MapSpec(
+        lat0=number("map reference latitude", default=base.lat0), lon0=number("map reference longitude", default=base.lon0), lat1=number("map second reference latitude", default=base.lat1),
+        rotation=number("map rotation", default=base.rotation), scale=number("map scale", default=base.scale), radius=number("map equatorial radius", default=base.radius), ecc=number("map eccentricity", default=base.ecc),
+    )
+    return name, spec
+
+
+def projection_metadata(name: str, m: geodesy.MapSpec) -> dict[str, str | float]:
+    """Attributes of a grid's projection, for a column's metadata, with its proj4 text."""
+    minor = m.radius * math.sqrt(1 - m.ecc * m.ecc)
+    proj4 = f"+proj=stere +a={m.radius * 1000:g} +b={minor * 1000:.3f} +lat_0={m.lat0:g} +lat_ts={m.lat1:g} +lon_0={m.lon0 - m.rotation:g}"
+    return {"grid_mapping_name": name, "standard_parallel": m.lat1, "latitude_of_projection_origin": m.lat0, "straight_vertical_longitude_from_pole": m.lon0 - m.rotation, "semi_major_axis": m.radius * 1000, "semi_minor_axis": minor * 1000, "proj4": proj4}
+
+
+def with_projection(grid: DataFrame, column: str, name: str, m: geodesy.MapSpec) -> DataFrame:
+    """The grid with the projection's attributes in the metadata of one of its columns; Parquet keeps them."""
+    return grid.withMetadata(column, projection_metadata(name, m))
 
 
 #: A definition file with more keys than this is refused.

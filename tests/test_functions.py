@@ -208,6 +208,26 @@ def test_catalogue():
         catalog.dataset("none")
 
 
+def test_files_around_a_day(spark, tmp_path):
+    d = catalog.dataset("generic_ps_atm_nodes")
+    assert d.days_around(date(2020, 1, 1)) == [date(2019, 12, 31), date(2020, 1, 1), date(2020, 1, 2)]
+    assert catalog.dataset("asr_nodes").days_around(date(2020, 1, 31)) == [date(2019, 12, 1), date(2020, 1, 1), date(2020, 2, 1)]
+    source = d.variables[0].source
+    for day, t in (("20200101", 43829.0), ("20200102", 43830.0)):
+        spark.createDataFrame([(1, t, 2.5)], f"node_id int, time double, `{source}` double").write.parquet(f"{tmp_path}/generic_ps_atm_{day}.nc")
+    got = d.opened(spark, date(2020, 1, 1), ["node_id"], str(tmp_path)).orderBy("days").collect()
+    assert [r.days for r in got] == [43829.0, 43830.0] and got[0][d.variables[0].name] == 2.5
+    with pytest.raises(PySparkException):
+        d.opened(spark, date(2021, 1, 1), ["node_id"], str(tmp_path))
+
+
+def test_a_cyclic_grid_is_sampled_across_its_seam(spark):
+    grid = spark.range(8).select((F.col("id") % 4).alias("i"), F.floor(F.col("id") / 4).alias("j"), (F.col("id") % 4 * 1.0).alias("tair"))
+    p = spark.createDataFrame([(315.0, 45.0), (45.0, 0.0)], "px double, py double")
+    got = catalog.dataset("ERA5_elements").sampled(p, grid, (0.0, 0.0), 90.0, (4, 2), "tair").orderBy("px").collect()
+    assert [r.tair for r in got] == [0.5, 1.5]
+
+
 def test_mesh_files(spark, tmp_path):
     text = "$MeshFormat\n2.2 0 8\n$EndMeshFormat\n$PhysicalNames\n1\n1 7 \"coast\"\n$EndPhysicalNames\n$Nodes\n3\n1 0 0 0\n2 1 0 0\n3 0 1 0\n$EndNodes\n$Elements\n2\n1 1 2 7 1 1 2\n2 2 4 1 1 1 3 1 2 3\n$EndElements\n"
     (tmp_path / "a.msh").write_text(text)
@@ -258,3 +278,77 @@ def test_streamed_drifters(spark, tmp_path):
     q.stop()
     got = [(r.x, r.y, r.alive) for r in spark.sql("SELECT * FROM moves ORDER BY ts").collect()]
     assert got == [(0.0, 0.0, True), (1.0, 2.0, True), (2.0, 4.0, False)]
+
+
+def test_other_inverse_projections_give_the_places_back(spark):
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.uniform(-80, 80, 300), rng.uniform(-180, 180, 300))], "lat double, lon double")
+    m = geodesy.MapSpec(lon0=20.0, radius=6371.0)
+    for name in ("homolosine", "integerized_sinusoidal"):
+        lat, lon = geodesy.inverse(name, *geodesy.forward(name, F.col("lat"), F.col("lon"), m), m)
+        for r in df.select("lat", "lon", lat.alias("a"), lon.alias("b")).collect():
+            assert r.a == pytest.approx(r.lat, abs=1e-5) and r.b == pytest.approx(r.lon, abs=1e-4)
+    zone, x, y = geodesy.utm(F.col("lat"), F.col("lon"))
+    lat, lon = geodesy.utm_inverse(zone, x, y, F.col("lat") < 0)
+    for r in df.select("lat", "lon", lat.alias("a"), lon.alias("b")).collect():
+        assert r.a == pytest.approx(r.lat, abs=1e-5) and r.b == pytest.approx(r.lon, abs=1e-5)
+    assert spark.range(1).select(*geodesy.inverse("orthographic", F.lit(7000.0), F.lit(0.0), m), *geodesy.inverse("homolosine", F.lit(-4000.0), F.lit(9000.0), m)).first()[0] is None
+
+
+def test_texts_go_round(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    rows = [tuple(float(x) for x in rng.standard_normal(10) * 10.0 ** rng.integers(-9, 9, 10)) for _ in range(20)] + [(0.0, 1.0, -1.0, 0.9996, -0.09999, 123456.0, 1e-12, -5e20, 0.1, 10.0)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in files.RANDOM_FIELD))
+    lines = files.random_field_lines(df)
+    assert all(len(r.value) == 140 for r in lines.collect()) and "     0.100E+01    -0.100E+01     0.100E+01    -0.100E+00" in lines.collect()[-1].value
+    lines.coalesce(1).write.text(str(tmp_path / "f"))
+    got = files.read_random_field(spark, str(tmp_path / "f")).collect()
+    assert np.allclose([list(r) for r in got], rows, rtol=1e-2, atol=0)
+    syn = spark.createDataFrame([(1, 12345, *rows[0][:6])], "i int, j int, " + ", ".join(f"{c} double" for c in files.SYNOPTIC))
+    files.synoptic_lines(syn).write.text(str(tmp_path / "s"))
+    assert files.read_synoptic(spark, str(tmp_path / "s")).first()[:2] == (1, 12345)
+
+
+def test_meshes_and_matrices_go_round(spark, tmp_path):
+    nodes, elems = mesh.lattice(spark, 3, 2, 1.5)
+    lines = files.msh_text(nodes, elems).orderBy("part", "id").select("line").collect()
+    (tmp_path / "m.msh").write_text("\n".join(r.line for r in lines) + "\n")
+    held = files.read_msh(spark, str(tmp_path / "m.msh"))
+    assert sorted(map(tuple, held["node"].select("node_id", "x", "y").collect())) == sorted(map(tuple, nodes.collect()))
+    assert sorted((r.elem_id, list(r.nodes)) for r in held["elem"].collect()) == sorted((r.elem_id, list(r.nodes)) for r in elems.collect())
+    files.write_mesh(nodes, elems, str(tmp_path / "t"))
+    assert [t.count() for t in files.read_mesh(spark, str(tmp_path / "t"))] == [12, 12]
+    grid = spark.range(12).select(F.floor(F.col("id") / 4).alias("i"), (F.col("id") % 4).alias("j"), (F.col("id") * 1.5).alias("v"))
+    flat = files.matrix_bytes(grid, 4, "v")
+    raw = b"".join(bytes(r.bytes) for r in flat.orderBy("i").collect())
+    assert np.frombuffer(raw, "<f4").tolist() == [k * 1.5 for k in range(12)]
+    assert sorted(r.value for r in files.window_of(flat, "<f4", 1, 2).collect()) == [k * 1.5 for k in range(4, 12)]
+
+
+def test_polygon_crossings_and_vertices(spark):
+    square = F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in ((0, 0), (2, 0), (2, 2), (0, 2))])
+    row = spark.range(1).select(
+        geometry.crossings(F.lit(-1.0), F.lit(1.0), F.lit(3.0), F.lit(1.0), square).alias("two"), geometry.crossings(F.lit(0.5), F.lit(0.5), F.lit(1.0), F.lit(1.5), square).alias("none"),
+        geometry.in_convex(F.lit(2.0005), F.lit(2.0), square).alias("corner"), geometry.in_convex(F.lit(1.9995), F.lit(2.0), square, inclusive=False).alias("strict"), geometry.in_convex(F.lit(2.01), F.lit(1.0), square).alias("out"),
+        geometry.lagrange2d([0.0, 1.0], [0.0, 2.0], [[1.0, 3.0], [2.0, 4.0]], F.lit(0.5), F.lit(1.0)).alias("l"),
+    ).first()
+    assert [tuple(p) for p in row.two] == [(2.0, 1.0), (0.0, 1.0)] and row.none == [] and row.corner and not row.strict and not row.out and row.l == 2.5
+
+
+def test_clipping_many_pairs_at_once_equals_known_areas():
+    tri = np.array([[(0, 0), (4, 0), (0, 4)], [(0, 0), (4, 0), (0, 4)], [(0, 0), (4, 0), (0, 4)], [(10, 10), (11, 10), (10, 11)]], float)
+    box = np.array([[(0, 0), (2, 0), (2, 2), (0, 2)], [(1, 1), (9, 1), (9, 9), (1, 9)], [(-5, -5), (5, -5), (5, 5), (-5, 5)], [(0, 0), (1, 0), (1, 1), (0, 1)]], float)
+    assert remap.clipped_areas(tri, box).tolist() == pytest.approx([4, 2, 8, 0])
+
+
+def test_parts_of_a_mesh_are_even(spark):
+    nodes, elems = mesh.lattice(spark, 16, 16, 1.0)
+    n = [r["count"] for r in mesh.partitioned(mesh.barycentres(mesh.corners(elems, nodes)), 4, "bx", "by").groupBy("part").count().collect()]
+    assert len(n) == 4 and min(n) > 100
+
+
+def test_projection_is_kept_in_metadata(spark, tmp_path):
+    name, m = files.map_spec({"map projection": "Polar Stereographic Ellipsoid", "map reference longitude": "-45", "map second reference latitude": "60"})
+    files.with_projection(spark.range(1), "id", name, m).write.parquet(str(tmp_path / "p"))
+    held = spark.read.parquet(str(tmp_path / "p")).schema["id"].metadata
+    assert held["grid_mapping_name"] == "polar_stereographic" and "+lon_0=-45" in held["proj4"]
