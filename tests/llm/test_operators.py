@@ -140,6 +140,29 @@ def test_quality_on_held_out_labels(spark, sf):
     assert np.mean([r.predicted == r.quality for r in rows]) > 0.93
 
 
+def test_quality_scores_follow_the_plain_discriminant(spark, sf):
+    """Log-odds of all scores against log-density differences by inverses and determinants, from labelled rows of the training fold."""
+    path = sf.replace("sf0.001", "sf0.01")
+    texts = dict(docs_of(spark.read.parquet(f"{path}/documents.parquet")))
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{path}/labels.parquet").collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2 and r.doc_id in texts}
+    x = {d: np.array(quality.statistics(t)) for d, t in texts.items()}
+    own = [np.stack([x[d] for d, q in labels.items() if q == k]) for k in (0, 1)]
+    mean = [m.mean(axis=0) for m in own]
+    each = [(m - c).T @ (m - c) for m, c in zip(own, mean)]
+    pooled, d = sum(each) / sum(map(len, own)), len(quality.NAMES)
+    density = []
+    for m, c, e in zip(own, mean, each):
+        w = min(1.0, 0.3 + d / len(m))
+        cov = 0.95 * ((1 - w) * e / len(m) + w * pooled) + 0.05 * np.diag(np.maximum(np.diag(pooled), 1e-6)) + 1e-9 * np.eye(d)
+        density.append((np.linalg.inv(cov), np.linalg.slogdet(cov)[1], c))
+    out = registry.QUERIES["op2_quality"](spark, path).where("score between 0.001 and 0.999").collect()
+    diff = np.array([[-0.5 * ((x[r.doc_id] - c) @ inv @ (x[r.doc_id] - c) + det) for inv, det, c in density] for r in out])
+    z = quality.squashed(diff[:, 1] - diff[:, 0])
+    odds = np.array([math.log(r.score / (1 - r.score)) for r in out])
+    slope, offset = np.polyfit(z, odds, 1)
+    assert slope > 0 and np.abs(slope * z + offset - odds).max() < 1e-4 and len(out) > 20
+
+
 # 3
 def test_lm_base_scores_equal_brute_force_and_the_model_beats_them(spark, sf):
     path = sf.replace("sf0.001", "sf0.01")
