@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from gyre.functions import geometry as g
 
 
+#: Elements (corners and carried values, some 100 bytes in each bucket) are broadcast up to so many.
+BROADCAST_ELEMENTS = 100_000
+
+
 def bucketed(rows: DataFrame, x0, x1, y0, y1, size: float) -> DataFrame:
     """One row for each bucket (bx, by) that a row's box meets."""
     b = lambda c: F.floor(c / size).cast("long")
@@ -21,19 +25,25 @@ def bucketed(rows: DataFrame, x0, x1, y0, y1, size: float) -> DataFrame:
 
 
 def in_triangles(points: DataFrame, at: DataFrame, key: list[str], size: float, keep: list[str] = ()) -> DataFrame:
-    """points (key, px, py) with elem_id, the barycentric l1, l2, l3 and ``keep`` of the element that holds them; others: null.
+    """points (px, py; one row for each key) with elem_id, the barycentric l1, l2, l3 and ``keep`` of the element that holds them; others: null.
 
     at: elements with corners.  Of several elements (shared edges, tolerance 1e-11) the
-    highest id holds a point.  ``size`` should be near the side of an element.
+    highest id holds a point.  ``size`` should be near the side of an element.  Elements
+    are broadcast if they are counted to be at most ``BROADCAST_ELEMENTS``; points are
+    then shuffled once, to settle shared edges.  Rows of one key give one row.
     """
     xs, ys = [F.col(f"x{k}") for k in (1, 2, 3)], [F.col(f"y{k}") for k in (1, 2, 3)]
     pad = 1e-9
-    el = bucketed(at, F.least(*xs) - pad, F.greatest(*xs) + pad, F.least(*ys) - pad, F.greatest(*ys) + pad, size)
+    few = F.broadcast if at.count() <= BROADCAST_ELEMENTS else lambda df: df
+    el = bucketed(at.select("elem_id", *[c for k in (1, 2, 3) for c in (f"x{k}", f"y{k}")], *keep), F.least(*xs) - pad, F.greatest(*xs) + pad, F.least(*ys) - pad, F.greatest(*ys) + pad, size)
     pt = points.withColumns({"bx": F.floor(F.col("px") / size).cast("long"), "by": F.floor(F.col("py") / size).cast("long")})
     l1, l2, l3 = g.barycentric(F.col("px"), F.col("py"), *[c for p in zip(xs, ys) for c in p])
-    hit = pt.join(el, ["bx", "by"]).withColumns({"l1": l1, "l2": l2, "l3": l3}).where(F.least("l1", "l2", "l3") >= g.TOLERANCE)
-    best = hit.groupBy(*key).agg(F.max(F.struct("elem_id", "l1", "l2", "l3", *keep)).alias("e"))
-    return points.join(best, key, "left").select(*points.columns, "e.*")
+    el = few(el.withColumnsRenamed({"bx": "_bx", "by": "_by"}))
+    held = F.least(l1, l2, l3) >= g.TOLERANCE
+    hit = pt.join(el, (F.col("bx") == F.col("_bx")) & (F.col("by") == F.col("_by")) & held, "left").withColumns({"l1": l1, "l2": l2, "l3": l3})
+    best = F.max(F.when(F.col("elem_id").isNotNull(), F.struct("elem_id", "l1", "l2", "l3", *keep))).alias("e")
+    own = hit.groupBy(*key).agg(best, *[F.first(c).alias(c) for c in points.columns if c not in key])
+    return own.select(*points.columns, "e.*")
 
 
 def stored_weights(held: DataFrame, key: list[str], elems: DataFrame) -> DataFrame:

@@ -153,7 +153,7 @@ ELSE [{{'node_id': a, 'w': 1 - dx / 50.0::DOUBLE}}, {{'node_id': a + 1, 'w': (dx
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s.node_id AS node_id, round(s.w, 6) + 0.0 AS w FROM parts""")
 def stored_weights(spark, sf_dir):
     _, elems = the_mesh(spark)
-    return locate.stored_weights(located(spark, sf_dir).select(*KEY, "elem_id", "l1", "l2", "l3").distinct(), KEY, elems).select(*KEY, "node_id", r(F.col("w")).alias("w"))
+    return locate.stored_weights(located(spark, sf_dir).select(*KEY, "elem_id", "l1", "l2", "l3"), KEY, elems).select(*KEY, "node_id", r(F.col("w")).alias("w"))
 
 
 @query(f"WITH {NODES_SQL}, {ELEMS_SQL} SELECT 801 - elem_id AS elem_id, 442 - n1 AS n1, 442 - n2 AS n2, 442 - n3 AS n3 FROM elems")

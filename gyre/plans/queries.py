@@ -316,7 +316,7 @@ def minmax_by_var(spark, sf_dir):
 # -- location and interpolation --------------------------------------------------------------
 @query(f"WITH {LOCATED_SQL} SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, elem_id FROM q")
 def locate_triangle(spark, sf_dir):
-    return located(spark, sf_dir).select(*KEY, "elem_id").distinct()
+    return located(spark, sf_dir).select(*KEY, "elem_id")
 
 
 @query(f"""WITH {NODES_SQL}, f AS (SELECT node_id, {NODE_VALUE} AS f FROM nodes), {LOCATED_SQL}
@@ -324,7 +324,7 @@ SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, elem_id, round(C
 ELSE a0.f * (1 - dx / 50.0::DOUBLE) + a1.f * ((dx - dy) / 50.0::DOUBLE) + a2.f * (dy / 50.0::DOUBLE) END, 6) AS f
 FROM q JOIN f AS a0 ON a0.node_id = a JOIN f AS a1 ON a1.node_id = a + 1 JOIN f AS a2 ON a2.node_id = a + 22 JOIN f AS a3 ON a3.node_id = a + 21""")
 def p1_interp(spark, sf_dir):
-    return locate.interpolated(located(spark, sf_dir), "f", -1e14).select(*KEY, "elem_id", r(F.col("f")).alias("f")).distinct()
+    return locate.interpolated(located(spark, sf_dir), "f", -1e14).select(*KEY, "elem_id", r(F.col("f")).alias("f"))
 
 
 @query(f"""WITH p AS ({POINTS}) SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN xi < 500 AND yi < 500 OR xi = 500 AND yi <= 500 OR yi = 500 AND xi <= 500 THEN 1 ELSE 0 END AS inside FROM p""")
@@ -332,7 +332,7 @@ def default_outside(spark, sf_dir):
     """A land-sea mask by point location: 1 within a mesh of a quarter of the domain."""
     nodes, elems = mesh.lattice(spark, 10, 10, 5.0)
     held = locate.in_triangles(points(spark, sf_dir), mesh.corners(elems, nodes), KEY, 5.0)
-    return held.select(*KEY, F.when(F.col("elem_id").isNull(), 0).otherwise(1).alias("inside")).distinct()
+    return held.select(*KEY, F.when(F.col("elem_id").isNull(), 0).otherwise(1).alias("inside"))
 
 
 @query(f"""WITH g AS (SELECT i, j, (i * 3 + j * j) % 17 + 0.5 AS v FROM range(21) AS a(i), range(21) AS b(j)), p AS (SELECT *, xi // 50 AS ci, yi // 50 AS cj, (xi % 50) / 50.0::DOUBLE AS dx, (yi % 50) / 50.0::DOUBLE AS dy FROM ({POINTS}))

@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from gyre.plans import field_queries  # noqa: F401  # registers its queries
 from gyre.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
