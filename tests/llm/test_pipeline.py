@@ -1,3 +1,6 @@
+import collections
+import hashlib
+
 import corpus_pipeline
 from gyre.llm import mixing, near_dedup, quality, suffix_dedup
 from gyre.llm.common import written
@@ -21,6 +24,14 @@ def test_stages_act_on_what_is_left(spark, sf):
     want = {d: len((t or "").encode()) for d, t in ((r.doc_id, r.text) for r in d2.collect())}
     brute = {r[0]: r for r in suffix_dedup.brute([(r.doc_id, r.text) for r in d2.collect()])}
     assert set(brute) == set(want) and sum(len(r.text.encode()) for r in s.collect()) <= sum(b[1] - b[2] for b in brute.values())
+    cut = {r.doc_id: r.text for r in s.collect()}
+    for r in d2.collect():  # document by document; characters cut in two go as well
+        if (r.text or "").isascii():
+            assert hashlib.sha256((cut[r.doc_id] or "").encode()).hexdigest() == brute[r.doc_id][4]
+    taken = {r.doc_id: r._mix_copies for r in mixing.mix(d3).select("doc_id", "_mix_copies").collect()}
+    texts = {r.doc_id: r.text for r in d3.collect()}
+    mixed = collections.Counter((r.doc_id, r.text) for r in m.collect())
+    assert mixed == {(d, texts[d]): n for d, n in taken.items() if n}
     assert m.count() == mixing.mix(d3).agg({"_mix_copies": "sum"}).first()[0]
     assert p.agg({"length": "sum"}).first()[0] > 0 and d4.count() == p.where("start = 0").count()
     assert quality.THRESHOLD == 0.7
