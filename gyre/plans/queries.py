@@ -91,10 +91,10 @@ def proj_forward(spark, sf_dir):
     return p.select("c_custkey", r(x, 3).alias("x"), r(y, 3).alias("y"))
 
 
-@query(f"SELECT c_custkey, round(lat, 5) AS lat, round(CASE WHEN lon = 180 THEN -180 ELSE lon END, 5) AS lon FROM ({PLACES}) WHERE lat < 89.9")
+@query(f"SELECT c_custkey, round(lat, 5) AS lat, round(CASE WHEN lon = 180 THEN -180 ELSE lon END, 5) AS lon FROM ({PLACES})")
 def proj_inverse(spark, sf_dir):
     """Forward and back again gives the places."""
-    p = places(spark, sf_dir).where("lat < 89.9")
+    p = places(spark, sf_dir)
     x, y = geodesy.forward("polar_stereographic", p.lat, p.lon, NPS)
     lat, lon = geodesy.inverse("polar_stereographic", x, y, NPS)
     lon = F.round(lon, 5) + 0.0
@@ -138,17 +138,17 @@ _family("albers", f"R * sqrt({_c!r} - 2 * {_n!r} * sin(PHI)) / {_n!r} * sin({_n!
 
 
 def _roundtrip(name: str, width: float, **more):
-    """Forward and back again gives the places within ``width`` degrees of the centre."""
+    """Forward and back again gives the places within ``width`` degrees of the centre, null beyond them."""
     spec = geodesy.MapSpec(**({"lon0": 10.0, "lat1": 40.0} | more))
     near = "lat < 89.9 AND abs(lon - 10) < {}".format(width)
 
     def run(spark, sf_dir):
-        p = places(spark, sf_dir).where(near)
+        p = places(spark, sf_dir)
         lat, lon = geodesy.inverse(name, *geodesy.forward(name, p.lat, p.lon, spec), spec)
-        return p.select("c_custkey", r(lat, 5).alias("lat"), r(lon, 5).alias("lon"))
+        return p.select("c_custkey", *(F.when(F.expr(near), r(c, 5)).alias(n) for n, c in (("lat", lat), ("lon", lon))))
 
     run.__name__ = f"inverse_{name}"
-    query(f"SELECT c_custkey, round(lat, 5) AS lat, round(lon, 5) AS lon FROM ({PLACES}) WHERE {near}")(run)
+    query(f"SELECT c_custkey, CASE WHEN {near} THEN round(lat, 5) END AS lat, CASE WHEN {near} THEN round(lon, 5) END AS lon FROM ({PLACES})")(run)
 
 
 for _name in ("polar_stereographic_sphere", "azimuthal_equal_area_ellipsoid", "cylindrical_equal_area", "cylindrical_equal_area_ellipsoid", "cylindrical_equidistant", "mercator", "mollweide", "sinusoidal"):
@@ -164,18 +164,28 @@ _ue = 0.0818191908426215**2
 _uc = (1 - _ue / 4 - 3 * _ue**2 / 64 - 5 * _ue**3 / 256, 3 * _ue / 8 + 3 * _ue**2 / 32 + 45 * _ue**3 / 1024, 15 * _ue**2 / 256 + 45 * _ue**3 / 1024, 35 * _ue**3 / 3072)
 
 
-@query(f"""WITH p AS (SELECT c_custkey, radians(lat) AS p, lat, lon, floor((lon + 180) / 6)::INT % 60 + 1 AS zone FROM ({PLACES}) WHERE lat < 84),
+@query(f"""WITH p AS (SELECT c_custkey, radians(lat) AS p, lat, lon, floor((lon + 180) / 6)::INT % 60 + 1 AS zone FROM (SELECT c_custkey, CASE WHEN lat < 84 THEN lat END AS lat, lon FROM ({PLACES}))),
 s AS (SELECT *, 6378.137 / sqrt(1 - {_ue!r} * pow(sin(p), 2)) AS n, pow(tan(p), 2) AS t, {_ue / (1 - _ue)!r} * pow(cos(p), 2) AS c, cos(p) * radians(lon - (zone * 6 - 183)) AS a,
 6378.137 * ({_uc[0]!r} * p - {_uc[1]!r} * sin(2 * p) + {_uc[2]!r} * sin(4 * p) - {_uc[3]!r} * sin(6 * p)) AS m FROM p)
 SELECT c_custkey, zone, round(500 + 0.9996 * n * (a + (1 - t + c) * pow(a, 3) / 6 + (5 - 18 * t + t * t + 72 * c - 58 * {_ue / (1 - _ue)!r}) * pow(a, 5) / 120), 3) + 0.0 AS x,
 round(0.9996 * (m + n * tan(p) * (a * a / 2 + (5 - t + 9 * c + 4 * c * c) * pow(a, 4) / 24 + (61 - 58 * t + t * t + 600 * c - 330 * {_ue / (1 - _ue)!r}) * pow(a, 6) / 720)), 3) + 0.0 AS y FROM s""")
 def proj_utm(spark, sf_dir):
-    p = places(spark, sf_dir).where("lat < 84")
+    p = places(spark, sf_dir).withColumn("lat", F.expr("CASE WHEN lat < 84 THEN lat END"))  # beyond, the zones end: null
     z, x, y = geodesy.utm(p.lat, p.lon)
     return p.select("c_custkey", z.alias("zone"), r(x, 3).alias("x"), r(y, 3).alias("y"))
 
 
-@query()
+def halved(rows: str) -> str:
+    """SQL that solves theta + sin(theta) = pi sin(lat) by halving an interval, for half of theta ``h``; Spark's side takes Newton's steps."""
+    mid = "(lo + hi) / 2 + sin((lo + hi) / 2) < pi() * sin(radians(lat))"
+    return f"""WITH RECURSIVE rows AS ({rows}), cut AS (SELECT 0 AS k, *, -pi() AS lo, pi() AS hi FROM rows UNION ALL
+SELECT k + 1, * EXCLUDE (k, lo, hi), CASE WHEN {mid} THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {mid} THEN hi ELSE (lo + hi) / 2 END FROM cut WHERE k < 60), t AS (SELECT *, (lo + hi) / 4 AS h FROM cut WHERE k = 60)"""
+
+
+@query(f"""{halved(f"SELECT c_custkey, lat, lon, CASE WHEN lon < -40 THEN -100 ELSE 30 END AS mid FROM ({PLACES}) UNION ALL SELECT NULL, 40.736666666666665::DOUBLE, 0, 0")},
+seam AS (SELECT sqrt(2) * sin(h) - radians(lat) AS gap FROM t WHERE c_custkey IS NULL)
+SELECT c_custkey, round(6371.0 * (radians(mid) + radians(lon - mid) * CASE WHEN lat <= 40.736666666666665::DOUBLE THEN cos(radians(lat)) ELSE 2 * sqrt(2) / pi() * cos(h) END), 3) + 0.0 AS x,
+round(6371.0 * CASE WHEN lat <= 40.736666666666665::DOUBLE THEN radians(lat) ELSE sqrt(2) * sin(h) - gap END, 3) + 0.0 AS y FROM t, seam WHERE c_custkey IS NOT NULL""")
 def proj_homolosine(spark, sf_dir):
     p = places(spark, sf_dir)
     x, y = geodesy.forward("homolosine", p.lat, p.lon, geodesy.MapSpec(lon0=0.0, radius=6371.0))
@@ -190,7 +200,7 @@ def proj_integerized_sinusoidal(spark, sf_dir):
     return p.select("c_custkey", r(x, 3).alias("x"), r(y, 3).alias("y"))
 
 
-@query()
+@query(f"""{halved(PLACES)} SELECT c_custkey, round(6371.0 * 2 * sqrt(2) / pi() * radians(lon - 10) * cos(h), 3) + 0.0 AS x, round(6371.0 * sqrt(2) * sin(h), 3) + 0.0 AS y FROM t""")
 def proj_mollweide(spark, sf_dir):
     p = places(spark, sf_dir)
     a, b = geodesy.forward("mollweide", p.lat, p.lon, geodesy.MapSpec(lon0=10, radius=6371.0))
@@ -450,11 +460,11 @@ def spinup_bias(spark, sf_dir):
     return series(spark, sf_dir).select("event_type", F.col("at").alias("at_us"), r(asof.step(f, 1.5), 8).alias("value"))
 
 
-@query("SELECT e.event_id, n FROM events AS e JOIN (SELECT o_orderdate::DATE AS d, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS o_orderdate FROM events WHERE event_type = 'purchase') GROUP BY 1) ON CAST(e.ts AS DATE) = d")
+@query("SELECT e.event_id, n FROM events AS e LEFT JOIN (SELECT o_orderdate::DATE AS d, count(*) AS n FROM (SELECT CAST(ts AS DATE) AS o_orderdate FROM events WHERE event_type = 'purchase') GROUP BY 1) ON CAST(e.ts AS DATE) = d")
 def nearest_daily(spark, sf_dir):
     """Each event with the purchases of its calendar day."""
     e = table(spark, sf_dir, "events").withColumn("d", F.to_date("ts"))
-    return e.join(e.where("event_type = 'purchase'").groupBy("d").agg(F.count("*").alias("n")), "d").select("event_id", "n")
+    return e.join(e.where("event_type = 'purchase'").groupBy("d").agg(F.count("*").alias("n")), "d", "left").select("event_id", "n")
 
 
 @query("""SELECT strftime(time_bucket(INTERVAL 6 HOUR, ts), '%Y-%m-%d %H:%M') AS w, user_id % 20 AS cell, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY ALL""")
