@@ -429,6 +429,18 @@ def test_licenses_equal_sql(spark, sf, odd_dir):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
+def test_licenses_whole_texts_are_found_and_others_left_alone(spark, odd_dir):
+    names = sorted(licenses.TEMPLATES)
+    rows = [(k, f"Copyright (c) 20{k:02d} somebody\n\n" + licenses.TEMPLATES[n].upper().replace(" ", "\n  ")) for k, n in enumerate(names)]
+    rows += [(100 + k, " ".join(licenses.TEMPLATES[n].split()[::2])) for k, n in enumerate(names)]  # every second word: no shingle
+    path = odd_dir + "-license-texts"
+    spark.createDataFrame(rows, "doc_id long, text string").write.mode("overwrite").parquet(path + "/documents.parquet")
+    got = rows_of(registry.QUERIES["op7_license_scan"](spark, path))
+    assert got == by_duckdb(licenses.OP7_SQL, documents=path + "/documents.parquet/*.parquet")
+    found = {(r.doc_id, r.license): r.containment for r in registry.QUERIES["op7_license_scan"](spark, path).collect()}
+    assert all(found[k, n] == 1.0 for k, n in enumerate(names)) and max(k for k, _ in found) < 100
+
+
 @pytest.mark.parametrize("name", ["Apache-2.0 notice", "MIT notice"])
 def test_licenses_with_a_passage_inside_are_found_at_every_offset(spark, name):
     text = licenses.TEMPLATES[name].split()
