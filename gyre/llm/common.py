@@ -47,9 +47,10 @@ def dropped(table: DataFrame) -> None:
 FEW_ROWS = 200_000
 
 
-def few(table: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if its rows are counted to be few."""
-    return F.broadcast(table) if table.count() <= FEW_ROWS else table
+def few(table: DataFrame, entries: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its rows (or the sum of ``entries``, where rows hold arrays) are counted to be few."""
+    n = table.count() if entries is None else table.agg(F.coalesce(F.sum(entries), F.lit(0))).first()[0]
+    return F.broadcast(table) if n <= FEW_ROWS else table
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def scan(docs: DataFrame, templates: DataFrame | dict[str, str] | None = None, b
 
     # Second reading: those windows' shingles.
     near = near.select(F.col("doc_id").alias("nd"), F.col("tx").alias("nt"), "c")
-    held = docs.select("doc_id", key, "text").join(few(near), F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("tx") == F.col("nt")))
+    held = docs.select("doc_id", key, "text").join(few(near, F.size("c")), F.col("doc_id").eqNullSafe(F.col("nd")) & (F.col("tx") == F.col("nt")))
     held = held.select("doc_id", "tx", words(F.col("text")).alias("w"), "c").select("doc_id", "tx", "w", F.explode("c").alias("c"))
     start = (F.col("c.j") * F.col("c.step")).alias("start")
     held = held.select("doc_id", "tx", "c.license", start, shingles(F.slice(w, F.col("c.j") * F.col("c.step") + 1, F.col("c.n") * 2 + SHINGLE - 1)).alias("ours"))

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from gyre.llm import hashing, licenses, lm, media, mixing, near_dedup, packing, quality, rans, registry, suffix_dedup, token_files, tokens, topk
+from gyre.llm import common, hashing, licenses, lm, media, mixing, near_dedup, packing, quality, rans, registry, suffix_dedup, token_files, tokens, topk
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -429,7 +429,7 @@ def test_licenses_equal_sql(spark, sf, odd_dir):
     assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 
 
-def test_licenses_whole_texts_are_found_and_others_left_alone(spark, odd_dir):
+def test_licenses_whole_texts_are_found_and_others_left_alone(spark, odd_dir, monkeypatch):
     names = sorted(licenses.TEMPLATES)
     rows = [(k, f"Copyright (c) 20{k:02d} somebody\n\n" + licenses.TEMPLATES[n].upper().replace(" ", "\n  ")) for k, n in enumerate(names)]
     rows += [(100 + k, " ".join(licenses.TEMPLATES[n].split()[::2])) for k, n in enumerate(names)]  # every second word: no shingle
@@ -439,6 +439,9 @@ def test_licenses_whole_texts_are_found_and_others_left_alone(spark, odd_dir):
     assert got == by_duckdb(licenses.OP7_SQL, documents=path + "/documents.parquet/*.parquet")
     found = {(r.doc_id, r.license): r.containment for r in registry.QUERIES["op7_license_scan"](spark, path).collect()}
     assert all(found[k, n] == 1.0 for k, n in enumerate(names)) and max(k for k, _ in found) < 100
+    monkeypatch.setattr(common, "FEW_ROWS", 20)  # the windows are more, and joined by a shuffle
+    monkeypatch.setattr(licenses, "BROADCAST_SHINGLES", 0)
+    assert rows_of(registry.QUERIES["op7_license_scan"](spark, path)) == got
 
 
 @pytest.mark.parametrize("name", ["Apache-2.0 notice", "MIT notice"])
