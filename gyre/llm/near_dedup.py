@@ -23,7 +23,8 @@ label propagation with pointer jumping over written tables.
 Defined cases: a null text is an empty one; texts without a word are alike only if
 equal; fewer than five words make one shingle; null doc_ids are rows of their own,
 and a class of them alone has a null id; repeated rows are copies; an empty table
-gives no rows; other columns are not read by ``classes``.
+gives no rows; other columns are not read by ``classes``, and ``deduplicated`` passes
+them on whatever their names.
 """
 
 from __future__ import annotations
@@ -203,7 +204,8 @@ def labelled(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: in
     """((doc_id, h) of every row, (h, doc_id, label, links) of every text): texts of one class have one label; doc_id is the least of the text."""
     sig = written(signatures(docs, bands, rows, weighting), "near-signatures")
     texts = sig.groupBy("h").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    nodes = written(texts.withColumn("node", F.xxhash64("h")), "near-nodes")
+    # Texts are numbered in the order of their hashes, so two texts never share a number, and choices by number don't depend on partitions.
+    nodes = written(texts.repartitionByRange("h").sortWithinPartitions("h").withColumn("node", F.monotonically_increasing_id()), "near-nodes")
     keys = written(nodes.select("node", F.explode("bands").alias("key")), "near-bands")
     sizes = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "near-sizes")
     shared = written(keys.join(few(sizes), "key"), "near-shared")
@@ -289,10 +291,12 @@ def deduplicated(docs: DataFrame, **how) -> DataFrame:
     _, named = labelled(docs, **how)
     first = named.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
     keep = written(first.select(F.col("k.doc_id").alias("_near_id"), F.col("k.h").alias("_near_h")), "near-kept")
-    # Rows are chosen by id and text: an id may stand on texts of several classes, or be null.
-    out = docs.withColumn("_near_text", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256))
-    out = out.join(keep, (F.col("_near_text") == F.col("_near_h")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
-    return out.dropDuplicates(["_near_text"]).drop("_near_text")
+    # Rows are chosen by id and text: an id may stand on texts of several classes, or be null.  Columns go by place, so that no name clashes.
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    text, doc_id = (F.col(names[docs.columns.index(c)]) for c in ("text", "doc_id"))
+    out = docs.toDF(*names).withColumn("_near_text", F.sha2(F.coalesce(text, F.lit("")), 256))
+    out = out.join(keep, (F.col("_near_text") == F.col("_near_h")) & doc_id.cast("long").eqNullSafe(F.col("_near_id")), "left_semi")
+    return out.dropDuplicates(["_near_text"]).select(*names).toDF(*docs.columns)
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
