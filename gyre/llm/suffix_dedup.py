@@ -63,9 +63,24 @@ LEFT, RIGHT, AT, OFF = 52, 44, 12, 6
 HOT_MARK = -(1 << 63)
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def free_id(docs: DataFrame) -> int:
+    """LAST, which stands for a null doc_id; where a row has that very id beside nulls, the largest id below it that no row has: ids above move down by one."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("d"))
+    if not all(ids.agg(F.max("d") == LAST, F.max(F.col("d").isNull())).first()):
+        return LAST
+    below = ids.where("d > -9223372036854775808").select((F.col("d") - 1).alias("d")).distinct()
+    return below.join(ids, "d", "left_anti").agg(F.max("d")).first()[0]
+
+
+def coded(doc_id, free: int):
+    """doc_id as a number that sorts as it does, nulls last."""
+    d = doc_id.cast("long")
+    return F.coalesce(F.when(d > free, d - 1).otherwise(d), F.lit(LAST))
+
+
+def keyed(docs: DataFrame, free: int) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return docs.select(coded(F.col("doc_id"), free).alias("doc"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -364,11 +379,11 @@ def by_text(base: DataFrame, rows: DataFrame, shuffled=shrunk) -> tuple[DataFram
     return shuffled(base.join(keys, has, "left_semi")).join(named, on).drop("_ld", "_lt"), base.join(keys, has, "left_anti")
 
 
-def sampled(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+def sampled(docs: DataFrame, free: int, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """(doc, tag, v): runs of windows that also start in a smaller document; by the rounds over anchors."""
-    rows = keyed(docs).mapInArrow(anchor_rows(length, gram), ROWS_T).repartition("g").sortWithinPartitions("g", "c")
+    rows = keyed(docs, free).mapInArrow(anchor_rows(length, gram), ROWS_T).repartition("g").sortWithinPartitions("g", "c")
     first = written(rows.mapInArrow(ranked, MARKS_T), "suffix-round1", compression="zstd")
-    left, _ = by_text(keyed(docs), first.where("kind = 2"))
+    left, _ = by_text(keyed(docs, free), first.where("kind = 2"))
     rows = left.where("vs is not null").mapInArrow(context_rows(length, gram), CONTEXT_T)
     rows = rows.repartition(F.when(F.col("kind") == 2, F.col("g")).otherwise(F.xxhash64("tag", "v"))).sortWithinPartitions("kind", "g")
     rows = rows.mapInArrow(window_ranks(length), ROWS_T)
@@ -431,10 +446,10 @@ def reranked(batches):
         last, least, known, place = (r[-1], s[-1]), lo[-1], shared[-1], number[-1]
 
 
-def doubled(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def doubled(docs: DataFrame, free: int, length: int = LENGTH) -> DataFrame:
     """The marks of ``sampled``, by prefix doubling over all positions: ranks are places in Spark's sorted order."""
     size = min(8, length)
-    rows = written(keyed(docs).mapInArrow(starts(size), "doc long, tag long, p long, r long"), "suffix-starts")
+    rows = written(keyed(docs, free).mapInArrow(starts(size), "doc long, tag long, p long, r long"), "suffix-starts")
     step = 0  # the first round ranks the bytes themselves
     while True:
         later = rows.select("doc", "tag", (F.col("p") - step).alias("p"), F.col("r").alias("s"))
@@ -465,7 +480,8 @@ CUT_T = "doc_id long, tag long, n_bytes long, n_removed long, n_spans long, kept
 
 def removed(docs: DataFrame, length: int = LENGTH, marks=sampled) -> DataFrame:
     """(doc_id, tag, n_bytes, n_removed, n_spans, kept) of every row; kept: the bytes that stay.  marks: ``sampled`` or ``doubled``."""
-    has, others = by_text(keyed(docs), marks(docs, length))
+    free = free_id(docs)
+    has, others = by_text(keyed(docs, free), marks(docs, free, length))
 
     def run(batches):
         for batch in batches:
@@ -473,13 +489,13 @@ def removed(docs: DataFrame, length: int = LENGTH, marks=sampled) -> DataFrame:
             for a in range(0, batch.num_rows, 1000):
                 raws = [zstandard.decompress(t) for t in texts[a : a + 1000]]
                 rows = [cut(raw, None if vs is None else np.array(vs, np.int64), length) for raw, vs in zip(raws, lists.slice(a, 1000).to_pylist())]
-                ids = [None if d == LAST else d for d in batch.column(0).slice(a, 1000).to_pylist()]
+                ids = [None if d == LAST else d + (d >= free) for d in batch.column(0).slice(a, 1000).to_pylist()]
                 yield pa.record_batch([pa.array(ids, pa.int64()), batch.column(1).slice(a, 1000), pa.array(list(map(len, raws)), pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.binary())], names=["doc_id", "tag", "n_bytes", "n_removed", "n_spans", "kept"])
 
     out = has.mapInArrow(run, CUT_T)
     if others is not None:
         zero = F.lit(0).cast("long")
-        out = out.union(others.select(F.nullif("doc", F.lit(LAST)), "tag", F.octet_length("text").cast("long"), zero, zero, F.col("text").cast("binary")))
+        out = out.union(others.select(F.when(F.col("doc") < free, F.col("doc")).when(F.col("doc") < LAST, F.col("doc") + 1), "tag", F.octet_length("text").cast("long"), zero, zero, F.col("text").cast("binary")))
     return out
 
 
@@ -488,8 +504,9 @@ def deduplicated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     fields = docs.schema.fields
     tag = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}  # so that no column's name clashes with doc, tag or vs
-    base = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), tag.alias("tag"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    has, others = by_text(base, sampled(docs, length), lambda df: df)
+    free = free_id(docs)
+    base = docs.select(coded(F.col("doc_id"), free).alias("doc"), tag.alias("tag"), *[F.col(f"`{c}`").alias(n) for c, n in names.items()])
+    has, others = by_text(base, sampled(docs, free, length), lambda df: df)
     both = has.select(*names.values(), "vs").toDF(*docs.columns, "vs" if "vs" not in docs.columns else "_vs")
 
     def run(batches):
@@ -514,13 +531,13 @@ def brute(rows: list[tuple[int | None, str | None]], length: int = LENGTH) -> li
     """The same by a dictionary of all windows, for tests."""
     least: dict[bytes, int] = {}
     for d, t in rows:
-        raw, d = (t or "").encode(), LAST if d is None else d
+        raw, d = (t or "").encode(), LAST + 1 if d is None else d
         for p in range(len(raw) - length + 1):
             w = raw[p : p + length]
             least[w] = min(d, least.get(w, d))
     out = []
     for d, t in rows:
-        raw, k = (t or "").encode(), LAST if d is None else d
+        raw, k = (t or "").encode(), LAST + 1 if d is None else d
         vs = [p << AT | 1 for p in range(len(raw) - length + 1) if least[raw[p : p + length]] < k]
         kept, n, runs = cut(raw, np.array(vs, np.int64), length)
         out.append((d, len(raw), n, runs, hashlib.sha256(kept).hexdigest()))
