@@ -23,6 +23,8 @@ not read.  Products are exact while they fit 64 bits.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -31,8 +33,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 COORDS, LOW, HIGH = 16, 0.3, 0.8
-#: A slice of queries is at most so many numbers (32 MB); the floors come from about SAMPLE candidates.
-SLICE, SAMPLE = 1 << 22, 8192
+#: A slice of queries is at most so many numbers (32 MB), and SLICES of them are scored in one scan; the floors come from about SAMPLE candidates.
+SLICE, SLICES, SAMPLE = 1 << 22, 4, 8192
 LEAST = -(1 << 62)
 FOUND = "query_id long, vec_id long, score long"
 
@@ -132,19 +134,22 @@ class Search:
         self.floor[q[full]] = np.maximum(self.floor[q[full]], s[full])
 
 
-def scan(candidates: DataFrame, held, k: int) -> DataFrame:
-    """At most k rows a query and task; held: the broadcast (ids, matrix, floors) of a slice."""
+def scan(candidates: DataFrame, held: list, k: int) -> DataFrame:
+    """At most k rows a query and task; held: the broadcast (ids, matrix, floors) of some slices."""
 
     def run(batches):
-        ids, q, floor = held.value
-        search = Search(ids, q, floor, k)
+        parts = [h.value for h in held]
+        searches, dim = [Search(ids, q, floor, k) for ids, q, floor in parts], parts[0][1].shape[1]
         for batch in batches:
             norm = batch.column(2).to_numpy()
             order = np.argsort(-norm, kind="stable")
-            search.meet(batch.column(0).to_numpy()[order], matrix(batch.column(1), q.shape[1])[order], norm[order])
-        own, vec_id, score = search.best
-        for a in range(0, len(own), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (search.ids[own], vec_id, score)], names=["query_id", "vec_id", "score"])
+            rows = batch.column(0).to_numpy()[order], matrix(batch.column(1), dim)[order], norm[order]
+            for search in searches:
+                search.meet(*rows)
+        for search in searches:
+            own, vec_id, score = search.best
+            for a in range(0, len(own), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[a : a + 50_000]) for x in (search.ids[own], vec_id, score)], names=["query_id", "vec_id", "score"])
 
     return candidates.select("vec_id", "v", "norm").mapInArrow(run, FOUND)
 
@@ -157,7 +162,7 @@ def ranked(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, vec: str = "embedding", most: int = SLICE) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k best candidates of each row under ``is_query`` (a condition on vec_id).
 
-    most: numbers of a slice of queries, the only rows that pass through the driver, a slice at a time.
+    most: numbers of a slice of queries, the only rows that pass through the driver, a slice at a time; SLICES of them live at once.
     """
     spark = vectors.sparkSession
     by = [F.col("norm").desc(), F.xxhash64("vec_id")]
@@ -168,20 +173,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, ve
     edge = ints.agg(F.percentile_approx("norm", 1 - min(1.0, SAMPLE / 2 / max(1, total)), 10_000)).first()[0] or 0.0
     often = F.lit(max(1, 2 * total // SAMPLE))
     sample = ints.where((F.pmod(F.xxhash64("vec_id", F.lit(1)), often) == 0) | (F.col("norm") > edge))  # any rows give true floors
-    found = None
-    for i in range(slices):
-        own = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(slices)) == i).toArrow()
-        ids = own.column("vec_id").to_numpy()
-        rows = own.column("v").combine_chunks()
-        rows = matrix(rows if isinstance(rows, pa.Array) else pa.array([], pa.list_(pa.int64())), dim)
-        none = np.full(len(ids), LEAST, np.int64)
-        near = ranked(scan(sample, spark.sparkContext.broadcast((ids, rows, none)), k), k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
-        floors = near.where(F.col("n") == k).select("query_id", "s").toArrow()
-        at = np.argsort(ids, kind="stable")
-        none[at[np.searchsorted(ids[at], floors.column(0).to_numpy())]] = floors.column(1).to_numpy()
-        part = scan(ints, spark.sparkContext.broadcast((ids, rows, none)), k)
-        found = part if found is None else found.union(part)
-    return ranked(found, k).select("query_id", "rank", "vec_id", "score")
+    found = []
+    for first in range(0, slices, SLICES):
+        sent = [slice_of(queries, sample, slices, i, dim, k) for i in range(first, min(slices, first + SLICES))]
+        # A scan's result is written, so that its slices need not live on.
+        found.append(written(scan(ints, sent, k), "topk-found"))
+        for s in sent:
+            s.destroy()
+    return ranked(reduce(DataFrame.union, found), k).select("query_id", "rank", "vec_id", "score")
+
+
+def slice_of(queries: DataFrame, sample: DataFrame, slices: int, i: int, dim: int, k: int):
+    """The broadcast (ids, matrix, floors) of slice i; the floors come from the sample."""
+    context = queries.sparkSession.sparkContext
+    own = queries.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(slices)) == i).toArrow()
+    ids = own.column("vec_id").to_numpy()
+    rows = own.column("v").combine_chunks()
+    rows = matrix(rows if isinstance(rows, pa.Array) else pa.array([], pa.list_(pa.int64())), dim)
+    floor = np.full(len(ids), LEAST, np.int64)
+    bare = context.broadcast((ids, rows, floor))
+    near = ranked(scan(sample, [bare], k), k).groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("s"))
+    floors = near.where(F.col("n") == k).select("query_id", "s").toArrow()
+    bare.destroy()
+    at = np.argsort(ids, kind="stable")
+    floor[at[np.searchsorted(ids[at], floors.column(0).to_numpy())]] = floors.column(1).to_numpy()
+    return context.broadcast((ids, rows, floor))
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
