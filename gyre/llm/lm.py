@@ -6,8 +6,8 @@ words before it is that of its class (16) times its own within the class (16), b
 softmaxes over sums of hashed features: the last word by its own hash, whatever its
 leaf, and the leaves of the last word, of the last two and of the second last (a
 skip).  A word within a shared leaf has its smoothed share of the leaf's training counts.  Text beginnings have a
-word of their own as context.  The tables of hashed features grow with the distinct
-training words, up to 2**15 and 2**17 rows (a bound: 10 MB a task and copy).
+word of their own as context.  The tables of hashed features have 2**15 and 2**17 rows
+(10 MB a task and copy; fewer only where there are under 4096 distinct training words).
 
 Training goes over every training document once, in rounds of disjoint documents, one
 more for each doubling of the training words over ``ROUND_TOKENS``.  In a round each
