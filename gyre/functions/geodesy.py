@@ -509,3 +509,24 @@ def east_north_to_xy(name: str, lat: Column, lon: Column, u: Column, v: Column,
     size, speed = F.sqrt(dx * dx + dy * dy), F.sqrt(u * u + v * v)
     ok = (F.abs(lat) < 90) & (size > 0)
     return F.when(ok, dx / size * speed).otherwise(0.0), F.when(ok, dy / size * speed).otherwise(0.0)
+
+
+#: North of this latitude, in degrees, a wave direction says nothing (fixed value).
+NO_DIRECTION = 89.5
+
+
+def wave_direction_to_xy(name: str, lat: Column, lon: Column, direction: Column, m: MapSpec, coming: bool = True, way: float = 10.0) -> tuple[Column, Column]:
+    """The unit vector in map axes of where waves go, from their direction in degrees from north: where they come from (``coming``) or go to.
+
+    Both ends of a way of some metres on the ellipsoid are projected; zero where there is no direction, or near the pole.
+    """
+    sign, metres = -1.0 if coming else 1.0, m.radius * 1000
+    east, north = way * sign * F.sin(rad(direction)), way * sign * F.cos(rad(direction))
+    across = metres * F.cos(rad(lat))
+    along = F.hypot(metres * F.sin(rad(lat)), metres * math.sqrt(1 - m.ecc**2) * F.cos(rad(lat)))
+    ok = direction.isNotNull() & ~F.isnan(direction.cast("double")) & (lat <= NO_DIRECTION)
+    (x1, y1), (x2, y2) = forward(name, lat, lon, m), forward(name, lat + F.degrees(north / along), lon + F.degrees(east / F.when(ok, across)), m)
+    dx, dy = x2 - x1, y2 - y1
+    size = F.hypot(dx, dy)
+    ok = ok & (size > 0)
+    return F.when(ok, dx / size).otherwise(0.0), F.when(ok, dy / size).otherwise(0.0)

@@ -80,10 +80,10 @@ def floe_moment_steps(most: Column, least: float, fragility: float, xi: float, m
 
 
 def mean_floe_size(ice: Column, size: Column, threshold: float, least: float, fragility: float, xi: float, moment: int, smooth: bool = False) -> Column:
-    """0 without ice; under the threshold by one of the two distributions, else all floes are alike."""
+    """0 without ice; under the threshold by one of the two distributions; else all floes are alike, and the size itself counts, whatever the moment."""
     exponent = 2 + math.log(fragility) / math.log(xi)
     spread = floe_moment_smooth(size, least, exponent, moment) if smooth else floe_moment_steps(size, least, fragility, xi, moment)
-    return F.when(~ice, 0.0).when(size < threshold, spread).otherwise(F.pow(size, F.lit(moment)))
+    return F.when(~ice, 0.0).when(size < threshold, spread).otherwise(size)
 
 
 def attenuated(energy: Column, rate: Column, group_speed: Column, dt: float) -> Column:

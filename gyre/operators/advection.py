@@ -6,6 +6,30 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def oriented_faces(elems: DataFrame, nodes: DataFrame, u: str, v: str, closed: str | None = None) -> DataFrame:
+    """(elem_id, neighbour, flux, closed): a row for each side of each element, with the volume that nodal velocities carry out through it.
+
+    elems: (elem_id, nodes); nodes: (node_id, x, y, u, v and, if named, closed: a boolean mark).  The flux is the
+    side's outward normal, of its length, times the mean of its ends' velocities, whichever way the element turns; the two
+    elements of a side have opposite fluxes.  neighbour is null at the boundary; a side is closed where both its ends are.
+    """
+    more = [closed] if closed else []
+    flat = elems.select("elem_id", F.posexplode("nodes").alias("k", "node_id")).join(nodes.select("node_id", "x", "y", u, v, *more), "node_id")
+    corner = F.struct("k", "node_id", "x", "y", F.col(u).alias("u"), F.col(v).alias("v"), (F.col(closed) if closed else F.lit(False)).alias("closed"))
+    at = flat.groupBy("elem_id").agg(F.array_sort(F.collect_list(corner)).alias("c"))  # three of each
+    c = [F.get("c", F.lit(k)) for k in range(3)]
+    turn = F.signum((c[1]["x"] - c[0]["x"]) * (c[2]["y"] - c[0]["y"]) - (c[2]["x"] - c[0]["x"]) * (c[1]["y"] - c[0]["y"]))
+
+    def side(p: Column, q: Column) -> Column:
+        out = (q["y"] - p["y"]) * (p["u"] + q["u"]) / 2 - (q["x"] - p["x"]) * (p["v"] + q["v"]) / 2
+        return F.struct(F.least(p["node_id"], q["node_id"]).alias("a"), F.greatest(p["node_id"], q["node_id"]).alias("b"), (turn * out).alias("flux"), (p["closed"] & q["closed"]).alias("closed"))
+
+    sides = at.select("elem_id", F.explode(F.array(side(c[0], c[1]), side(c[1], c[2]), side(c[2], c[0]))).alias("s")).select("elem_id", "s.*")
+    both = Window.partitionBy("a", "b")  # two rows at most
+    other = F.when(F.count("*").over(both) == 2, F.min("elem_id").over(both) + F.max("elem_id").over(both) - F.col("elem_id"))
+    return sides.withColumn("neighbour", other).select("elem_id", "neighbour", "flux", "closed")
+
+
 def upwind_step(field: DataFrame, faces: DataFrame, area: DataFrame, value: str, dt: float, by: list[str] = [], incoming: float = 0.0) -> DataFrame:
     """One step of d(value)/dt = -div(flux).  faces: (elem_id, neighbour, flux and, if there, closed), flux > 0 out of the element, neighbour null at the boundary.
 

@@ -6,10 +6,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def intervals(series: DataFrame, by: list[str], t: str, v: str) -> DataFrame:
-    """(by, t0, v0, t1, v1): each step and the next; the last step's end is open (null)."""
-    w = Window.partitionBy(*by).orderBy(t)
-    return series.select(*by, F.col(t).alias("t0"), F.col(v).alias("v0"), F.lead(t).over(w).alias("t1"), F.lead(v).over(w).alias("v1"))
+def intervals(series: DataFrame, by: list[str], t: str, v: str, span: int) -> DataFrame:
+    """(by, t0, v0, t1, v1): each step and the next; the last step's end is open (null).
+
+    Steps are ordered within buckets of ``span`` time units of a series, so a hot series is split by time; only the first and
+    last step of each bucket are ordered over a whole series, to close the gaps between buckets.
+    """
+    bucket = F.floor(F.col(t) / span)
+    w = Window.partitionBy(*by, "_b").orderBy(t)
+    own = series.where(F.col(t).isNotNull()).select(*by, bucket.alias("_b"), F.col(t).alias(t), F.col(v).alias(v))
+    inner = own.withColumns({"t1": F.lead(t).over(w), "v1": F.lead(v).over(w)})
+    firsts = own.groupBy(*by, "_b").agg(F.min(F.struct(t, v)).alias("_first"))
+    nxt = firsts.select(*by, "_b", F.lead("_first").over(Window.partitionBy(*by).orderBy("_b")).alias("_next"))
+    out = inner.join(nxt, [*by, "_b"])
+    last = F.col("t1").isNull()
+    return out.select(*by, F.col(t).alias("t0"), F.col(v).alias("v0"), F.when(last, F.col(f"_next.{t}")).otherwise(F.col("t1")).alias("t1"), F.when(last, F.col(f"_next.{v}")).otherwise(F.col("v1")).alias("v1"))
 
 
 def bracketed(at: DataFrame, series: DataFrame, by: list[str], t: str, v: str, span: int) -> DataFrame:
@@ -18,7 +29,7 @@ def bracketed(at: DataFrame, series: DataFrame, by: list[str], t: str, v: str, s
     An interval goes to every bucket of ``span`` time units it meets, so the join is an
     equi-join and a hot series is split by time.
     """
-    iv = intervals(series, by, t, v).where("t1 is not null")
+    iv = intervals(series, by, t, v, span).where("t1 is not null")
     iv = iv.withColumn("_b", F.explode(F.sequence(F.floor(F.col("t0") / span), F.floor(F.col("t1") / span))))
     q = at.withColumn("_b", F.floor(F.col("at") / span))
     j = q.join(iv, [*by, "_b"]).where((F.col("t0") <= F.col("at")) & (F.col("at") <= F.col("t1")))

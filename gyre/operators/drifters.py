@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import locate
+
 
 def seeded(spark: SparkSession, x0: float, x1: float, y0: float, y1: float, spacing: float) -> DataFrame:
     """A regular lattice over a box: (drifter_id, x, y)."""
@@ -21,6 +23,18 @@ def sampled_conc(value: Column) -> Column:
     return F.least(F.greatest(value, F.lit(0.0)), F.lit(1.0))
 
 
+def stepped(rows: DataFrame, at: DataFrame, size: float, factor: float, limit: float) -> DataFrame:
+    """rows (x, y, ...) after a step on a mesh, with conc: they move by ``factor`` times the velocity where they are, take the
+    concentration of the place they come to, and stay if it is over the limit.  at: elements with corners and corner values of u, v and conc; beyond the mesh nothing moves and there is no ice.
+    """
+    corner = lambda c: [f"{c}{k}" for k in (1, 2, 3)]
+    here = rows.withColumns({"px": F.col("x"), "py": F.col("y")})
+    velocity = locate.interpolated(locate.in_triangles(here, at, size, [*corner("u"), *corner("v")]), ["u", "v"], 0.0)
+    there = moved(velocity, "u", "v", factor).select(*rows.columns).withColumns({"px": F.col("x"), "py": F.col("y")})
+    found = locate.interpolated(locate.in_triangles(there, at, size, corner("conc")), "conc", 0.0)
+    return found.withColumn("conc", sampled_conc(F.col("conc"))).where(F.col("conc") > limit).select(*rows.columns, "conc")
+
+
 def is_due(t: Column, start: Column, interval: int) -> Column:
     """Whole multiples of the interval after the start; times are whole microseconds or seconds, so no remainder is inexact."""
     return (t >= start) & ((t - start) % interval == 0)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gyre.shared import written
+
 MISSING = -1e14
 
 
@@ -61,16 +63,21 @@ def keepers(moving: DataFrame, ids: DataFrame, key: str, conc: Column, limit: fl
     return moving.where(conc > limit).join(ids.select(key).distinct(), key, "left_semi")
 
 
-def renumbered(rows: DataFrame, order: list[str], group: str, into: str = "new_id") -> DataFrame:
-    """Gapless numbers from 0 in the given order.
+def renumbered(rows: DataFrame, order: list[str], group: str | None = None, into: str = "new_id") -> DataFrame:
+    """Gapless numbers from 0 in the given order (ties in any order).
 
-    Ranks within groups (a bounded share of the rows each) are moved on by the rows
-    of earlier groups, so no task sees all rows; ``group`` must rise with the order.
+    Rows are range-partitioned by the order and sorted within partitions, written once, and numbered where they lie; a
+    partition's numbers are moved on by the rows of those before it (one count a partition reaches the driver), so no
+    task sees all rows and a hot group is split like any other.  group: a key that rises with the order comes first in it.
     """
-    counts = rows.groupBy(group).agg(F.count("*").alias("_n"))
-    before = counts.select(F.col(group).alias("_g"), (F.sum("_n").over(Window.orderBy(group)) - F.col("_n")).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return rows.withColumn("_r", rank).join(F.broadcast(before), F.col(group) == F.col("_g")).withColumn(into, (F.col("_r") + F.col("_before")).cast("long")).drop("_g", "_r", "_before")
+    keys = [*([group] if group else []), *order]
+    local = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id())
+    local = written(local.select("*", F.shiftright("_at", 33).alias("_p"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_r")).drop("_at"), "numbered")
+    before, start = 0, {}
+    for p, n in sorted(tuple(r) for r in local.groupBy("_p").agg(F.count("*")).collect()):
+        start[p], before = before, before + n
+    moved = F.element_at(F.create_map(*[F.lit(v).cast("long") for kv in start.items() for v in kv]), F.col("_p")) if start else F.lit(0)
+    return local.withColumn(into, (F.col("_r") + moved).cast("long")).drop("_p", "_r")
 
 
 def inverse_permutation(p: DataFrame, index: str, value: str) -> DataFrame:

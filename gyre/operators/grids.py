@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gyre.functions import geodesy
+from gyre.functions import geodesy, geometry
 
 NEIGHBOURS = ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))
 
 
 def lon_range(nodes: DataFrame, lon: str = "lon", column: str = "i") -> DataFrame:
-    """One row: the least and greatest of the first and the last column's longitudes, and whether a branch cut at 180 lies between."""
+    """One row: the least and greatest of the first and the last column's longitudes, and the branch cut: longitudes count from the least on."""
     ends = nodes.agg(F.min(column).alias("a"), F.max(column).alias("b"))
     at = nodes.join(F.broadcast(ends), (F.col(column) == F.col("a")) | (F.col(column) == F.col("b")))
-    return at.agg(F.min(lon).alias("least"), F.max(lon).alias("most")).withColumn("cut", F.when(F.col("most") > 180, 360.0 - 180.0).otherwise(180.0))
+    return at.agg(F.min(lon).alias("least"), F.max(lon).alias("most")).withColumn("cut", F.col("least"))
 
 
 def lattice(spark: SparkSession, nx: int, ny: int) -> DataFrame:
@@ -32,11 +34,13 @@ def regular(spark: SparkSession, nx: int, ny: int, start: tuple[float, float], s
 def from_axes(lats: DataFrame, lons: DataFrame) -> DataFrame:
     """The whole lattice of the axes lats(j, lat) and lons(i, lon).
 
-    Axes have one row for each row or column of a grid.  Every latitude carries the list of longitudes, in one
-    aggregation of the axis, so the lattice comes from exploding and not from a product of two tables.
+    Axes have one row for each row or column of a grid: roots of its size.  The lattice is a range of as many numbers as it
+    has places, spread over tasks, with two equi-joins to the axes numbered in order.
     """
-    axis = lons.agg(F.collect_list(F.struct("i", "lon")).alias("_axis"))
-    return lats.withColumn("_k", F.lit(0)).join(F.broadcast(axis.withColumn("_k", F.lit(0))), "_k").select("j", "lat", F.explode("_axis").alias("c")).select("c.i", "j", "lat", "c.lon")
+    rank = lambda df, by, name: df.withColumn(name, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(by)).cast("long") - 1)
+    n, m = lats.count(), lons.count()
+    cell = lats.sparkSession.range(n * m).select(F.floor(F.col("id") / max(m, 1)).alias("_j"), (F.col("id") % max(m, 1)).alias("_i"))
+    return cell.join(rank(lats, "j", "_j"), "_j").join(rank(lons, "i", "_i"), "_i").select("i", "j", "lat", "lon")
 
 
 def axes(nodes: DataFrame, name: str, m: geodesy.MapSpec) -> tuple[DataFrame, DataFrame]:
@@ -90,6 +94,61 @@ def pole_filled(grid: DataFrame, pole: int, beside: int, value: str, by: list[st
     return out.withColumn(value, F.when(F.col("j") == pole, F.col("_pole")).otherwise(F.col(value))).select(*grid.columns)
 
 
+def on_map(nodes: DataFrame, u: str, v: str, kind: str, name: str, m: geodesy.MapSpec, turn: float = 0.0, pole: tuple[int, int] | None = None, by: list[str] = []) -> DataFrame:
+    """nodes (lat, lon, ...) with the vector (u, v) of a forcing in the axes of a map.
+
+    kind: "east_north" (components to the east and north), "map" (in the axes of the data's own map, whose rotation is ``turn`` degrees
+    less than this map's; missing values stay) or "waves_from" and "waves_to" (u is a direction in degrees from north; a unit vector comes out).
+    pole: (row of the pole, row beside it) of a grid (i, j): all longitudes of a pole are one place, so it takes the mean of the row beside it.
+    """
+    lat, lon, a, b = (F.col(c) for c in ("lat", "lon", u, v))
+    if kind == "map":
+        x, y = geometry.rotate_vector(a, b, F.lit(math.radians(turn)))
+    elif kind == "east_north":
+        x, y = geodesy.east_north_to_xy(name, lat, lon, a, b, m)
+    elif kind in ("waves_from", "waves_to"):
+        x, y = geodesy.wave_direction_to_xy(name, lat, lon, a, m, kind == "waves_from")
+    else:
+        raise ValueError(f"no such kind of vector: {kind}")
+    out = nodes.withColumns({u: x, v: y})
+    for c in (u, v) if pole else ():
+        out = pole_filled(out, *pole, c, by)
+    return out
+
+
+def target_cells(nodes: DataFrame, name: str, m: geodesy.MapSpec, origin: tuple[float, float], cells_per_unit: float, shape: tuple[int, int]) -> DataFrame:
+    """nodes (lat, lon) with col and row, the fractional cell coordinates of a map grid of ``shape`` (rows, columns); null beyond it."""
+    x, y = geodesy.forward(name, F.col("lat"), F.col("lon"), m)
+    col, row = geodesy.grid_forward(x, y, origin, cells_per_unit, shape)
+    return nodes.withColumns({"col": col, "row": row})
+
+
+def bucket_means(placed: DataFrame, value: str) -> DataFrame:
+    """(ci, cj, value, n): mean of all values whose place (col, row) falls into a cell of the target grid."""
+    at = placed.where(F.col("col").isNotNull() & F.col("row").isNotNull() & F.col(value).isNotNull())
+    return at.groupBy(F.floor(F.col("col") + 0.5).alias("ci"), F.floor(F.col("row") + 0.5).alias("cj")).agg(F.avg(value).alias(value), F.count("*").alias("n"))
+
+
+def cubic_weight(d: Column) -> Column:
+    """Weight of cubic convolution of a value a distance (in cells) away."""
+    a = F.abs(d)
+    return F.when(a < 1, 1 - 2 * a * a + a * a * a).when(a < 2, 4 - 8 * a + 5 * a * a - a * a * a).otherwise(0.0)
+
+
+def cubic_values(placed: DataFrame, source: DataFrame, key: list[str], value: str) -> DataFrame:
+    """(key, value) at places (col, row) of a source grid (i, j, value) by cubic convolution over 4 x 4 cells.
+
+    Each place asks for its sixteen cells in one join; cells that the source lacks or that have no value are left out and the other weights stand for
+    them; a place without a cell is null.
+    """
+    i0, j0 = F.floor("col").cast("long"), F.floor("row").cast("long")
+    near = [F.explode(F.sequence(c - 1, c + 2)) for c in (i0, j0)]
+    asked = placed.select(*key, "col", "row", near[0].alias("i")).select("*", near[1].alias("j"))
+    w = cubic_weight(F.col("col") - F.col("i")) * cubic_weight(F.col("row") - F.col("j"))
+    met = asked.join(source.select("i", "j", value).where(F.col(value).isNotNull()), ["i", "j"]).groupBy(*key).agg(F.sum(w * F.col(value)).alias("_v"), F.sum(w).alias("_w"))
+    return placed.select(*key).join(met.select(*key, F.when(F.abs("_w") > 1e-9, F.col("_v") / F.col("_w")).alias(value)), key, "left")
+
+
 def hyperslab(rows: DataFrame, window: dict[str, tuple[int, int]], fixed: dict[str, int | str]) -> DataFrame:
     """Rows of a stored array within index windows (first, count), other dimensions at one index: a number, or "first" or "last" of those there are."""
     out = rows

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import math
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyre.functions import geometry as g
+from gyre.shared import written
 
 
 def lattice(spark: SparkSession, nx: int, ny: int, step: float) -> tuple[DataFrame, DataFrame]:
@@ -46,7 +46,13 @@ def quality(geo: DataFrame) -> DataFrame:
     )
 
 
+def displaced(nodes: DataFrame, ux: str, uy: str, factor: float = 1.0) -> DataFrame:
+    """Nodes moved by a share of a displacement."""
+    return nodes.withColumns({"x": F.col("x") + factor * F.col(ux), "y": F.col("y") + factor * F.col(uy)})
+
+
 def surface_factor(new_area, old_area):
+    """Ratio of areas after a displacement; an element that turned over (a negative area) is an error."""
     return F.when(new_area < 0, F.raise_error(F.lit("an element turned over")).cast("double")).otherwise(new_area / old_area)
 
 
@@ -135,19 +141,49 @@ def sub_domains(elems: DataFrame) -> DataFrame:
     """(elem_id, label): label is the least element of the connected part.
 
     Labels move over shared edges and jump to the label of their label, so the rounds
-    grow with the logarithm of a part's width; each round's table is checkpointed into
-    the shared folder.
+    grow with the logarithm of a part's width; each round's table is written into the
+    shared folder.
     """
-    spark = elems.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="gyre-"))
-    near = neighbours(elems).checkpoint()
+    near = written(neighbours(elems), "neighbours")
     labels = elems.select("elem_id", F.col("elem_id").alias("label"))
     while True:
         best = near.join(labels.select(F.col("elem_id").alias("neighbour"), F.col("label").alias("l")), "neighbour").groupBy("elem_id").agg(F.min("l").alias("l"))
         jump = labels.select(F.col("elem_id").alias("label"), F.col("label").alias("j"))
-        step = labels.join(best, "elem_id", "left").join(jump, "label").select("elem_id", "label", F.least("label", "l", "j").alias("new")).checkpoint()
+        step = written(labels.join(best, "elem_id", "left").join(jump, "label").select("elem_id", "label", F.least("label", "l", "j").alias("new")), "labels")
         changed = step.where("new < label").limit(1).count()
         labels = step.select("elem_id", F.col("new").alias("label"))
         if not changed:
             return labels
+
+
+def node_classes(parts: DataFrame) -> DataFrame:
+    """(part, node_id, owner, class, number) of every part and node it has, from elements (nodes, part).
+
+    A node that several parts see belongs to the least of them; it is a "ghost" of the others, "shared" with its owner, and
+    "inner" where one part sees it.  number: from 0 without gaps within a part and class, in the order of nodes; a part is a task's share of the
+    mesh, so its nodes are sorted in one task.
+    """
+    seen = parts.select("part", F.explode("nodes").alias("node_id")).distinct()
+    owner = seen.groupBy("node_id").agg(F.min("part").alias("owner"), F.count("*").alias("_n"))
+    kind = F.when(F.col("part") != F.col("owner"), "ghost").when(F.col("_n") > 1, "shared").otherwise("inner")
+    out = seen.join(owner, "node_id").withColumn("class", kind)
+    return out.withColumn("number", F.row_number().over(Window.partitionBy("part", "class").orderBy("node_id")).cast("long") - 1).select("part", "node_id", "owner", "class", "number")
+
+
+def graded(nodes: DataFrame, elems: DataFrame, size: str, ratio: float) -> DataFrame:
+    """nodes with sizes (of elements wished around them) that grow by log(ratio) times the way along edges at most: the greatest such sizes under the given ones.
+
+    Relaxation over edges from a frontier: nodes whose size fell offer theirs to their neighbours, until none falls; each round's
+    table is written.  Sizes alike in all directions; ratio is over 1.
+    """
+    e = edges(elems).select("a", "b").distinct()
+    at = nodes.select("node_id", "x", "y")
+    both = e.union(e.select("b", "a")).toDF("node_id", "other").join(at, "node_id").join(at.toDF("other", "ox", "oy"), "other")
+    ways = written(both.select("node_id", "other", (math.log(ratio) * F.hypot(F.col("ox") - F.col("x"), F.col("oy") - F.col("y"))).alias("way")), "ways")
+    sizes = frontier = nodes.select("node_id", F.col(size).cast("double").alias("h"))
+    while True:
+        offer = ways.join(frontier, "node_id").groupBy("other").agg(F.min(F.col("h") + F.col("way")).alias("o"))
+        step = written(sizes.join(offer.withColumnRenamed("other", "node_id"), "node_id", "left").select("node_id", F.least("h", "o").alias("h"), (F.col("o") < F.col("h")).alias("fell")), "sizes")
+        sizes, frontier = step.select("node_id", "h"), step.where("fell").select("node_id", "h")
+        if frontier.isEmpty():
+            return nodes.join(sizes.withColumnRenamed("h", "_h"), "node_id").withColumn(size, F.col("_h")).select(*nodes.columns)

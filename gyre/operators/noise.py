@@ -1,4 +1,4 @@
-"""Random forcing: AR(1) series, wind from pressure gradients, Gaussian fields by Fourier transform."""
+"""Random forcing: AR(1) series, wind from pressure gradients, Gaussian fields by Fourier transforms along shuffled lines."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -69,18 +69,64 @@ def perturbed(steps: DataFrame, noise: DataFrame, key: list[str], names: dict[st
     return steps.join(held, key, "left").withColumns({c: F.col(c) + F.coalesce(F.col(f"_n_{c}"), F.lit(0.0)) for c in names}).select(*steps.columns)
 
 
-def gaussian_fields(spark: SparkSession, members: int, n: int, length: float, seed: int) -> DataFrame:
-    """(member, i, j, value): periodic fields of unit variance with a Gaussian covariance, one task for each member."""
+def wave_width(n1: int, length: float) -> float:
+    """The width s of exp(-k**2 / s**2) with which a field on n1 periodic cells has the correlation exp(-1) after ``length`` cells; by halving, as the correlation falls with s."""
+    k = np.arange(-(n1 // 2) + 1, n1 // 2 + 1) * 2 * np.pi / n1
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m = int(pdf.member.iloc[0])
-        rng = np.random.default_rng([seed, m])
-        k = np.fft.fftfreq(n) * 2 * np.pi
-        amp = np.exp(-(k[:, None] ** 2 + k[None, :] ** 2) * length**2 / 4)
-        field = np.fft.ifft2(np.fft.fft2(rng.standard_normal((n, n))) * amp).real
-        field /= np.sqrt((amp**2).mean())
-        i, j = np.meshgrid(np.arange(n), np.arange(n), indexing="ij")
-        return pd.DataFrame({"member": m, "i": i.ravel(), "j": j.ravel(), "value": field.ravel()})
+    def correlation(s: float) -> float:
+        w = np.exp(-2 * (k / s) ** 2)
+        return float((w * np.cos(k * length)).sum() / w.sum())
 
-    ids = spark.range(members).select(F.col("id").cast("int").alias("member"))
-    return ids.groupBy("member").applyInPandas(run, "member int, i int, j int, value double")
+    low, high = 1e-6, 64.0
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if correlation(mid) > math.exp(-1) else (low, mid)
+    return (low + high) / 2
+
+
+def random_fields(phases: DataFrame, by: list[str], shape: tuple[int, int], length: float) -> DataFrame:
+    """(by, i, j, value): periodic fields of Gaussian covariance, the correlation exp(-1) after ``length`` cells along i.
+
+    That is before the waves l = 0 lose half of their share of the variance 1: a real field has no place for their imaginary parts.
+    phases: (by, l, p, phi): a turn (0 to 1) for each wave l = 0 .. n1 / 2, p = 0 .. n2 - 1 of each field's n1 x n2 cells (both even); waves
+    without a row are absent.  The transform goes by shuffled lines: along p for each (field, l), then along l for each
+    (field, j), so a field is spread over as many tasks as it has lines, and no task holds more than lines.
+    """
+    n1, n2 = shape
+    s, half = wave_width(n1, length), n1 // 2 + 1
+    k1, k2 = (np.minimum(np.arange(n), n - np.arange(n)) * 2 * np.pi / n for n in (n1, n2))
+    weight = lambda k, n: np.exp(-2 * (k / s) ** 2)
+    scale = 1 / math.sqrt(float(weight(k1, n1).sum() * weight(k2, n2).sum()))
+    types = {f.name: f.dataType for f in phases.schema.fields}
+    keys = ", ".join(f"`{c}` {types[c].simpleString()}" for c in by)
+
+    def lines(column: pd.Series, size: int, names: tuple[str, ...]) -> tuple[np.ndarray, ...]:
+        """Arrays of structs (at, names) as matrices of ``size`` columns; zeros where there is no entry."""
+        out = tuple(np.zeros((len(column), size)) for _ in names)
+        for i, entries in enumerate(column):
+            for e in entries:
+                for o, name in zip(out, names):
+                    o[i, e["at"]] = e[name]
+        return out
+
+    def along_p(frames):
+        for f in frames:
+            phi, amp = lines(f["line"], n2, ("phi", "amp"))
+            spec = amp * np.exp(2j * np.pi * phi)
+            x = np.fft.ifft(spec, axis=1) * n2
+            yield f[by].assign(at=f["at"], re=list(x.real), im=list(x.imag))
+
+    def along_l(frames):
+        for f in frames:
+            re, im = lines(f["line"], half, ("re", "im"))
+            y = np.fft.irfft(re + 1j * im, n=n1, axis=1) * n1
+            yield f[by].assign(j=f["at"], value=list(y))
+
+    column = lambda values: F.array(*[F.lit(float(v)) for v in values])
+    amp = F.get(column(np.exp(-((k1[:half] / s) ** 2))), F.col("l").cast("int")) * F.get(column(np.exp(-((k2 / s) ** 2)) * scale), F.col("p").cast("int"))
+    entry = F.struct(F.col("p").cast("int").alias("at"), F.col("phi").cast("double").alias("phi"), amp.alias("amp"))
+    first = phases.where(F.col("l").between(0, half - 1) & F.col("p").between(0, n2 - 1)).groupBy(*by, F.col("l").cast("int").alias("at")).agg(F.collect_list(entry).alias("line"))
+    waves = first.mapInPandas(along_p, f"{keys}, at int, re array<double>, im array<double>")
+    turned = waves.select(*by, "at", F.posexplode(F.arrays_zip("re", "im")).alias("j", "x"))
+    second = turned.groupBy(*by, F.col("j").alias("at")).agg(F.collect_list(F.struct(F.col("at").alias("at"), F.col("x.re").alias("re"), F.col("x.im").alias("im"))).alias("line"))
+    return second.mapInPandas(along_l, f"{keys}, j int, value array<double>").select(*by, F.posexplode("value").alias("i", "value"), "j").select(*by, "i", "j", "value")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 import operator
 import re
 from dataclasses import dataclass
@@ -14,7 +15,10 @@ from pyspark.sql import functions as F
 
 from gyre.functions import geometry
 from gyre.operators import grids, locate
-from gyre.operators.fields import nan_to_zero, unit_transform
+from gyre.operators.fields import nan_to_zero, renumbered, unit_transform
+
+#: Grids that sessions have made, by application, dataset, folder, box, halo and mask: written tables, so what is kept here are their plans.
+_GRIDS: dict[tuple, DataFrame] = {}
 
 #: Densities of water and snow in kg m-3, and hours between forecast steps.
 CONSTANTS = {"rhow": 1025.0, "rhos": 330.0, "res_h": 6.0}
@@ -147,6 +151,52 @@ class Dataset:
             out = own if out is None else out.unionByName(own, allowMissingColumns=True)
         return out
 
+    def file_day(self, t: float) -> date:
+        """The day whose file holds a time (decimal days since 1900-01-01): half the averaging period earlier, but for data of one file or of the nearest day."""
+        whole = self.frequency in ("constant", "nearest_daily")
+        return date(1900, 1, 1) + timedelta(days=math.floor(t if whole else t - self.averaged / 2))
+
+    def steps(self, rows: DataFrame, t: float) -> DataFrame:
+        """rows (days, ...) of the last step at or before a time and of the next one (means count at the middle of their period); all rows where the data have no time."""
+        if "days" not in rows.columns:
+            return rows
+        if self.frequency == "nearest_daily":
+            return rows.where(F.floor("days") == math.floor(t))
+        at = t - self.averaged / 2
+        ends = rows.agg(F.max(F.when(F.col("days") <= at, F.col("days"))), F.min(F.when(F.col("days") > at, F.col("days")))).first()
+        return rows.where(F.col("days").isin([e for e in ends if e is not None]))
+
+    def grid_of(self, rows: DataFrame, box: tuple[float, float, float, float] | None, halo: int, wet: str | None, root: str) -> DataFrame:
+        """(cell, i, j, x, y): cells of the index window of rows (i, j, x, y, ...) around a box (x0, x1, y0, y1) and ``halo`` more on each side, wet ones only where a mask is named, numbered from 0 by row and column.
+
+        Kept for each dataset, box and mask of a session: a grid is made once.
+        """
+        spark = rows.sparkSession
+        key = (spark.sparkContext.applicationId, self.name, root, box, halo, wet)
+        if key not in _GRIDS:
+            cells = rows.groupBy("i", "j").agg(*[F.first(c).alias(c) for c in ("x", "y")], *([F.max(F.col(wet).isNotNull()).alias("_wet")] if wet else []))
+            if box:
+                inside = F.col("x").between(box[0], box[1]) & F.col("y").between(box[2], box[3])
+                a = cells.where(inside).agg(*[f(c) for c in "ij" for f in (F.min, F.max)]).first()
+                cells = cells.where(F.lit(False)) if a[0] is None else cells.where(F.col("i").between(a[0] - halo, a[1] + halo) & F.col("j").between(a[2] - halo, a[3] + halo))
+            cells = cells.where("_wet") if wet else cells
+            _GRIDS[key] = renumbered(cells, ["j", "i"], into="cell").select("cell", "i", "j", "x", "y")
+        return _GRIDS[key]
+
+    def loaded(self, spark: SparkSession, t: float, root: str = "", box: tuple[float, float, float, float] | None = None, halo: int = 1, wet: str | None = None, variables: list[str] | None = None, **parts: str) -> DataFrame:
+        """(cell, i, j, x, y, days, variables): the steps around a time (decimal days since 1900-01-01) from the files that hold it, decoded, cropped, numbered.
+
+        Files are staged as Parquet with i, j, x, y, the time and the stored variables; a cell is wet where the stored ``wet`` isn't null.
+        """
+        keep = ["i", "j", "x", "y"]
+        mask = [wet] if wet else []
+        rows = self.opened(spark, self.file_day(t), [*keep, *mask], root, **parts)
+        now = self.steps(rows, t)
+        grid = self.grid_of(now, box, halo, wet, root)
+        names = [v.name for v in self.variables if v.name in rows.columns and (variables is None or v.name in variables)]
+        timed = ["days"] if "days" in rows.columns else []
+        return grid.join(now.select("i", "j", *timed, *names), ["i", "j"]).select("cell", *keep, *timed, *names)
+
     def is_cyclic(self) -> bool:
         return "cyclic" in self.method
 
