@@ -7,9 +7,9 @@ import math
 from pyspark.sql import functions as F
 
 from gyre.functions import geodesy, geometry, spectral
-from gyre.operators import advection, asof, fields, grids, locate, mesh, noise, remap, waves
+from gyre.operators import asof, grids, locate, mesh, noise, waves
 
-from .queries import ELEMS_SQL, KEY, LOCATED_SQL, NODES_SQL, NPS, PLACES, POINTS, RHO, located, places, points, query, r, table, the_mesh
+from .queries import KEY, LOCATED_SQL, NODES_SQL, NPS, PLACES, POINTS, RHO, located, places, points, query, r, table, the_mesh
 
 LAT, LON = "(30 + s_suppkey * 59.5 / 1000)", "(n_nationkey * 14.4 - 180)"
 
@@ -45,9 +45,9 @@ def grid_axes(spark, sf_dir):
     return rows.union(y.select(F.lit("y"), F.col("j") + first, r(F.col("y"), 3)))
 
 
-@query(f"WITH g AS ({GEOGRAPHIC}), e AS (SELECT lon FROM g WHERE i IN (SELECT min(i) FROM g UNION ALL SELECT max(i) FROM g)) SELECT round(min(lon), 6) AS least, round(max(lon), 6) AS most, 180.0::DOUBLE AS cut FROM e")
+@query(f"WITH g AS ({GEOGRAPHIC}), e AS (SELECT lon FROM g WHERE i IN (SELECT min(i) FROM g UNION ALL SELECT max(i) FROM g)) SELECT round(min(lon), 6) AS least, round(max(lon), 6) AS most, round(min(lon), 6) AS cut FROM e")
 def grid_lon_range(spark, sf_dir):
-    return grids.lon_range(geographic(spark, sf_dir)).select(r(F.col("least")).alias("least"), r(F.col("most")).alias("most"), "cut")
+    return grids.lon_range(geographic(spark, sf_dir)).select(r(F.col("least")).alias("least"), r(F.col("most")).alias("most"), r(F.col("cut")).alias("cut"))
 
 
 _K = 6371.0 * (1 + math.sin(math.radians(60)))
@@ -96,33 +96,6 @@ def drifters_from_grid(spark, sf_dir):
 
 
 # -- meshes ----------------------------------------------------------------------------------
-def moved_mesh(spark):
-    """The lattice with its inner nodes shifted by their ids: an irregular mesh; a third of the nodes stays."""
-    nodes, elems = the_mesh(spark)
-    k, inner = F.col("node_id"), (F.col("x") > 0) & (F.col("x") < 100) & (F.col("y") > 0) & (F.col("y") < 100) & (F.col("node_id") % 3 > 0)
-    return nodes.withColumns({"x": F.when(inner, F.col("x") + (k * 7 % 11 - 5) / 8).otherwise(F.col("x")), "y": F.when(inner, F.col("y") + (k * 5 % 9 - 4) / 8).otherwise(F.col("y"))}), elems
-
-
-MOVED_SQL = f"""{NODES_SQL}, {ELEMS_SQL}, moved AS (SELECT node_id, i, j, CASE WHEN i BETWEEN 1 AND 19 AND j BETWEEN 1 AND 19 AND node_id % 3 > 0 THEN x + (node_id * 7 % 11 - 5) / 8.0::DOUBLE ELSE x END AS x, CASE WHEN i BETWEEN 1 AND 19 AND j BETWEEN 1 AND 19 AND node_id % 3 > 0 THEN y + (node_id * 5 % 9 - 4) / 8.0::DOUBLE ELSE y END AS y FROM nodes),
-tri AS (SELECT elem_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, c.x AS x3, c.y AS y3 FROM elems JOIN moved AS a ON a.node_id = n1 JOIN moved AS b ON b.node_id = n2 JOIN moved AS c ON c.node_id = n3),
-shape AS (SELECT elem_id, abs((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) / 2 AS area, sqrt(pow(x2 - x1, 2) + pow(y2 - y1, 2)) AS s1, sqrt(pow(x3 - x2, 2) + pow(y3 - y2, 2)) AS s2, sqrt(pow(x1 - x3, 2) + pow(y1 - y3, 2)) AS s3 FROM tri)"""
-
-
-@query(f"WITH {MOVED_SQL} SELECT 'new' AS side, elem_id, round(area, 7) AS covered FROM shape UNION ALL SELECT 'old', elem_id, 12.5 FROM elems")
-def remap_mesh_to_mesh(spark, sf_dir):
-    """Overlaps of a mesh with one whose nodes moved add up to the areas of both; unchanged triangles pass through."""
-    (nodes, elems), (moved, _) = the_mesh(spark), moved_mesh(spark)
-    w = remap.mesh_overlaps(mesh.corners(elems, nodes), mesh.corners(elems, moved), 5.0)
-    new = w.groupBy("elem_id").agg(r(F.sum("w"), 7).alias("covered")).select(F.lit("new").alias("side"), "elem_id", "covered")
-    return new.union(w.groupBy(F.col("source").alias("elem_id")).agg(r(F.sum("w"), 7).alias("covered")).select(F.lit("old"), "elem_id", "covered"))
-
-
-@query(f"WITH {MOVED_SQL} SELECT elem_id, round(area, 6) AS area, round(degrees(acos((s1 * s1 + s2 * s2 + s3 * s3 - 2 * pow(least(s1, s2, s3), 2)) / (2 * s1 * s2 * s3 / least(s1, s2, s3)))), 6) AS min_angle FROM shape")
-def irregular_quality(spark, sf_dir):
-    nodes, elems = moved_mesh(spark)
-    return mesh.geometry(mesh.corners(elems, nodes)).select("elem_id", r(F.col("area")).alias("area"), r(F.col("min_angle")).alias("min_angle"))
-
-
 def beyond(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     return c.select("c_custkey", (F.col("c_custkey") * 17 % 1600 / 10.0 - 30).alias("px"), (F.col("c_custkey") * 29 % 1600 / 10.0 - 30).alias("py")).where("px < 0 OR px > 100 OR py < 0 OR py > 100")
@@ -145,10 +118,10 @@ def outside_by_edge(spark, sf_dir):
 @query(f"WITH {NODES_SQL}, b AS ({BEYOND}) SELECT c_custkey, EXISTS (SELECT 1 FROM nodes WHERE pow(px - x, 2) + pow(py - y, 2) <= 144) AS close FROM b")
 def too_close(spark, sf_dir):
     nodes, _ = the_mesh(spark)
-    return locate.too_close(beyond(spark, sf_dir), nodes, ["c_custkey"], 12.0).select("c_custkey", "close")
+    return locate.too_close(beyond(spark, sf_dir), nodes, 12.0).select("c_custkey", "close")
 
 
-@query(f"""WITH {LOCATED_SQL}, w AS (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, dx, dy, a FROM q), parts AS (SELECT *, unnest(CASE WHEN dy >= dx THEN [{{'node_id': a, 'w': 1 - dy / 50.0::DOUBLE}}, {{'node_id': a + 22, 'w': dx / 50.0::DOUBLE}}, {{'node_id': a + 21, 'w': (dy - dx) / 50.0::DOUBLE}}]
+@query(f"""WITH {LOCATED_SQL}, w AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, dx, dy, a FROM q), parts AS (SELECT *, unnest(CASE WHEN dy >= dx THEN [{{'node_id': a, 'w': 1 - dy / 50.0::DOUBLE}}, {{'node_id': a + 22, 'w': dx / 50.0::DOUBLE}}, {{'node_id': a + 21, 'w': (dy - dx) / 50.0::DOUBLE}}]
 ELSE [{{'node_id': a, 'w': 1 - dx / 50.0::DOUBLE}}, {{'node_id': a + 1, 'w': (dx - dy) / 50.0::DOUBLE}}, {{'node_id': a + 22, 'w': dy / 50.0::DOUBLE}}] END) AS s FROM w)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, s.node_id AS node_id, round(s.w, 6) + 0.0 AS w FROM parts""")
 def stored_weights(spark, sf_dir):
@@ -156,21 +129,6 @@ def stored_weights(spark, sf_dir):
     return locate.stored_weights(located(spark, sf_dir).select(*KEY, "elem_id", "l1", "l2", "l3"), KEY, elems).select(*KEY, "node_id", r(F.col("w")).alias("w"))
 
 
-@query(f"WITH {NODES_SQL}, {ELEMS_SQL} SELECT 801 - elem_id AS elem_id, 442 - n1 AS n1, 442 - n2 AS n2, 442 - n3 AS n3 FROM elems")
-def reordered_mesh(spark, sf_dir):
-    nodes, elems = the_mesh(spark)
-    e, _ = mesh.reordered(elems, nodes, nodes.select("node_id", (442 - F.col("node_id")).alias("new_id")), elems.select("elem_id", (801 - F.col("elem_id")).alias("new_id")))
-    n = F.col("nodes")
-    return e.select("elem_id", n[0].alias("n1"), n[1].alias("n2"), n[2].alias("n3"))
-
-
-@query(f"""WITH {MOVED_SQL}, s AS (SELECT m.node_id, avg(o.x) AS ax, avg(o.y) AS ay FROM moved AS m JOIN moved AS o ON (o.i - m.i, o.j - m.j) IN ((1, 0), (-1, 0), (0, 1), (0, -1), (1, 1), (-1, -1)) GROUP BY m.node_id)
-SELECT node_id, round(CASE WHEN i BETWEEN 1 AND 19 AND j BETWEEN 1 AND 19 THEN x + 0.5 * (ax - x) ELSE x END, 6) AS x, round(CASE WHEN i BETWEEN 1 AND 19 AND j BETWEEN 1 AND 19 THEN y + 0.5 * (ay - y) ELSE y END, 6) AS y FROM moved JOIN s USING (node_id)""")
-def smoothed_mesh(spark, sf_dir):
-    nodes, elems = moved_mesh(spark)
-    return mesh.smoothed(nodes, elems, 0.5).select("node_id", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"))
-
-
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round((l_quantity + l_tax) / 2 + sqrt(pow((l_quantity - l_tax) / 2, 2) + l_discount * l_discount), 6) AS l1, round((l_quantity * l_tax - l_discount * l_discount) / ((l_quantity + l_tax) / 2 + sqrt(pow((l_quantity - l_tax) / 2, 2) + l_discount * l_discount)), 6) + 0.0 AS l2 FROM lineitem")
 def eigen_metric(spark, sf_dir):
     """Eigenvalues of symmetric matrices; the SQL has the second one from the determinant."""
@@ -297,19 +255,3 @@ def wave_breaking(spark, sf_dir):
     s = table(spark, sf_dir, "supplier").select(k.alias("elem_id"), (0.3 + k % 8 * 0.25).alias("thickness"), F.lit(1.0).alias("m0"), F.pow(0.4 + k % 5 * 0.2, F.lit(2)).alias("m2"), (20 + k % 13 * 15.0).alias("size"), F.lit(0.9).alias("conc"), (k % 4 > 0).alias("ice"), (k % 7 * 1e-10).alias("var_strain"))
     length = 2 * math.pi / waves.ice_wavenumber(F.sqrt(F.col("m2")), F.col("thickness"))
     return waves.broken(s, 1e-5, 20.0).select("elem_id", "broken", r(F.col("size"), 4).alias("size"), r(length, 4).alias("wavelength"))
-
-
-@query(f"""WITH {NODES_SQL}, {ELEMS_SQL}, e AS (SELECT elem_id, unnest([[least(n1, n2), greatest(n1, n2)], [least(n2, n3), greatest(n2, n3)], [least(n1, n3), greatest(n1, n3)]]) AS e FROM elems),
-near AS (SELECT p.elem_id, q.elem_id AS neighbour, 2 + (p.elem_id + q.elem_id) % 3 AS fl FROM e AS p JOIN e AS q ON p.e = q.e AND p.elem_id <> q.elem_id),
-h AS (SELECT elem_id, n, (elem_id * (n + 1)) % 5 * 1.0::DOUBLE AS h FROM elems, range(4) AS t(n)),
-net AS (SELECT o.elem_id, o.n, sum(CASE WHEN (neighbour > near.elem_id) = (o.n % 2 = 0) THEN fl * o.h ELSE -fl * t.h END) AS net FROM near JOIN h AS o ON o.elem_id = near.elem_id JOIN h AS t ON t.elem_id = neighbour AND t.n = o.n GROUP BY ALL)
-SELECT elem_id, n, round(h - 0.5 * net / 12.5, 6) + 0.0 AS h FROM h JOIN net USING (elem_id, n)""")
-def advected_directions(spark, sf_dir):
-    """Every direction of a spectrum moved with a flow of its own."""
-    _, elems = the_mesh(spark)
-    every = F.explode(F.sequence(long(0), long(3))).alias("n")
-    near = mesh.neighbours(elems).select("*", every)
-    flow = 2.0 + (F.col("elem_id") + F.col("neighbour")) % 3
-    faces = near.select("elem_id", "neighbour", "n", F.when((F.col("neighbour") > F.col("elem_id")) == (F.col("n") % 2 == 0), flow).otherwise(-flow).alias("flux"))
-    h = elems.select("elem_id", every).withColumn("h", F.col("elem_id") * (F.col("n") + 1) % 5 * 1.0)
-    return advection.upwind_step(h, faces, elems.select("elem_id", F.lit(12.5).alias("area")), "h", 0.5, by=["n"]).select("elem_id", "n", r(F.col("h")).alias("h"))

@@ -65,7 +65,7 @@ def the_mesh(spark) -> tuple[DataFrame, DataFrame]:
 def located(spark, sf_dir) -> DataFrame:
     nodes, elems = the_mesh(spark)
     at = mesh.corners(elems, nodes, "f")
-    return locate.in_triangles(points(spark, sf_dir), at, KEY, 5.0, ["f1", "f2", "f3"])
+    return locate.in_triangles(points(spark, sf_dir), at, 5.0, ["f1", "f2", "f3"])
 
 
 NODES_SQL = "nodes AS (SELECT j * 21 + i + 1 AS node_id, i * 5.0::DOUBLE AS x, j * 5.0::DOUBLE AS y, i, j FROM range(21) AS a(i), range(21) AS b(j))"
@@ -324,24 +324,24 @@ def minmax_by_var(spark, sf_dir):
 
 
 # -- location and interpolation --------------------------------------------------------------
-@query(f"WITH {LOCATED_SQL} SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, elem_id FROM q")
+@query(f"WITH {LOCATED_SQL} SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, elem_id FROM q")
 def locate_triangle(spark, sf_dir):
     return located(spark, sf_dir).select(*KEY, "elem_id")
 
 
 @query(f"""WITH {NODES_SQL}, f AS (SELECT node_id, {NODE_VALUE} AS f FROM nodes), {LOCATED_SQL}
-SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, elem_id, round(CASE WHEN dy >= dx THEN a0.f * (1 - dy / 50.0::DOUBLE) + a3.f * ((dy - dx) / 50.0::DOUBLE) + a2.f * (dx / 50.0::DOUBLE)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, elem_id, round(CASE WHEN dy >= dx THEN a0.f * (1 - dy / 50.0::DOUBLE) + a3.f * ((dy - dx) / 50.0::DOUBLE) + a2.f * (dx / 50.0::DOUBLE)
 ELSE a0.f * (1 - dx / 50.0::DOUBLE) + a1.f * ((dx - dy) / 50.0::DOUBLE) + a2.f * (dy / 50.0::DOUBLE) END, 6) AS f
 FROM q JOIN f AS a0 ON a0.node_id = a JOIN f AS a1 ON a1.node_id = a + 1 JOIN f AS a2 ON a2.node_id = a + 22 JOIN f AS a3 ON a3.node_id = a + 21""")
 def p1_interp(spark, sf_dir):
     return locate.interpolated(located(spark, sf_dir), "f", -1e14).select(*KEY, "elem_id", r(F.col("f")).alias("f"))
 
 
-@query(f"""WITH p AS ({POINTS}) SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN xi < 500 AND yi < 500 OR xi = 500 AND yi <= 500 OR yi = 500 AND xi <= 500 THEN 1 ELSE 0 END AS inside FROM p""")
+@query(f"""WITH p AS ({POINTS}) SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN xi < 500 AND yi < 500 OR xi = 500 AND yi <= 500 OR yi = 500 AND xi <= 500 THEN 1 ELSE 0 END AS inside FROM p""")
 def default_outside(spark, sf_dir):
     """A land-sea mask by point location: 1 within a mesh of a quarter of the domain."""
     nodes, elems = mesh.lattice(spark, 10, 10, 5.0)
-    held = locate.in_triangles(points(spark, sf_dir), mesh.corners(elems, nodes), KEY, 5.0)
+    held = locate.in_triangles(points(spark, sf_dir), mesh.corners(elems, nodes), 5.0)
     return held.select(*KEY, F.when(F.col("elem_id").isNull(), 0).otherwise(1).alias("inside"))
 
 
@@ -360,21 +360,11 @@ def bilinear_split_nearest(spark, sf_dir):
     return at.select(*KEY, r(geometry.bilinear(*a), 5).alias("bilinear"), r(geometry.triangle_split(*a), 5).alias("split"), r(geometry.triangle_split_up(*a), 5).alias("triangle"), geometry.nearest(*a).alias("nearest"))
 
 
-@query("""WITH g AS (SELECT id, (id % 40) * 2.5::DOUBLE AS px, (id // 40) * 2.5::DOUBLE AS py, (id % 40) AS a, (id // 40) AS b FROM range(1600) AS t(id)),
-c AS (SELECT *, a // 2 AS i, b // 2 AS j, a % 2 AS dx, b % 2 AS dy FROM g)
-SELECT id, (2 * (j * 20 + i) + CASE WHEN dy >= dx THEN 2 ELSE 1 END) * 10.0::DOUBLE AS v FROM c""")
-def rasterise_last_wins(spark, sf_dir):
-    nodes, elems = the_mesh(spark)
-    at = mesh.corners(elems, nodes).withColumn("v", F.col("elem_id") * 10.0)
-    grid = spark.range(1600).select("id", (F.col("id") % 40 * 2.5).alias("px"), (F.floor(F.col("id") / 40) * 2.5).alias("py"))
-    return locate.rasterised(grid, at, ["id"], 5.0, "v", -1e14).select("id", "v")
-
-
 def vertices(spark, sf_dir) -> DataFrame:
     """Customers with their nearest supplier, however far."""
     s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), (F.col("s_suppkey") * 37 % 100).cast("double").alias("x"), (F.col("s_suppkey") * 61 % 100).cast("double").alias("y"))
     c = table(spark, sf_dir, "customer").select("c_custkey", (F.col("c_custkey") * 17 % 1000 / 10.0).alias("px"), (F.col("c_custkey") * 29 % 1000 / 10.0).alias("py"))
-    return locate.nearest_vertex(c, s, ["c_custkey"], 30.0)
+    return locate.nearest_vertex(c, s)
 
 
 @query("""WITH s AS (SELECT s_suppkey, (s_suppkey * 37 % 100) * 1.0::DOUBLE AS x, (s_suppkey * 61 % 100) * 1.0::DOUBLE AS y FROM supplier), c AS (SELECT c_custkey, (c_custkey * 17 % 1000) / 10.0::DOUBLE AS px, (c_custkey * 29 % 1000) / 10.0::DOUBLE AS py FROM customer)
@@ -419,15 +409,6 @@ def remap_grid_to_mesh(spark, sf_dir):
     return remap.grid_to_mesh(w, c.select("cell_id", (F.col("cell_id") % 11).alias("v")), "v").withColumn("v", F.round("v", 4))
 
 
-@query("SELECT j * 10 + i AS cell_id, 2 * ((2 * j + b) * 20 + 2 * i + a) + u AS elem_id, 12.5::DOUBLE AS w FROM range(10) AS x(i), range(10) AS y(j), range(2) AS p(a), range(2) AS q(b), range(1, 3) AS s(u)")
-def triangle_overlap_weights(spark, sf_dir):
-    """Overlaps of cells of 10 x 10 with triangles of 5 x 5: each cell holds eight whole triangles."""
-    nodes, elems = the_mesh(spark)
-    x, y = F.col("id") % 10 * 10.0, F.floor(F.col("id") / 10) * 10.0
-    c = spark.range(100).select(F.col("id").alias("cell_id"), x.alias("x0"), (x + 10).alias("x1"), y.alias("y0"), (y + 10).alias("y1"))
-    return remap.triangle_overlaps(c, mesh.corners(elems, nodes), 5.0).withColumn("w", F.round("w", 6))
-
-
 @query("SELECT l_suppkey, round(sum(l_discount * p_retailprice), 2) AS v FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_suppkey")
 def weights_apply(spark, sf_dir):
     w = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_partkey").alias("p_partkey"), F.col("l_discount").alias("w"))
@@ -525,60 +506,6 @@ _scattered("bucket", "1.0")
 
 
 # -- meshes ----------------------------------------------------------------------------------
-@query(f"""WITH {NODES_SQL}, {ELEMS_SQL} SELECT elem_id, round(abs((b.x - a.x) * (c.y - a.y) - (c.x - a.x) * (b.y - a.y)) / 2, 6) AS area, 45.0::DOUBLE AS min_angle, round(greatest(sqrt(pow(b.x - a.x, 2) + pow(b.y - a.y, 2)), sqrt(pow(c.x - a.x, 2) + pow(c.y - a.y, 2))), 6) AS longest
-FROM elems JOIN nodes AS a ON a.node_id = n1 JOIN nodes AS b ON b.node_id = n2 JOIN nodes AS c ON c.node_id = n3""")
-def elem_geometry(spark, sf_dir):
-    nodes, elems = the_mesh(spark)
-    geo = mesh.geometry(mesh.corners(elems, nodes))
-    return geo.select("elem_id", r(F.col("area")).alias("area"), r(F.col("min_angle"), 4).alias("min_angle"), r(F.greatest("side1", "side2", "side3")).alias("longest"))
-
-
-@query("SELECT round(sqrt(12.5), 6) AS resolution, 5.0::DOUBLE AS min_side, round(sqrt(50), 6) AS max_side, 45.0::DOUBLE AS min_angle, false AS flip")
-def mesh_quality(spark, sf_dir):
-    nodes, elems = the_mesh(spark)
-    q = mesh.quality(mesh.geometry(mesh.corners(elems, nodes)))
-    return q.select(*[r(F.col(c)).alias(c) for c in ("resolution", "min_side", "max_side")], r(F.col("min_angle"), 4).alias("min_angle"), "flip")
-
-
-@query(f"WITH {NODES_SQL} SELECT node_id, round(0.8 * sqrt(2) * sqrt(12.5), 6) AS hmin, round(1.2 * sqrt(2) * sqrt(12.5), 6) AS hmax FROM nodes")
-def node_hminmax(spark, sf_dir):
-    nodes, elems = the_mesh(spark)
-    s = mesh.node_sizes(elems, mesh.geometry(mesh.corners(elems, nodes)))
-    return s.select("node_id", r(F.col("hmin")).alias("hmin"), r(F.col("hmax")).alias("hmax"))
-
-
-@query(f"WITH {NODES_SQL}, {ELEMS_SQL}, n AS (SELECT elem_id, unnest([n1, n2, n3]) AS node_id FROM elems) SELECT node_id, round(avg(elem_id % 13), 6) AS v FROM n GROUP BY node_id")
-def elem_to_node(spark, sf_dir):
-    _, elems = the_mesh(spark)
-    return mesh.elements_to_nodes(elems, elems.select("elem_id", (F.col("elem_id") % 13).alias("v")), "v").withColumn("v", F.round("v", 6))
-
-
-@query(f"WITH {NODES_SQL}, {ELEMS_SQL} SELECT elem_id, round((n1 % 7 + n2 % 7 + n3 % 7) / 3.0::DOUBLE, 6) AS v FROM elems")
-def node_to_elem(spark, sf_dir):
-    nodes, elems = the_mesh(spark)
-    return mesh.nodes_to_elements(elems, nodes.select("node_id", (F.col("node_id") % 7).alias("v")), "v").withColumn("v", F.round("v", 6))
-
-
-@query(f"""WITH {NODES_SQL}, {ELEMS_SQL}, e AS (SELECT elem_id, unnest([[least(n1, n2), greatest(n1, n2)], [least(n2, n3), greatest(n2, n3)], [least(n1, n3), greatest(n1, n3)]]) AS e FROM elems)
-SELECT p.elem_id, q.elem_id AS neighbour FROM e AS p JOIN e AS q ON p.e = q.e AND p.elem_id <> q.elem_id""")
-def elem_neighbours(spark, sf_dir):
-    return mesh.neighbours(the_mesh(spark)[1])
-
-
-@query(f"""WITH {NODES_SQL}, {ELEMS_SQL}, e AS (SELECT DISTINCT unnest([[least(n1, n2), greatest(n1, n2)], [least(n2, n3), greatest(n2, n3)], [least(n1, n3), greatest(n1, n3)]]) AS e FROM elems), b AS (SELECT e[1] AS node_id FROM e UNION ALL SELECT e[2] FROM e)
-SELECT node_id, count(*) AS degree FROM b GROUP BY node_id""")
-def node_graph(spark, sf_dir):
-    return mesh.node_graph(the_mesh(spark)[1]).select("node_id", "degree")
-
-
-@query(f"""WITH {NODES_SQL}, {ELEMS_SQL}, k AS (SELECT * FROM elems WHERE ((elem_id - 1) // 2 % 20) % 7 <> 3)
-SELECT elem_id, min(elem_id) OVER (PARTITION BY ((elem_id - 1) // 2 % 20 + 3) // 7) AS label FROM k""")
-def sub_domains(spark, sf_dir):
-    """Connected parts of a mesh that is cut into strips: every seventh column of cells is left out."""
-    elems = the_mesh(spark)[1].where("floor((elem_id - 1) / 2) % 20 % 7 <> 3")
-    return mesh.sub_domains(elems)
-
-
 @query(f"""WITH p AS (SELECT *, px / 25 AS t FROM ({POINTS})), b AS (SELECT *, (t - 1) * (t - 2) / 2 AS l0, t * (2 - t) AS l1, t * (t - 1) / 2 AS l2 FROM (SELECT * EXCLUDE (t), least(t, 2) AS t FROM p))
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l0 * 3 + l1 * 5 + l2 * 4, 6) + 0.0 AS v, round(1 + 0.5 * px - 0.25 * px * py + 0.125 * py * py, 5) + 0.0 AS w FROM b""")
 def lagrange_and_polynomial(spark, sf_dir):
@@ -639,13 +566,14 @@ m AS (SELECT DISTINCT d, k, CASE WHEN k < n THEN 0.1 ELSE 1 END * pow(3.6, k) AS
 s AS (SELECT d, sum(f * d / pow(2, k)) / sum(f) AS one, sum(f * pow(d / pow(2, k), 2)) / sum(f) AS two FROM m GROUP BY d)
 SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN d < 40 THEN greatest(d, 20) ELSE one END, 6) AS one, round(CASE WHEN d < 40 THEN greatest(d * d, 400) ELSE two END, 6) AS two,
 round(CASE WHEN d <= 20 THEN 20 ELSE (2 + ln(0.9) / ln(2)) / (1 + ln(0.9) / ln(2)) * (pow(20, -(1 + ln(0.9) / ln(2))) - pow(d, -(1 + ln(0.9) / ln(2)))) / (pow(20, -(2 + ln(0.9) / ln(2))) - pow(d, -(2 + ln(0.9) / ln(2)))) END, 6) AS smooth,
-round(CASE WHEN l_linenumber = 1 THEN 0 WHEN d < 200 THEN CASE WHEN d < 40 THEN greatest(d, 20) ELSE one END ELSE d END, 6) AS mean_size FROM d JOIN s USING (d)""")
+round(CASE WHEN l_linenumber = 1 THEN 0 WHEN d < 200 THEN CASE WHEN d < 40 THEN greatest(d, 20) ELSE one END ELSE d END, 6) AS mean_size,
+round(CASE WHEN l_linenumber = 1 THEN 0 WHEN d < 200 THEN CASE WHEN d < 40 THEN greatest(d * d, 400) ELSE two END ELSE d END, 6) AS mean_square FROM d JOIN s USING (d)""")
 def floe_moments(spark, sf_dir):
     d = table(spark, sf_dir, "lineitem").withColumn("d", F.col("l_quantity") * 8)
     c = F.col("d")
     smooth = spectral.floe_moment_smooth(c, 20.0, 2 + math.log(0.9) / math.log(2), 1)
-    mean = spectral.mean_floe_size(F.col("l_linenumber") != 1, c, 200.0, 20.0, 0.9, 2.0, 1)
-    return d.select(*KEY, *[r(x).alias(n) for n, x in (("one", spectral.floe_moment_steps(c, 20.0, 0.9, 2.0, 1)), ("two", spectral.floe_moment_steps(c, 20.0, 0.9, 2.0, 2)), ("smooth", smooth), ("mean_size", mean))])
+    mean, square = (spectral.mean_floe_size(F.col("l_linenumber") != 1, c, 200.0, 20.0, 0.9, 2.0, m) for m in (1, 2))
+    return d.select(*KEY, *[r(x).alias(n) for n, x in (("one", spectral.floe_moment_steps(c, 20.0, 0.9, 2.0, 1)), ("two", spectral.floe_moment_steps(c, 20.0, 0.9, 2.0, 2)), ("smooth", smooth), ("mean_size", mean), ("mean_square", square))])
 
 
 _A = noise.alpha(8.0, 48.0)
@@ -659,19 +587,6 @@ def ar1_noise(spark, sf_dir):
     return noise.ar1(e, ["user_id"], "event_id", "w", _A).select("event_id", r(F.col("x")).alias("x"))
 
 
-@query("""WITH g AS (SELECT i, j, (i * i * 3 + j * 5) % 101 * 1.0::DOUBLE AS p FROM range(60) AS a(i), range(60) AS b(j))
-SELECT g.i, g.j, round(coalesce((g.p - w.p) / 10, 0), 6) + 0.0 AS gx, round(coalesce((g.p - s.p) / 10, 0), 6) + 0.0 AS gy FROM g LEFT JOIN g AS w ON w.i = g.i - 1 AND w.j = g.j AND g.j > 0 LEFT JOIN g AS s ON s.i = g.i AND s.j = g.j - 1 AND g.i > 0""")
-def stencil_gradient(spark, sf_dir):
-    g = spark.range(3600).select((F.col("id") % 60).alias("i"), F.floor(F.col("id") / 60).alias("j")).withColumn("p", (F.col("i") * F.col("i") * 3 + F.col("j") * 5) % 101 * 1.0)
-    out = noise.pressure_gradient(g, "p", 10.0)
-    return out.select("i", "j", r(F.col("gx")).alias("gx"), r(F.col("gy")).alias("gy"))
-
-
-@query()
-def gaussian_field(spark, sf_dir):
-    return noise.gaussian_fields(spark, 4, 32, 3.0, 7).select("member", "i", "j", r(F.col("value"), 4).alias("value"))
-
-
 @query("""WITH p AS (SELECT s_suppkey AS j, i, (s_suppkey * 31 + i * i * 7) % 50 / 10.0::DOUBLE AS p FROM supplier, range(30) AS t(i)), k AS (SELECT 2 * sin(40 * pi() / 180) * 2 * pi() / 86400 * 1.2 AS f, sin(60) / 60 * pi() / 2 AS w),
 g AS (SELECT a.i, a.j, coalesce(100 * (a.p - w.p) / 30000, 0) AS gx, coalesce(100 * (a.p - s.p) / 30000, 0) AS gy FROM p AS a LEFT JOIN p AS w ON w.j = a.j AND w.i = a.i - 1 AND a.j > 0 LEFT JOIN p AS s ON s.j = a.j - 1 AND s.i = a.i AND a.i > 0)
 SELECT i, j, round(-w * gy / f - (1 - w) * gx / f, 6) + 0.0 AS u, round(w * gx / f - (1 - w) * gy / f, 6) + 0.0 AS v FROM g, k""")
@@ -706,26 +621,6 @@ def weno_step(spark, sf_dir):
     return out.select("i", F.col("row").alias("j"), r(F.col("h")).alias("h"))
 
 
-STEP_SQL = """{new} AS (SELECT elem_id, h - 0.5 * coalesce(net, 0) / 12.5 AS h FROM {old} LEFT JOIN
-(SELECT n.elem_id, sum(CASE WHEN n.neighbour > n.elem_id THEN least(fl, 25.0 / 3) * o.h ELSE -least(fl, 25.0 / 3) * t.h END) AS net FROM near AS n JOIN {old} AS o ON o.elem_id = n.elem_id JOIN {old} AS t ON t.elem_id = n.neighbour GROUP BY n.elem_id) AS s USING (elem_id))"""
-
-
-@query(f"""WITH {NODES_SQL}, {ELEMS_SQL}, e AS (SELECT elem_id, unnest([[least(n1, n2), greatest(n1, n2)], [least(n2, n3), greatest(n2, n3)], [least(n1, n3), greatest(n1, n3)]]) AS e FROM elems),
-near AS (SELECT p.elem_id, q.elem_id AS neighbour, 5 + (p.elem_id + q.elem_id) % 7 AS fl FROM e AS p JOIN e AS q ON p.e = q.e AND p.elem_id <> q.elem_id),
-h0 AS (SELECT elem_id, CASE WHEN elem_id BETWEEN 300 AND 400 THEN 1.0 ELSE 0.0 END::DOUBLE AS h FROM elems), {STEP_SQL.format(new="h1", old="h0")}, {STEP_SQL.format(new="h2", old="h1")}
-SELECT elem_id, round(h, 6) + 0.0 AS h FROM h2""")
-def upwind_advection(spark, sf_dir):
-    """Two steps of a flow from lower to higher elements, strong enough for limits."""
-    _, elems = the_mesh(spark)
-    near = mesh.neighbours(elems)
-    flow = 5.0 + (F.col("elem_id") + F.col("neighbour")) % 7
-    faces = near.select("elem_id", "neighbour", F.when(F.col("neighbour") > F.col("elem_id"), flow).otherwise(-flow).alias("flux"))
-    area, f = elems.select("elem_id", F.lit(12.5).alias("area")), elems.select("elem_id", F.when(F.col("elem_id").between(300, 400), 1.0).otherwise(0.0).alias("h"))
-    for _ in range(2):
-        f = advection.upwind_step(f, faces, area, "h", 0.5)
-    return f.select("elem_id", r(F.col("h")).alias("h"))
-
-
 # -- drifters --------------------------------------------------------------------------------
 @query("""SELECT event_id, (epoch_us(ts) - 1704067200000000) // 259200000000 AS set_no, (epoch_us(ts) // 1000000 - 1704067200) % 60 = 0 AS due FROM events""")
 def drifter_lifetimes(spark, sf_dir):
@@ -735,18 +630,6 @@ def drifter_lifetimes(spark, sf_dir):
     return e.select("event_id", drifters.lifetime(t, F.lit(1_704_067_200_000_000), 259_200_000_000).alias("set_no"), drifters.is_due(sec, F.lit(1_704_067_200), 60).alias("due"))
 
 
-@query("""WITH d AS (SELECT id AS drifter_id, id % 34 * 3.0::DOUBLE AS x, id // 34 * 3.0::DOUBLE AS y FROM range(1156) AS t(id)),
-f AS (SELECT drifter_id, x, y, (floor(x / 5)::BIGINT * 7 + floor(y / 5)::BIGINT * 3) % 5 * 0.1 AS u, (floor(x / 5)::BIGINT + floor(y / 5)::BIGINT) % 3 * 0.2 AS v FROM d)
-SELECT drifter_id, round(x + 2 * u, 6) AS x, round(y + 2 * v, 6) AS y, least(greatest(u * 4 - 0.3, 0), 1)::DOUBLE AS conc FROM f WHERE u * 4 - 0.3 > 0.2""")
-def drifter_step(spark, sf_dir):
-    """Seeds a lattice, samples a velocity by cell, moves, samples the concentration, keeps those over the limit."""
-    d = drifters.seeded(spark, 0.0, 99.0, 0.0, 99.0, 3.0)
-    f = spark.range(400).select((F.col("id") % 20).alias("ci"), F.floor(F.col("id") / 20).alias("cj")).withColumns({"u": (F.col("ci") * 7 + F.col("cj") * 3) % 5 * 0.1, "v": (F.col("ci") + F.col("cj")) % 3 * 0.2})
-    at = d.withColumns({"ci": F.floor(F.col("x") / 5), "cj": F.floor(F.col("y") / 5)}).join(f, ["ci", "cj"], "left")
-    m = drifters.moved(at, "u", "v", 2.0).withColumn("conc", drifters.sampled_conc(F.col("u") * 4 - 0.3)).where("conc > 0.2")
-    return m.select("drifter_id", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "conc")
-
-
 P1_SQL = """CASE WHEN dy >= dx THEN a0.f * (1 - dy / 50.0::DOUBLE) + a3.f * ((dy - dx) / 50.0::DOUBLE) + a2.f * (dx / 50.0::DOUBLE)
 ELSE a0.f * (1 - dx / 50.0::DOUBLE) + a1.f * ((dx - dy) / 50.0::DOUBLE) + a2.f * (dy / 50.0::DOUBLE) END"""
 
@@ -765,7 +648,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly grid means of a field sampled at the places of events: locate, interpolate, window, mask."""
     e = table(spark, sf_dir, "events").select("event_id", "ts", "value", (F.col("user_id") * 37 % 1000 / 10.0).alias("px"), (F.col("event_id") * 53 % 1000 / 10.0).alias("py"))
     nodes, elems = the_mesh(spark)
-    held = locate.interpolated(locate.in_triangles(e, mesh.corners(elems, nodes, "f"), ["event_id"], 5.0, ["f1", "f2", "f3"]), "f", fields.MISSING)
+    held = locate.interpolated(locate.in_triangles(e, mesh.corners(elems, nodes, "f"), 5.0, ["f1", "f2", "f3"]), "f", fields.MISSING)
     m = gridmean.window_mean(held, F.col("ts"), "1 hour", ["elem_id"], F.col("f") * F.col("value"))
     return m.withColumn("mean", fields.land_mask(F.col("mean"), F.col("elem_id").isNotNull()))
 

@@ -92,14 +92,14 @@ def test_linear_fields_are_exact_and_constants_kept(spark):
     nodes, elems = mesh.lattice(spark, 6, 5, 2.0)
     nodes = nodes.withColumn("f", 3 * F.col("x") - F.col("y") + 1)
     pts = spark.range(60).select(F.col("id"), (F.col("id") * 0.19 + 0.01).alias("px"), (F.col("id") * 0.15 + 0.02).alias("py"))
-    held = locate.interpolated(locate.in_triangles(pts, mesh.corners(elems, nodes, "f"), ["id"], 2.0, ["f1", "f2", "f3"]), "f", -1.0)
+    held = locate.interpolated(locate.in_triangles(pts, mesh.corners(elems, nodes, "f"), 2.0, ["f1", "f2", "f3"]), "f", -1.0)
     assert all(abs(r.f - (3 * r.px - r.py + 1)) < 1e-9 for r in held.collect())
 
 
 def test_a_shared_edge_belongs_to_the_highest_element(spark):
     nodes, elems = mesh.lattice(spark, 2, 2, 1.0)
     pts = spark.createDataFrame([(1, 1.0, 1.0), (2, 0.5, 0.5), (3, 9.0, 9.0)], "id int, px double, py double")
-    assert {r.id: r.elem_id for r in locate.in_triangles(pts, mesh.corners(elems, nodes), ["id"], 1.0).collect()} == {1: 8, 2: 2, 3: None}
+    assert {r.id: r.elem_id for r in locate.in_triangles(pts, mesh.corners(elems, nodes), 1.0).collect()} == {1: 8, 2: 2, 3: None}
 
 
 def test_overlap_weights_sum_to_the_covered_area(spark):
@@ -137,9 +137,14 @@ def test_ar1_matches_its_recurrence(spark):
     assert np.allclose(got, want, atol=1e-9)
 
 
-def test_random_fields_have_unit_variance(spark):
-    v = np.array([r.value for r in noise.gaussian_fields(spark, 8, 32, 2.0, 1).collect()])
-    assert 0.7 < v.var() < 1.4
+def test_random_fields_of_one_wave_are_that_wave(spark):
+    ph = spark.createDataFrame([(3, 1, 2, 0.125)], "member int, l int, p int, phi double")
+    v = np.zeros((8, 16))
+    for r in noise.random_fields(ph, ["member"], (8, 16), 2.0).collect():
+        v[r.i, r.j] = r.value
+    i, j = np.meshgrid(np.arange(8), np.arange(16), indexing="ij")
+    wave = np.cos(2 * np.pi * (i / 8 + 2 * j / 16 + 0.125))
+    assert v.max() > 0 and np.allclose(v, wave * (v[0, 0] / wave[0, 0]))
 
 
 def test_upwind_step_keeps_the_integral(spark):
@@ -194,10 +199,10 @@ def test_nearest_vertex_has_no_radius(spark):
     places = [(float(x), float(y)) for s in (1, 40, 3000, 10**6) for x, y in rng.integers(-50, 100, (25, 2)) * s] + [(math.nan, 0.0), (None, 1.0), (math.inf, 0.0)]
     n = spark.createDataFrame(nodes, "node_id long, x double, y double")
     p = spark.createDataFrame([(i, *q) for i, q in enumerate(places)], "k long, px double, py double")
-    got = {r.k: (r.d2, r.node_id) for r in locate.nearest_vertex(p, n, ["k"], 3.0).collect()}
+    got = {r.k: (r.d2, r.node_id) for r in locate.nearest_vertex(p, n, 3.0).collect()}
     want = {i: min(((px - x) ** 2 + (py - y) ** 2, k) for k, x, y in nodes[:60]) for i, (px, py) in enumerate(places[:100])}
     assert got == want | {i: (None, None) for i in (100, 101, 102)}
-    assert {(r.node_id, r.d2) for r in locate.nearest_vertex(p, n.where("node_id > 89"), ["k"], 3.0).collect()} == {(None, None)}
+    assert {(r.node_id, r.d2) for r in locate.nearest_vertex(p, n.where("node_id > 89"), 3.0).collect()} == {(None, None)}
 
 
 def test_catalogue():
