@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,3 +59,66 @@ def checked_interval(interval: int, step: int, what: str) -> int:
 def buoys_at(rows: DataFrame, t: Column) -> DataFrame:
     """Rows of exactly the time: earlier ones are dropped, later ones wait."""
     return rows.where(F.col("t") == t)
+
+
+@dataclass(frozen=True)
+class Schedule:
+    """Times of a set, in whole units: when it begins, how long it lives, how often buoys come in and positions go out; and the least concentration, not included."""
+
+    start: int
+    life: int
+    input_every: int
+    output_every: int
+    limit: float
+
+
+def start_at_restart(start: float, restart: float, fixed: bool) -> float:
+    """The beginning (decimal days) of a set that a restart finds without positions: as it was if it is still to come, else the same time of day on the next
+    day; an error where the beginning is fixed."""
+    if restart <= start:
+        return start
+    if fixed:
+        raise ValueError(f"a set that had to begin at {start} is not in the restart of {restart}")
+    return math.ceil(restart) + start - math.floor(start)
+
+
+#: What is kept of a drifter: whether its set has begun and it is in it, its place, and when the set began.
+KEPT = "begun boolean, on boolean, x double, y double, start long"
+STEP_T = "drifter_id long, t long, x double, y double, conc double, kind string"
+
+
+def drifter_steps(kept: tuple | None, rows: Iterator[tuple], s: Schedule) -> Iterator[tuple]:
+    """(kept, [(t, x, y, conc, kind), ...]) after each row (t, x, y, u, v, conc, reported) of one drifter, in order of time.
+
+    The order of a step is fixed: it has moved; its set ends with its life, with a last position, and begins anew; it begins where the row has
+    it; at input times it stays or comes in only if it is reported and over the limit; at output times its place goes out.
+    """
+    begun, on, x, y, start = kept or (False, False, 0.0, 0.0, s.start)
+    for t, x0, y0, u, v, conc, reported in rows:
+        out = []
+        if on:
+            x, y = x + u, y + v
+        if begun and t - start >= s.life:
+            if on:
+                out.append((t, x, y, conc, "last"))
+            begun, on, start = False, False, start + s.life
+        if not begun and t >= start:
+            begun, on, x, y = True, conc > s.limit, x0, y0
+        if begun and (t - s.start) % s.input_every == 0:
+            if not on:
+                x, y = x0, y0
+            on = bool(reported) and conc > s.limit
+        if on and t >= s.start and (t - s.start) % s.output_every == 0:
+            out.append((t, x, y, conc, "output"))
+        yield (begun, on, x, y, start), out
+
+
+def run_steps(rows: DataFrame, s: Schedule) -> DataFrame:
+    """STEP_T rows of all drifters; rows: (drifter_id, t, x, y, u, v, conc, reported), a row for each drifter and time.  A drifter's own rows are taken in order by one task; drifters don't meet."""
+
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        own = frame.sort_values("t", kind="stable")[["t", "x", "y", "u", "v", "conc", "reported"]].itertuples(index=False, name=None)
+        out = [(key[0], *o) for _, found in drifter_steps(None, own, s) for o in found]
+        return pd.DataFrame(out, columns=["drifter_id", "t", "x", "y", "conc", "kind"])
+
+    return rows.groupBy("drifter_id").applyInPandas(run, STEP_T)

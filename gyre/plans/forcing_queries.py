@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.functions import geodesy
-from gyre.operators import grids
+from gyre.functions import geodesy, spectral, timeconv
+from gyre.operators import drifters, grids, noise
 from gyre.shared import shared_dir
 from gyre.sources import catalog
 
@@ -128,3 +128,69 @@ def loaded_dataset(spark, sf_dir):
     top = table(spark, sf_dir, "supplier").agg(F.floor(F.max("s_suppkey") / 2)).first()[0]
     out = d.loaded(spark, 45292 + 1.1, root, box=(28.0, 122.0, -1.0, top * 5.0), halo=1, wet="x_wind_10m")
     return out.select("cell", "i", "j", "x", "y", r(F.col("days")).alias("days"), "u", "v")
+
+
+# -- drifters --------------------------------------------------------------------------------
+TRACKS = """e AS (SELECT user_id AS k, epoch_us(ts) // 3600000000 - 473352 AS t, value, event_id FROM events), d AS (SELECT k, t, (k % 30)::DOUBLE AS x0, (k % 17)::DOUBLE AS y0, round(sum(value), 2) / 100 AS u, count(*) * 0.5::DOUBLE AS v, min(event_id) % 10 / 10.0::DOUBLE AS conc, min(event_id) % 4 > 0 AS seen FROM e GROUP BY k, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS n FROM d)"""
+
+
+@query(f"""WITH RECURSIVE {TRACKS}, run AS (SELECT k, 0::BIGINT AS n, 0::BIGINT AS t, false AS begun, false AS here, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 24::BIGINT AS start, 0.0::DOUBLE AS conc, false AS ended, 0.0::DOUBLE AS lx, 0.0::DOUBLE AS ly, false AS shown FROM (SELECT DISTINCT k FROM d)
+UNION ALL SELECT k, n, t, begun, here, x, y, start, conc, ended, lx, ly, here AND t >= 24 AND (t - 24) % 3 = 0 FROM (SELECT * REPLACE (CASE WHEN begun AND (t - 24) % 6 = 0 THEN seen AND conc > 0.25 ELSE here END AS here, CASE WHEN begun AND (t - 24) % 6 = 0 AND NOT here THEN x0 ELSE x END AS x, CASE WHEN begun AND (t - 24) % 6 = 0 AND NOT here THEN y0 ELSE y END AS y)
+FROM (SELECT * REPLACE (begun OR t >= start AS begun, CASE WHEN NOT begun AND t >= start THEN conc > 0.25 ELSE here END AS here, CASE WHEN NOT begun AND t >= start THEN x0 ELSE x END AS x, CASE WHEN NOT begun AND t >= start THEN y0 ELSE y END AS y)
+FROM (SELECT *, over AND here0 AS ended, x AS lx, y AS ly, begun0 AND NOT over AS begun, here0 AND NOT over AS here, start0 + CASE WHEN over THEN 48 ELSE 0 END AS start
+FROM (SELECT r.k, r.n, r.t, r.x0, r.y0, r.conc, r.seen, run.begun AS begun0, run.here AS here0, run.start AS start0, run.x + CASE WHEN run.here THEN u ELSE 0 END AS x, run.y + CASE WHEN run.here THEN v ELSE 0 END AS y, run.begun AND r.t - run.start >= 48 AS over FROM run JOIN r ON r.k = run.k AND r.n = run.n + 1)))))
+SELECT k AS drifter_id, t, round(lx, 6) AS x, round(ly, 6) AS y, conc, 'last' AS kind FROM run WHERE ended UNION ALL SELECT k, t, round(x, 6), round(y, 6), conc, 'output' FROM run WHERE shown""")
+def drifter_run(spark, sf_dir):
+    """Users as drifters, hour by hour: sets of two days, buoys every six hours, output every three; the SQL folds each drifter's rows by recursion."""
+    e = table(spark, sf_dir, "events")
+    k = F.col("user_id")
+    hour = F.floor(timeconv.micros(e.ts) / 3_600_000_000).cast("long") - 473_352
+    rows = e.groupBy(k.alias("drifter_id"), hour.alias("t")).agg((F.round(F.sum("value"), 2) / 100).alias("u"), (F.count("*") * 0.5).alias("v"), F.min("event_id").alias("m"))
+    d = F.col("drifter_id")
+    rows = rows.select(d.cast("long").alias("drifter_id"), "t", (d % 30).cast("double").alias("x"), (d % 17).cast("double").alias("y"), "u", "v", (F.col("m") % 10 / 10).alias("conc"), (F.col("m") % 4 > 0).alias("reported"))
+    out = drifters.run_steps(rows, drifters.Schedule(24, 48, 6, 3, 0.25))
+    return out.select("drifter_id", "t", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "conc", "kind")
+
+
+# -- grids, masks, noise ---------------------------------------------------------------------
+@query(f"""WITH g AS (SELECT i, s_suppkey AS j, i * 25.0::DOUBLE - 300 AS x, s_suppkey * 25.0::DOUBLE - 100 AS y, s_acctbal AS v FROM supplier, range(30) AS a(i))
+SELECT i, j, round(90 - 2 * degrees(atan(sqrt(x * x + y * y) / {_K!r})), 6) AS lat, round((degrees(atan2(x, -y)) - 45 + 540) % 360 - 180, 6) + 0.0 AS lon, v FROM g WHERE x <> 0 OR y <> 0""")
+def regular_map_grid(spark, sf_dir):
+    """A lattice on a map with a row for each supplier, its places and the supplier's value; not the pole, which has no longitude."""
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("j"), F.col("s_acctbal").alias("v"))
+    g = grids.map_lattice(spark, 30, s.count(), 25.0, (-300.0, -100.0), "polar_stereographic_sphere", SPHERE).where("x <> 0 OR y <> 0")
+    return g.join(s, "j").select("i", "j", r(F.col("lat")).alias("lat"), r(F.col("lon")).alias("lon"), "v")
+
+
+_CORNER = [(-0.5, -1.0), (-0.5, 1.0), (0.5, 1.0), (0.5, -1.0)]
+
+
+@query(f"""WITH g AS (SELECT n_nationkey AS i, s_suppkey AS j, (30 + s_suppkey * 59.5 / 1000)::DOUBLE AS lat, (n_nationkey * 14.4 - 180)::DOUBLE AS lon FROM supplier, nation)
+SELECT i, j, {", ".join(f"round({_xy(f'lat + {a}', f'(lon + {b})')[0]}, 3) + 0.0 AS x{k}, round({_xy(f'lat + {a}', f'(lon + {b})')[1]}, 3) + 0.0 AS y{k}" for k, (a, b) in enumerate(_CORNER))} FROM g""")
+def cell_corners_on_map(spark, sf_dir):
+    """Corners of geographic cells on a map."""
+    names = {f"{c}{k}": F.col(c) + d for k, ds in enumerate(_CORNER) for c, d in zip(("lat", "lon"), ds)}
+    g = grids.with_corners(geographic(spark, sf_dir).withColumns(names), [(f"lat{k}", f"lon{k}") for k in range(4)], "polar_stereographic", NPS)
+    return g.select("i", "j", *[r(F.col(f"{c}_corners")[k], 3).alias(f"{c}{k}") for k in range(4) for c in "xy"])
+
+
+@query("""WITH w AS (SELECT s_suppkey, s_suppkey % 3 = 0 AS ice, s_suppkey % 7 = 0 AS land, s_acctbal / 1000 AS hs, s_suppkey % 11 * 1.5::DOUBLE AS period FROM supplier)
+SELECT s_suppkey, NOT ice AND NOT land AND hs > 0.001 AND period > 1e-8 AND period < 12 AS waves, printf('%dh %dm %ds', s_suppkey * 977 // 3600, s_suppkey * 977 // 60 % 60, s_suppkey * 977 % 60) AS spent FROM w""")
+def wave_masks(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    return s.select(k, spectral.wave_mask(k % 3 == 0, k % 7 == 0, F.col("s_acctbal") / 1000, k % 11 * 1.5, 8.0).alias("waves"), timeconv.time_spent(k * 977).alias("spent"))
+
+
+_FACTOR = noise.speed_factor(10.0, 5.0, 50.0, 30000.0)
+
+
+@query(f"""WITH p AS (SELECT s_suppkey AS j, i, (s_suppkey * 31 + i * i * 7) % 50 / 10.0::DOUBLE AS p FROM supplier, range(30) AS t(i)), k AS (SELECT 2 * sin(40 * pi() / 180) * 2 * pi() / 86400 AS c),
+g AS (SELECT a.i, a.j, coalesce((a.p - w.p) / 30000, 0) AS gx, coalesce((a.p - s.p) / 30000, 0) AS gy FROM p AS a LEFT JOIN p AS w ON w.j = a.j AND w.i = a.i - 1 AND a.j > 0 LEFT JOIN p AS s ON s.j = a.j - 1 AND s.i = a.i AND a.i > 0), f AS (SELECT 5.0 / (3 * 100 * 10.0 / (50.0 * 30000) / c) AS f, c * 1.2 AS cor, sin(60) / 60 * pi() / 2 AS w FROM k)
+SELECT i, j, round(100 * f * (-w * gy - (1 - w) * gx) / cor, 6) + 0.0 AS u, round(100 * f * (w * gx - (1 - w) * gy) / cor, 6) + 0.0 AS v FROM g, f""")
+def scaled_wind(spark, sf_dir):
+    """The wind of a random pressure, scaled to the wind's own deviation."""
+    g = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(29).cast("long"))).alias("i")).withColumn("p", (F.col("j") * 31 + F.col("i") * F.col("i") * 7) % 50 / 10.0)
+    u, v = noise.geostrophic(F.col("gx"), F.col("gy"), _FACTOR)
+    return noise.pressure_gradient(g, "p", 30000.0).select("i", "j", r(u).alias("u"), r(v).alias("v"))

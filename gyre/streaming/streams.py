@@ -7,8 +7,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from gyre.operators.drifters import KEPT, STEP_T, Schedule, drifter_steps
+
 MOVES_T = "drifter_id long, x double, y double, steps long, ts timestamp, alive boolean"
 
 
@@ -54,3 +57,42 @@ def drifters(rows: DataFrame, lifetime_s: int) -> DataFrame:
 
     state = "x double, y double, steps long, born long, last long, alive boolean"
     return rows.groupBy("drifter_id").applyInPandasWithState(step, MOVES_T, state, "append", GroupStateTimeout.NoTimeout)
+
+
+class DrifterSteps(StatefulProcessor):
+    """The steps of ``operators.drifters`` as keyed state, which a restart's table may begin with."""
+
+    def __init__(self, schedule: Schedule):
+        self.schedule = schedule
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", f"{KEPT}, last long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.kept.get() if self.kept.exists() else None
+        state, last = (tuple(held[:5]), held[5]) if held else (None, None)
+        frame = pd.concat(list(rows)).sort_values("t", kind="stable")
+        own = frame[frame["t"] > last] if last is not None else frame
+        found = []
+        for state, out in drifter_steps(state, own[["t", "x", "y", "u", "v", "conc", "reported"]].itertuples(index=False, name=None), self.schedule):
+            found += [(key[0], *o) for o in out]
+        if len(own):
+            self.kept.update((*state[:2], float(state[2]), float(state[3]), int(state[4]), int(own["t"].iloc[-1])))
+        yield pd.DataFrame(found, columns=["drifter_id", "t", "x", "y", "conc", "kind"])
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:
+        r = initialState.iloc[0]
+        self.kept.update((bool(r["begun"]), bool(r["on"]), float(r["x"]), float(r["y"]), int(r["start"]), int(r["last"])))
+
+    def close(self) -> None:
+        pass
+
+
+def drifter_updates(rows: DataFrame, schedule: Schedule, restart: DataFrame | None = None) -> DataFrame:
+    """STEP_T rows of a stream of (drifter_id, t, x, y, u, v, conc, reported), as ``operators.drifters.run_steps`` gives them for a table.
+
+    restart: (drifter_id, begun, on, x, y, start, last), the state to begin with; rows not after ``last`` are dropped.
+    Needs the RocksDB state store.
+    """
+    initial = restart.groupBy("drifter_id") if restart is not None else None
+    return rows.groupBy("drifter_id").transformWithStateInPandas(statefulProcessor=DrifterSteps(schedule), outputStructType=STEP_T, outputMode="append", timeMode="none", initialState=initial)

@@ -285,6 +285,42 @@ def test_streamed_drifters(spark, tmp_path):
     assert got == [(0.0, 0.0, True), (1.0, 2.0, True), (2.0, 4.0, False)]
 
 
+@pytest.mark.parametrize("restarted", [False, True])
+def test_streamed_drifter_steps_equal_a_table_s(spark, tmp_path, restarted):
+    """The order reset, begin, input and mask, output; micro-batches, and a restart in the middle, change nothing."""
+    rng = np.random.default_rng(3)
+    rows = [(d, t, float(d), float(-d), *map(float, rng.normal(size=2)), float(rng.uniform()), bool(rng.uniform() < 0.8)) for d in range(5) for t in range(30)]
+    schema = "drifter_id long, t long, x double, y double, u double, v double, conc double, reported boolean"
+    s = drifters.Schedule(2, 10, 4, 3, 0.3)
+    want = sorted(map(tuple, drifters.run_steps(spark.createDataFrame(rows, schema), s).collect()))
+    assert {r[5] for r in want} == {"last", "output"}
+    restart, late = None, rows
+    if restarted:
+        late, kept = [r for r in rows if r[1] >= 13], []
+        for d in range(5):
+            for state, _ in drifters.drifter_steps(None, [r[1:] for r in rows if r[0] == d and r[1] < 13], s):
+                pass
+            kept.append((d, *state, 12))
+        restart = spark.createDataFrame(kept, f"drifter_id long, {drifters.KEPT}, last long")
+        want = [r for r in want if r[1] >= 13]
+        late = late + [r for r in rows if r[1] == 12]  # comes again, and is dropped
+    late.sort(key=lambda r: r[1])  # files come by time, in two batches
+    for own in (late[: len(late) // 2], late[len(late) // 2 :]):
+        spark.createDataFrame(own, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    q = streams.drifter_updates(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), s, restart).writeStream.format("memory").queryName(f"steps{restarted}").outputMode("append").start()
+    q.processAllAvailable()
+    q.stop()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert sorted(map(tuple, spark.sql(f"SELECT * FROM steps{restarted}").collect())) == want
+
+
+def test_start_at_restart():
+    assert drifters.start_at_restart(10.5, 9.0, True) == 10.5 and drifters.start_at_restart(10.5, 20.25, False) == 21.5
+    with pytest.raises(ValueError):
+        drifters.start_at_restart(10.5, 11.0, True)
+
+
 def test_other_inverse_projections_give_the_places_back(spark):
     rng = np.random.default_rng(5)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(rng.uniform(-80, 80, 300), rng.uniform(-180, 180, 300))], "lat double, lon double")
