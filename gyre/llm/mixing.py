@@ -13,7 +13,8 @@ only, and so on through 60 bits.  Nothing is sorted but the buckets' sums.
 Defined cases: a null text has size 0; a null source is a source, the last; a null
 doc_id hashes as such, and rows of equal id and text share a hash and are taken
 together; an empty table gives no rows; a source of size 0 has target 0; other
-columns pass through ``mix`` unless their names begin with ``_mix``.
+columns pass through ``mix`` unless their names begin with ``_mix``, and through
+``mixed`` whatever their names.
 """
 
 from __future__ import annotations
@@ -100,9 +101,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST)
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
-    """The rows of the mix: each document as often as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **how).where("_mix_copies > 0")
-    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of the mix: each document as often as it is taken, with the columns of ``docs``, which go by place, so that no name clashes."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names).select("*", *[F.col(names[docs.columns.index(c)]).alias(c) for c in ("doc_id", "text", "source")])
+    out = mix(own, **how).where("_mix_copies > 0")
+    return out.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies").cast("int")))).select(*names).toDF(*docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gyre.llm import near_dedup, suffix_dedup, topk
+from gyre.llm import mixing, near_dedup, suffix_dedup, topk
 
 TOP = (1 << 63) - 1
 
@@ -67,3 +67,14 @@ def test_topk_over_many_slices_holds_one_scan_s_slices_at_a_time(spark, monkeypa
     got = topk.top_k(df, F.col("vec_id") % 3 == 0, most=100)  # some eight slices
     assert not live and max(most) <= 3 and len(most) >= 14
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want))
+
+
+def test_mixed_passes_columns_of_any_name_on(spark, monkeypatch):
+    rows = [(i, "word " * (i % 9 + 1), f"s{i % 3}", "a", "b", "c") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, _mix_size string, _mix_copies string, c0 string")
+    plain = df.select("doc_id", "text", "source")
+    want = sorted(r for r in mixing.mixed(plain).collect())
+    out = mixing.mixed(df)
+    assert out.columns == df.columns and sorted(r[:3] for r in out.collect()) == [tuple(r) for r in want] and {r[3:] for r in out.collect()} == {("a", "b", "c")}
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)  # joins by shuffle
+    assert sorted(mixing.mixed(plain).collect()) == want
