@@ -213,17 +213,39 @@ def _m(phi: float, e: float) -> float:
     return math.cos(phi) / math.sqrt(1 - (e * math.sin(phi)) ** 2)
 
 
+def _authalic(m: MapSpec) -> tuple[float, float, float, float]:
+    """(q of the pole, authalic latitude of the centre, radius of the sphere of equal area, stretch that keeps the scale at the centre)."""
+    qp, p0 = _q_of(math.pi / 2, m.ecc), math.radians(m.lat0)
+    b0 = math.asin(max(-1.0, min(1.0, _q_of(p0, m.ecc) / qp)))
+    rq = m.radius * math.sqrt(qp / 2)
+    return qp, b0, rq, m.radius * _m(p0, m.ecc) / (rq * math.cos(b0))
+
+
 def azimuthal_equal_area_ellipsoid(lat, lon, m: MapSpec):
-    """Polar aspect."""
-    s = 1.0 if m.lat0 >= 0 else -1.0
-    rho = m.radius * F.sqrt(F.greatest(_q_of(math.pi / 2, m.ecc) - _q(rad(lat * s), m.ecc), F.lit(0.0)))
-    return rho * F.sin(rad(lon - m.lon0)), -s * rho * F.cos(rad(lon - m.lon0))
+    """About a pole or any other centre."""
+    if abs(m.lat0) == 90:
+        s = 1.0 if m.lat0 > 0 else -1.0
+        rho = m.radius * F.sqrt(F.greatest(_q_of(math.pi / 2, m.ecc) - _q(rad(lat * s), m.ecc), F.lit(0.0)))
+        return rho * F.sin(rad(lon - m.lon0)), -s * rho * F.cos(rad(lon - m.lon0))
+    qp, b0, rq, stretch = _authalic(m)
+    b, lam = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), _q(rad(lat), m.ecc) / qp))), rad(lon - m.lon0)
+    k = rq * F.sqrt(2 / (1 + math.sin(b0) * F.sin(b) + math.cos(b0) * F.cos(b) * F.cos(lam)))
+    return k * stretch * F.cos(b) * F.sin(lam), k / stretch * (math.cos(b0) * F.sin(b) - math.sin(b0) * F.cos(b) * F.cos(lam))
 
 
 def azimuthal_equal_area_ellipsoid_inverse(x, y, m: MapSpec):
-    s, qp = (1.0 if m.lat0 >= 0 else -1.0), _q_of(math.pi / 2, m.ecc)
-    beta = F.asin(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1 - (x * x + y * y) / (m.radius**2 * qp))))
-    return s * F.degrees(authalic_to_geographic(beta, m.ecc)), wrap(F.degrees(F.atan2(x, -s * y)) + m.lon0, -180.0)
+    unit = lambda c: F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
+    if abs(m.lat0) == 90:
+        s, qp = (1.0 if m.lat0 > 0 else -1.0), _q_of(math.pi / 2, m.ecc)
+        beta = F.asin(unit(1 - (x * x + y * y) / (m.radius**2 * qp)))
+        return s * F.degrees(authalic_to_geographic(beta, m.ecc)), wrap(F.degrees(F.atan2(x, -s * y)) + m.lon0, -180.0)
+    _, b0, rq, stretch = _authalic(m)
+    x, y = x / stretch, y * stretch
+    rho = F.hypot(x, y)
+    c = 2 * F.asin(unit(rho / (2 * rq)))
+    beta = F.when(rho == 0, b0).otherwise(F.asin(unit(F.cos(c) * math.sin(b0) + y * F.sin(c) * math.cos(b0) / F.greatest(rho, F.lit(1e-300)))))
+    lam = F.when(rho == 0, 0.0).otherwise(F.atan2(x * F.sin(c), rho * math.cos(b0) * F.cos(c) - y * math.sin(b0) * F.sin(c)))
+    return F.degrees(authalic_to_geographic(beta, m.ecc)), wrap(F.degrees(lam) + m.lon0, -180.0)
 
 
 def cylindrical_equal_area_ellipsoid(lat, lon, m: MapSpec):

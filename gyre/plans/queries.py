@@ -144,7 +144,9 @@ def _roundtrip(name: str, width: float, **more):
 
     def run(spark, sf_dir):
         p = places(spark, sf_dir)
-        lat, lon = geodesy.inverse(name, *geodesy.forward(name, p.lat, p.lon, spec), spec)
+        x, y = geodesy.forward(name, p.lat, p.lon, spec)
+        p = p.withColumns({"x": x, "y": y})  # held, or the inverse would repeat it wherever it reads it
+        lat, lon = geodesy.inverse(name, p.x, p.y, spec)
         return p.select("c_custkey", *(F.when(F.expr(near), r(c, 5)).alias(n) for n, c in (("lat", lat), ("lon", lon))))
 
     run.__name__ = f"inverse_{name}"

@@ -113,6 +113,13 @@ class Dataset:
         out = re.sub(r"\$\{(\w+)\}", lambda m: parts[m[1].lower()], out)
         return f"{root.rstrip('/')}/{out}" if root else out
 
+    def path_of(self, day: Column, root: str = "", **parts: str) -> Column:
+        """``path`` of a column of days."""
+        out = F.lit(re.sub(r"\$\{(\w+)\}", lambda m: parts[m[1].lower()], self.mask))
+        for mark, value in (("%Y", F.lpad(F.year(day).cast("string"), 4, "0")), ("%m", F.lpad(F.month(day).cast("string"), 2, "0")), ("%d", F.lpad(F.day(day).cast("string"), 2, "0"))):
+            out = F.replace(out, F.lit(mark), value)
+        return F.concat(F.lit(root.rstrip("/") + "/"), out) if root else out
+
     def days(self, raw: Column) -> Column:
         """Decimal days since 1900-01-01 of the stored time."""
         if self.reference is None:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 #: Types of values and their bytes (fixed values).
@@ -159,6 +160,11 @@ def read_columns(spark: SparkSession, path: str, columns: list[tuple[str, str]],
     return spark.read.format("gyre_columns").options(columns=_option(columns), piece=str(piece)).load(path)
 
 
+def wide(rows: DataFrame, names: list[str]) -> DataFrame:
+    """(place, names): the columns of ``read_columns`` side by side."""
+    return rows.groupBy("place").agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
+
+
 def write_columns(rows: DataFrame, path: str, key: str, columns: list[tuple[str, str]]) -> None:
     """Writes columns in the order of a key: tasks hold ranges of it, and a task's range is a part file; the folder's old parts must be gone."""
     rows.sparkSession.dataSource.register(Columns)

@@ -19,12 +19,15 @@ BUOY_T = "Year int, Month int, Day int, Hour int, BuoyID long, Lat double, Lon d
 
 # -- meshes (MSH, version 2) ------------------------------------------------------------------
 def _sections(spark: SparkSession, path: str) -> DataFrame:
-    """(file, section, place in it, words) of the lines of text meshes; a file is one row until its lines are split."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", r"\r?\n").alias("lines"))
-    heads = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.col("lines")[i].rlike(r"^\$(?!End)"))
-    parts = files.select("file", "lines", F.explode(heads).alias("at")).withColumn("section", F.regexp_replace(F.col("lines")[F.col("at")], r"[\$\s]", ""))
-    end = F.array_position(F.col("lines"), F.concat(F.lit("$End"), F.col("section"))).cast("int")
-    return parts.select("file", "section", F.posexplode(F.slice("lines", F.col("at") + 2, end - F.col("at") - 2)).alias("place", "line")).withColumn("words", F.split(F.trim("line"), r"\s+"))
+    """(file, section, words, line) of the lines of text meshes, by as many tasks as files have splits.
+
+    A line's place is its split's offset and its number there; its section is that of the last mark before it.  Marks are a few a file.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k")).alias("at"), F.regexp_replace("value", r"\r$", "").alias("line"))
+    marks = lines.where(F.col("line").startswith("$")).groupBy("file").agg(F.array_sort(F.collect_list(F.struct("at", F.regexp_replace("line", r"[\$\s]", "").alias("mark")))).alias("marks"))
+    own = lines.where(~F.col("line").startswith("$")).join(marks, "file")
+    before = F.filter("marks", lambda m: m["at"] < F.col("at"))
+    return own.select("file", F.try_element_at(before, F.lit(-1))["mark"].alias("section"), F.split(F.trim("line"), r"\s+").alias("words"), "line")
 
 
 def read_msh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
@@ -33,7 +36,7 @@ def read_msh(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     Elements other than triangles (type 2) stay in elem with their type; the first of
     the partition tags is the owner, the others are ghosts.
     """
-    rows = _sections(spark, path).where("place > 0")
+    rows = _sections(spark, path).where(F.size("words") > 1)  # a section's first line is its count
     w = F.col("words")
     nodes = rows.where("section = 'Nodes'").select("file", w[0].cast("long").alias("node_id"), *[w[i + 1].cast("double").alias(c) for i, c in enumerate("xyz")])
     tags = w[2].cast("int")

@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from gyre.plans import field_queries, forcing_queries, mesh_queries  # noqa: F401  # they register their queries
+from gyre.plans import field_queries, file_queries, forcing_queries, mesh_queries  # noqa: F401  # they register their queries
 from gyre.plans import queries as plans
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
