@@ -264,10 +264,10 @@ def proj_albers_ellipsoid(spark, sf_dir):
     return p.select("c_custkey", r(x, 3).alias("x"), r(y, 3).alias("y"))
 
 
-@query(f"SELECT c_custkey, round(lat, 5) AS lat, round(lon, 5) AS lon FROM (SELECT c_custkey, lat, lon FROM ({PLACES}) WHERE lat < 89.9 AND abs(lon - 10) < 120)")
+@query(f"SELECT c_custkey, round(lat, 5) AS lat, round(lon, 5) + 0.0 AS lon FROM ({PLACES})")
 def inverse_azimuthal_equal_area_oblique(spark, sf_dir):
-    """Forward and back about a centre that isn't a pole, away from the far side."""
-    p = places(spark, sf_dir).where("lat < 89.9 AND abs(lon - 10) < 120")
+    """Forward and back about a centre that isn't a pole."""
+    p = places(spark, sf_dir)
     m = geodesy.MapSpec(lon0=10.0, lat0=50.0)
     x, y = geodesy.forward("azimuthal_equal_area_ellipsoid", p.lat, p.lon, m)
     p = p.withColumns({"x": x, "y": y})
