@@ -27,8 +27,8 @@ def bounding_box(targets: DataFrame, x: str, y: str) -> DataFrame:
 
 def crop(axis: DataFrame, index: str, value: str, low: Column | float, high: Column | float, halo: int = 0) -> DataFrame:
     """Axis rows with low <= value <= high, and ``halo`` more at either end while the axis has them."""
-    own = axis.where(F.col(value).between(low, high)).agg(F.min(index).alias("_a"), F.max(index).alias("_b"))
-    return axis.join(F.broadcast(own), F.col(index).between(F.col("_a") - halo, F.col("_b") + halo)).drop("_a", "_b")
+    a, b = axis.where(F.col(value).between(low, high)).agg(F.min(index), F.max(index)).first()  # two numbers
+    return axis.where(F.lit(False)) if a is None else axis.where(F.col(index).between(a - halo, b + halo))
 
 
 def is_wet(c: Column, *fills: float) -> Column:

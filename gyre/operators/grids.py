@@ -14,8 +14,8 @@ NEIGHBOURS = ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))
 
 def lon_range(nodes: DataFrame, lon: str = "lon", column: str = "i") -> DataFrame:
     """One row: the least and greatest of the first and the last column's longitudes, and the branch cut: longitudes count from the least on."""
-    ends = nodes.agg(F.min(column).alias("a"), F.max(column).alias("b"))
-    at = nodes.join(F.broadcast(ends), (F.col(column) == F.col("a")) | (F.col(column) == F.col("b")))
+    ends = nodes.agg(F.min(column), F.max(column)).first()  # two numbers
+    at = nodes.where(F.col(column).isin([e for e in ends if e is not None]))
     return at.agg(F.min(lon).alias("least"), F.max(lon).alias("most")).withColumn("cut", F.col("least"))
 
 
@@ -89,8 +89,11 @@ def cyclic(grid: DataFrame, nx: int, lon: str | None = None) -> DataFrame:
 
 def pole_filled(grid: DataFrame, pole: int, beside: int, value: str, by: list[str] = []) -> DataFrame:
     """The row j = pole has the mean of the row beside it: at a pole all longitudes are one place."""
-    mean = grid.where(F.col("j") == beside).groupBy(*by).agg(F.avg(value).alias("_pole"))
-    out = grid.join(F.broadcast(mean), by, "left") if by else grid.withColumn("_k", F.lit(0)).join(F.broadcast(mean.withColumn("_k", F.lit(0))), "_k", "left").drop("_k")
+    own = grid.where(F.col("j") == beside)
+    if by:
+        out = grid.join(own.groupBy(*by).agg(F.avg(value).alias("_pole")), by, "left")
+    else:
+        out = grid.withColumn("_pole", F.lit(own.agg(F.avg(value)).first()[0]))  # one number
     return out.withColumn(value, F.when(F.col("j") == pole, F.col("_pole")).otherwise(F.col(value))).select(*grid.columns)
 
 

@@ -8,6 +8,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from gyre.shared import written
+
+from .fields import renumbered
 
 
 def alpha(dt: float, correlation: float) -> float:
@@ -15,21 +20,37 @@ def alpha(dt: float, correlation: float) -> float:
     return math.exp(-1.0) ** (dt / correlation)
 
 
+#: Rows of a series that one task folds at a time.
+BLOCK = 4096
+
+
 def ar1(rows: DataFrame, by: list[str], order: str, w: str, a: float) -> DataFrame:
     """x_0 = w_0, x_n = a x_n-1 + sqrt(1 - a^2) w_n, along each series, with column x.
 
-    The recurrence is a running fold over the series in order: one row's state is one
-    number.  Series are keyed, so they run side by side.
+    Rows are numbered in the order of their series and dealt into blocks, so a hot series is spread over tasks.  A block is folded from nothing;
+    what the last one ended with comes in at its head, weakened by a for each step.  A block is longer than any such trace (below 1e-16), so
+    its end doesn't depend on the one before.
     """
     b = math.sqrt(1 - a * a)
-    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    # A term is negligible (below 1e-16) after so many steps; the window is bounded by that.
-    last = max(2, math.ceil(math.log(1e-17) / math.log(a))) if 0 < a < 1 else 2
-    near = Window.partitionBy(*by).orderBy(order).rowsBetween(-last, 0)
-    first = F.count("*").over(upto) <= last + 1
-    held = rows.withColumns({"_h": F.collect_list(w).over(near), "_f": first})
-    fold = lambda start: F.aggregate(F.slice("_h", 2, last), start, lambda x, y: a * x + b * y)
-    return held.withColumn("x", F.when(F.col("_f"), fold(F.col("_h")[0])).otherwise(fold(b * F.col("_h")[0]))).drop("_h", "_f")
+    size = max(BLOCK, math.ceil(math.log(1e-17) / math.log(a))) if 0 < a < 1 else BLOCK
+    numbered = renumbered(rows, [*by, order], into="_n")
+    first = numbered.groupBy(*by).agg(F.min("_n").alias("_first"))
+    place = F.col("_n") - F.col("_first")
+    held = numbered.join(first, by).withColumns({"_block": F.floor(place / size), "_at": (place % size).cast("int")}).drop("_n", "_first")
+    schema = T.StructType([*held.schema.fields, T.StructField("x", T.DoubleType())])
+
+    def fold(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_at")
+        x, out, whole = 0.0, [], frame["_block"].iloc[0] > 0
+        for k, v in enumerate(frame[w].tolist()):
+            x = a * x + b * v if k or whole else v
+            out.append(x)
+        return frame.assign(x=out)
+
+    own = written(held.groupBy(*by, "_block").applyInPandas(fold, schema), "series")
+    ends = own.where(F.col("_at") == size - 1).select(*by, (F.col("_block") + 1).alias("_block"), F.col("x").alias("_end"))
+    x = F.col("x") + F.coalesce(F.col("_end") * F.pow(F.lit(a), F.col("_at") + 1), F.lit(0.0))
+    return own.join(ends, [*by, "_block"], "left").withColumn("x", x).select(*rows.columns, "x")
 
 
 def pressure_gradient(grid: DataFrame, value: str, dx: float) -> DataFrame:

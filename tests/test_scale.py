@@ -166,3 +166,17 @@ def test_points_of_one_place_cost_one_search(spark):
     began = time.time()
     assert locate.nearest_vertex(p, n).where("id % 3 = 0").select("node_id").distinct().collect()[0][0] == 7 * 50 + 7
     assert time.time() - began < 60
+
+
+def test_a_hot_series_is_folded_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    rows = [("hot", n, float(v)) for n, v in enumerate(rng.normal(size=900))] + [("b", 5, 1.5), ("b", 7, -2.0)]
+    monkeypatch.setattr(noise, "BLOCK", 100)
+    got = {(r.k, r.n): r.x for r in noise.ar1(spark.createDataFrame(rows, "k string, n long, v double").repartition(3), ["k"], "n", "v", 0.7).collect()}
+    want, b = {}, math.sqrt(1 - 0.49)
+    for k in ("hot", "b"):
+        x = None
+        for _, n, v in sorted(r for r in rows if r[0] == k):
+            x = v if x is None else 0.7 * x + b * v
+            want[k, n] = x
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
