@@ -552,3 +552,16 @@ def wave_direction_to_xy(name: str, lat: Column, lon: Column, direction: Column,
     size = F.hypot(dx, dy)
     ok = ok & (size > 0)
     return F.when(ok, dx / size).otherwise(0.0), F.when(ok, dy / size).otherwise(0.0)
+
+
+def from_cartesian(x: Column, y: Column, z: Column) -> tuple[Column, Column]:
+    """(lat, lon) of places in space, whatever their distance from the middle; longitudes from 0 to 360."""
+    return F.degrees(F.asin(z / F.sqrt(x * x + y * y + z * z))), wrap(F.degrees(F.atan2(y, x)), 0.0)
+
+
+def to_data_axes(name: str, x: Column, y: Column, m: MapSpec, cut: float | None = None, turn: float = 0.0) -> tuple[Column, Column]:
+    """Map coordinates as a dataset has them: (lon, lat) with longitudes from its branch cut on, or turned by degrees into the axes of its own map."""
+    if cut is None:
+        return rotate(x, y, turn)
+    lat, lon = inverse(name, x, y, m)
+    return wrap(lon, cut), lat

@@ -7,9 +7,13 @@ import math
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from gyre.functions import geodesy
 from gyre.functions import geometry as g
+from gyre.functions.geodesy import MapSpec
 from gyre.shared import written
 
+from .fields import renumbered
+
 
 def lattice(spark: SparkSession, nx: int, ny: int, step: float) -> tuple[DataFrame, DataFrame]:
     """A rectangle of nx by ny cells, each cut from its lower left to its upper right corner; node and element ids from 1."""
@@ -187,3 +191,23 @@ def graded(nodes: DataFrame, elems: DataFrame, size: str, ratio: float) -> DataF
         sizes, frontier = step.select("node_id", "h"), step.where("fell").select("node_id", "h")
         if frontier.isEmpty():
             return nodes.join(sizes.withColumnRenamed("h", "_h"), "node_id").withColumn(size, F.col("_h")).select(*nodes.columns)
+
+
+def geographic(nodes: DataFrame, elems: DataFrame, name: str, m: MapSpec) -> tuple[DataFrame, DataFrame]:
+    """(nodes with lat and lon, (elem_id, lat, lon): the means of elements' corners) of a mesh on a map; a mesh across the end of the longitudes counts them on from its first corner's."""
+    lat, lon = geodesy.inverse(name, F.col("x"), F.col("y"), m)
+    held = nodes.withColumns({"lat": lat, "lon": lon})
+    at = corners(elems, held, "lat", "lon")
+    near = [F.col("lon1"), *[F.col("lon1") + geodesy.wrap(F.col(f"lon{k}") - F.col("lon1"), -180.0) for k in (2, 3)]]
+    return held, at.select("elem_id", ((F.col("lat1") + F.col("lat2") + F.col("lat3")) / 3).alias("lat"), geodesy.wrap((near[0] + near[1] + near[2]) / 3, -180.0).alias("lon"))
+
+
+def turned(nodes: DataFrame, degrees: float) -> DataFrame:
+    """Nodes in axes that are turned by an angle."""
+    x, y = geodesy.rotate(F.col("x"), F.col("y"), degrees)
+    return nodes.withColumns({"x": x, "y": y})
+
+
+def renumbered_by_domain(elems: DataFrame) -> DataFrame:
+    """elems with label (see ``sub_domains``) and new_id: gapless numbers, one domain after another."""
+    return renumbered(elems.join(sub_domains(elems), "elem_id"), ["label", "elem_id"])

@@ -76,6 +76,15 @@ def scattered(spec: DataFrame, s: str, dt: float, by: list[str]) -> DataFrame:
     return spec.withColumn(s, F.when(F.col("ice"), new).otherwise(F.col(s)))
 
 
+def incident(seas: DataFrame, frequencies: list[float], directions: int) -> DataFrame:
+    """(elem_id, f, n, s) of seas (elem_id, hs, tp, mwd): the spectrum by height and period, spread about the mean direction over evenly spaced directions (density a radian)."""
+    width = 360.0 / directions
+    every = F.array(*[F.struct(F.lit(k).alias("f"), F.lit(2 * math.pi * v).alias("omega")) for k, v in enumerate(frequencies)])
+    rows = seas.select("*", F.explode(every).alias("_f")).select("*", F.explode(F.sequence(F.lit(0), F.lit(directions - 1))).alias("n"))
+    share = spectral.direction_share(F.col("n") * width - width / 2, F.col("n") * width + width / 2, F.col("mwd")) / math.radians(width)
+    return rows.select("elem_id", F.col("_f.f").alias("f"), "n", (2 * math.pi * spectral.bretschneider(F.col("hs"), F.col("tp"), F.col("_f.omega")) * share).alias("s"))
+
+
 def prescribed(waves: DataFrame, forcing: DataFrame, mask: Column, names: tuple[str, ...] = ("hs", "tp", "mwd")) -> DataFrame:
     """Forcing values (elem_id, names) where the mask holds (a condition on both), else zero."""
     new = waves.join(forcing.select("elem_id", *[F.col(n).alias(f"_{n}") for n in names]), "elem_id", "left")

@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gyre.functions import geodesy, spectral, timeconv
-from gyre.operators import drifters, grids, noise
+from gyre.functions import geodesy, geometry, spectral, timeconv
+from gyre.operators import drifters, grids, locate, noise
 from gyre.shared import shared_dir
 from gyre.sources import catalog
 
@@ -110,6 +110,45 @@ def resampled_cubic(spark, sf_dir):
     return grids.cubic_values(at, source_grid(spark, sf_dir), ["c_custkey"], "v").select("c_custkey", r(F.col("v"), 5).alias("v"))
 
 
+@query(f"""WITH {SOURCE}, t AS (SELECT c_custkey, radians(82 + c_custkey % 70 / 10.0::DOUBLE) AS phi, (c_custkey * 29 % 360)::DOUBLE AS lon FROM customer), q AS (SELECT c_custkey, {_K!r} * tan(pi() / 4 - phi / 2) * sin(radians(lon + 45)) AS x, -{_K!r} * tan(pi() / 4 - phi / 2) * cos(radians(lon + 45)) AS y FROM t),
+p AS (SELECT c_custkey, 12 + x / 100 AS a, 5 - y / 100 AS b FROM q), e AS (SELECT *, floor(a)::BIGINT AS i, floor(b)::BIGINT AS j FROM p WHERE a >= 0 AND a < 24 AND b >= 0 AND b < (SELECT count(*) FROM supplier) - 1)
+SELECT c_custkey, round(a.v * (1 - dx) * (1 - dy) + g.v * dx * (1 - dy) + h.v * (1 - dx) * dy + k.v * dx * dy, 5) AS bilinear, CASE WHEN dx <= 0.5 THEN CASE WHEN dy <= 0.5 THEN a.v ELSE h.v END ELSE CASE WHEN dy <= 0.5 THEN g.v ELSE k.v END END AS nearest
+FROM (SELECT c_custkey, i, j, a - i AS dx, b - j AS dy FROM e) AS e JOIN s AS a ON a.i = e.i AND a.j = e.j JOIN s AS g ON g.i = e.i + 1 AND g.j = e.j JOIN s AS h ON h.i = e.i AND h.j = e.j + 1 JOIN s AS k ON k.i = e.i + 1 AND k.j = e.j + 1""")
+def resampled_cells(spark, sf_dir):
+    """A polar grid's values at customers' places, bilinear and of the nearest cell; places within the grid only, as a cell needs four corners."""
+    k = F.col("c_custkey")
+    t = table(spark, sf_dir, "customer").select(k, (82 + k % 70 / 10).alias("lat"), (k * 29 % 360).cast("double").alias("lon"))
+    rows = table(spark, sf_dir, "supplier").count()
+    at = grids.target_cells(t, "polar_stereographic_sphere", SPHERE, (12.0, 5.0), 1 / 100, (rows, 25)).where(f"col >= 0 AND col < 24 AND row >= 0 AND row < {rows - 1}")
+    held = locate.cell_values(at.withColumnsRenamed({"col": "px", "row": "py"}), source_grid(spark, sf_dir), (0.0, 0.0), 1.0, (25, rows), "v")
+    a = [F.col(c) for c in ("dx", "dy", "v00", "v10", "v01", "v11")]
+    return held.select("c_custkey", r(geometry.bilinear(*a), 5).alias("bilinear"), geometry.nearest(*a).alias("nearest"))
+
+
+@query(f"""WITH p AS (SELECT c_custkey, 6371 * cos(radians(lat)) * cos(radians(lon)) AS x, 6371 * cos(radians(lat)) * sin(radians(lon)) AS y, 6371 * sin(radians(lat)) AS z, lat, lon FROM ({PLACES}))
+SELECT c_custkey, round(lat, 6) AS lat, round((lon + 360) % 360, 5) AS lon, round({_here[0]}, 3) + 0.0 AS x, round({_here[1]}, 3) + 0.0 AS y FROM p""")
+def cartesian_on_map(spark, sf_dir):
+    """Places in space, on a map."""
+    p = places(spark, sf_dir)
+    a, b = F.radians("lat"), F.radians("lon")
+    p = p.select("c_custkey", *[(6371 * c).alias(n) for n, c in (("cx", F.cos(a) * F.cos(b)), ("cy", F.cos(a) * F.sin(b)), ("cz", F.sin(a)))])
+    lat, lon = geodesy.from_cartesian(F.col("cx"), F.col("cy"), F.col("cz"))
+    p = p.withColumns({"lat": lat, "lon": lon})
+    x, y = geodesy.forward("polar_stereographic", F.col("lat"), F.col("lon"), NPS)
+    return p.select("c_custkey", r(F.col("lat")).alias("lat"), r(F.col("lon"), 5).alias("lon"), r(x, 3).alias("x"), r(y, 3).alias("y"))
+
+
+@query(f"""WITH p AS (SELECT c_custkey, (c_custkey * 37 % 5000) - 2500.0::DOUBLE + 0.5 AS x, (c_custkey * 53 % 4000) - 2000.0::DOUBLE + 0.25 AS y FROM customer)
+SELECT c_custkey, round((degrees(atan2(x, -y)) - 45 + 710) % 360 + 10, 5) AS lon, round(90 - 2 * degrees(atan(sqrt(x * x + y * y) / {_K!r})), 6) AS lat, round(x * cos(radians(35)) + y * sin(radians(35)), 5) + 0.0 AS tx, round(y * cos(radians(35)) - x * sin(radians(35)), 5) + 0.0 AS ty FROM p""")
+def targets_of_data(spark, sf_dir):
+    """Places of a model's map in the axes of a dataset: longitudes from 10 degrees on, and a map turned by 35."""
+    k = F.col("c_custkey")
+    p = table(spark, sf_dir, "customer").select(k, (k * 37 % 5000 - 2500.0 + 0.5).alias("x"), (k * 53 % 4000 - 2000.0 + 0.25).alias("y"))
+    lon, lat = geodesy.to_data_axes("polar_stereographic_sphere", p.x, p.y, SPHERE, cut=10.0)
+    tx, ty = geodesy.to_data_axes("polar_stereographic_sphere", p.x, p.y, SPHERE, turn=35.0)
+    return p.select("c_custkey", r(lon, 5).alias("lon"), r(lat).alias("lat"), r(tx, 5).alias("tx"), r(ty, 5).alias("ty"))
+
+
 # -- loading ---------------------------------------------------------------------------------
 @query("""WITH g AS (SELECT n_nationkey AS i, s_suppkey AS j, n_nationkey * 10.0::DOUBLE AS x, s_suppkey * 5.0::DOUBLE AS y FROM supplier, nation WHERE (n_nationkey + s_suppkey) % 5 > 0), a AS (SELECT max(s_suppkey) // 2 AS top FROM supplier),
 c AS (SELECT *, row_number() OVER (ORDER BY j, i) - 1 AS cell FROM g, a WHERE i BETWEEN 2 AND 13 AND j BETWEEN 0 AND top + 1)

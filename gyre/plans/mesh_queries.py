@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gyre.functions import geometry
+from gyre.functions.geodesy import MapSpec
 from gyre.operators import advection, drifters, fields, locate, mesh, noise, remap, waves
 
 from .field_queries import spectra
@@ -166,6 +167,28 @@ def graded_sizes(spark, sf_dir):
     return mesh.graded(nodes.withColumn("size", F.col("size").cast("double")), elems, "size", 1.5).select("node_id", r(F.col("size")).alias("size"))
 
 
+@query(f"""WITH {TE}, k AS (SELECT * FROM te WHERE i % 7 <> 3 AND j % 13 <> 5), l AS (SELECT elem_id, min(elem_id) OVER (PARTITION BY (i + 3) // 7, (j + 7) // 13) AS label FROM k) SELECT elem_id, label, row_number() OVER (ORDER BY label, elem_id) - 1 AS new_id FROM l""")
+def numbers_by_domain(spark, sf_dir):
+    """Elements numbered one connected part after another."""
+    return mesh.renumbered_by_domain(part_mesh(spark, sf_dir)[1].where("i % 7 <> 3 AND j % 13 <> 5").select("elem_id", "nodes")).select("elem_id", "label", "new_id")
+
+
+_POLAR = "6371.0::DOUBLE * (1 + sin(radians(60)))"
+
+
+@query(f"""WITH {TE}, m AS (SELECT node_id, (x * cos(radians(25)) + y * sin(radians(25))) * 10 + 300 AS x, (y * cos(radians(25)) - x * sin(radians(25))) * 10 + 400 AS y FROM tn),
+g AS (SELECT node_id, 90 - 2 * degrees(atan(sqrt(x * x + y * y) / ({_POLAR}))) AS lat, degrees(atan2(x, -y)) - 45 AS lon FROM m),
+e AS (SELECT elem_id, (a.lat + b.lat + c.lat) / 3 AS lat, (a.lon + a.lon + (b.lon - a.lon + 900) % 360 - 180 + a.lon + (c.lon - a.lon + 900) % 360 - 180) / 3 AS lon FROM te JOIN g AS a ON a.node_id = n1 JOIN g AS b ON b.node_id = n2 JOIN g AS c ON c.node_id = n3)
+SELECT 'node' AS kind, node_id AS id, round(lat, 6) AS lat, round((lon + 900) % 360 - 180, 5) + 0.0 AS lon FROM g UNION ALL SELECT 'elem', elem_id, round(lat, 6), round((lon + 900) % 360 - 180, 5) + 0.0 FROM e""")
+def mesh_places(spark, sf_dir):
+    """Latitudes and longitudes of the nodes and elements of a mesh, turned and set beside the pole."""
+    nodes, elems = part_mesh(spark, sf_dir)
+    far = mesh.turned(nodes, 25.0).withColumns({"x": F.col("x") * 10 + 300, "y": F.col("y") * 10 + 400})
+    n, e = mesh.geographic(far, elems, "polar_stereographic_sphere", MapSpec(lat0=90.0, lon0=-45.0, lat1=60.0, radius=6371.0))
+    both = n.select(F.lit("node").alias("kind"), F.col("node_id").alias("id"), "lat", "lon").union(e.select(F.lit("elem"), "elem_id", "lat", "lon"))
+    return both.select("kind", "id", r(F.col("lat")).alias("lat"), r(F.col("lon"), 5).alias("lon"))
+
+
 # -- location --------------------------------------------------------------------------------
 def held_sql(points: str, name: str) -> str:
     """CTEs ``name``: rows of ``points`` (key, i, j: a cell near it, px, py) with the highest element that holds each, its weights, by testing the elements around."""
@@ -402,3 +425,14 @@ def pack_scattering(spark, sf_dir):
     spec = waves.by_floe_size(spectra(spark, sf_dir).withColumns({"size": 20 + k % 13 * 20.0, "attenuation": 0.001 * (1 + f), "damping": 0.0002 * (1 + f)}), F.col("size"), 200.0)
     tau = waves.scattering_stress(spec, "s", "wd", "dir", ["elem_id", "f"]).select("elem_id", "f", r(F.col("tau_x"), 8).alias("tau_x"), r(F.col("tau_y"), 8).alias("tau_y"))
     return waves.scattered(spec, "s", 60.0, ["elem_id", "f"]).select("elem_id", "f", "n", r(F.col("s")).alias("s")).join(tau, ["elem_id", "f"])
+
+
+@query("""WITH a AS (SELECT s_suppkey AS elem_id, 1 + s_suppkey % 7 * 0.5::DOUBLE AS hs, 5 + s_suppkey % 11 * 1.0::DOUBLE AS tp, s_suppkey % 12 * 30.0::DOUBLE AS d FROM supplier), b AS (SELECT *, 2 * pi() * (0.05 + 0.02 * f) AS o FROM a, range(5) AS t(f)),
+w AS (SELECT *, 2 * pi() * 5 / 16.0::DOUBLE * hs * hs * pow(2 * pi() / tp, 4) * pow(o, -5) * exp(-1.25 * pow(2 * pi() / tp / o, 4)) AS e FROM b), c AS (SELECT *, greatest(n * 22.5 - 11.25 - d - turn * 360, -90) AS lo, least(n * 22.5 + 11.25 - d - turn * 360, 90) AS hi FROM w, range(16) AS u(n), range(-2, 3) AS v(turn))
+SELECT elem_id, f, n, round(any_value(e) * sum(CASE WHEN hi > lo THEN (radians(hi) - radians(lo) + (sin(2 * radians(hi)) - sin(2 * radians(lo))) / 2) / pi() ELSE 0.0 END) / radians(22.5), 6) + 0.0 AS s FROM c GROUP BY elem_id, f, n""")
+def incident_spectrum(spark, sf_dir):
+    """Spectra of seas by frequency and direction."""
+    k = F.col("s_suppkey")
+    seas = table(spark, sf_dir, "supplier").select(k.alias("elem_id"), (1 + k % 7 * 0.5).alias("hs"), (5 + k % 11 * 1.0).alias("tp"), (k % 12 * 30.0).alias("mwd"))
+    out = waves.incident(seas, [0.05 + 0.02 * f for f in range(5)], 16)
+    return out.select("elem_id", F.col("f").cast("long").alias("f"), F.col("n").cast("long").alias("n"), r(F.col("s")).alias("s"))
