@@ -86,14 +86,16 @@ def rasterised(grid: DataFrame, at: DataFrame, size: float, value: str, default:
     return held.withColumn(value, F.coalesce(value, F.lit(default)))
 
 
-def cell_values(points: DataFrame, grid: DataFrame, start: tuple[float, float], step: float, shape: tuple[int, int], value: str) -> DataFrame:
-    """points (px, py) with i, j, dx, dy and the four corner values v00, v10, v01, v11 of their cell of a regular grid (i, j, value)."""
+def cell_values(points: DataFrame, grid: DataFrame, start: tuple[float, float], step: float, shape: tuple[int, int], value: str | list[str]) -> DataFrame:
+    """points (px, py) with i, j, dx, dy and the four corner values v00, v10, v01, v11 of their cell of a regular grid (i, j, value); of a list of variables, each has its own four (u00, ...)."""
     nx, ny = shape
     p = points.withColumns({"i": g.bracket(F.col("px"), start[0], step, nx), "j": g.bracket(F.col("py"), start[1], step, ny)})
     p = p.withColumns({"dx": (F.col("px") - start[0]) / step - F.col("i"), "dy": (F.col("py") - start[1]) / step - F.col("j")})
+    names = {value: "v"} if isinstance(value, str) else {v: v for v in value}
     # The four corners of a cell are gathered once for each cell, not for each point.
-    c = grid.select(F.explode(F.array(*[F.struct((F.col("i") - a).cast("int").alias("ci"), (F.col("j") - b).cast("int").alias("cj"), F.lit(2 * b + a).alias("k"), F.col(value).alias("v")) for a in (0, 1) for b in (0, 1)])).alias("c")).select("c.*")
-    cells = c.groupBy("ci", "cj").agg(*[F.max(F.when(F.col("k") == k, F.col("v"))).alias(n) for k, n in enumerate(("v00", "v10", "v01", "v11"))])
+    corner = lambda a, b: F.struct((F.col("i") - a).cast("int").alias("ci"), (F.col("j") - b).cast("int").alias("cj"), F.lit(2 * b + a).alias("k"), *[F.col(v).alias(n) for v, n in names.items()])
+    c = grid.select(F.explode(F.array(*[corner(a, b) for a in (0, 1) for b in (0, 1)])).alias("c")).select("c.*")
+    cells = c.groupBy("ci", "cj").agg(*[F.max(F.when(F.col("k") == k, F.col(n))).alias(n + at) for n in names.values() for k, at in enumerate(("00", "10", "01", "11"))])
     return p.join(cells, (p.i == cells.ci) & (p.j == cells.cj), "left").drop("ci", "cj")
 
 

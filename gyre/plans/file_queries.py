@@ -140,7 +140,7 @@ def drifter_records_after_restart(spark, sf_dir):
 
 
 @query("""WITH m AS (SELECT time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 3 HOUR AS mid, event_type, avg(value) AS mean FROM events GROUP BY ALL)
-SELECT printf('%04dd%03d', year(mid), dayofyear(mid)) AS period, event_type, round(epoch_us(mid) / 86400000000.0::DOUBLE + 25567, 6) AS time, round(epoch_us(mid) / 86400000000.0::DOUBLE + 25567 - 0.125, 6) AS bound0, round(epoch_us(mid) / 86400000000.0::DOUBLE + 25567 + 0.125, 6) AS bound1, round(mean, 4) AS mean FROM m""")
+SELECT printf('%04dd%03d', year(mid), dayofyear(mid)) AS period, event_type, round(epoch_us(mid) / 86400000000.0::DOUBLE + 25567, 6) AS time, round(epoch_us(mid) / 86400000000.0::DOUBLE + 25567 - 0.125, 6) AS bound0, round(epoch_us(mid) / 86400000000.0::DOUBLE + 25567 + 0.125, 6) AS bound1, round(mean, 7) AS mean FROM m""")
 def grid_means_back(spark, sf_dir):
     """Means of six hours with their time bounds, in a folder for each day."""
     e = table(spark, sf_dir, "events")
@@ -149,7 +149,7 @@ def grid_means_back(spark, sf_dir):
     _, spec = files.map_spec({"map reference longitude": "-45", "map second reference latitude": "60"})
     held = files.with_projection(m.withColumn("at", F.col("window_start").cast("timestamp") + F.expr("INTERVAL 3 HOUR")), "mean", "polar_stereographic", spec)
     files.write_grid_means(held.select("at", "event_type", "mean"), path, F.col("at"), "daily", 0.25)
-    return spark.read.parquet(path).select("period", "event_type", *[r(F.col(c)).alias(c) for c in ("time", "bound0", "bound1")], F.round("mean", 4).alias("mean"))
+    return spark.read.parquet(path).select("period", "event_type", *[r(F.col(c)).alias(c) for c in ("time", "bound0", "bound1")], r(F.col("mean"), 7).alias("mean"))
 
 
 # -- the catalogue ---------------------------------------------------------------------------
@@ -187,16 +187,16 @@ def times_of_texts(spark, sf_dir):
     return e.select("event_id", seconds(stamp).alias("stamp"), seconds(day).alias("day"), seconds(other).alias("other"), r(timeconv.datenum(stamp)).alias("days"))
 
 
-@query("""WITH q AS (SELECT p_partkey, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS y1, 4 + p_size % 5 * 1.0::DOUBLE AS x2, p_size % 3 * 1.0::DOUBLE AS y2, 5 + p_size % 2 * 1.0::DOUBLE AS x3, 6 + p_size % 4 * 1.0::DOUBLE AS y3, -1.0::DOUBLE AS x4, 4 + p_size % 7 * 0.25::DOUBLE AS y4, p_partkey % 13 / 2.0::DOUBLE + 0.1::DOUBLE AS px, p_partkey % 17 / 2.0::DOUBLE + 0.05::DOUBLE AS py FROM part),
+@query("""WITH q AS (SELECT p_partkey, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS y1, 4 + p_size % 5 * 1.0::DOUBLE AS x2, p_size % 3 * 1.0::DOUBLE AS y2, 5 + p_size % 2 * 1.0::DOUBLE AS x3, 6 + p_size % 4 * 1.0::DOUBLE AS y3, -1.0::DOUBLE AS x4, 4 + p_size % 7 * 0.25::DOUBLE AS y4, p_partkey % 13 / 2.0::DOUBLE + 0.1371::DOUBLE AS px, p_partkey % 17 / 2.0::DOUBLE + 0.0713::DOUBLE AS py FROM part),
 s AS (SELECT *, unnest([[x1, y1, x2, y2], [x2, y2, x3, y3], [x3, y3, x4, y4], [x4, y4, x1, y1]]) AS e FROM q),
 f AS (SELECT p_partkey, sum(e[1] * e[4] - e[3] * e[2]) / 2 AS area, min((e[3] - e[1]) * (py - e[2]) - (e[4] - e[2]) * (px - e[1])) AS side, count(*) FILTER (d <> 0 AND t > 0 AND t < 1 AND u > 0 AND u < 1) AS met FROM (SELECT *, (10 * (e[4] - e[2]) - 10 * (e[3] - e[1])) AS d, (((e[1] - px) * (e[4] - e[2]) - (e[2] - py) * (e[3] - e[1])) / nullif(10 * (e[4] - e[2]) - 10 * (e[3] - e[1]), 0)) AS t,
 (((e[1] - px) * 10 - (e[2] - py) * 10) / nullif(10 * (e[4] - e[2]) - 10 * (e[3] - e[1]), 0)) AS u FROM s) GROUP BY p_partkey) SELECT p_partkey, round(abs(area), 6) AS area, side >= -1e-8 AS inside, met, true AS turned FROM f""")
 def polygons(spark, sf_dir):
-    """Area, inside test and crossings of four-cornered cells whose corners come in any order and are sorted about their middle; corners are at least a tenth from the points."""
+    """Area, inside test and crossings of four-cornered cells whose corners come in any order and are sorted about their middle."""
     size, k = F.col("p_size"), F.col("p_partkey")
     xy = [(F.lit(0.0), F.lit(0.0)), (4 + size % 5 * 1.0, size % 3 * 1.0), (5 + size % 2 * 1.0, 6 + size % 4 * 1.0), (F.lit(-1.0), 4 + size % 7 * 0.25)]
     shuffled = F.array(*[F.struct(xy[n][0].alias("x"), xy[n][1].alias("y")) for n in (2, 0, 3, 1)])
-    p = table(spark, sf_dir, "part").select(k, geometry.clockwise(shuffled).alias("c"), (k % 13 / 2 + 0.1).alias("px"), (k % 17 / 2 + 0.05).alias("py"))
+    p = table(spark, sf_dir, "part").select(k, geometry.clockwise(shuffled).alias("c"), (k % 13 / 2 + 0.1371).alias("px"), (k % 17 / 2 + 0.0713).alias("py"))
     c, n = F.col("c"), F.lit(4)
     cross = lambda a, b: a["x"] * b["y"] - b["x"] * a["y"]
     signed = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, i: s + cross(F.get(c, i), F.get(c, (i + 1) % n)))

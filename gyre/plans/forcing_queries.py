@@ -149,6 +149,17 @@ def targets_of_data(spark, sf_dir):
     return p.select("c_custkey", r(lon, 5).alias("lon"), r(lat).alias("lat"), r(tx, 5).alias("tx"), r(ty, 5).alias("ty"))
 
 
+@query(f"""WITH {SOURCE}, n AS (SELECT count(*) AS n FROM supplier), p AS (SELECT c_custkey, c_custkey * 37 % 240 / 10.0::DOUBLE + 0.03::DOUBLE AS px, c_custkey * 11 % (10 * (n - 1)) / 10.0::DOUBLE + 0.07::DOUBLE AS py FROM customer, n), e AS (SELECT *, floor(px)::BIGINT AS i, floor(py)::BIGINT AS j FROM p), d AS (SELECT c_custkey, i, j, px - i AS dx, py - j AS dy FROM e),
+w AS (SELECT c_custkey, s.v, s.i * s.j AS u, CASE WHEN s.i = d.i THEN 1 - dx ELSE dx END * CASE WHEN s.j = d.j THEN 1 - dy ELSE dy END AS w FROM d JOIN s ON s.i IN (d.i, d.i + 1) AND s.j IN (d.j, d.j + 1)) SELECT c_custkey, round(sum(w * v), 5) AS v, round(sum(w * u), 5) + 0.0 AS u FROM w GROUP BY c_custkey""")
+def grid_variables_at_places(spark, sf_dir):
+    """Two variables of a grid at customers' places, by one look for the cell."""
+    k, rows = F.col("c_custkey"), table(spark, sf_dir, "supplier").count()
+    p = table(spark, sf_dir, "customer").select(k, (k * 37 % 240 / 10 + 0.03).alias("px"), (k * 11 % (10 * (rows - 1)) / 10 + 0.07).alias("py"))
+    held = locate.cell_values(p, source_grid(spark, sf_dir).withColumn("u", F.col("i") * F.col("j")), (0.0, 0.0), 1.0, (25, rows), ["v", "u"])
+    of = lambda n: geometry.bilinear(F.col("dx"), F.col("dy"), *[F.col(n + at) for at in ("00", "10", "01", "11")])
+    return held.select("c_custkey", r(of("v"), 5).alias("v"), r(of("u"), 5).alias("u"))
+
+
 # -- loading ---------------------------------------------------------------------------------
 @query("""WITH g AS (SELECT n_nationkey AS i, s_suppkey AS j, n_nationkey * 10.0::DOUBLE AS x, s_suppkey * 5.0::DOUBLE AS y FROM supplier, nation WHERE (n_nationkey + s_suppkey) % 5 > 0), a AS (SELECT max(s_suppkey) // 2 AS top FROM supplier),
 c AS (SELECT *, row_number() OVER (ORDER BY j, i) - 1 AS cell FROM g, a WHERE i BETWEEN 2 AND 13 AND j BETWEEN 0 AND top + 1)
