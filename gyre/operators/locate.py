@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from gyre.functions import geometry as g
 from gyre.shared import written
 
-#: Elements (corners and carried values, some 100 bytes in each of at most four buckets) are broadcast up to so many.
-BROADCAST_ELEMENTS = 100_000
+#: Elements (some 100 bytes in each of nine buckets or so) are broadcast up to so many.
+BROADCAST_ELEMENTS = 50_000
 
 
 def bucketed(rows: DataFrame, x0, x1, y0, y1, size: float) -> DataFrame:
@@ -32,39 +32,46 @@ def in_triangles(points: DataFrame, at: DataFrame, size: float, keep: list[str]
     """points (px, py) with elem_id, the barycentric l1, l2, l3 and ``keep`` of the element that holds them; others: null.
 
     at: elements with corners.  Of several elements (shared edges, tolerance 1e-11) the
-    highest id holds a point; elements without area hold none.  Each element is filed by its own size, in at
-    most four buckets of the level of ``size`` times a power of two that it fits, so meshes of elements of very
-    unlike sizes stay cheap; a point looks into one bucket of each level there is (few: one for each doubling
+    highest id holds a point; elements without area hold none.  Each element is filed by its own size, in the nine buckets or so of half
+    the power of two times ``size`` that it fits, so meshes of elements of very unlike sizes stay cheap; a point looks into one bucket of each level there is (few: one for each doubling
     from the least to the greatest element).  A bucket is one row with the list of its elements (those of a mesh don't
     overlap, so a list is short); buckets are broadcast if elements are counted to be at most
     ``BROADCAST_ELEMENTS``, and then points don't move.  Every row of points gives one row.
     """
     xs, ys = [F.col(f"x{k}") for k in (1, 2, 3)], [F.col(f"y{k}") for k in (1, 2, 3)]
-    pad, held = 1e-9, ["elem_id", *[c for k in (1, 2, 3) for c in (f"x{k}", f"y{k}")], *keep]
+    pad = 1e-9
+    turn = g.jacobian(*[c for p in zip(xs, ys) for c in p])
     box = {"_x0": F.least(*xs) - pad, "_x1": F.greatest(*xs) + pad, "_y0": F.least(*ys) - pad, "_y1": F.greatest(*ys) + pad}
-    flat = g.jacobian(*[c for p in zip(xs, ys) for c in p]) == 0
-    el = at.select(*held).where(~flat).withColumns(box).withColumn("_level", level_of(F.greatest(F.col("_x1") - F.col("_x0"), F.col("_y1") - F.col("_y0")), size))
-    el = written(el, "elements")
+    # l1 and l2 are linear in the way from the first corner, so a test of an element is a few products
+    slopes = {"_a1": (ys[1] - ys[2]) / turn, "_a2": (xs[2] - xs[1]) / turn, "_b1": (ys[2] - ys[0]) / turn, "_b2": (xs[0] - xs[2]) / turn}
+    held = ["elem_id", "x1", "y1", *slopes, *keep]
+    el = at.where(turn != 0).withColumns(box | slopes).withColumn("_level", level_of(F.greatest(F.greatest(*xs) - F.least(*xs), F.greatest(*ys) - F.least(*ys)) * (1 - 1e-9), size))
+    el = written(el.select("_level", *box, *held), "elements")
     levels = {r._level: r.n for r in el.groupBy("_level").agg(F.count("*").alias("n")).collect()}  # some eighty rows at most
     few = F.broadcast if sum(levels.values()) <= BROADCAST_ELEMENTS else lambda df: df
     out, hits = points, []
+
+    def weights(e: Column) -> tuple[Column, Column]:
+        dx, dy = F.col("px") - e["x1"], F.col("py") - e["y1"]
+        return 1 + (e["_a1"] * dx + e["_a2"] * dy), e["_b1"] * dx + e["_b2"] * dy
+
+    def holds(e: Column) -> Column:
+        l1, l2 = weights(e)
+        return (l1 >= g.TOLERANCE) & (l2 >= g.TOLERANCE) & (l1 + l2 <= 1 - g.TOLERANCE)
+
     for k in sorted(levels):
-        cell, names = size * 2.0**k, [f"_b{k}x".replace("-", "m"), f"_b{k}y".replace("-", "m"), f"_e{k}".replace("-", "m")]
+        cell, names = size * 2.0 ** (k - 1), [f"_b{k}x".replace("-", "m"), f"_b{k}y".replace("-", "m"), f"_e{k}".replace("-", "m")]
         lists = bucketed(el.where(F.col("_level") == k), F.col("_x0"), F.col("_x1"), F.col("_y0"), F.col("_y1"), cell).groupBy(F.col("bx").alias(names[0]), F.col("by").alias(names[1]))
         lists = lists.agg(F.collect_list(F.struct(*held)).alias(names[2]))
         at_ = lambda c: F.when(F.abs(F.col(c).cast("double")) < math.inf, F.floor(F.col(c) / cell).cast("long"))  # noqa: E731  # NaN is above all
         out = out.withColumns({names[0]: at_("px"), names[1]: at_("py")}).join(few(lists), names[:2], "left")
-
-        def holds(e: Column) -> Column:
-            l1, l2, l3 = g.barycentric(F.col("px"), F.col("py"), *[e[f"{c}{n}"] for n in (1, 2, 3) for c in "xy"])
-            return F.when(F.least(l1, l2, l3) >= g.TOLERANCE, F.struct(e["elem_id"].alias("elem_id"), l1.alias("l1"), l2.alias("l2"), l3.alias("l3"), *[e[c].alias(c) for c in keep]))
-
-        hits.append(F.array_max(F.transform(names[2], holds)))
+        hits.append(F.array_max(F.filter(names[2], holds)))
     if not hits:
         types = dict(at.dtypes)
         return points.select("*", F.lit(None).cast(types["elem_id"]).alias("elem_id"), *[F.lit(None).cast("double").alias(c) for c in ("l1", "l2", "l3")], *[F.lit(None).cast(types[c]).alias(c) for c in keep])
-    best = F.greatest(*hits) if len(hits) > 1 else hits[0]
-    return out.withColumn("_e", best).select(*points.columns, "_e.*")
+    own = out.withColumn("_e", F.greatest(*hits) if len(hits) > 1 else hits[0]).select(*points.columns, "_e")
+    l1, l2 = weights(F.col("_e"))
+    return own.select(*points.columns, "_e.elem_id", l1.alias("l1"), l2.alias("l2"), (1 - l1 - l2).alias("l3"), *[F.col("_e")[c].alias(c) for c in keep])
 
 
 def stored_weights(held: DataFrame, key: list[str], elems: DataFrame) -> DataFrame:
@@ -168,7 +175,7 @@ CROWD = 8
 def first_size(nodes: DataFrame) -> float:
     """The bucket side at which a search begins: from the nodes' own density, halved while the mean node shares its bucket with more than ``CROWD``."""
     n, x0, x1, y0, y1 = nodes.agg(F.count("*"), F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    size = max(math.sqrt(max(x1 - x0, 1e-300) * max(y1 - y0, 1e-300) / n), max(x1 - x0, y1 - y0) / n, 1e-9)
+    size = max(2 * math.sqrt(max(x1 - x0, 1e-300) * max(y1 - y0, 1e-300) / n), max(x1 - x0, y1 - y0) / n, 1e-9)
     for _ in range(24):
         by = nodes.groupBy(F.floor(F.col("x") / size).alias("a"), F.floor(F.col("y") / size).alias("b")).agg(F.count("*").cast("double").alias("c"))
         if by.agg(F.sum(F.col("c") * F.col("c"))).first()[0] <= CROWD * n:
@@ -184,9 +191,11 @@ def nearest_vertex(points: DataFrame, nodes: DataFrame, size: float | None = Non
     twice the size, until none is left; each round's table is written into the shared folder.
     Null only without nodes, or for points without a finite place.
     """
-    nodes = nodes.where(reduce(and_, [F.abs(F.col(c).cast("double")) < math.inf for c in "xy"]))
+    kind = dict(nodes.dtypes)["node_id"]
+    # of nodes at one place the lowest id is nearest
+    nodes = written(nodes.where(reduce(and_, [F.abs(F.col(c).cast("double")) < math.inf for c in "xy"])).groupBy("x", "y").agg(F.min("node_id").alias("node_id")), "nodes")
     some = not nodes.isEmpty()
     found = outward(place_of(points), some, (size or first_size(nodes)) if some else 1.0, lambda places, size: nearest_within(places, nodes, size))
     if not found:
-        return points.select("*", F.lit(None).cast(dict(nodes.dtypes)["node_id"]).alias("node_id"), F.lit(None).cast("double").alias("d2"))
+        return points.select("*", F.lit(None).cast(kind).alias("node_id"), F.lit(None).cast("double").alias("d2"))
     return points.join(reduce(DataFrame.union, found), ["px", "py"], "left").select(*points.columns, "m.node_id", "m.d2")
