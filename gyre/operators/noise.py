@@ -36,18 +36,20 @@ def ar1(rows: DataFrame, by: list[str], order: str, w: str, a: float) -> DataFra
     numbered = renumbered(rows, [*by, order], into="_n")
     first = numbered.groupBy(*by).agg(F.min("_n").alias("_first"))
     place = F.col("_n") - F.col("_first")
-    held = numbered.join(first, by).withColumns({"_block": F.floor(place / size), "_at": (place % size).cast("int")}).drop("_n", "_first")
+    held = numbered.join(first, by).withColumns({"_block": F.floor(place / size), "_at": (place % size).cast("int")}).drop("_n")
     schema = T.StructType([*held.schema.fields, T.StructField("x", T.DoubleType())])
 
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("_at")
-        x, out, whole = 0.0, [], frame["_block"].iloc[0] > 0
-        for k, v in enumerate(frame[w].tolist()):
-            x = a * x + b * v if k or whole else v
-            out.append(x)
-        return frame.assign(x=out)
-
-    own = written(held.groupBy(*by, "_block").applyInPandas(fold, schema), "series")
+    def fold(frames):
+        x = 0.0
+        for frame in frames:  # blocks one after another, each in order
+            out = []
+            for block, at, v in zip(frame["_block"].tolist(), frame["_at"].tolist(), frame[w].tolist()):
+                x = a * x + b * v if at else b * v if block else v
+                out.append(x)
+            yield frame.assign(x=out)
+
+    dealt = held.repartition("_first", "_block").sortWithinPartitions("_first", "_block", "_at")
+    own = written(dealt.mapInPandas(fold, schema), "series")
     ends = own.where(F.col("_at") == size - 1).select(*by, (F.col("_block") + 1).alias("_block"), F.col("x").alias("_end"))
     x = F.col("x") + F.coalesce(F.col("_end") * F.pow(F.lit(a), F.col("_at") + 1), F.lit(0.0))
     return own.join(ends, [*by, "_block"], "left").withColumn("x", x).select(*rows.columns, "x")
