@@ -14,8 +14,8 @@ Equal texts are one text.  In a band's bucket every text is held against the
 bucket's first one, its most central, not against all; the links that hold make
 classes (a centre's shingles are sent once to each task that has members of its
 bucket), and only pairs of a bucket that are in different classes after that are
-verified in a second round, less those that counts of shingles rule out (see
-``possible``).  So a bucket of n copies costs about n verifications, and no link
+verified in a second round, if they meet in a shingle that the first has not and
+counts don't rule them out (see ``possible``).  So a bucket of n copies costs about n verifications, and no link
 between different classes is lost.  Verification is the exact weighted Jaccard similarity
 (least over greatest counts) on 64-bit shingle hashes.  Classes come from
 label propagation with pointer jumping over written tables.
@@ -29,9 +29,11 @@ them on whatever their names.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import hashing
@@ -171,12 +173,17 @@ def jaccard(pairs: DataFrame, held: DataFrame, cut: float) -> DataFrame:
                 sims[i] = both / (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["a", "b", "sim"])
 
+    return beside(pairs, held).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, sim double")
+
+
+def beside(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Pairs (a, b, ...) with the shingles sa and sb of both."""
     # A centre of many pairs is dealt over all tasks by the other side's hash, and its shingles go once to each of them.
     tasks = F.lit(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     dealt = pairs.withColumn("deal", F.pmod(F.xxhash64("b"), tasks))
     centres = dealt.select("a", "deal").distinct().join(held.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a")
     members = dealt.join(held.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    return members.join(centres, ["a", "deal"]).select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long, sim double")
+    return members.join(centres, ["a", "deal"])
 
 
 def cut_of(least: float) -> float:
@@ -227,7 +234,7 @@ def labelled(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: in
     at = written(at.join(few(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-labelled")
     split = written(at.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("key"), "near-split")
     at = written(at.join(few(split), "key"), "near-mixed")
-    more = possible(at, held.join(few(written(at.select("node").distinct(), "near-nodes")), "node", "left_semi"), least)
+    more = possible(at, held, least)
     more = more.select(F.least("xn", "yn").alias("a"), F.greatest("xn", "yn").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
     more = written(more, "near-more")
     if more.limit(1).count():
@@ -248,42 +255,49 @@ def classes(docs: DataFrame, **how) -> DataFrame:
 
 
 def possible(at: DataFrame, held: DataFrame, least: float) -> DataFrame:
-    """Pairs (xn, yn) of a bucket that may reach ``least``, one of them outside its first's class.
+    """Pairs (xn, yn) of texts with one first that may reach ``least``, one of them outside its first's class.
 
     at: (key, node, first, sim to the first, label); held: (node, s) of these nodes.
-    With X the shingles that only one of a text and the bucket's first has, and u those
-    that no other text of these buckets has, two texts A and B can be similar only if
-    X_A and X_B differ in d = (|A| + |B|) (1 - t) / (1 + t) elements at most, so share
-    (|X_A| + |X_B| - d) / 2, which neither can do with its u.  A text that was changed
-    in places of its own has half of X in u and can't be similar to texts that are no
-    nearer to the first than it is; such texts leave before any pair is made.
+    Of A's shingles, i are the first's too and the others are its own.  A and B are
+    similar only if they share t / (1 + t) (|A| + |B|), of which the first has
+    min(i_A, i_B) at most, so they share the rest, m, of what is their own.  With each
+    text's own shingles in one order, the rarest first, pairs are texts that meet in one
+    and have enough left from there on; the last m - 1 of a text are not looked at.
+    Texts that were changed in places of their own share none, however many they are.
+    Where m may be 0, both lie in the first but for a fifth; they meet by size.
     """
-    ratio = (1 - least) / (1 + least)
-    once = held.select(F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("n")).where("n = 1")
-    alone = held.select("node", F.explode("s").alias("e")).join(once, "e").groupBy("node").agg(F.count("*").alias("u"))
-    facts = written(held.select("node", F.size("s").alias("size")).dropDuplicates(["node"]).join(alone, "node", "left").select("node", "size", F.coalesce("u", F.lit(0)).alias("u")), "near-facts")
-    own = at.join(facts, "node").join(facts.select(F.col("node").alias("first"), F.col("size").alias("fsize")), "first")
-    # A similarity of 0 stands for any under the cut: the least that X can be then.
-    sim = F.when(F.col("sim") > 0, F.col("sim")).otherwise(cut_of(least))
-    both = F.col("size") + F.col("fsize")
-    own = own.withColumn("x", both - 2 * both * sim / (1 + sim)).withColumn("spare", F.when(F.col("sim") > 0, F.col("x") - 2 * F.col("u")).otherwise(F.lit(1e18)))
-    own = own.withColumn("outer", F.col("sim") < least)
-    own = written(own, "near-facts")
-    top = written(own.groupBy("key").agg(F.max("size").alias("most"), F.min("size").alias("small")), "near-facts")
-    own = written(own.join(few(top), "key").withColumn("need", F.col("x") - ratio * (F.col("size") + F.col("most"))), "near-facts")
-    needs = written(own.groupBy("key").agg(F.min(F.when(F.col("outer"), F.col("need"))).alias("outer_need"), F.min("need").alias("any_need")), "near-facts")
-    fits = F.col("size") - F.col("u") >= least / (1 + least) * (F.col("size") + F.greatest(F.col("small"), least * F.col("size"))) - 1e-6
-    own = written(own.where(fits).join(few(needs), "key").where(F.col("spare") >= F.when(F.col("outer"), F.col("any_need")).otherwise(F.col("outer_need")) - 1e-6), "near-possible")
-
-    def side(p: str) -> DataFrame:
-        return own.select("key", *[F.col(c).alias(p + c) for c in ("node", "label", "size", "x", "u", "spare", "outer", "first")])
-
-    x, y = side("x").where("xouter"), side("y").where("ynode <> yfirst")
-    d = ratio * (F.col("xsize") + F.col("ysize")) + 1e-6
-    apart = (F.col("xlabel") != F.col("ylabel")) & (F.abs(F.col("xx") - F.col("yx")) <= F.when((F.col("xspare") > 1e17) | (F.col("yspare") > 1e17), 1e18).otherwise(d))
-    apart = apart & (F.col("xspare") >= F.col("yx") - d) & (F.col("yspare") >= F.col("xx") - d)
-    apart = apart & (F.least(F.col("xsize") - F.col("xu"), F.col("ysize") - F.col("yu")) >= least / (1 + least) * (F.col("xsize") + F.col("ysize")) - 1e-6)
-    return x.join(y, "key").where(apart & (~F.col("youter") | (F.col("xnode") < F.col("ynode")))).select(F.col("xnode").alias("xn"), F.col("ynode").alias("yn"))
+    share = least / (1 + least)
+    own = at.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b"), "label", (F.col("sim") < least).alias("outer")).distinct()
+    own = beside(own, held).select(F.col("a").alias("first"), F.col("b").alias("node"), "label", "outer", F.size("sb").alias("size"), F.array_except("sb", "sa").alias("own"))
+    own = written(own.withColumn("i", F.col("size") - F.size("own")), "near-own")
+    small = written(own.groupBy("first").agg(F.min("size").alias("small")), "near-small")
+    # The least that a similar text has in common with this one.
+    common = share * (F.col("size") + F.greatest(F.col("small"), least * F.col("size"))) - 1e-6
+    facts = own.join(few(small), "first").withColumn("m", F.greatest(F.lit(1), F.ceil(common - F.col("i"))))
+    facts = written(facts.select("first", "node", "label", "outer", "size", "i", "m", (F.col("i") >= common).alias("inside")), "near-facts")
+
+    each = own.select("first", "node", "label", "outer", F.explode("own").alias("e"))
+    # Shingles that an outer text shares with a text of another class; the others come first in everyone's order.
+    met = each.groupBy("first", "e").agg(F.count("*").alias("n"), F.max("outer").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
+    met = written(each.select("first", "node", "e").join(met.where("any and low < high").select("first", "e", "n"), ["first", "e"]), "near-met")
+    order = Window.partitionBy("first", "node").orderBy("n", "e")
+    met = met.withColumn("left", F.count("*").over(Window.partitionBy("first", "node")) - F.row_number().over(order) + 1).withColumn("prev", F.lag("e").over(order))
+    posted = written(met.drop("n").join(facts, ["first", "node"]).where("left >= m"), "near-posted")
+    # Texts of similar sizes lie in one band or in neighbours.
+    inside = written(facts.where("inside").select("*", F.lit(0).alias("left"), F.lit(None).cast("long").alias("prev"), F.floor(F.log("size") / (1e-9 - math.log(least))).alias("band")), "near-inside")
+
+    def side(df: DataFrame, p: str, *by: str) -> DataFrame:
+        return df.select(*by, *[F.col(c).alias(p + c) for c in ("node", "label", "size", "i", "left", "prev", "outer")])
+
+    fits = (F.col("xlabel") != F.col("ylabel")) & (~F.col("youter") | (F.col("xnode") < F.col("ynode")))
+    fits = fits & (F.least("xi", "yi") + F.least("xleft", "yleft") >= share * (F.col("xsize") + F.col("ysize")) - 1e-6)
+    # Those that have the shingle before in common as well have met there.
+    fits = fits & ~F.coalesce(F.col("xprev") == F.col("yprev"), F.lit(False))
+    by = ["first", "e"]
+    pairs = side(posted.where("outer"), "x", *by).join(side(posted, "y", *by), by).where(fits).select(F.col("xnode").alias("xn"), F.col("ynode").alias("yn"))
+    by = ["first", "band"]
+    near = inside.withColumn("band", F.explode(F.array(*[F.col("band") + k for k in (-1, 0, 1)])))
+    return pairs.union(side(inside.where("outer"), "x", *by).join(side(near, "y", *by), by).where(fits).select("xnode", "ynode"))
 
 
 def deduplicated(docs: DataFrame, **how) -> DataFrame:

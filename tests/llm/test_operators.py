@@ -315,6 +315,43 @@ def test_near_dedup_second_round_loses_no_link(spark):
     assert sorted(repr((r.doc_id, r.class_id)) for r in near_dedup.classes(df).collect()) == exact_classes(rows)
 
 
+def near_copies(kind, n, rng):
+    """Copies of one text: with few words changed anywhere, cut short, with one of two long insertions, or changed in ten fixed places."""
+    base = [f"w{x}" for x in rng.integers(0, 3000, 150)]
+    for k in range(n):
+        text = list(base)
+        if kind == "cut":
+            text = text[: rng.integers(60, 150)] + [f"e{rng.integers(0, 10**6)}"]
+        elif kind == "places":
+            for p in range(5, 150, 14):
+                text[p] = f"n{p}_{rng.integers(0, 2)}" if rng.random() < 0.5 else text[p]
+        else:
+            if kind == "versions" and k % 3:
+                text = text[:60] + [f"v{k % 3}_{i}" for i in range(30)] + text[30 + 30 * (k % 3) :]
+            for p in rng.integers(0, 150, rng.integers(1, 7)):
+                text[p] = f"n{rng.integers(0, 20)}"
+        yield " ".join(text)
+
+
+def test_near_dedup_second_round_makes_few_pairs_of_a_large_group(spark, monkeypatch):
+    """Near copies changed in places of their own meet in the shingles they have in common, not all with all; no link is lost."""
+    rows, found = list(enumerate(near_copies("words", 400, np.random.default_rng(5)))), []
+    possible = near_dedup.possible
+    monkeypatch.setattr(near_dedup, "possible", lambda *a: found.append(common.written(possible(*a), "pairs")) or found[-1])
+    got = near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(repr((r.doc_id, r.class_id)) for r in got) == exact_classes(rows)
+    assert 0 < found[0].count() < 10 * len(rows)
+
+
+def test_near_dedup_second_round_equals_brute_force_on_kinds_of_copies(spark):
+    rng = np.random.default_rng(6)
+    rows = list(enumerate(t for kind in ("words", "cut", "versions", "places") for t in near_copies(kind, 90, rng)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for least, bands, per in ((0.8, 26, 5), (0.5, 80, 2)):
+        got = near_dedup.classes(df, least=least, bands=bands, rows=per).collect()
+        assert sorted(repr((r.doc_id, r.class_id)) for r in got) == exact_classes(rows, least)
+
+
 def test_dart_signatures_agree_as_often_as_sets_are_alike():
     k, rng = 4096, np.random.default_rng(0)
     a = rng.integers(0, 2**63, 300).astype(np.uint64)
