@@ -2,6 +2,9 @@ import collections
 import hashlib
 
 import corpus_pipeline
+import numpy as np
+from test_operators import exact_groups, near_copies
+
 from gyre.llm import mixing, near_dedup, quality, suffix_dedup
 from gyre.llm.common import written
 
@@ -35,3 +38,13 @@ def test_stages_act_on_what_is_left(spark, sf):
     assert m.count() == mixing.mix(d3).agg({"_mix_copies": "sum"}).first()[0]
     assert p.agg({"length": "sum"}).first()[0] > 0 and d4.count() == p.where("start = 0").count()
     assert quality.THRESHOLD == 0.7
+
+
+def test_near_dedup_stage_keeps_one_of_each_class_of_a_large_group_from_few_pairs(spark, monkeypatch):
+    rows, found = [(k, t, "a") for k, t in enumerate(near_copies("words", 400, np.random.default_rng(9)))], []
+    possible = near_dedup.possible
+    monkeypatch.setattr(near_dedup, "possible", lambda *a: found.append(written(possible(*a), "pairs")) or found[-1])
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    out = stage(spark, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3), "").collect()
+    assert sorted(r.doc_id for r in out) == sorted(min(g) for g in exact_groups([r[:2] for r in rows]))
+    assert 0 < found[0].count() < 10 * len(rows)
