@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gyre.joins import dealt
+
 
 def oriented_faces(elems: DataFrame, nodes: DataFrame, u: str, v: str, closed: str | None = None) -> DataFrame:
     """(elem_id, neighbour, flux, closed): a row for each side of each element, with the volume that nodal velocities carry out through it.
@@ -14,7 +16,7 @@ def oriented_faces(elems: DataFrame, nodes: DataFrame, u: str, v: str, closed: s
     elements of a side have opposite fluxes.  neighbour is null at the boundary; a side is closed where both its ends are.
     """
     more = [closed] if closed else []
-    flat = elems.select("elem_id", F.posexplode("nodes").alias("k", "node_id")).join(nodes.select("node_id", "x", "y", u, v, *more), "node_id")
+    flat = elems.select("elem_id", F.posexplode("nodes").alias("k", "node_id")).join(dealt(nodes.select("node_id", "x", "y", u, v, *more)), "node_id")
     corner = F.struct("k", "node_id", "x", "y", F.col(u).alias("u"), F.col(v).alias("v"), (F.col(closed) if closed else F.lit(False)).alias("closed"))
     at = flat.groupBy("elem_id").agg(F.array_sort(F.collect_list(corner)).alias("c"))  # three of each
     c = [F.get("c", F.lit(k)) for k in range(3)]
@@ -43,13 +45,13 @@ def upwind_step(field: DataFrame, faces: DataFrame, area: DataFrame, value: str,
     limits = sized.select(F.col("elem_id").alias("neighbour"), F.col("_area").alias("_far"))
     closed = F.coalesce(F.col("closed"), F.lit(False)) if "closed" in faces.columns else F.lit(False)
     shared = [c for c in by if c in faces.columns]
-    out = faces.join(sized, "elem_id").join(limits, "neighbour", "left").join(own, [*shared, "elem_id"]).join(there, [*by, "neighbour"], "left")
+    out = faces.join(dealt(sized), "elem_id").join(dealt(limits), "neighbour", "left").join(dealt(own), [*shared, "elem_id"]).join(dealt(there), [*by, "neighbour"], "left")
     inner = F.col("_far").isNotNull()
     leaves = F.least(F.col("flux"), F.col("_area") / dt / 3) * F.col("_own")
     enters = F.when(inner, -F.least(-F.col("flux"), F.col("_far") / dt / 3) * F.coalesce("_there", F.lit(0.0))).when(closed, 0.0).otherwise(F.col("flux") * incoming)
     moved = out.withColumn("_f", F.when(F.col("flux") > 0, leaves).otherwise(enters))
     net = moved.groupBy(*by, "elem_id").agg(F.sum("_f").alias("_net"))
-    new = field.join(sized, "elem_id").join(net, [*by, "elem_id"], "left")
+    new = field.join(dealt(sized), "elem_id").join(dealt(net), [*by, "elem_id"], "left")
     return new.withColumn(value, F.col(value) - dt * F.coalesce("_net", F.lit(0.0)) / F.col("_area")).select(*field.columns)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gyre.functions import geodesy
 from gyre.functions import geometry as g
 from gyre.functions.geodesy import MapSpec
+from gyre.joins import dealt
 from gyre.shared import written
 
 from .fields import renumbered
@@ -28,7 +29,7 @@ def lattice(spark: SparkSession, nx: int, ny: int, step: float) -> tuple[DataFra
 
 def corners(elems: DataFrame, nodes: DataFrame, *values: str) -> DataFrame:
     """elems with x1..x3, y1..y3 and the corner values of each column; one shuffle on node ids, one on element ids."""
-    flat = elems.select("elem_id", F.posexplode("nodes").alias("k", "node_id")).join(nodes.select("node_id", "x", "y", *values), "node_id")
+    flat = elems.select("elem_id", F.posexplode("nodes").alias("k", "node_id")).join(dealt(nodes.select("node_id", "x", "y", *values)), "node_id")
     pick = [F.max(F.when(F.col("k") == k, F.col(c))).alias(f"{c}{k + 1}") for k in range(3) for c in ("x", "y", *values)]
     return flat.groupBy("elem_id").agg(*pick)
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gyre.functions import geometry
 from gyre.functions.geodesy import MapSpec
+from gyre.joins import dealt
 from gyre.operators import advection, drifters, fields, locate, mesh, noise, remap, waves
 
 from .field_queries import spectra
@@ -35,7 +36,7 @@ def part_mesh(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     nodes = part_nodes(spark, sf_dir)
     far = nodes.select((F.col("node_id") - WIDTH - 1).alias("node_id"))
     k = F.col("node_id")
-    cells = nodes.where(F.col("i") < WIDTH - 1).join(far, "node_id", "left_semi").select(k, "i", "j")
+    cells = nodes.where(F.col("i") < WIDTH - 1).join(dealt(far), "node_id", "left_semi").select(k, "i", "j")
     both = F.array(F.struct((2 * k).alias("elem_id"), F.array(k, k + 1, k + WIDTH + 1).alias("nodes")), F.struct((2 * k + 1).alias("elem_id"), F.array(k, k + WIDTH + 1, k + WIDTH).alias("nodes")))
     return nodes, cells.select("i", "j", F.explode(both).alias("e")).select("e.elem_id", "e.nodes", "i", "j")
 
@@ -347,7 +348,7 @@ def advected_directions(spark, sf_dir):
     elems, faces, area = flow_faces(spark, sf_dir)
     every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("n")
     own = faces.select("*", every).withColumn("flux", F.col("flux") * (F.col("n") + 1) / 4)
-    h = elems.select("elem_id", F.col("nodes")[0].alias("node_id")).join(part_nodes(spark, sf_dir), "node_id").select("elem_id", "size", every)
+    h = elems.select("elem_id", F.col("nodes")[0].alias("node_id")).join(dealt(part_nodes(spark, sf_dir)), "node_id").select("elem_id", "size", every)
     h = h.select("elem_id", "n", (F.col("size") * (F.col("n") + 1) % 5 * 1.0).alias("h"))
     return advection.upwind_step(h, own, area, "h", 1.0, by=["n"], incoming=0.25).select("elem_id", "n", r(F.col("h")).alias("h"))
 
