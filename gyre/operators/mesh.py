@@ -63,7 +63,7 @@ def surface_factor(new_area, old_area):
 
 def node_sizes(elems: DataFrame, geo: DataFrame) -> DataFrame:
     """hmin and hmax of nodes from the areas of their elements."""
-    by = elems.select("elem_id", F.explode("nodes").alias("node_id")).join(geo.select("elem_id", "area"), "elem_id").groupBy("node_id")
+    by = elems.select("elem_id", F.explode("nodes").alias("node_id")).join(dealt(geo.select("elem_id", "area")), "elem_id").groupBy("node_id")
     return by.agg((0.8 * math.sqrt(2) * F.sqrt(F.min("area"))).alias("hmin"), (1.2 * math.sqrt(2) * F.sqrt(F.max("area"))).alias("hmax"))
 
 
