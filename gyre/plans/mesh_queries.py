@@ -333,7 +333,7 @@ def face_fluxes(spark, sf_dir):
 def upwind_advection(spark, sf_dir):
     """Two steps, long enough for limits, on a mesh with two closed sides and two open ones."""
     elems, faces, area = flow_faces(spark, sf_dir)
-    f = elems.select("elem_id", F.col("nodes")[0].alias("node_id")).join(part_nodes(spark, sf_dir), "node_id").select("elem_id", (F.col("size") / 10).alias("h"))
+    f = elems.select("elem_id", F.col("nodes")[0].alias("node_id")).join(dealt(part_nodes(spark, sf_dir)), "node_id").select("elem_id", (F.col("size") / 10).alias("h"))
     for _ in range(2):
         f = advection.upwind_step(f, faces, area, "h", 2.0, incoming=0.25)
     return f.select("elem_id", r(F.col("h")).alias("h"))
