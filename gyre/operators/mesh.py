@@ -100,10 +100,10 @@ def boundary_edges(elems: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def reordered(elems: DataFrame, nodes: DataFrame, node_map: DataFrame, elem_map: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(elems, nodes) under new numbers: node_map(node_id, new_id), elem_map(elem_id, new_id)."""
-    n = nodes.join(node_map, "node_id").drop("node_id").withColumnRenamed("new_id", "node_id").select(*nodes.columns)
-    flat = elems.select("elem_id", F.posexplode("nodes").alias("k", "node_id")).join(node_map, "node_id")
+    n = nodes.join(dealt(node_map), "node_id").drop("node_id").withColumnRenamed("new_id", "node_id").select(*nodes.columns)
+    flat = elems.select("elem_id", F.posexplode("nodes").alias("k", "node_id")).join(dealt(node_map), "node_id")
     own = flat.groupBy("elem_id").agg(F.array_sort(F.collect_list(F.struct("k", "new_id"))).alias("n"))  # three of each
-    moved = own.join(elem_map.withColumnRenamed("new_id", "_e"), "elem_id").select(F.col("_e").alias("elem_id"), F.col("n.new_id").alias("nodes"))
+    moved = own.join(dealt(elem_map.withColumnRenamed("new_id", "_e")), "elem_id").select(F.col("_e").alias("elem_id"), F.col("n.new_id").alias("nodes"))
     return moved, n
 
 

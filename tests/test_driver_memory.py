@@ -10,6 +10,6 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["advected_directions", "node_hminmax", "upwind_advection"])
+@pytest.mark.parametrize("name", ["advected_directions", "node_hminmax", "upwind_advection", "reordered_mesh"])
 def test_query_broadcasts_nothing(spark, sf, name):
     assert "Broadcast" not in plan_of(plans.QUERIES[name](spark, sf))
