@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gyre.functions import geodesy, geometry
+from gyre.joins import dealt
 
 NEIGHBOURS = ((-0.5, -0.5), (0.5, -0.5), (0.5, 0.5), (-0.5, 0.5))
 
@@ -148,8 +149,8 @@ def cubic_values(placed: DataFrame, source: DataFrame, key: list[str], value: st
     near = [F.explode(F.sequence(c - 1, c + 2)) for c in (i0, j0)]
     asked = placed.select(*key, "col", "row", near[0].alias("i")).select("*", near[1].alias("j"))
     w = cubic_weight(F.col("col") - F.col("i")) * cubic_weight(F.col("row") - F.col("j"))
-    met = asked.join(source.select("i", "j", value).where(F.col(value).isNotNull()), ["i", "j"]).groupBy(*key).agg(F.sum(w * F.col(value)).alias("_v"), F.sum(w).alias("_w"))
-    return placed.select(*key).join(met.select(*key, F.when(F.abs("_w") > 1e-9, F.col("_v") / F.col("_w")).alias(value)), key, "left")
+    met = asked.join(dealt(source.select("i", "j", value).where(F.col(value).isNotNull())), ["i", "j"]).groupBy(*key).agg(F.sum(w * F.col(value)).alias("_v"), F.sum(w).alias("_w"))
+    return placed.select(*key).join(dealt(met.select(*key, F.when(F.abs("_w") > 1e-9, F.col("_v") / F.col("_w")).alias(value))), key, "left")
 
 
 def hyperslab(rows: DataFrame, window: dict[str, tuple[int, int]], fixed: dict[str, int | str]) -> DataFrame:

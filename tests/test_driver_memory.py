@@ -1,7 +1,9 @@
 """No side that grows with the data is broadcast on Spark's guess of its size, however small its files are here."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from gyre.operators import grids
 from gyre.plans import field_queries, file_queries, forcing_queries, mesh_queries  # noqa: F401  # they register their queries
 from gyre.plans import queries as plans
 
@@ -13,3 +15,12 @@ def plan_of(df):
 @pytest.mark.parametrize("name", ["advected_directions", "node_hminmax", "upwind_advection", "reordered_mesh"])
 def test_query_broadcasts_nothing(spark, sf, name):
     assert "Broadcast" not in plan_of(plans.QUERIES[name](spark, sf))
+
+
+def test_cubic_values_broadcast_no_place(spark):
+    """Each place asks for sixteen cells, which Spark's guess of its size leaves out."""
+    cells = spark.range(400).select((F.col("id") % 20).alias("i"), F.floor(F.col("id") / 20).alias("j"), F.col("id").cast("double").alias("v"))
+    places = spark.range(300).select("id", (F.col("id") % 17 + 1.25).alias("col"), (F.col("id") % 13 + 2.5).alias("row"))
+    got = grids.cubic_values(places, cells, ["id"], "v")
+    assert "Broadcast" not in plan_of(got)
+    assert got.count() == 300 and got.where("v is null").count() == 0
