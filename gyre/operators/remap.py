@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gyre.joins import dealt
+
 from .locate import bucketed
 
 
@@ -64,7 +66,7 @@ def near_pairs(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     a, b = (bucketed(t, F.col(f"{p}x0"), F.col(f"{p}xe"), F.col(f"{p}y0"), F.col(f"{p}ye"), size) for t, p in ((a, "a"), (b, "b")))
     lx, ly = F.greatest("ax0", "bx0"), F.greatest("ay0", "by0")
     own = (F.floor(lx / size) == F.col("bx")) & (F.floor(ly / size) == F.col("by"))
-    return a.join(b, ["bx", "by"]).where((F.least("axe", "bxe") > lx) & (F.least("aye", "bye") > ly) & own)
+    return a.join(dealt(b), ["bx", "by"]).where((F.least("axe", "bxe") > lx) & (F.least("aye", "bye") > ly) & own)
 
 
 def triangle_overlaps(cells: DataFrame, at: DataFrame, size: float) -> DataFrame:
@@ -115,7 +117,7 @@ def mesh_to_mesh(weights: DataFrame, field: DataFrame, value: str) -> DataFrame:
 
 def mesh_to_grid(weights: DataFrame, field: DataFrame, cell_area: float, value: str) -> DataFrame:
     """Weighted sum over the full cell area: the uncovered part of a cell counts as 0; covered is the share that isn't."""
-    return weights.join(field, "elem_id").groupBy("cell_id").agg((F.sum(F.col(value) * F.col("w")) / cell_area).alias(value), (F.sum("w") / cell_area).alias("covered"))
+    return weights.join(dealt(field), "elem_id").groupBy("cell_id").agg((F.sum(F.col(value) * F.col("w")) / cell_area).alias(value), (F.sum("w") / cell_area).alias("covered"))
 
 
 def grid_to_mesh(weights: DataFrame, field: DataFrame, value: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gyre.operators import grids
+from gyre.operators import grids, remap
 from gyre.plans import field_queries, file_queries, forcing_queries, mesh_queries  # noqa: F401  # they register their queries
 from gyre.plans import queries as plans
 
@@ -24,3 +24,8 @@ def test_cubic_values_broadcast_no_place(spark):
     got = grids.cubic_values(places, cells, ["id"], "v")
     assert "Broadcast" not in plan_of(got)
     assert got.count() == 300 and got.where("v is null").count() == 0
+
+
+def test_mesh_to_grid_broadcasts_nothing(spark, sf):
+    w, field, _ = mesh_queries.raster_weights(spark, sf)
+    assert "Broadcast" not in plan_of(w) and "Broadcast" not in plan_of(remap.mesh_to_grid(w, field, 100.0, "v"))
