@@ -95,8 +95,8 @@ def mesh_overlaps(old: DataFrame, new: DataFrame, size: float) -> DataFrame:
     """
     corner = F.array_sort(F.array(*[F.struct(F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")) for k in (1, 2, 3)]))
     area = F.abs((F.col("x2") - F.col("x1")) * (F.col("y3") - F.col("y1")) - (F.col("x3") - F.col("x1")) * (F.col("y2") - F.col("y1"))) / 2
-    same = new.select("elem_id", corner.alias("c"), area.alias("w")).join(old.select(F.col("elem_id").alias("source"), corner.alias("c")), "c").select("elem_id", "source", "w")
-    rest = boxed(new.join(same.select("elem_id"), "elem_id", "left_anti"), "a")
+    same = new.select("elem_id", corner.alias("c"), area.alias("w")).join(dealt(old.select(F.col("elem_id").alias("source"), corner.alias("c"))), "c").select("elem_id", "source", "w")
+    rest = boxed(new.join(dealt(same.select("elem_id")), "elem_id", "left_anti"), "a")
     pairs = near_pairs(rest, boxed(old, "b").withColumnRenamed("elem_id", "source"), size)
 
     def run(batches):
@@ -111,7 +111,7 @@ def mesh_overlaps(old: DataFrame, new: DataFrame, size: float) -> DataFrame:
 
 def mesh_to_mesh(weights: DataFrame, field: DataFrame, value: str) -> DataFrame:
     """Overlap-weighted mean over what covers an element of the new mesh."""
-    own = weights.join(field.select(F.col("elem_id").alias("source"), F.col(value)), "source")
+    own = weights.join(dealt(field.select(F.col("elem_id").alias("source"), F.col(value))), "source")
     return own.groupBy("elem_id").agg((F.sum(F.col(value) * F.col("w")) / F.sum("w")).alias(value))
 
 

@@ -15,6 +15,7 @@ from gyre.functions import geometry
 from gyre.functions.geodesy import MapSpec
 from gyre.joins import dealt
 from gyre.operators import advection, drifters, fields, locate, mesh, noise, remap, waves
+from gyre.shared import written
 
 from .field_queries import spectra
 from .queries import query, r, table
@@ -299,10 +300,10 @@ def remap_mesh_to_mesh(spark, sf_dir):
     stays = F.col("node_id") % 3 == 0
     moved = mesh.displaced(nodes.withColumns({c: F.when(stays, 0.0).otherwise(F.col(c)) for c in "uv"}), "u", "v", 0.5)
     old = mesh.corners(elems, nodes, "f")
-    w = remap.mesh_overlaps(old, mesh.corners(elems, moved), 5.0).where("w > 1e-9")
+    w = written(remap.mesh_overlaps(old, mesh.corners(elems, moved), 5.0).where("w > 1e-9"), "overlaps")  # read twice
     field = old.select("elem_id", ((F.col("f1") + F.col("f2") + F.col("f3")) / 3).alias("v"))
     covered = w.groupBy("elem_id").agg(F.round(F.sum("w"), 6).alias("covered"))
-    return remap.mesh_to_mesh(w, field, "v").join(covered, "elem_id").select("elem_id", F.round("v", 5).alias("v"), "covered")
+    return remap.mesh_to_mesh(w, field, "v").join(dealt(covered), "elem_id").select("elem_id", F.round("v", 5).alias("v"), "covered")
 
 
 # -- advection -------------------------------------------------------------------------------

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gyre.operators import grids, remap
+from gyre.operators import grids, mesh, remap
 from gyre.plans import field_queries, file_queries, forcing_queries, mesh_queries  # noqa: F401  # they register their queries
 from gyre.plans import queries as plans
 
@@ -12,7 +12,7 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["advected_directions", "node_hminmax", "upwind_advection", "reordered_mesh"])
+@pytest.mark.parametrize("name", ["advected_directions", "node_hminmax", "upwind_advection", "reordered_mesh", "remap_mesh_to_mesh"])
 def test_query_broadcasts_nothing(spark, sf, name):
     assert "Broadcast" not in plan_of(plans.QUERIES[name](spark, sf))
 
@@ -26,6 +26,12 @@ def test_cubic_values_broadcast_no_place(spark):
     assert got.count() == 300 and got.where("v is null").count() == 0
 
 
+def test_mesh_overlaps_broadcast_nothing(spark, sf):
+    nodes, elems = mesh_queries.part_mesh(spark, sf)
+    moved = mesh.corners(elems, nodes.withColumn("x", F.col("x") + 0.5 * (F.col("node_id") % 2)))
+    assert "Broadcast" not in plan_of(remap.mesh_overlaps(mesh.corners(elems, nodes), moved, 5.0))
+
+
 def test_mesh_to_grid_broadcasts_nothing(spark, sf):
     w, field, _ = mesh_queries.raster_weights(spark, sf)
     assert "Broadcast" not in plan_of(w) and "Broadcast" not in plan_of(remap.mesh_to_grid(w, field, 100.0, "v"))
