@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gyre.functions import geometry as g
+from gyre.joins import dealt
 from gyre.shared import written
 
 #: Elements (some 100 bytes in each of nine buckets or so) are broadcast up to so many.
@@ -35,8 +36,8 @@ def in_triangles(points: DataFrame, at: DataFrame, size: float, keep: list[str]
     highest id holds a point; elements without area hold none.  Each element is filed by its own size, in the nine buckets or so of half
     the power of two times ``size`` that it fits, so meshes of elements of very unlike sizes stay cheap; a point looks into one bucket of each level there is (few: one for each doubling
     from the least to the greatest element).  A bucket is one row with the list of its elements (those of a mesh don't
-    overlap, so a list is short); buckets are broadcast if elements are counted to be at most
-    ``BROADCAST_ELEMENTS``, and then points don't move.  Every row of points gives one row.
+    overlap, so a list is short); the buckets of the levels with fewest elements are broadcast, up to ``BROADCAST_ELEMENTS``
+    of them, counted, and then points don't move; those of the others are never broadcast.  Every row of points gives one row.
     """
     xs, ys = [F.col(f"x{k}") for k in (1, 2, 3)], [F.col(f"y{k}") for k in (1, 2, 3)]
     pad = 1e-9
@@ -48,7 +49,10 @@ def in_triangles(points: DataFrame, at: DataFrame, size: float, keep: list[str]
     el = at.where(turn != 0).withColumns(box | slopes).withColumn("_level", level_of(F.greatest(F.greatest(*xs) - F.least(*xs), F.greatest(*ys) - F.least(*ys)) * (1 - 1e-9), size))
     el = written(el.select("_level", *box, *held), "elements")
     levels = {r._level: r.n for r in el.groupBy("_level").agg(F.count("*").alias("n")).collect()}  # some eighty rows at most
-    few = F.broadcast if sum(levels.values()) <= BROADCAST_ELEMENTS else lambda df: df
+    few, total = {}, 0
+    for k, n in sorted(levels.items(), key=lambda kn: kn[1]):
+        total += n
+        few[k] = F.broadcast if total <= BROADCAST_ELEMENTS else dealt
     out, hits = points, []
 
     def weights(e: Column) -> tuple[Column, Column]:
@@ -64,7 +68,7 @@ def in_triangles(points: DataFrame, at: DataFrame, size: float, keep: list[str]
         lists = bucketed(el.where(F.col("_level") == k), F.col("_x0"), F.col("_x1"), F.col("_y0"), F.col("_y1"), cell).groupBy(F.col("bx").alias(names[0]), F.col("by").alias(names[1]))
         lists = lists.agg(F.collect_list(F.struct(*held)).alias(names[2]))
         at_ = lambda c: F.when(F.abs(F.col(c).cast("double")) < math.inf, F.floor(F.col(c) / cell).cast("long"))  # noqa: E731  # NaN is above all
-        out = out.withColumns({names[0]: at_("px"), names[1]: at_("py")}).join(few(lists), names[:2], "left")
+        out = out.withColumns({names[0]: at_("px"), names[1]: at_("py")}).join(few[k](lists), names[:2], "left")
         hits.append(F.array_max(F.filter(names[2], holds)))
     if not hits:
         types = dict(at.dtypes)

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from gyre.operators import grids, mesh, remap
+from gyre.operators import grids, locate, mesh, remap
 from gyre.plans import field_queries, file_queries, forcing_queries, mesh_queries  # noqa: F401  # they register their queries
 from gyre.plans import queries as plans
 
@@ -26,6 +26,14 @@ def test_cubic_values_broadcast_no_place(spark):
     assert got.count() == 300 and got.where("v is null").count() == 0
 
 
+def test_location_beyond_the_count_broadcasts_nothing(spark, sf, monkeypatch):
+    """A step of drifters among more elements than are broadcast: Spark's guess doesn't bring them back."""
+    monkeypatch.setattr(locate, "BROADCAST_ELEMENTS", 0)
+    got = mesh_queries.drifter_step(spark, sf)
+    assert "Broadcast" not in plan_of(got)
+    assert got.count() > 0
+
+
 def test_mesh_overlaps_broadcast_nothing(spark, sf):
     nodes, elems = mesh_queries.part_mesh(spark, sf)
     moved = mesh.corners(elems, nodes.withColumn("x", F.col("x") + 0.5 * (F.col("node_id") % 2)))
