@@ -506,8 +506,14 @@ def forward(name: str, lat: Column, lon: Column, m: MapSpec) -> tuple[Column, Co
     return x / m.scale - m.x0, y / m.scale - m.y0
 
 
+#: Degrees below 180 within which a longitude counts as -180 (a tenth of a millimetre on the ground).
+END = 1e-9
+
+
 def inverse(name: str, x: Column, y: Column, m: MapSpec) -> tuple[Column, Column]:
-    return INVERSE[name](*rotate((x + m.x0) * m.scale, (y + m.y0) * m.scale, -m.rotation), m)
+    """Places of map coordinates, longitudes in [-180, 180); one at the end of the longitudes is at -180, on whichever side of it rounding left it."""
+    lat, lon = INVERSE[name](*rotate((x + m.x0) * m.scale, (y + m.y0) * m.scale, -m.rotation), m)
+    return lat, F.when(lon.between(180.0 - END, 180.0), -180.0).otherwise(lon)
 
 
 def utm_zone(lon: Column) -> Column:

@@ -66,6 +66,18 @@ def test_homolosine_is_continuous_at_its_seam(spark):
     assert abs(x0 - x1) < 1 and abs(y0 - y1) < 1
 
 
+@pytest.mark.parametrize("name", ["mollweide", "sinusoidal", "azimuthal_equal_area"])
+def test_places_at_the_end_of_the_longitudes_come_back_there(spark, name):
+    """Rounding leaves them on either side of it; places a little off it stay where they are."""
+    m = spec_of(name, lon0=10.0)
+    rows = [(float(lat), lon) for lat in range(40, 90, 5) for lon in (-180.0, 179.9999, -179.9999)]
+    df = spark.createDataFrame(rows, "lat double, lon double")
+    x, y = geodesy.forward(name, F.col("lat"), F.col("lon"), m)
+    held = df.withColumns({"x": x, "y": y})
+    _, lon = geodesy.inverse(name, F.col("x"), F.col("y"), m)
+    assert [round(r[0], 6) for r in held.select(lon).collect()] == [lon for _, lon in rows]
+
+
 def test_mollweide_solves_its_equation(spark):
     df = spark.range(-89, 90).select(F.col("id").cast("double").alias("lat"))
     _, y = geodesy.forward("mollweide", F.col("lat"), F.lit(0.0), geodesy.MapSpec(radius=1.0))
