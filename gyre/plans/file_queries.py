@@ -90,7 +90,7 @@ def matrix_window(spark, sf_dir):
 # -- texts -----------------------------------------------------------------------------------
 @query("SELECT l_orderkey % 1000 AS i, l_linenumber AS j, l_quantity AS uwind, -l_quantity AS vwind, l_discount * 100 AS airtmp, l_suppkey * 1.0::DOUBLE AS slp, l_tax * 100 AS precip, l_partkey % 1000 * 1000.0::DOUBLE AS relhum FROM lineitem".replace("l_discount * 100", "round(l_discount * 100)").replace("l_tax * 100", "round(l_tax * 100)"))
 def synoptic_text_back(spark, sf_dir):
-    """Numbers of three figures through a text of fixed columns."""
+    """Numbers of up to seven figures through a text of fixed columns."""
     li = table(spark, sf_dir, "lineitem")
     rows = li.select((F.col("l_orderkey") % 1000).cast("int").alias("i"), F.col("l_linenumber").cast("int").alias("j"), F.col("l_quantity").alias("uwind"), (-F.col("l_quantity")).alias("vwind"), F.round(F.col("l_discount") * 100).alias("airtmp"), F.col("l_suppkey").cast("double").alias("slp"), F.round(F.col("l_tax") * 100).alias("precip"), (F.col("l_partkey") % 1000 * 1000.0).alias("relhum"))
     path = folder(spark, "synoptic")

@@ -212,8 +212,8 @@ def read_synoptic(spark: SparkSession, path: str) -> DataFrame:
 
 
 def synoptic_lines(rows: DataFrame) -> DataFrame:
-    """Two numbers of five places and six of 14 a line."""
-    return rows.select(F.concat(*[F.lpad(F.col(c).cast("string"), 5, " ") for c in "ij"], *[exponent_form(F.col(c)) for c in SYNOPTIC]).alias("value"))
+    """Two numbers of five places and six of 14 a line, with seven figures: as many as the places hold."""
+    return rows.select(F.concat(*[F.lpad(F.col(c).cast("string"), 5, " ") for c in "ij"], *[exponent_form(F.col(c), digits=7) for c in SYNOPTIC]).alias("value"))
 
 
 #: The header of drifter texts (fixed value).

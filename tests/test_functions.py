@@ -362,6 +362,15 @@ def test_texts_go_round(spark, tmp_path):
     assert files.read_synoptic(spark, str(tmp_path / "s")).first()[:2] == (1, 12345)
 
 
+def test_synoptic_texts_keep_seven_figures(spark, tmp_path):
+    rows = [(999, 7, 1001.0, -5999.0, 0.0, 9999999.0, -1234567.0, -0.001234567), (1, 1, 59999.0, -50.0, 1e-9, 999000.0, 8.0, 123456.7)]
+    df = spark.createDataFrame(rows, "i int, j int, " + ", ".join(f"{c} double" for c in files.SYNOPTIC))
+    lines = files.synoptic_lines(df)
+    assert {len(r.value) for r in lines.collect()} == {94}
+    lines.coalesce(1).write.text(str(tmp_path / "s"))
+    assert [tuple(r) for r in files.read_synoptic(spark, str(tmp_path / "s")).collect()] == rows
+
+
 def test_meshes_and_matrices_go_round(spark, tmp_path):
     nodes, elems = mesh.lattice(spark, 3, 2, 1.5)
     lines = files.msh_text(nodes, elems).orderBy("part", "id").select("line").collect()
